@@ -118,12 +118,12 @@ def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(back[:n], ahead[width - 1 : width - 1 + n])
 
 
-def windows_anchors(gram: np.ndarray, starts: np.ndarray, valid: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def window_anchors(gram: np.ndarray, valid: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Anchor of every window, and the run of windows that each anchor owns.
 
     gram[i]: hash of the gram at i. A window that starts at s holds the grams s .. s+width-1; its anchor
-    is the leftmost with the least hash, which the window's content alone decides. starts: not used grams
-    are never read, since ``valid`` marks the window starts that lie within one document.
+    is the leftmost with the least hash, which the window's content alone decides. ``valid`` marks the
+    window starts whose windows lie within one document.
     Returns (anchor position, first owned window, last owned window), one row per anchor and run.
     """
     code = (gram & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(gram), dtype=np.uint64)

@@ -6,11 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import host_rules, license_scan, mixing, sharding
+from . import host_rules, license_scan, minhash, mixing, sharding
 from .common import table
 from .sql import ORACLES
 
 
+def op1_bbit_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), words=2)
+
+
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "passes", "part", "shards")
 
@@ -29,7 +33,7 @@ def op10_sampled_splitter_sharding(spark: SparkSession, sf_dir: str) -> DataFram
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {f.__name__: f for f in (
-        op3_source_mixing, op4_license_scan, op8_host_quality_rules, op10_sampled_splitter_sharding)}
+        op1_bbit_minhash, op3_source_mixing, op4_license_scan, op8_host_quality_rules, op10_sampled_splitter_sharding)}
     return found
 
 
