@@ -6,6 +6,7 @@ Texts travel to Python as UTF-8 bytes, so no operator pays for decoding them.
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -36,20 +37,32 @@ class Scratch:
         base = spark.conf.get("spark.checkpoint.dir", None) or f"file:///tmp/tessella-{spark.sparkContext.applicationId}"
         self.spark, self.root = spark, f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex[:12]}"
         self.label = label
+        # Spark 4.1 takes a union of bucketed tables for bucketed, but does not align the buckets: groups come out split
+        spark.conf.set("spark.sql.unionOutputPartitioning", "false")
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
         df.write.option("compression", "zstd").parquet(path)
+        self.release()
         return self.spark.read.schema(df.schema).parquet(path)
 
     def save_bucketed(self, df: DataFrame, name: str, key: str) -> DataFrame:
-        """A table bucketed by ``key``: later joins on it leave its rows where they are."""
+        """A table bucketed by ``key``: later joins on it leave its rows where they are.
+
+        ``df`` comes out of a shuffle by ``key``, whose partitions are the buckets, so a task writes whole buckets.
+        """
         n = shuffle_partitions(self.spark)
         known = f"{self.label}_{name}_{uuid.uuid4().hex[:12]}"
-        (df.repartition(n, key).write.option("compression", "zstd").option("path", f"{self.root}/{name}")
+        (df.write.option("compression", "zstd").option("path", f"{self.root}/{name}")
          .bucketBy(n, key).format("parquet").saveAsTable(known))
+        self.release()
         return self.spark.table(known)
 
+    def release(self) -> None:
+        """Let Spark delete the shuffle files of what is saved: its cleaner waits for the driver's garbage collection."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
     def drop(self, name: str) -> None:
         jvm = self.spark.sparkContext._jvm
         path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")

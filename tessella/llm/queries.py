@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import host_rules, license_scan, minhash, mixing, sharding
+from . import host_rules, license_scan, minhash, mixing, sharding, window_dedup
 from .common import table
 from .sql import ORACLES
 
@@ -23,6 +23,10 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.license_scan(table(spark, sf_dir, "documents"))
 
 
+def op5_window_index_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return window_dedup.substring_dedup(table(spark, sf_dir, "documents"))
+
+
 def op8_host_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return host_rules.quality_rules(table(spark, sf_dir, "documents"))
 
@@ -33,7 +37,7 @@ def op10_sampled_splitter_sharding(spark: SparkSession, sf_dir: str) -> DataFram
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {f.__name__: f for f in (
-        op1_bbit_minhash, op3_source_mixing, op4_license_scan, op8_host_quality_rules, op10_sampled_splitter_sharding)}
+        op1_bbit_minhash, op3_source_mixing, op4_license_scan, op5_window_index_dedup, op8_host_quality_rules, op10_sampled_splitter_sharding)}
     return found
 
 
