@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import host_rules, license_scan, minhash, mixing, sharding, window_dedup
+from . import host_rules, license_scan, minhash, mixing, sharding, suffix_dedup, window_dedup
 from .common import table
 from .sql import ORACLES
 
@@ -15,6 +15,10 @@ def op1_bbit_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), words=2)
 
 
+def op2_suffix_runs_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.suffix_dedup(table(spark, sf_dir, "documents"))
+
+
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "passes", "part", "shards")
 
@@ -37,7 +41,7 @@ def op10_sampled_splitter_sharding(spark: SparkSession, sf_dir: str) -> DataFram
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {f.__name__: f for f in (
-        op1_bbit_minhash, op3_source_mixing, op4_license_scan, op5_window_index_dedup, op8_host_quality_rules, op10_sampled_splitter_sharding)}
+        op1_bbit_minhash, op2_suffix_runs_dedup, op3_source_mixing, op4_license_scan, op5_window_index_dedup, op8_host_quality_rules, op10_sampled_splitter_sharding)}
     return found
 
 

@@ -44,15 +44,19 @@ def _anchors(rows: Iterator[pa.RecordBatch], grams: Grams, window: int, gram_siz
         yield batch(gram=g.view(np.int64), key=part.column("key").take(pa.array(text)), at=at.astype(np.int32), first=first.astype(np.int32), last=last.astype(np.int32))
 
 
-def suspicious_spots(texts: DataFrame, scratch: Scratch, grams: Callable[[], Grams], window: int, gram_size: int) -> DataFrame:
+def suspicious_spots(texts: DataFrame, scratch: Scratch, grams: Callable[[], Grams], window: int, gram_size: int, with_counts: bool = False) -> DataFrame:
     """(key, spots): the anchors of each text whose gram occurs elsewhere, with the windows they own.
 
-    The count is a partial aggregate and the semi-join is one that AQE can split, so a gram in a third of all
+    With counts, a spot also tells its gram and how often that occurs.
+
+    The count is a partial aggregate and the join back is one that AQE can split, so a gram in a third of all
     texts meets in no single task. A text's list is bounded by its length.
     """
     anchors = arrow_map(texts.select("key", F.col("text").cast("binary").alias("text")), partial(_anchors, grams=grams, window=window, gram_size=gram_size), ANCHORS)
     anchors = scratch.save(anchors, "anchors")
-    twice = anchors.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("gram")
-    spots = anchors.join(twice, "gram", "left_semi").groupBy("key").agg(F.collect_list(F.struct("at", "first", "last")).alias("spots"))
+    twice = anchors.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    told = ["at", "first", "last", *["gram", "n"] * with_counts]
+    spots = anchors.join(twice, "gram").groupBy("key").agg(F.collect_list(F.struct(*told)).alias("spots"))
     spots = scratch.save(spots, "spots")
+    scratch.drop("anchors")
     return spots
