@@ -153,6 +153,20 @@ class _Links:
 
 def near_duplicates(docs: DataFrame, words: int = 5, threshold: int = THRESHOLD) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row per document."""
+    return _judged(docs, words, threshold).drop("key")
+
+
+def one_of_each(docs: DataFrame, words: int = 5, threshold: int = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` that are kept, all columns; of rows that repeat id and text, one."""
+    kept = _judged(docs, words, threshold).filter("kept").select(F.col("doc_id").alias("kept_id"), F.col("key").alias("kept_key")).distinct()
+    keyed = docs.withColumn("__key", text_key("text"))
+    out = keyed.join(kept, (F.col("__key") == F.col("kept_key")) & F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
+    if not keyed.groupBy("doc_id", "__key").count().filter("count > 1").limit(1).isEmpty():
+        out = out.dropDuplicates(["doc_id", "__key"])
+    return out.drop("__key")
+
+
+def _judged(docs: DataFrame, words: int, threshold: int) -> DataFrame:
     scratch = Scratch(docs.sparkSession, "minhash")
     texts = distinct_texts(docs, scratch)
     signed = arrow_map(texts.select("key", F.col("text").cast("binary").alias("text")), partial(_signatures, n=words), "key binary, n long, bands array<long>, signature array<long>")
@@ -181,7 +195,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: int = THRESHOLD)
     known = signatures.select("key", "node", "n").join(least, "key").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     known = scratch.save(known.select("key", "n", "root", "least"), "known")
     ids = known.join(known.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("key", "n", "component_id")
-    out = named.join(ids, "key").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    out = named.join(ids, "key").select("key", "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 

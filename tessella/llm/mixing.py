@@ -22,7 +22,7 @@ equal); an empty table gives no rows; other columns are ignored by ``mix`` and k
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import SPACE, Scratch
@@ -71,14 +71,28 @@ def splitting_tree(quotas: np.ndarray, n_shards: int, seed: int) -> np.ndarray:
 def mix(docs: DataFrame, n_shards: int = N_SHARDS, seed: int = 17, weights: tuple[float, ...] = WEIGHTS, max_repeats: int = MAX_REPEATS) -> DataFrame:
     """doc_id, size, source_size, target, taken, source, passes (whole copies), part (words of a further prefix),
     shards (array: the output shard of each whole copy, then of the part)."""
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "mix")
+    sized = sized_documents(docs, seed)
+    scratch = Scratch(docs.sparkSession, "mix")
+    return mix_sized(scratch.save(sized, "sized"), None, scratch, n_shards, seed, weights, max_repeats)
+
+
+def mixed_documents(docs: DataFrame, seed: int = 17, weights: tuple[float, ...] = WEIGHTS, max_repeats: int = MAX_REPEATS) -> DataFrame:
+    """The mix as rows of ``docs``: each as often as it is taken. A part counts as a copy if it is at least half of the text."""
+    scratch = Scratch(docs.sparkSession, "mix")
+    sized = scratch.save(sized_documents(docs, seed), "sized")
+    carried = sized_documents(docs, seed, F.struct(*[F.col(c) for c in docs.columns]).alias("row"))
+    mixed = mix_sized(sized, carried, scratch, 1, seed, weights, max_repeats)
+    copies = F.col("passes") + F.when((F.col("part") > 0) & (2 * F.col("part") >= F.col("size")), 1).otherwise(0)
+    return mixed.filter(copies > 0).select("row", F.explode(F.sequence(F.lit(1), copies))).select("row.*")
+
+
+def sized_documents(docs: DataFrame, seed: int, *more: Column) -> DataFrame:
     words = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), SPACE), lambda w: w != "")).cast("long")
-    sized = scratch.save(docs.select(F.col("doc_id").alias("doc_id"), F.col("source").alias("source"), words.alias("size"), F.xxhash64("doc_id", "text", F.lit(seed)).alias("place")), "sized")
-    return mix_sized(sized, scratch, n_shards, seed, weights, max_repeats)
+    return docs.select(F.col("doc_id").alias("doc_id"), F.col("source").alias("source"), words.alias("size"), F.xxhash64("doc_id", "text", F.lit(seed)).alias("place"), *more)
 
 
-def mix_sized(sized: DataFrame, scratch: Scratch, n_shards: int, seed: int, weights: tuple[float, ...], max_repeats: int) -> DataFrame:
+def mix_sized(sized: DataFrame, carried: DataFrame | None, scratch: Scratch, n_shards: int, seed: int, weights: tuple[float, ...], max_repeats: int) -> DataFrame:
+    """sized: what sums and blocks are made from; carried: the same rows with more columns, if any, for the result."""
     spark = sized.sparkSession
     sums = sized.groupBy("source").agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("docs"))
     rows = sums.orderBy(F.col("source").asc_nulls_last()).limit(MAX_SOURCES + 1).collect()
@@ -94,10 +108,13 @@ def mix_sized(sized: DataFrame, scratch: Scratch, n_shards: int, seed: int, weig
     sources = spark.createDataFrame(plan, "source_no int, source string, source_size long, target double, whole int, rest long, n_blocks int")
 
     # The hash places a document in its block; blocks are permuted by a hash of their own.
-    joined = sized.join(sources.withColumnRenamed("source", "known"), F.col("source").eqNullSafe(F.col("known")))
-    placed = joined.select("doc_id", "source", "size", "place", "source_no", "source_size", "target", "whole", "rest", "n_blocks",
-                           F.pmod(F.xxhash64("place", F.lit(1)), F.col("n_blocks")).cast("int").alias("block"))
-    blocks = placed.groupBy("source_no", "block").agg(F.sum("size").alias("block_words"), F.first("rest").alias("rest"), F.first("whole").alias("whole"))
+    def in_blocks(rows: DataFrame) -> DataFrame:
+        joined = rows.join(sources.withColumnRenamed("source", "known"), F.col("source").eqNullSafe(F.col("known"))).drop("known")
+        return joined.withColumn("block", F.pmod(F.xxhash64("place", F.lit(1)), F.col("n_blocks")).cast("int"))
+
+    more = [c for c in carried.columns if c not in sized.columns] if carried is not None else []
+    placed = in_blocks(carried if carried is not None else sized)
+    blocks = in_blocks(sized).groupBy("source_no", "block").agg(F.sum("size").alias("block_words"), F.first("rest").alias("rest"), F.first("whole").alias("whole"))
     permuted = Window.partitionBy("source_no").orderBy(F.xxhash64("source_no", "block", F.lit(seed)), "block")
     blocks = blocks.select("source_no", "block", "block_words", "rest", "whole", (F.row_number().over(permuted) - 1).alias("turn"),
                            (F.sum("block_words").over(permuted.rowsBetween(Window.unboundedPreceding, 0)) - F.col("block_words")).alias("before"))
@@ -120,7 +137,7 @@ def mix_sized(sized: DataFrame, scratch: Scratch, n_shards: int, seed: int, weig
     # A block's shard in each pass: how many shards end at or before its turn.
     shard_of = F.transform("ends", lambda e: F.size(F.filter(e, lambda x: x <= F.col("turn"))))
     blocks = blocks.join(ends, "source_no", "left").select("source_no", "block", "block_words", "drawn", F.coalesce(shard_of, F.array().cast("array<int>")).alias("shards"))
-    full = placed.join(blocks, ["source_no", "block"])
+    full = placed.drop("n_blocks").join(blocks, ["source_no", "block"])
     cut = (F.col("drawn") > 0) & (F.col("drawn") < F.col("block_words"))
     whole_blocks = full.filter(~cut).withColumn("part", F.when(F.col("drawn") > 0, F.col("size")).otherwise(F.lit(0)).cast("long"))
     local = Window.partitionBy("source_no").orderBy("place", "doc_id").rowsBetween(Window.unboundedPreceding, 0)  # one block of each source
@@ -128,4 +145,4 @@ def mix_sized(sized: DataFrame, scratch: Scratch, n_shards: int, seed: int, weig
     cut_block = cut_block.withColumn("part", F.greatest(F.lit(0), F.least(F.col("size"), F.col("drawn") - F.col("so_far") + F.col("size")))).drop("so_far")
     out = whole_blocks.unionByName(cut_block)
     shards = F.when(F.col("part") > 0, F.col("shards")).otherwise(F.slice("shards", F.lit(1), F.col("whole")))
-    return out.select("doc_id", "size", "source_size", "target", (F.col("whole") * F.col("size") + F.col("part")).alias("taken"), "source", F.col("whole").alias("passes"), "part", shards.alias("shards"))
+    return out.select("doc_id", "size", "source_size", "target", (F.col("whole") * F.col("size") + F.col("part")).alias("taken"), "source", F.col("whole").alias("passes"), "part", shards.alias("shards"), *more)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import host_rules, license_scan, minhash, mixing, sharding, suffix_dedup, window_dedup
+from . import decontamination, host_rules, language_id, license_scan, minhash, mixing, quality_classifier, sharding, suffix_dedup, window_dedup
 from .common import table
 from .sql import ORACLES
 
@@ -31,18 +31,37 @@ def op5_window_index_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return window_dedup.substring_dedup(table(spark, sf_dir, "documents"))
 
 
+def op6_latent_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.leaked_pairs(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op7_byte_cnn_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(table(spark, sf_dir, "documents"))
+
+
 def op8_host_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return host_rules.quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op9_subword_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_sampled_splitter_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {f.__name__: f for f in (
-        op1_bbit_minhash, op2_suffix_runs_dedup, op3_source_mixing, op4_license_scan, op5_window_index_dedup, op8_host_quality_rules, op10_sampled_splitter_sharding)}
-    return found
+        op1_bbit_minhash, op2_suffix_runs_dedup, op3_source_mixing, op4_license_scan, op5_window_index_dedup,
+        op6_latent_decontamination, op7_byte_cnn_language, op8_host_quality_rules, op9_subword_quality, op10_sampled_splitter_sharding)}
+    return found | {"pipeline": pipeline}
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
 
 
 def oracle_sql() -> dict[str, str]:
