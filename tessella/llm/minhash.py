@@ -5,8 +5,10 @@
    ROWS full minima; the signature keeps only the low B_BITS of every minimum, packed into longs.
 3. Texts that share a band are candidates. A bucket is never expanded into all of its pairs at once: each member is
    compared with one hub, links form components, and only buckets that still hold several components go on, with
-   another hub for ``STAR_ROUNDS`` rounds. What then remains is compared in full: pairs of one bucket in different
-   components that were not compared yet. Pairs within one component need no test, as only components are returned.
+   another hub for ``STAR_ROUNDS`` rounds. What then remains is compared in full, but for pairs within one component,
+   which need no test, as only components are returned: small buckets directly; members of larger ones (say, all texts that hold one
+   common passage) by an exact prefix filter. Two sets at 0.8 share one of the 20 % rarest shingles of each, rare among
+   those members, so a passage that all of them hold makes no pairs.
 4. A candidate pair is dropped if the sizes rule 0.8 out, or if its similarity, estimated from the signatures by
    bit counts and corrected for chance collisions of b-bit values, lies more than five standard errors below. The rest is
    confirmed on full shingle sets (64-bit shingle hashes; two shingles of one pair of texts fall together with a
@@ -38,6 +40,8 @@ PER_LONG = 64 // B_BITS
 #: Similarity in hundredths.
 THRESHOLD = 80
 STAR_ROUNDS = 3
+#: Members of a bucket that are compared with each other directly; larger buckets go through the prefix filter.
+SMALL_BUCKET = 12
 #: Standard errors below the threshold at which an estimate rules a pair out.
 MARGIN = 5.0
 #: Shingles hashed at a time: the block of HASHES times as many values stays in cache.
@@ -95,6 +99,14 @@ def _sets(rows: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
         yield batch(node=part.column("node"), members=pa.array([shingle_set(t, n, words).tobytes() for t in texts_of(part)], pa.binary()))
 
 
+def _members(rows: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
+    words = WordHashes()
+    for part in rows:
+        sets = [shingle_set(t, n, words) for t in texts_of(part)]
+        ends = np.cumsum([0, *(len(s) for s in sets)]).astype(np.int32)
+        yield batch(node=part.column("node"), shingles=pa.ListArray.from_arrays(ends, pa.array(np.concatenate([*sets, np.empty(0, np.uint64)]).view(np.int64))))
+
+
 def _confirmed(rows: Iterator[pa.RecordBatch], threshold: int) -> Iterator[pa.RecordBatch]:
     for part in rows:
         ok = []
@@ -185,9 +197,11 @@ def _judged(docs: DataFrame, words: int, threshold: int) -> DataFrame:
         pairs = pairs.filter(F.col("root") != F.col("hub_root")).select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
         links.add(pairs)
         roots, mixed = _still_mixed(buckets, links, scratch, turn)
-    left, right = mixed.select("band", F.col("node").alias("a"), F.col("root").alias("root_a"), F.col("n").alias("n_a")), mixed.select("band", F.col("node").alias("b"), F.col("root").alias("root_b"), F.col("n").alias("n_b"))
-    near = (F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b")) & (100 * F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b"))
-    links.add(left.join(right, "band").filter(near).select("a", "b").distinct())
+    sizes = mixed.groupBy("band").agg(F.count(F.lit(1)).alias("members"))
+    small = mixed.join(sizes.filter(F.col("members") <= SMALL_BUCKET).select("band"), "band", "left_semi")
+    large = mixed.join(sizes.filter(F.col("members") > SMALL_BUCKET).select("band"), "band", "left_semi")
+    rest = _rare_shingles(large.select("node", "n", "root").distinct(), texts, signatures, scratch, words, threshold)
+    links.add(_cross_pairs(small.withColumnRenamed("band", "at"), threshold).union(_cross_pairs(rest, threshold)).distinct())
     roots, _ = _still_mixed(buckets, links, scratch, STAR_ROUNDS)
 
     named = docs.select(F.col("doc_id").alias("doc_id"), text_key("text"))
@@ -199,6 +213,32 @@ def _judged(docs: DataFrame, words: int, threshold: int) -> DataFrame:
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
+def _cross_pairs(places: DataFrame, threshold: int) -> DataFrame:
+    """(a, b) of nodes that share a place, lie in different components and have sizes that allow a link."""
+    left, right = places.select("at", F.col("node").alias("a"), F.col("root").alias("root_a"), F.col("n").alias("n_a")), places.select("at", F.col("node").alias("b"), F.col("root").alias("root_b"), F.col("n").alias("n_b"))
+    near = (F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b")) & (100 * F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b"))
+    return left.join(right, "at").filter(near).select("a", "b")
+
+
+def _rare_shingles(nodes: DataFrame, texts: DataFrame, signatures: DataFrame, scratch: Scratch, n: int, threshold: int) -> DataFrame:
+    """(at, node, root, n): each node at its rarest shingles, as many as a linked partner cannot all lack.
+
+    Rarity is counted among these nodes, with the shingle's hash to break ties: any one order serves. Shingles that only one component
+    holds are left out. A node's list is sorted by itself; it is as long as its text.
+    """
+    keyed = nodes.join(signatures.select("node", "key"), "node").select("key", "node")
+    raw = texts.join(keyed.hint("shuffle_hash"), "key").select("node", F.col("text").cast("binary").alias("text"))
+    sets = scratch.save(arrow_map(raw, partial(_members, n=n), "node long, shingles array<long>"), "rest-sets")
+    spread = sets.select("node", F.explode("shingles").alias("at"))
+    often = spread.groupBy("at").agg(F.count(F.lit(1)).alias("often"))
+    by_rarity = spread.join(often, "at").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("often", "at"))).alias("list"))
+    length = F.size("list") - F.ceil(F.size("list") * F.lit(threshold) / 100 - 1e-9).cast("int") + 1
+    rare = by_rarity.select("node", F.explode(F.slice("list", F.lit(1), length)).alias("x")).select("node", F.col("x.at").alias("at"))
+    rare = scratch.save(rare.join(nodes, "node").select("at", "node", "root", "n"), "rare")
+    several = rare.groupBy("at").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("at")
+    return rare.join(several, "at", "left_semi")
+
+
 def _still_mixed(buckets: DataFrame, links: _Links, scratch: Scratch, turn: int) -> tuple[DataFrame, DataFrame]:
     """Components of the links so far, and the buckets that hold more than one of them."""
     own = Scratch(scratch.spark, f"minhash-components-{turn}")

@@ -43,6 +43,23 @@ def test_edges_chain_and_hot_group(spark):
     assert got == brute(rows, 2)
 
 
+def test_large_mixed_buckets(spark, monkeypatch):
+    import random
+
+    monkeypatch.setattr(minhash, "SMALL_BUCKET", 1)
+    monkeypatch.setattr(minhash, "STAR_ROUNDS", 1)
+    rng = random.Random(4)
+    passage = [f"p{i}" for i in range(60)]
+    rows = []
+    for i in range(40):
+        own = [f"o{i}.{j}" for j in range(20)]
+        for k in range(3):
+            text = passage + [w if rng.random() > 0.06 * k else f"e{rng.random()}" for w in own]
+            rows.append((1000 - 3 * i - k, " ".join(text)))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), words=2).collect()}
+    assert got == brute(rows, 2)
+
+
 def test_empty_table_repeated_rows_and_null_ids(spark):
     assert near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     rows = [(5, "a b c d e f"), (5, "a b c d e f"), (None, "a b c d e f"), (None, "z")]
