@@ -191,18 +191,21 @@ def _judged(docs: DataFrame, words: int, threshold: int) -> DataFrame:
     links = _Links(texts, signatures, scratch, words, threshold)
     mixed = buckets.withColumn("root", F.col("node"))
     for turn in range(STAR_ROUNDS):
+        if turn and mixed.isEmpty():
+            break
         hub = F.min("node") if turn == 0 else F.min_by("node", F.xxhash64("node", F.lit(turn)))
         hubs = mixed.groupBy("band").agg(hub.alias("hub"))
         pairs = mixed.join(hubs, "band").join(mixed.select(F.col("band"), F.col("node").alias("hub"), F.col("root").alias("hub_root")), ["band", "hub"]) if turn else mixed.join(hubs, "band").withColumn("hub_root", F.col("hub"))
         pairs = pairs.filter(F.col("root") != F.col("hub_root")).select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
         links.add(pairs)
         roots, mixed = _still_mixed(buckets, links, scratch, turn)
-    sizes = mixed.groupBy("band").agg(F.count(F.lit(1)).alias("members"))
-    small = mixed.join(sizes.filter(F.col("members") <= SMALL_BUCKET).select("band"), "band", "left_semi")
-    large = mixed.join(sizes.filter(F.col("members") > SMALL_BUCKET).select("band"), "band", "left_semi")
-    rest = _rare_shingles(large.select("node", "n", "root").distinct(), texts, signatures, scratch, words, threshold)
-    links.add(_cross_pairs(small.withColumnRenamed("band", "at"), threshold).union(_cross_pairs(rest, threshold)).distinct())
-    roots, _ = _still_mixed(buckets, links, scratch, STAR_ROUNDS)
+    if not mixed.isEmpty():
+        sizes = mixed.groupBy("band").agg(F.count(F.lit(1)).alias("members"))
+        small = mixed.join(sizes.filter(F.col("members") <= SMALL_BUCKET).select("band"), "band", "left_semi")
+        large = mixed.join(sizes.filter(F.col("members") > SMALL_BUCKET).select("band"), "band", "left_semi")
+        rest = _rare_shingles(large.select("node", "n", "root").distinct(), texts, signatures, scratch, words, threshold)
+        links.add(_cross_pairs(small.withColumnRenamed("band", "at"), threshold).union(_cross_pairs(rest, threshold)).distinct())
+        roots, _ = _still_mixed(buckets, links, scratch, STAR_ROUNDS)
 
     named = docs.select(F.col("doc_id").alias("doc_id"), text_key("text"))
     least = named.groupBy("key").agg(F.min("doc_id").alias("least"))
