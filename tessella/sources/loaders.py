@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.expressions import to_number
 
+STANDARD_CHARSETS = {"UTF-8", "UTF-16", "UTF-16BE", "UTF-16LE", "UTF-32", "ISO-8859-1", "US-ASCII"}
 LOADERS: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
@@ -34,6 +35,8 @@ def read_csv(spark: SparkSession, path: str | list[str], names: Sequence[str] |
     """All columns as text, trimmed; ``missing`` is null. The first encoding that decodes everything is taken."""
     options = {"sep": sep, "header": str(header).lower(), "ignoreLeadingWhiteSpace": "true", "ignoreTrailingWhiteSpace": "true"}
     for e in encodings:
+        if e.upper() not in STANDARD_CHARSETS:
+            spark.conf.set("spark.sql.legacy.javaCharsets", "true")  # Spark refuses other encodings without it
         rows = spark.read.options(**options, encoding=e)
         if names is not None and not header:
             rows = rows.schema(", ".join(f"`{n}` string" for n in names))
