@@ -8,14 +8,15 @@ Passages are windows of 64 normalised words, 32 apart, that cover every whole te
    nothing) plus the RANK leading directions of all passages outside it. These come from a distributed randomised SVD: every task
    adds up A' (A R) for its passages A and a fixed random R, one sum of vocabulary size per task, and the driver
    orthonormalises the total.
-3. Every passage is projected and compared with all items of the block by cosine. The items are the stated query set; all passages
-   of all documents are searched.
+3. Every passage is folded into the space and compared with all items of the block: the inner product of item and passage there, both of
+   unit length before the projection, so what a passage holds besides counts against it. Projection and comparison are one product
+   with a matrix of words by items. The items are the stated query set; all passages of all documents are searched.
 4. A candidate is aligned with the words around the passage: the longest common subsequence with the item, and with its answer (the
    last sentence). It is a leak if the share of the item's words in the subsequence is at least ``LCS_SHARE``, or at least
    ``PARAPHRASE_SHARE`` when the answer stands there as well.
 
 Blocks of items bound what is broadcast (vocabulary times rank); each block costs three scans of the text and no shuffle but of the
-sums. Words are runs of letters and digits in lower case, so changes of case or punctuation do not matter.
+sums. Words are lower-cased runs without ASCII punctuation or blanks, so changes of case or punctuation do not matter.
 
 Defined results: null and empty texts leak nothing; items without a word that counts are matched by nothing; ids that repeat are reported
 for each row; a null id is reported as null; an empty table or benchmark gives no rows; other columns are ignored.
@@ -27,6 +28,7 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import partial
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -39,14 +41,22 @@ PASSAGE, STRIDE = 64, 32
 BLOCK_ITEMS = 256
 RANK, OVERSAMPLE = 24, 8
 MAX_SHARE = 0.1
-COSINE = 0.5
+COSINE = 0.4
 LCS_SHARE, PARAPHRASE_SHARE, ANSWER_SHARE = 0.8, 0.6, 0.9
 #: Passages projected at a time.
 CHUNK = 2048
 
 
+#: ASCII bytes that divide words.
+BREAKS = bytes.maketrans(bytes(range(128)), bytes(c if chr(c).isalnum() else 32 for c in range(128)))
+
+
+def raw_words(text: bytes) -> list[bytes]:
+    return text.decode("utf-8", "replace").lower().encode().translate(BREAKS).split()
+
+
 def words_of(text: str) -> list[str]:
-    return re.findall(r"[^\W_]+", text.lower())
+    return [w.decode() for w in raw_words(text.encode())]
 
 
 def answer_of(text: str) -> list[str]:
@@ -58,30 +68,17 @@ def answer_of(text: str) -> list[str]:
 @dataclass
 class Block:
     ids: list
-    items: list[list[str]]
-    answers: list[list[str]]
-    number: dict[str, int]  # word -> column
+    items: list[list[bytes]]
+    answers: list[list[bytes]]
+    number: dict[bytes, int]  # word -> column
     weight: np.ndarray | None = None  # idf by column, 0 for words that carry no evidence
     basis: np.ndarray | None = None  # columns of the latent space
-    latent: np.ndarray | None = None  # unit item vectors in it
-
-
-class _Ids(dict):
-    """Column of each raw token (bytes between separators), or its parts' columns; -1 for words of no item."""
-
-    def __init__(self, number: dict[str, int], bound: int = 400_000) -> None:
-        super().__init__()
-        self.number, self.bound = number, bound
-
-    def __missing__(self, token: bytes) -> tuple[int, ...]:
-        if len(self) > self.bound:
-            self.clear()
-        self[token] = value = tuple(self.number.get(w, -1) for w in words_of(token.decode("utf-8", "replace")))
-        return value
+    likeness: np.ndarray | None = None  # words by items: what a unit of the word adds to the item's cosine
 
 
-def columns(text: bytes, ids: _Ids) -> np.ndarray:
-    return np.array([c for t in text.split() for c in ids[t]], np.int64)
+def columns(words: list[bytes], number: dict[bytes, int]) -> np.ndarray:
+    """Column of each word; -1 for words of no item."""
+    return np.fromiter(map(number.get, words, repeat(-1)), np.int64, len(words))
 
 
 def passages(found: list[np.ndarray], weight: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -114,12 +111,13 @@ def passages(found: list[np.ndarray], weight: np.ndarray) -> tuple[np.ndarray, .
 
 
 def _frequencies(rows: Iterator[pa.RecordBatch], block) -> Iterator[pa.RecordBatch]:
-    ids, total, n = _Ids(block.value.number), np.zeros(len(block.value.number), np.int64), 0
+    number = block.value.number
+    total, n = np.zeros(len(number), np.int64), 0
     for part in rows:
         for t in texts_of(part):
             n += 1
-            c = np.unique(columns(t, ids))
-            total[c[c >= 0]] += 1
+            c = columns(raw_words(t), number)
+            total[np.unique(c[c >= 0])] += 1
     if n:
         used = np.flatnonzero(total)
         yield batch(word=np.concatenate([[-1], used]).astype(np.int32), n=np.concatenate([[n], total[used]]).astype(np.int64))
@@ -128,9 +126,9 @@ def _frequencies(rows: Iterator[pa.RecordBatch], block) -> Iterator[pa.RecordBat
 def _sketch(rows: Iterator[pa.RecordBatch], block, random) -> Iterator[pa.RecordBatch]:
     """One task's A' (A R), a row per column of A."""
     b, r = block.value, random.value
-    ids, total = _Ids(b.number), np.zeros((len(b.number), r.shape[1]), np.float64)
+    total = np.zeros((len(b.number), r.shape[1]), np.float64)
     for part in rows:
-        _, _, row, col, value = passages([columns(t, ids) for t in texts_of(part)], b.weight)
+        _, _, row, col, value = passages([columns(raw_words(t), b.number) for t in texts_of(part)], b.weight)
         for at in _pieces(row):
             first = row[at][0]
             y = dense(row[at] - first, col[at], value[at], r)
@@ -157,9 +155,9 @@ def dense(row: np.ndarray, col: np.ndarray, value: np.ndarray, basis: np.ndarray
     return np.add.reduceat(basis[col] * value[:, None], starts, axis=0)
 
 
-def lcs(a: list[str], b: list[str]) -> int:
+def lcs(a: list, b: list) -> int:
     """Length of the longest common subsequence, bit-parallel: a bit for each word of ``a``."""
-    where: dict[str, int] = {}
+    where: dict = {}
     for i, w in enumerate(a):
         where[w] = where.get(w, 0) | 1 << i
     full = (1 << len(a)) - 1
@@ -171,7 +169,7 @@ def lcs(a: list[str], b: list[str]) -> int:
     return len(a) - row.bit_count()
 
 
-def aligned(item: list[str], answer: list[str], around: list[str]) -> tuple[float, float]:
+def aligned(item: list[bytes], answer: list[bytes], around: list[bytes]) -> tuple[float, float]:
     return lcs(item, around) / len(item), lcs(answer, around) / len(answer)
 
 
@@ -179,21 +177,16 @@ def is_leak(item_share: float, answer_share: float) -> bool:
     return item_share >= LCS_SHARE or (item_share >= PARAPHRASE_SHARE and answer_share >= ANSWER_SHARE)
 
 
-def leaks_of(texts: list[bytes], b: Block, ids: _Ids) -> list[tuple[int, int, float, float, float]]:
+def leaks_of(texts: list[bytes], b: Block) -> list[tuple[int, int, float, float, float]]:
     """(text, item, cosine, item share, answer share) of each leak, the best passage of each pair."""
-    found = [columns(t, ids) for t in texts]
-    text, start, row, col, value = passages(found, b.weight)
-    split: dict[int, list[str]] = {}
+    split = [raw_words(t) for t in texts]
+    text, start, row, col, value = passages([columns(w, b.number) for w in split], b.weight)
     best: dict[tuple[int, int], tuple[float, float, float]] = {}
     for at in _pieces(row):
         first = row[at][0]
-        y = dense(row[at] - first, col[at], value[at], b.basis)
-        norm = np.linalg.norm(y, axis=1, keepdims=True)
-        cosines = (y / np.where(norm > 0, norm, 1)) @ b.latent.T
+        cosines = dense(row[at] - first, col[at], value[at], b.likeness)
         for p, i in zip(*np.nonzero(cosines >= COSINE), strict=True):
             t, s = int(text[first + p]), int(start[first + p])
-            if t not in split:
-                split[t] = words_of(texts[t].decode("utf-8", "replace"))
             item = b.items[i]
             shares = aligned(item, b.answers[i], split[t][max(0, s - len(item)) : s + PASSAGE + len(item)])
             if is_leak(*shares) and shares > best.get((t, int(i)), (0, 0, 0))[1:]:
@@ -203,9 +196,8 @@ def leaks_of(texts: list[bytes], b: Block, ids: _Ids) -> list[tuple[int, int, fl
 
 def _leaks(rows: Iterator[pa.RecordBatch], block) -> Iterator[pa.RecordBatch]:
     b = block.value
-    ids = _Ids(b.number)
     for part in rows:
-        found = leaks_of(texts_of(part), b, ids)
+        found = leaks_of(texts_of(part), b)
         yield batch(doc_id=part.column("doc_id").take(pa.array([x[0] for x in found], pa.int64())), item_id=pa.array([b.ids[x[1]] for x in found], pa.int64()),
                     **{c: pa.array([x[j] for x in found], pa.float64()) for c, j in (("cosine", 2), ("item_share", 3), ("answer_share", 4))})
 
@@ -214,9 +206,9 @@ def fit_blocks(docs: DataFrame, benchmark: DataFrame, block_items: int = BLOCK_I
     """Latent spaces of the benchmark, block by block. The benchmark is the query set: it is read to the driver in blocks."""
     held: list[tuple] = []
     for r in benchmark.select("item_id", "text").orderBy("item_id", "text").toLocalIterator():
-        words = words_of(r["text"] or "")
+        words = raw_words((r["text"] or "").encode())
         if words:
-            held.append((r["item_id"], words, answer_of(r["text"])))
+            held.append((r["item_id"], words, [w.encode() for w in answer_of(r["text"])]))
         if len(held) == block_items:
             yield _fit(docs, held)
             held = []
@@ -258,7 +250,7 @@ def _fit(docs: DataFrame, held: list[tuple]) -> Block:
     left, strength, _ = np.linalg.svd(total, full_matrices=False)
     b.basis = np.concatenate([q, left[:, :RANK][:, strength[:RANK] > 1e-9]], axis=1).astype(np.float32)
     latent = items @ b.basis
-    b.latent = (latent / np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-12)).astype(np.float32)
+    b.likeness = np.ascontiguousarray(b.basis @ (latent / np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-12)).T, np.float32)
     return b
 
 
@@ -278,10 +270,9 @@ def leaked_pairs(docs: DataFrame, benchmark: DataFrame, block_items: int = BLOCK
 
 
 def _clean(rows: Iterator[pa.RecordBatch], block) -> Iterator[pa.RecordBatch]:
-    ids = _Ids(block.value.number)
     for part in rows:
         texts = [t.encode() if t else b"" for t in part.column("text").to_pylist()]
-        leaked = {x[0] for x in leaks_of(texts, block.value, ids)}
+        leaked = {x[0] for x in leaks_of(texts, block.value)}
         yield part.filter(pa.array([i not in leaked for i in range(len(texts))], pa.bool_()))
 
 
