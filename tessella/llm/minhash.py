@@ -7,8 +7,8 @@
    compared with one hub, links form components, and only buckets that still hold several components go on, with
    another hub for ``STAR_ROUNDS`` rounds. What then remains is compared in full, but for pairs within one component,
    which need no test, as only components are returned: small buckets directly; members of larger ones (say, all texts that hold one
-   common passage) by an exact prefix filter. Two sets at 0.8 share one of the 20 % rarest shingles of each, rare among
-   those members, so a passage that all of them hold makes no pairs.
+   common passage) by exact filters. Two sets at 0.8 share one of the 20 % rarest shingles of each, rare among those members, so a
+   passage that all of them hold makes no pairs; and neither may hold too many shingles that no other component has.
 4. A candidate pair is dropped if the sizes rule 0.8 out, or if its similarity, estimated from the signatures by
    bit counts and corrected for chance collisions of b-bit values, lies more than five standard errors below. The rest is
    confirmed on full shingle sets (64-bit shingle hashes; two shingles of one pair of texts fall together with a
@@ -104,7 +104,7 @@ def _members(rows: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]
     for part in rows:
         sets = [shingle_set(t, n, words) for t in texts_of(part)]
         ends = np.cumsum([0, *(len(s) for s in sets)]).astype(np.int32)
-        yield batch(node=part.column("node"), shingles=pa.ListArray.from_arrays(ends, pa.array(np.concatenate([*sets, np.empty(0, np.uint64)]).view(np.int64))))
+        yield batch(node=part.column("node"), root=part.column("root"), n=part.column("n"), shingles=pa.ListArray.from_arrays(ends, pa.array(np.concatenate([*sets, np.empty(0, np.uint64)]).view(np.int64))))
 
 
 def _confirmed(rows: Iterator[pa.RecordBatch], threshold: int) -> Iterator[pa.RecordBatch]:
@@ -204,7 +204,7 @@ def _judged(docs: DataFrame, words: int, threshold: int) -> DataFrame:
         small = mixed.join(sizes.filter(F.col("members") <= SMALL_BUCKET).select("band"), "band", "left_semi")
         large = mixed.join(sizes.filter(F.col("members") > SMALL_BUCKET).select("band"), "band", "left_semi")
         rest = _rare_shingles(large.select("node", "n", "root").distinct(), texts, signatures, scratch, words, threshold)
-        links.add(_cross_pairs(small.withColumnRenamed("band", "at"), threshold).union(_cross_pairs(rest, threshold)).distinct())
+        links.add(_cross_pairs(small.select(F.col("band").alias("at"), "node", "root", "n", F.col("n").alias("shared")), threshold).union(_cross_pairs(rest, threshold)).distinct())
         roots, _ = _still_mixed(buckets, links, scratch, STAR_ROUNDS)
 
     named = docs.select(F.col("doc_id").alias("doc_id"), text_key("text"))
@@ -217,29 +217,34 @@ def _judged(docs: DataFrame, words: int, threshold: int) -> DataFrame:
 
 
 def _cross_pairs(places: DataFrame, threshold: int) -> DataFrame:
-    """(a, b) of nodes that share a place, lie in different components and have sizes that allow a link."""
-    left, right = places.select("at", F.col("node").alias("a"), F.col("root").alias("root_a"), F.col("n").alias("n_a")), places.select("at", F.col("node").alias("b"), F.col("root").alias("root_b"), F.col("n").alias("n_b"))
-    near = (F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b")) & (100 * F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b"))
-    return left.join(right, "at").filter(near).select("a", "b")
+    """(a, b) of nodes that share a place, lie in different components, and whose sizes and shared counts allow a link.
+
+    A link needs |A n B| >= t / (1 + t) (|A| + |B|); neither set shares more with others than its ``shared`` shingles.
+    """
+    side = lambda s: places.select("at", F.col("node").alias(s), F.col("root").alias(f"root_{s}"), F.col("n").alias(f"n_{s}"), F.col("shared").alias(f"shared_{s}"))
+    near = ((F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b")) & (100 * F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b"))
+            & ((100 + threshold) * F.least("shared_a", "shared_b") >= threshold * (F.col("n_a") + F.col("n_b"))))
+    return side("a").join(side("b"), "at").filter(near).select("a", "b")
 
 
 def _rare_shingles(nodes: DataFrame, texts: DataFrame, signatures: DataFrame, scratch: Scratch, n: int, threshold: int) -> DataFrame:
-    """(at, node, root, n): each node at its rarest shingles, as many as a linked partner cannot all lack.
+    """(at, node, root, n, shared): each node at its rarest shingles, as many as a linked partner cannot all lack.
 
-    Rarity is counted among these nodes, with the shingle's hash to break ties: any one order serves. Shingles that only one component
-    holds are left out. A node's list is sorted by itself; it is as long as its text.
+    ``shared`` counts its shingles that other components hold as well. Shingles of one component come first in the order, then the
+    rarer ones, counted among these nodes, with the shingle's hash to break ties: any one order serves, and this one leaves few shingles
+    that make pairs. A node's list is sorted by itself; it is as long as its text.
     """
-    keyed = nodes.join(signatures.select("node", "key"), "node").select("key", "node")
-    raw = texts.join(keyed.hint("shuffle_hash"), "key").select("node", F.col("text").cast("binary").alias("text"))
-    sets = scratch.save(arrow_map(raw, partial(_members, n=n), "node long, shingles array<long>"), "rest-sets")
-    spread = sets.select("node", F.explode("shingles").alias("at"))
-    often = spread.groupBy("at").agg(F.count(F.lit(1)).alias("often"))
-    by_rarity = spread.join(often, "at").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("often", "at"))).alias("list"))
-    length = F.size("list") - F.ceil(F.size("list") * F.lit(threshold) / 100 - 1e-9).cast("int") + 1
-    rare = by_rarity.select("node", F.explode(F.slice("list", F.lit(1), length)).alias("x")).select("node", F.col("x.at").alias("at"))
-    rare = scratch.save(rare.join(nodes, "node").select("at", "node", "root", "n"), "rare")
-    several = rare.groupBy("at").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("at")
-    return rare.join(several, "at", "left_semi")
+    keyed = nodes.join(signatures.select("node", "key"), "node").select("key", "node", "root", "n")
+    raw = texts.join(keyed.hint("shuffle_hash"), "key").select("node", "root", "n", F.col("text").cast("binary").alias("text"))
+    sets = scratch.save(arrow_map(raw, partial(_members, n=n), "node long, root long, n long, shingles array<long>"), "rest-sets")
+    spread = sets.select("node", "root", "n", F.explode("shingles").alias("at"))
+    often = spread.groupBy("at").agg(F.count(F.lit(1)).alias("often"), (F.min("root") < F.max("root")).alias("common"))
+    place = F.struct("common", "often", "at")
+    listed = spread.join(often, "at").groupBy("node").agg(F.first("root").alias("root"), F.first("n").alias("n"), F.sum(F.col("common").cast("long")).alias("shared"), F.sort_array(F.collect_list(place)).alias("list"))
+    length = (F.col("n") - F.ceil(F.col("n") * F.lit(threshold) / 100 - 1e-9) + 1).cast("int")
+    first = F.filter(F.slice("list", F.lit(1), length), lambda x: x["common"])
+    rare = listed.filter(100 * F.col("shared") >= threshold * F.col("n")).select("node", "root", "n", "shared", F.explode(first).alias("x"))
+    return scratch.save(rare.select(F.col("x.at").alias("at"), "node", "root", "n", "shared"), "rare")
 
 
 def _still_mixed(buckets: DataFrame, links: _Links, scratch: Scratch, turn: int) -> tuple[DataFrame, DataFrame]:

@@ -32,6 +32,8 @@ MAX_REPEATS = 3
 N_SHARDS = 8
 #: Blocks of one source, at most, and the documents a block holds at least, on average.
 BLOCKS_PER_SOURCE, BLOCK_DOCS = 4096, 16
+#: Blocks that are broadcast to their documents (about 100 bytes each); beyond it the join is shuffled.
+BROADCAST_BLOCKS = 100_000
 #: Sources whose sums the driver may hold.
 MAX_SOURCES = 5_000_000
 
@@ -137,6 +139,8 @@ def mix_sized(sized: DataFrame, carried: DataFrame | None, scratch: Scratch, n_s
     # A block's shard in each pass: how many shards end at or before its turn.
     shard_of = F.transform("ends", lambda e: F.size(F.filter(e, lambda x: x <= F.col("turn"))))
     blocks = blocks.join(ends, "source_no", "left").select("source_no", "block", "block_words", "drawn", F.coalesce(shard_of, F.array().cast("array<int>")).alias("shards"))
+    if sum(r["all"] for r in counts) <= BROADCAST_BLOCKS:
+        blocks = F.broadcast(blocks)
     full = placed.drop("n_blocks").join(blocks, ["source_no", "block"])
     cut = (F.col("drawn") > 0) & (F.col("drawn") < F.col("block_words"))
     whole_blocks = full.filter(~cut).withColumn("part", F.when(F.col("drawn") > 0, F.col("size")).otherwise(F.lit(0)).cast("long"))

@@ -13,7 +13,7 @@ def test_stages_keep_columns_and_take_effect(spark, sf_small):
         if i < 4:
             assert seen[-1].columns == docs.columns
     ids = [{r["doc_id"] for r in s.select("doc_id").collect()} for s in seen]
-    assert ids[1] < ids[0] and ids[2] < ids[1] and ids[3] <= ids[2] and ids[4] <= ids[3] and ids[5] == ids[4]
+    assert ids[1] < ids[0] and ids[2] <= ids[1] and ids[3] <= ids[2] and ids[4] <= ids[3] and ids[5] == ids[4]
     rows = [(r["doc_id"], r["text"]) for r in seen[1].collect()]
     assert ids[2] == {d for d, (_, _, kept) in brute(rows, 5).items() if kept}
     assert len(corpus_pipeline.STAGES) == 5 and seen[5].select("shard").distinct().count() == 8
