@@ -2,24 +2,24 @@
 
 Passages are windows of 64 normalised words, 32 apart, that cover every whole text. For a block of benchmark items:
 
-1. Document frequencies of the block's words over all documents. Words in more than MAX_SHARE of the documents carry no
-   evidence and leave the vector space; the rest weigh by TF-IDF, and passage vectors have unit length.
-2. The latent space is the span of the items (an orthonormal basis of it, so items and what resembles them lose
-   nothing) plus the RANK leading directions of all passages outside it. These come from a distributed randomised SVD: every task
-   adds up A' (A R) for its passages A and a fixed random R, one sum of vocabulary size per task, and the driver
-   orthonormalises the total.
-3. Every passage is folded into the space and compared with all items of the block: the inner product of item and passage there, both of
-   unit length before the projection, so what a passage holds besides counts against it. Projection and comparison are one product
-   with a matrix of words by items. The items are the stated query set; all passages of all documents are searched.
+1. Columns: each word of the block has its own, all other words of the corpus share HASHED columns by hash. Document frequencies come
+   from all documents. Words in more than MAX_SHARE of the documents carry no evidence and leave the vector space; the rest weigh by
+   TF-IDF, and passage vectors have unit length.
+2. The latent space is the RANK leading directions of all passages, from a distributed randomised SVD: every task adds up
+   A' (A R) for its passages A and a fixed random R, and the driver orthonormalises the total. Nothing is projected out.
+3. Items and passages are folded into the space. A pair is a candidate if its cosine there is at least LATENT, which words that
+   stand in like places can bring about, or if the cosine of its terms (over the block's words) is at least COSINE.
+   The items are the stated query set; all passages of all documents are searched.
 4. A candidate is aligned with the words around the passage: the longest common subsequence with the item, and with its answer (the
    last sentence). It is a leak if the share of the item's words in the subsequence is at least ``LCS_SHARE``, or at least
    ``PARAPHRASE_SHARE`` when the answer stands there as well.
 
-Blocks of items bound what is broadcast (vocabulary times rank); each block costs three scans of the text and no shuffle but of the
-sums. Words are lower-cased runs without ASCII punctuation or blanks, so changes of case or punctuation do not matter.
+Blocks of items bound what is broadcast (columns times rank); each block costs three scans of the text and no shuffle but of the
+sums, whose number the cores fix and not the corpus. Words are lower-cased runs without ASCII punctuation or blanks, so changes of case
+or punctuation do not matter.
 
 Defined results: null and empty texts leak nothing; items without a word that counts are matched by nothing; ids that repeat are reported
-for each row; a null id is reported as null; an empty table or benchmark gives no rows; other columns are ignored.
+for each row; a null id is reported as null; an empty table or benchmark gives no rows; other columns are ignored. The cosine is that of the terms.
 """
 
 from __future__ import annotations
@@ -28,10 +28,10 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import partial
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,9 +42,15 @@ BLOCK_ITEMS = 256
 RANK, OVERSAMPLE = 24, 8
 MAX_SHARE = 0.1
 COSINE = 0.4
+#: Columns of the words that no item of the block holds.
+HASHED = 1 << 15
+#: Cosine of a candidate in the latent space.
+LATENT = 0.9
 LCS_SHARE, PARAPHRASE_SHARE, ANSWER_SHARE = 0.8, 0.6, 0.9
-#: Passages projected at a time.
-CHUNK = 2048
+#: Passages projected at a time, pairs of them with items, and columns whose sums travel together.
+CHUNK, CELLS, SPAN = 2048, 1 << 19, 256
+#: Partial sums of the sketch for each core.
+SUMS_PER_CORE = 4
 
 
 #: ASCII bytes that divide words.
@@ -73,19 +79,33 @@ class Block:
     number: dict[bytes, int]  # word -> column
     weight: np.ndarray | None = None  # idf by column, 0 for words that carry no evidence
     basis: np.ndarray | None = None  # columns of the latent space
-    likeness: np.ndarray | None = None  # words by items: what a unit of the word adds to the item's cosine
+    latent: np.ndarray | None = None  # unit items in it
+    terms: tuple[np.ndarray, ...] | None = None  # by word: first posting; by posting: item, value in the unit item
 
 
-def columns(words: list[bytes], number: dict[bytes, int]) -> np.ndarray:
-    """Column of each word; -1 for words of no item."""
-    return np.fromiter(map(number.get, words, repeat(-1)), np.int64, len(words))
+class Columns(dict):
+    """Column of each word: its own, or by hash; forgets the hashed ones when a vocabulary outgrows its bound."""
+
+    def __init__(self, number: dict[bytes, int], bound: int = 500_000) -> None:
+        super().__init__(number)
+        self.number, self.bound = number, bound + len(number)
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= self.bound:
+            self.clear()
+            self.update(self.number)
+        self[word] = value = len(self.number) + xxhash.xxh3_64_intdigest(word) % HASHED
+        return value
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
 
 
 def passages(found: list[np.ndarray], weight: np.ndarray) -> tuple[np.ndarray, ...]:
     """Sparse unit TF-IDF rows of all passages that hold a weighted word: (text, start, row, column, value)."""
     text, start, row, col, n = [], [], [], [], 0
     for i, c in enumerate(found):
-        at = np.flatnonzero((c >= 0) & (weight[c] > 0))
+        at = np.flatnonzero(weight[c] > 0)
         if not len(at):
             continue
         last = max(0, -(-(len(c) - PASSAGE) // STRIDE))
@@ -111,48 +131,73 @@ def passages(found: list[np.ndarray], weight: np.ndarray) -> tuple[np.ndarray, .
 
 
 def _frequencies(rows: Iterator[pa.RecordBatch], block) -> Iterator[pa.RecordBatch]:
-    number = block.value.number
-    total, n = np.zeros(len(number), np.int64), 0
+    number = Columns(block.value.number)
+    total, n = np.zeros(len(number) + HASHED, np.int64), 0
     for part in rows:
         for t in texts_of(part):
             n += 1
-            c = columns(raw_words(t), number)
-            total[np.unique(c[c >= 0])] += 1
+            total[np.unique(number.of(raw_words(t)))] += 1
     if n:
         used = np.flatnonzero(total)
         yield batch(word=np.concatenate([[-1], used]).astype(np.int32), n=np.concatenate([[n], total[used]]).astype(np.int64))
 
 
 def _sketch(rows: Iterator[pa.RecordBatch], block, random) -> Iterator[pa.RecordBatch]:
-    """One task's A' (A R), a row per column of A."""
+    """One task's A' (A R), a row per SPAN columns of A."""
     b, r = block.value, random.value
-    total = np.zeros((len(b.number), r.shape[1]), np.float64)
+    number, total = Columns(b.number), np.zeros(r.shape, np.float32)
     for part in rows:
-        _, _, row, col, value = passages([columns(raw_words(t), b.number) for t in texts_of(part)], b.weight)
+        _, _, row, col, value = passages([number.of(raw_words(t)) for t in texts_of(part)], b.weight)
         for at in _pieces(row):
             first = row[at][0]
             y = dense(row[at] - first, col[at], value[at], r)
             order = np.argsort(col[at], kind="stable")
             c = col[at][order]
-            starts = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]]))
-            total[c[starts]] += np.add.reduceat(y[row[at][order] - first] * value[at][order, None], starts, axis=0)
-    used = np.flatnonzero(total.any(axis=1))
-    yield batch(word=used.astype(np.int32), sums=pa.array([x.tobytes() for x in total[used]], pa.binary()))
+            total[c[_starts(c)]] += dense(c, row[at][order] - first, value[at][order], y)
+    spans = [total[i : i + SPAN] for i in range(0, len(total), SPAN)]
+    used = [i for i, x in enumerate(spans) if x.any()]
+    yield batch(span=np.array(used, np.int32), sums=pa.array([spans[i].tobytes() for i in used], pa.binary()))
 
 
-def _pieces(row: np.ndarray) -> Iterator[slice]:
-    """Slices of sorted rows that hold about CHUNK rows each, none of them cut."""
+def _pieces(row: np.ndarray, size: int = CHUNK) -> Iterator[slice]:
+    """Slices of sorted rows that hold about ``size`` rows each, none of them cut."""
     at = 0
     while at < len(row):
-        end = int(np.searchsorted(row, row[at] + CHUNK))
+        end = int(np.searchsorted(row, row[at] + size))
         yield slice(at, end)
         at = end
 
 
 def dense(row: np.ndarray, col: np.ndarray, value: np.ndarray, basis: np.ndarray) -> np.ndarray:
     """Sparse rows times basis; every row has an entry and rows are sorted."""
-    starts = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
-    return np.add.reduceat(basis[col] * value[:, None], starts, axis=0)
+    return np.add.reduceat(basis[col] * value[:, None], _starts(row), axis=0)
+
+
+def _starts(row: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
+
+
+def unit(x: np.ndarray) -> np.ndarray:
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+
+
+def term_cosines(row: np.ndarray, col: np.ndarray, value: np.ndarray, b: Block) -> np.ndarray:
+    """Passages by items: cosine over the block's words."""
+    first, item, weight = b.terms
+    n = row[-1] + 1
+    own = col < len(b.number)
+    row, col, value = row[own], col[own], value[own]
+    norm = np.bincount(row, value**2, n) ** 0.5
+    many = first[col + 1] - first[col]
+    entry = np.repeat(np.arange(len(col)), many)
+    at = np.arange(len(entry)) + np.repeat(first[col] - (np.cumsum(many) - many), many)
+    key = row[entry] * len(b.items) + item[at]
+    return np.bincount(key, value[entry] * weight[at], n * len(b.items)).reshape(n, -1) / np.maximum(norm, 1e-12)[:, None]
+
+
+def may_leak(item: list[bytes], own: set[bytes], around: list[bytes]) -> bool:
+    """Whether the distinct words in common leave room for PARAPHRASE_SHARE; no leak fails this."""
+    return len(own.intersection(around)) + len(item) - len(own) >= PARAPHRASE_SHARE * len(item) - 1e-9
 
 
 def lcs(a: list, b: list) -> int:
@@ -177,18 +222,23 @@ def is_leak(item_share: float, answer_share: float) -> bool:
     return item_share >= LCS_SHARE or (item_share >= PARAPHRASE_SHARE and answer_share >= ANSWER_SHARE)
 
 
-def leaks_of(texts: list[bytes], b: Block) -> list[tuple[int, int, float, float, float]]:
+def leaks_of(texts: list[bytes], b: Block, number: Columns) -> list[tuple[int, int, float, float, float]]:
     """(text, item, cosine, item share, answer share) of each leak, the best passage of each pair."""
     split = [raw_words(t) for t in texts]
-    text, start, row, col, value = passages([columns(w, b.number) for w in split], b.weight)
+    text, start, row, col, value = passages([number.of(w) for w in split], b.weight)
+    own = [set(item) for item in b.items]
     best: dict[tuple[int, int], tuple[float, float, float]] = {}
-    for at in _pieces(row):
+    for at in _pieces(row, max(1, min(CHUNK, CELLS // len(b.items)))):
         first = row[at][0]
-        cosines = dense(row[at] - first, col[at], value[at], b.likeness)
-        for p, i in zip(*np.nonzero(cosines >= COSINE), strict=True):
+        cosines = term_cosines(row[at] - first, col[at], value[at], b)
+        latent = unit(dense(row[at] - first, col[at], value[at], b.basis)) @ b.latent.T
+        for p, i in zip(*np.nonzero((cosines >= COSINE) | (latent >= LATENT)), strict=True):
             t, s = int(text[first + p]), int(start[first + p])
             item = b.items[i]
-            shares = aligned(item, b.answers[i], split[t][max(0, s - len(item)) : s + PASSAGE + len(item)])
+            around = split[t][max(0, s - len(item)) : s + PASSAGE + len(item)]
+            if not may_leak(item, own[i], around):
+                continue
+            shares = aligned(item, b.answers[i], around)
             if is_leak(*shares) and shares > best.get((t, int(i)), (0, 0, 0))[1:]:
                 best[t, int(i)] = (float(cosines[p, i]), *shares)
     return [(t, i, *v) for (t, i), v in sorted(best.items())]
@@ -196,8 +246,9 @@ def leaks_of(texts: list[bytes], b: Block) -> list[tuple[int, int, float, float,
 
 def _leaks(rows: Iterator[pa.RecordBatch], block) -> Iterator[pa.RecordBatch]:
     b = block.value
+    number = Columns(b.number)
     for part in rows:
-        found = leaks_of(texts_of(part), b)
+        found = leaks_of(texts_of(part), b, number)
         yield batch(doc_id=part.column("doc_id").take(pa.array([x[0] for x in found], pa.int64())), item_id=pa.array([b.ids[x[1]] for x in found], pa.int64()),
                     **{c: pa.array([x[j] for x in found], pa.float64()) for c, j in (("cosine", 2), ("item_share", 3), ("answer_share", 4))})
 
@@ -223,40 +274,44 @@ def _fit(docs: DataFrame, held: list[tuple]) -> Block:
     raw = docs.select(F.col("text").cast("binary").alias("text"))
     shared = context.broadcast(b)  # words of at most BLOCK_ITEMS items
     counts = {r["word"]: r["n"] for r in arrow_map(raw, partial(_frequencies, block=shared), "word int, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()}
-    n = counts.pop(-1, 0)
-    df = np.array([counts.get(i, 0) for i in range(len(vocabulary))], np.float64)
-    b.weight = np.where(df > MAX_SHARE * n, 0.0, np.log((n + 1) / (df + 1)) + 1e-9) if n else np.ones(len(vocabulary))
+    n, size = counts.pop(-1, 0), len(vocabulary) + HASHED
+    df = np.array([counts.get(i, 0) for i in range(size)], np.float64)
+    b.weight = np.where(df > MAX_SHARE * n, 0.0, np.log((n + 1) / (df + 1)) + 1e-9) if n else np.ones(size)
     # items whose words are all frequent must be found too: theirs keep a small weight
     for words in b.items:
         own = np.array([b.number[w] for w in words])
         if not (b.weight[own] > 0).any():
             b.weight[own] = np.maximum(b.weight[own], np.log((n + 1) / (df[own] + 1)) + 1e-9)
-    items = np.zeros((len(b.items), len(vocabulary)))
-    for i, words in enumerate(b.items):
-        np.add.at(items[i], [b.number[w] for w in words], 1)
-    items *= b.weight
-    items /= np.maximum(np.linalg.norm(items, axis=1, keepdims=True), 1e-12)
-    q, strength, _ = np.linalg.svd(items.T, full_matrices=False)
-    q = q[:, strength > 1e-9]
-    rng = np.random.default_rng(6)
-    r = rng.normal(size=(len(vocabulary), RANK + OVERSAMPLE))
-    r -= q @ (q.T @ r)
-    shared, random = context.broadcast(b), context.broadcast(r.astype(np.float32))
-    tasks = arrow_map(raw, partial(_sketch, block=shared, random=random), "word int, sums binary")
-    total = np.zeros_like(r)
-    for row in tasks.groupBy("word").applyInArrow(_added, "word int, sums binary").toLocalIterator():
-        total[row["word"]] = np.frombuffer(row["sums"])
-    total -= q @ (q.T @ total)
+    row, col, value = _unit_rows([[b.number[w] for w in words] for words in b.items], b.weight)
+    order = np.argsort(col, kind="stable")
+    b.terms = np.searchsorted(col[order], np.arange(len(vocabulary) + 1)), row[order], value[order]
+    r = np.random.default_rng(6).normal(size=(size, RANK + OVERSAMPLE)).astype(np.float32)
+    shared, random = context.broadcast(b), context.broadcast(r)
+    # as many partial sums as cores want, however many parts the corpus has
+    tasks = arrow_map(raw.coalesce(SUMS_PER_CORE * context.defaultParallelism), partial(_sketch, block=shared, random=random), "span int, sums binary")
+    total = np.zeros(r.shape)
+    for found in tasks.groupBy("span").applyInArrow(_added, "span int, sums binary").toLocalIterator():
+        sums = np.frombuffer(found["sums"]).reshape(-1, r.shape[1])
+        total[found["span"] * SPAN :][: len(sums)] = sums
     left, strength, _ = np.linalg.svd(total, full_matrices=False)
-    b.basis = np.concatenate([q, left[:, :RANK][:, strength[:RANK] > 1e-9]], axis=1).astype(np.float32)
-    latent = items @ b.basis
-    b.likeness = np.ascontiguousarray(b.basis @ (latent / np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-12)).T, np.float32)
+    b.basis = np.ascontiguousarray(left[:, :RANK][:, strength[:RANK] > 1e-9], np.float32)
+    b.latent = np.zeros((len(b.items), b.basis.shape[1]), np.float32)
+    np.add.at(b.latent, row, b.basis[col] * value[:, None])
+    b.latent = unit(b.latent)
     return b
 
 
+def _unit_rows(rows: list[list[int]], weight: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(row, column, value) of unit TF-IDF rows."""
+    key, tf = np.unique(np.concatenate([i * len(weight) + np.array(c) for i, c in enumerate(rows)]), return_counts=True)
+    row, col = np.divmod(key, len(weight))
+    value = tf * weight[col]
+    return row, col, value / np.maximum(np.bincount(row, value**2, len(rows)) ** 0.5, 1e-12)[row]
+
+
 def _added(rows: pa.Table) -> pa.Table:
-    total = np.sum([np.frombuffer(x) for x in rows.column("sums").to_pylist()], axis=0)
-    return pa.table({"word": rows.column("word")[:1].combine_chunks(), "sums": pa.array([total.tobytes()], pa.binary())})
+    total = np.sum([np.frombuffer(x, np.float32) for x in rows.column("sums").to_pylist()], axis=0, dtype=np.float64)
+    return pa.table({"span": rows.column("span")[:1].combine_chunks(), "sums": pa.array([total.tobytes()], pa.binary())})
 
 
 def leaked_pairs(docs: DataFrame, benchmark: DataFrame, block_items: int = BLOCK_ITEMS) -> DataFrame:
@@ -270,9 +325,10 @@ def leaked_pairs(docs: DataFrame, benchmark: DataFrame, block_items: int = BLOCK
 
 
 def _clean(rows: Iterator[pa.RecordBatch], block) -> Iterator[pa.RecordBatch]:
+    number = Columns(block.value.number)
     for part in rows:
         texts = [t.encode() if t else b"" for t in part.column("text").to_pylist()]
-        leaked = {x[0] for x in leaks_of(texts, block.value)}
+        leaked = {x[0] for x in leaks_of(texts, block.value, number)}
         yield part.filter(pa.array([i not in leaked for i in range(len(texts))], pa.bool_()))
 
 

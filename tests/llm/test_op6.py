@@ -44,6 +44,25 @@ def test_paraphrases_positions_and_edges(spark):
     assert dc.leaked_pairs(docs.limit(0), bench).count() == 0 and dc.leaked_pairs(docs, bench.limit(0)).count() == 0
 
 
+def test_a_paraphrase_is_found_through_the_latent_space(spark):
+    rng = random.Random(4)
+    topics = [([f"t{t}w{i}" for i in range(90)], [f"t{t}rare{i}" for i in range(40)]) for t in range(16)]
+    rows = []
+    for t, (common, rare) in enumerate(topics):  # a rare word stands among its topic's words, in two documents
+        for d in range(40):
+            rows.append((1000 * t + d, " ".join(rng.sample(common, 50) + [w for i, w in enumerate(rare) if i % 20 == d % 20 and d < 20])))
+    common, rare = topics[3]
+    item = [w for i in range(16) for w in (common[i], rare[i])] + common[16:24]
+    other = rare[20:40]
+    changed = [w if w in common else common[40 + i] for i, w in enumerate(item)]
+    rows.append((99999, " ".join([*other, *changed, *common[80:84]])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(0, " ".join(item[:-4]) + ". " + " ".join(item[-4:]) + "."), (1, " ".join(other + topics[5][1]))], "item_id long, text string")
+    got = [r for r in dc.leaked_pairs(docs, bench).collect() if r["doc_id"] == 99999]
+    assert [r["item_id"] for r in got] == [0] and got[0]["cosine"] < dc.COSINE and got[0]["item_share"] == 0.6
+    assert all(r["doc_id"] != 99999 for r in dc.clean_documents(docs, bench).collect())
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.sampled_from("abc"), min_size=1, max_size=12), st.lists(st.sampled_from("abcd"), max_size=14))
 def test_bit_parallel_lcs(a, b):
