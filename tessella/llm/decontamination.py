@@ -7,19 +7,21 @@ Passages are windows of 64 normalised words, 32 apart, that cover every whole te
    TF-IDF, and passage vectors have unit length.
 2. The latent space is the RANK leading directions of all passages, from a distributed randomised SVD: every task adds up
    A' (A R) for its passages A and a fixed random R, and the driver orthonormalises the total. Nothing is projected out.
-3. Items and passages are folded into the space. A pair is a candidate if its cosine there is at least LATENT, which words that
-   stand in like places can bring about, or if the cosine of its terms (over the block's words) is at least COSINE.
+3. Queries are the items and, of items longer than PIECE words, their even pieces of at most PIECE words: any PIECE words in a row lie
+   in one passage whole. Queries and passages are folded into the space. A pair is a candidate if for any query its cosine there is at
+   least LATENT, which words that stand in like places can bring about, or the cosine of its terms (over the block's words) is at
+   least COSINE, or the passage holds COVERED of the query's squared weight, whatever else it holds.
    The items are the stated query set; all passages of all documents are searched.
 4. A candidate is aligned with the words around the passage: the longest common subsequence with the item, and with its answer (the
    last sentence). It is a leak if the share of the item's words in the subsequence is at least ``LCS_SHARE``, or at least
    ``PARAPHRASE_SHARE`` when the answer stands there as well.
 
 Blocks of items bound what is broadcast (columns times rank); each block costs three scans of the text and no shuffle but of the
-sums, whose number the cores fix and not the corpus. Words are lower-cased runs without ASCII punctuation or blanks, so changes of case
-or punctuation do not matter.
+sums, whose number the cores fix and not the corpus. Words are runs of letters and digits in lower case, so changes of case or punctuation
+do not matter.
 
 Defined results: null and empty texts leak nothing; items without a word that counts are matched by nothing; ids that repeat are reported
-for each row; a null id is reported as null; an empty table or benchmark gives no rows; other columns are ignored. The cosine is that of the terms.
+for each row; a null id is reported as null; an empty table or benchmark gives no rows; other columns are ignored. The cosine is that of the terms, of the nearest query.
 """
 
 from __future__ import annotations
@@ -46,6 +48,8 @@ COSINE = 0.4
 HASHED = 1 << 15
 #: Cosine of a candidate in the latent space.
 LATENT = 0.9
+#: Words of a query piece, and the share of a query's squared weight that makes a candidate.
+PIECE, COVERED = PASSAGE - STRIDE + 1, 0.4
 LCS_SHARE, PARAPHRASE_SHARE, ANSWER_SHARE = 0.8, 0.6, 0.9
 #: Passages projected at a time, pairs of them with items, and columns whose sums travel together.
 CHUNK, CELLS, SPAN = 2048, 1 << 19, 256
@@ -57,8 +61,13 @@ SUMS_PER_CORE = 4
 BREAKS = bytes.maketrans(bytes(range(128)), bytes(c if chr(c).isalnum() else 32 for c in range(128)))
 
 
+#: Other characters that do.
+OTHER_BREAKS = re.compile(r"[^\w\x00-\x7f]+")
+
+
 def raw_words(text: bytes) -> list[bytes]:
-    return text.decode("utf-8", "replace").lower().encode().translate(BREAKS).split()
+    lower = text.decode("utf-8", "replace").lower()
+    return (lower if lower.isascii() else OTHER_BREAKS.sub(" ", lower)).encode().translate(BREAKS).split()
 
 
 def words_of(text: str) -> list[str]:
@@ -79,8 +88,9 @@ class Block:
     number: dict[bytes, int]  # word -> column
     weight: np.ndarray | None = None  # idf by column, 0 for words that carry no evidence
     basis: np.ndarray | None = None  # columns of the latent space
-    latent: np.ndarray | None = None  # unit items in it
-    terms: tuple[np.ndarray, ...] | None = None  # by word: first posting; by posting: item, value in the unit item
+    latent: np.ndarray | None = None  # unit queries in it
+    terms: tuple[np.ndarray, ...] | None = None  # by word: first posting; by posting: query, value in the unit query
+    item_of: np.ndarray | None = None  # by query
 
 
 class Columns(dict):
@@ -181,18 +191,25 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
 
 
-def term_cosines(row: np.ndarray, col: np.ndarray, value: np.ndarray, b: Block) -> np.ndarray:
-    """Passages by items: cosine over the block's words."""
-    first, item, weight = b.terms
-    n = row[-1] + 1
+def pieces_of(words: list) -> list[list]:
+    """The words in even pieces of at most PIECE."""
+    n = -(-len(words) // PIECE)
+    return [words[len(words) * i // n : len(words) * (i + 1) // n] for i in range(n)]
+
+
+def term_likeness(row: np.ndarray, col: np.ndarray, value: np.ndarray, b: Block) -> tuple[np.ndarray, np.ndarray]:
+    """Passages by queries: cosine over the block's words, and the share of the query's squared weight in the passage."""
+    first, query, weight = b.terms
+    n, m = row[-1] + 1, len(b.item_of)
     own = col < len(b.number)
     row, col, value = row[own], col[own], value[own]
     norm = np.bincount(row, value**2, n) ** 0.5
     many = first[col + 1] - first[col]
     entry = np.repeat(np.arange(len(col)), many)
     at = np.arange(len(entry)) + np.repeat(first[col] - (np.cumsum(many) - many), many)
-    key = row[entry] * len(b.items) + item[at]
-    return np.bincount(key, value[entry] * weight[at], n * len(b.items)).reshape(n, -1) / np.maximum(norm, 1e-12)[:, None]
+    key = row[entry] * m + query[at]
+    dots, covered = np.bincount(key, value[entry] * weight[at], n * m), np.bincount(key, weight[at] ** 2, n * m)
+    return dots.reshape(n, m) / np.maximum(norm, 1e-12)[:, None], covered.reshape(n, m)
 
 
 def may_leak(item: list[bytes], own: set[bytes], around: list[bytes]) -> bool:
@@ -228,19 +245,25 @@ def leaks_of(texts: list[bytes], b: Block, number: Columns) -> list[tuple[int, i
     text, start, row, col, value = passages([number.of(w) for w in split], b.weight)
     own = [set(item) for item in b.items]
     best: dict[tuple[int, int], tuple[float, float, float]] = {}
-    for at in _pieces(row, max(1, min(CHUNK, CELLS // len(b.items)))):
+    for at in _pieces(row, max(1, min(CHUNK, CELLS // len(b.item_of)))):
         first = row[at][0]
-        cosines = term_cosines(row[at] - first, col[at], value[at], b)
+        cosines, covered = term_likeness(row[at] - first, col[at], value[at], b)
         latent = unit(dense(row[at] - first, col[at], value[at], b.basis)) @ b.latent.T
-        for p, i in zip(*np.nonzero((cosines >= COSINE) | (latent >= LATENT)), strict=True):
+        near: dict[tuple[int, int], float] = {}
+        for p, q in zip(*np.nonzero((cosines >= COSINE) | (covered >= COVERED - 1e-9) | (latent >= LATENT)), strict=True):
+            pair = int(p), int(b.item_of[q])
+            near[pair] = max(near.get(pair, 0.0), float(cosines[p, q]))
+        for (p, i), cosine in near.items():
             t, s = int(text[first + p]), int(start[first + p])
+            if best.get((t, i), (0, 0, 0))[1:] == (1, 1):
+                continue
             item = b.items[i]
             around = split[t][max(0, s - len(item)) : s + PASSAGE + len(item)]
             if not may_leak(item, own[i], around):
                 continue
             shares = aligned(item, b.answers[i], around)
-            if is_leak(*shares) and shares > best.get((t, int(i)), (0, 0, 0))[1:]:
-                best[t, int(i)] = (float(cosines[p, i]), *shares)
+            if is_leak(*shares) and shares > best.get((t, i), (0, 0, 0))[1:]:
+                best[t, i] = (cosine, *shares)
     return [(t, i, *v) for (t, i), v in sorted(best.items())]
 
 
@@ -282,7 +305,10 @@ def _fit(docs: DataFrame, held: list[tuple]) -> Block:
         own = np.array([b.number[w] for w in words])
         if not (b.weight[own] > 0).any():
             b.weight[own] = np.maximum(b.weight[own], np.log((n + 1) / (df[own] + 1)) + 1e-9)
-    row, col, value = _unit_rows([[b.number[w] for w in words] for words in b.items], b.weight)
+    asked = [(i, q) for i, words in enumerate(b.items) for q in [words, *(pieces_of(words) if len(words) > PIECE else [])]]
+    asked = [(i, [b.number[w] for w in q]) for i, q in asked]
+    b.item_of = np.array([i for i, _ in asked])
+    row, col, value = _unit_rows([q for _, q in asked], b.weight)
     order = np.argsort(col, kind="stable")
     b.terms = np.searchsorted(col[order], np.arange(len(vocabulary) + 1)), row[order], value[order]
     r = np.random.default_rng(6).normal(size=(size, RANK + OVERSAMPLE)).astype(np.float32)
@@ -295,7 +321,7 @@ def _fit(docs: DataFrame, held: list[tuple]) -> Block:
         total[found["span"] * SPAN :][: len(sums)] = sums
     left, strength, _ = np.linalg.svd(total, full_matrices=False)
     b.basis = np.ascontiguousarray(left[:, :RANK][:, strength[:RANK] > 1e-9], np.float32)
-    b.latent = np.zeros((len(b.items), b.basis.shape[1]), np.float32)
+    b.latent = np.zeros((len(asked), b.basis.shape[1]), np.float32)
     np.add.at(b.latent, row, b.basis[col] * value[:, None])
     b.latent = unit(b.latent)
     return b

@@ -1,4 +1,5 @@
 import random
+import re
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -63,6 +64,20 @@ def test_a_paraphrase_is_found_through_the_latent_space(spark):
     assert all(r["doc_id"] != 99999 for r in dc.clean_documents(docs, bench).collect())
 
 
+def test_long_items_and_unicode_breaks_against_brute_force(spark):
+    rng = random.Random(5)
+    words = lambda n, k: [f"k{k}x{rng.randrange(10**6)}" for _ in range(n)]
+    items = {0: words(500, 0), 1: words(900, 1), 2: words(5, 2), 3: words(30, 3), 4: ["春眠不觉晓", "处处闻啼鸟", "夜来风雨声"]}
+    rows = [(1, " ".join([*words(77, 9), *items[0], *words(50, 9)])), (2, " ".join(items[1])), (3, " ".join(items[1][:760])),
+            (4, " ".join([*items[3], *items[2] * 1, *items[0][:40]])), (5, "“" + "”—‘".join(items[3]) + "’"),
+            (6, "唐诗：“" + "，".join(items[4]) + "。”完"), (7, " ".join(items[0][:250])), (8, " ".join(words(900, 9)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(k, " ".join(v)) for k, v in items.items()], "item_id long, text string")
+    expected = {(d, k) for d, t in rows for k, v in items.items() if dc.lcs(v, re.findall(r"[^\W_]+", t.lower())) >= dc.LCS_SHARE * len(v)}
+    assert {(1, 0), (2, 1), (3, 1), (4, 2), (4, 3), (5, 3), (6, 4)} == expected
+    assert {(r["doc_id"], r["item_id"]) for r in dc.leaked_pairs(docs, bench).collect()} == expected
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.sampled_from("abc"), min_size=1, max_size=12), st.lists(st.sampled_from("abcd"), max_size=14))
 def test_bit_parallel_lcs(a, b):
