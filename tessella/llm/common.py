@@ -7,6 +7,8 @@ Texts travel to Python as UTF-8 bytes, so no operator pays for decoding them.
 from __future__ import annotations
 
 import gc
+import re
+import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -21,6 +23,8 @@ from pyspark.sql.types import StructType
 SPACE = r"[\x20\x09-\x0D]+"
 #: Rows an Arrow batch holds at most; long texts make ten thousand rows too many for a worker.
 BATCH_ROWS = 1000
+#: Bytes after which a batch ends early, for the same reason.
+BATCH_BYTES = 32 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,43 +35,65 @@ class Scratch:
     """A fresh folder under ``spark.checkpoint.dir``: what is saved there outlives any executor.
 
     Saving cuts lineage, as ``checkpoint()`` does, but keeps a columnar file that later steps prune.
-    Where the setting is absent (local tests) a folder under /tmp is used.
+    Where the setting is absent, a folder under /tmp serves local masters; on a cluster that is an error, as
+    executors would not see each other's files.
     """
 
+    #: Seconds between two requests to the driver's garbage collector.
+    PAUSE = 4.0
+    _asked = 0.0
+
     def __init__(self, spark: SparkSession, label: str) -> None:
-        base = spark.conf.get("spark.checkpoint.dir", None) or f"file:///tmp/tessella-{spark.sparkContext.applicationId}"
+        base = spark.conf.get("spark.checkpoint.dir", None)
+        if not base:
+            if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            base = f"file:///tmp/tessella-{spark.sparkContext.applicationId}"
         self.spark, self.root = spark, f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex[:12]}"
-        self.label = label
+        self.label, self.saved, self.tables = label, set(), {}
         # Spark 4.1 takes a union of bucketed tables for bucketed, but does not align the buckets: groups come out split
         spark.conf.set("spark.sql.unionOutputPartitioning", "false")
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
         df.write.option("compression", "zstd").parquet(path)
+        self.saved.add(name)
         self.release()
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def save_bucketed(self, df: DataFrame, name: str, key: str) -> DataFrame:
+    def save_bucketed(self, df: DataFrame, name: str, key: str, *, sort: bool = False) -> DataFrame:
         """A table bucketed by ``key``: later joins on it leave its rows where they are.
 
         ``df`` comes out of a shuffle by ``key``, whose partitions are the buckets, so a task writes whole buckets.
         """
         n = shuffle_partitions(self.spark)
-        known = f"{self.label}_{name}_{uuid.uuid4().hex[:12]}"
-        (df.write.option("compression", "zstd").option("path", f"{self.root}/{name}")
-         .bucketBy(n, key).format("parquet").saveAsTable(known))
+        known = f"{self.label}_{name}_{uuid.uuid4().hex[:12]}".replace("-", "_")
+        writer = df.write.option("compression", "zstd").option("path", f"{self.root}/{name}").bucketBy(n, key)
+        (writer.sortBy(key) if sort else writer).format("parquet").saveAsTable(known)
+        self.saved.add(name)
+        self.tables[name] = known
         self.release()
         return self.spark.table(known)
 
     def release(self) -> None:
         """Let Spark delete the shuffle files of what is saved: its cleaner waits for the driver's garbage collection."""
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
+        if time.monotonic() - Scratch._asked >= self.PAUSE:
+            gc.collect()
+            self.spark.sparkContext._jvm.System.gc()
+            Scratch._asked = time.monotonic()
 
-    def drop(self, name: str) -> None:
+    def drop(self, *names: str) -> None:
+        """Delete what is saved under these names; nothing may read it any more."""
         jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        for name in names:
+            if name in self.tables:
+                self.spark.sql(f"DROP TABLE IF EXISTS {self.tables.pop(name)}")
+            path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            self.saved.discard(name)
+
+    def keep_only(self, *names: str) -> None:
+        self.drop(*(self.saved - set(names)))
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
@@ -77,6 +103,7 @@ def shuffle_partitions(spark: SparkSession) -> int:
 def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
     """``mapInArrow`` with batches short enough for long texts."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return df.mapInArrow(fn, schema)
 
 
@@ -184,6 +211,7 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         new = low.join(roots, "low", "left").select("node", "root", F.least("low", F.coalesce("far", "low")).alias("next"))
         new = scratch.save(new, f"labels-{step}")
         changed = new.filter(F.col("root") != F.col("next")).limit(1).count()
+        scratch.drop(f"labels-{step - 1}")
         labels = new.select("node", F.col("next").alias("root"))
         if not changed:
             return labels

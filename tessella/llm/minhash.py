@@ -3,13 +3,14 @@
 1. Copies of a text become one row (map-side aggregate), so groups of copies cost one signature.
 2. Each text's word shingles get BANDS * ROWS minima under as many multiplicative hashes. A band is a hash of
    ROWS full minima; the signature keeps only the low B_BITS of every minimum, packed into longs.
-3. Texts that share a band are candidates. A bucket is never expanded into all of its pairs at once: each member is
-   compared with one hub, links form components, and only buckets that still hold several components go on, with
-   another hub for ``STAR_ROUNDS`` rounds. What then remains is compared in full, but for pairs within one component,
-   which need no test, as only components are returned: small buckets directly; members of larger ones (say, all texts that hold one
-   common passage) by exact filters. Two sets at 0.8 share one of the 20 % rarest shingles of each, rare among those members, so a
-   passage that all of them hold makes no pairs; and neither may hold too many shingles that no other component has.
-4. A candidate pair is dropped if the sizes rule 0.8 out, or if its similarity, estimated from the signatures by
+3. Texts that share a band are candidates. A bucket is never expanded into all of its pairs: each member is compared with one
+   hub, the member that meets most others in all its buckets, and links form components.
+4. Buckets that still hold several components are settled by differences from their hub. If x and y lack r and add a
+   shingles against hub h, then J(x, y) >= t needs so many differences in common: at least (u_x + u_y - (1 - t) |h|) / (1 + t),
+   u = r + t a. That is never less than one where x or y is not linked to the hub, and it grows with the distance. So
+   an exact prefix filter runs over the differences, rarest first, by classes of u: texts that share little more
+   than what the hub has in common with everyone make no pairs, whether they are thousands of near copies or hold one long passage.
+5. A candidate pair is dropped if the sizes rule the threshold out, or if its similarity, estimated from the signatures by
    bit counts and corrected for chance collisions of b-bit values, lies more than five standard errors below. The rest is
    confirmed on full shingle sets (64-bit shingle hashes; two shingles of one pair of texts fall together with a
    chance below 1e-10).
@@ -17,7 +18,7 @@
 With 40 bands of 6 rows a pair at similarity 0.8 is a candidate with chance 1 - (1 - 0.8^6)^40 > 0.99999.
 
 Defined results: null, empty and blank texts have no shingles, link with nothing and are their own component; texts
-shorter than a shingle are one shingle, the whole sequence; rows that repeat an id with equal text share their component; rows
+shorter than a shingle are one shingle, the whole sequence; very long texts are shingled whole; rows that repeat an id with equal text share their component; rows
 with a null id count as members but never name a component, unless no other member exists; an empty table gives no rows;
 columns other than doc_id and text are ignored.
 """
@@ -39,9 +40,8 @@ HASHES = BANDS * ROWS
 PER_LONG = 64 // B_BITS
 #: Similarity in hundredths.
 THRESHOLD = 80
-STAR_ROUNDS = 3
-#: Members of a bucket that are compared with each other directly; larger buckets go through the prefix filter.
-SMALL_BUCKET = 12
+#: Classes of distance from the hub within the distance that links to it: finer ones make shorter prefixes, but more of them.
+CLASSES = 8
 #: Standard errors below the threshold at which an estimate rules a pair out.
 MARGIN = 5.0
 #: Shingles hashed at a time: the block of HASHES times as many values stays in cache.
@@ -99,12 +99,21 @@ def _sets(rows: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
         yield batch(node=part.column("node"), members=pa.array([shingle_set(t, n, words).tobytes() for t in texts_of(part)], pa.binary()))
 
 
-def _members(rows: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
-    words = WordHashes()
+def _differences(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What each set lacks of its hub's and adds to it, as hashes of signed shingles."""
     for part in rows:
-        sets = [shingle_set(t, n, words) for t in texts_of(part)]
-        ends = np.cumsum([0, *(len(s) for s in sets)]).astype(np.int32)
-        yield batch(node=part.column("node"), root=part.column("root"), n=part.column("n"), shingles=pa.ListArray.from_arrays(ends, pa.array(np.concatenate([*sets, np.empty(0, np.uint64)]).view(np.int64))))
+        lacks, adds, sizes, hubs, tokens = [], [], [], [], []
+        for x, h in zip(part.column("set_a").to_pylist(), part.column("set_b").to_pylist(), strict=True):
+            x, h = np.frombuffer(x, np.uint64), np.frombuffer(h, np.uint64)
+            gone, new = np.setdiff1d(h, x, assume_unique=True), np.setdiff1d(x, h, assume_unique=True)
+            lacks.append(len(gone))
+            adds.append(len(new))
+            sizes.append(len(x))
+            hubs.append(len(h))
+            tokens.append(np.concatenate([new, mix(gone + np.uint64(1))]))
+        ends = np.cumsum([0, *map(len, tokens)]).astype(np.int32)
+        yield batch(hub=part.column("hub"), node=part.column("node"), root=part.column("root"), n=np.array(sizes, np.int64), h=np.array(hubs, np.int64), lacks=np.array(lacks, np.int64),
+                    adds=np.array(adds, np.int64), tokens=pa.ListArray.from_arrays(ends, pa.array(np.concatenate([*tokens, np.empty(0, np.uint64)]).view(np.int64))))
 
 
 def _confirmed(rows: Iterator[pa.RecordBatch], threshold: int) -> Iterator[pa.RecordBatch]:
@@ -134,33 +143,21 @@ def estimated_similarity(x: Column, y: Column) -> Column:
     return (share - chance) / (1 - chance)
 
 
-class _Links:
-    """Tests candidate pairs against the signatures and sets of one corpus, and remembers which were tested."""
-
-    def __init__(self, texts: DataFrame, signatures: DataFrame, scratch: Scratch, n: int, threshold: int) -> None:
-        self.texts, self.signatures, self.scratch, self.n, self.threshold = texts, signatures, scratch, n, threshold
-        self.step, self.tested, self.links = 0, None, None
-
-    def add(self, pairs: DataFrame) -> None:
-        """pairs: (a, b), a < b. Confirmed ones join ``links``."""
-        i, save = self.step, self.scratch.save
-        if self.tested is not None:
-            pairs = pairs.join(self.tested, ["a", "b"], "left_anti")
-        pairs = save(pairs, f"pairs-{i}")
-        t = self.threshold / 100
-        error = (t * (1 - t) / HASHES) ** 0.5
-        side = lambda s: self.signatures.select(F.col("node").alias(s), F.col("n").alias(f"n_{s}"), F.col("signature").alias(f"sig_{s}"))
-        likely = (pairs.join(side("a"), "a").join(side("b"), "b")
-                  .filter(100 * F.least("n_a", "n_b") >= self.threshold * F.greatest("n_a", "n_b"))
-                  .filter(estimated_similarity(F.col("sig_a"), F.col("sig_b")) >= t - MARGIN * error).select("a", "b"))
-        likely = save(likely, f"likely-{i}")
-        need = likely.select(F.col("a").alias("node")).union(likely.select("b")).distinct().join(self.signatures.select("node", "key"), "node")
-        sets = save(arrow_map(self.texts.join(need.hint("shuffle_hash"), "key").select("node", F.col("text").cast("binary").alias("text")), partial(_sets, n=self.n), "node long, members binary"), f"sets-{i}")
-        both = likely.join(sets.select(F.col("node").alias("a"), F.col("members").alias("set_a")), "a").join(sets.select(F.col("node").alias("b"), F.col("members").alias("set_b")), "b")
-        new = save(arrow_map(both.select("a", "b", "set_a", "set_b"), partial(_confirmed, threshold=self.threshold), "a long, b long"), f"links-{i}")
-        self.links = new if self.links is None else self.links.union(new)
-        self.tested = pairs if self.tested is None else self.tested.union(pairs)
-        self.step += 1
+def _links(pairs: DataFrame, signatures: DataFrame, sets: DataFrame, scratch: Scratch, threshold: int, name: str) -> DataFrame:
+    """The pairs (a, b) that the signatures do not rule out and the full sets confirm."""
+    t = threshold / 100
+    error = (t * (1 - t) / HASHES) ** 0.5
+    side = lambda s: signatures.select(F.col("node").alias(s), F.col("n").alias(f"n_{s}"), F.col("signature").alias(f"sig_{s}"))
+    likely = (pairs.join(side("a"), "a").join(side("b"), "b")
+              .filter(100 * F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b"))
+              .filter(estimated_similarity(F.col("sig_a"), F.col("sig_b")) >= t - MARGIN * error).select("a", "b"))
+    likely = scratch.save(likely, f"likely-{name}")
+    both = likely.join(_side(sets, "a"), "a").join(_side(sets, "b"), "b")
+    return scratch.save(arrow_map(both.select("a", "b", "set_a", "set_b"), partial(_confirmed, threshold=threshold), "a long, b long"), f"links-{name}")
+
+
+def _side(sets: DataFrame, s: str, name: str | None = None) -> DataFrame:
+    return sets.select(F.col("node").alias(name or s), F.col("members").alias(f"set_{s}"))
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, threshold: int = THRESHOLD) -> DataFrame:
@@ -170,12 +167,13 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: int = THRESHOLD)
 
 def one_of_each(docs: DataFrame, words: int = 5, threshold: int = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that are kept, all columns; of rows that repeat id and text, one."""
-    kept = _judged(docs, words, threshold).filter("kept").select(F.col("doc_id").alias("kept_id"), F.col("key").alias("kept_key")).distinct()
-    keyed = docs.withColumn("__key", text_key("text"))
-    out = keyed.join(kept, (F.col("__key") == F.col("kept_key")) & F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
-    if not keyed.groupBy("doc_id", "__key").count().filter("count > 1").limit(1).isEmpty():
-        out = out.dropDuplicates(["doc_id", "__key"])
-    return out.drop("__key")
+    kept = _judged(docs, words, threshold).filter("kept").select("doc_id", "key").distinct()
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("id"), text_key("text"))
+    same = (keyed["key"] == kept["key"]) & keyed["id"].eqNullSafe(kept["doc_id"])
+    out = keyed.join(kept, same, "left_semi")
+    if not keyed.groupBy("id", "key").count().filter("count > 1").limit(1).isEmpty():
+        out = out.dropDuplicates(["id", "key"])
+    return out.select("row.*")
 
 
 def _judged(docs: DataFrame, words: int, threshold: int) -> DataFrame:
@@ -184,73 +182,82 @@ def _judged(docs: DataFrame, words: int, threshold: int) -> DataFrame:
     signed = arrow_map(texts.select("key", F.col("text").cast("binary").alias("text")), partial(_signatures, n=words), "key binary, n long, bands array<long>, signature array<long>")
     signatures = scratch.save(signed.withColumn("node", F.monotonically_increasing_id()), "signatures")  # the ids are fixed once written
 
-    spread = signatures.filter("n > 0").select("node", "n", F.explode("bands").alias("band"))
-    shared = spread.groupBy("band").agg(F.count(F.lit(1)).alias("members")).filter("members > 1").select("band")
+    spread = signatures.filter("n > 0").select("node", F.explode("bands").alias("band"))
+    shared = spread.groupBy("band").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
     buckets = scratch.save(spread.join(shared, "band"), "buckets")
-
-    links = _Links(texts, signatures, scratch, words, threshold)
-    mixed = buckets.withColumn("root", F.col("node"))
-    for turn in range(STAR_ROUNDS):
-        if turn and mixed.isEmpty():
-            break
-        hub = F.min("node") if turn == 0 else F.min_by("node", F.xxhash64("node", F.lit(turn)))
-        hubs = mixed.groupBy("band").agg(hub.alias("hub"))
-        pairs = mixed.join(hubs, "band").join(mixed.select(F.col("band"), F.col("node").alias("hub"), F.col("root").alias("hub_root")), ["band", "hub"]) if turn else mixed.join(hubs, "band").withColumn("hub_root", F.col("hub"))
-        pairs = pairs.filter(F.col("root") != F.col("hub_root")).select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
-        links.add(pairs)
-        roots, mixed = _still_mixed(buckets, links, scratch, turn)
-    if not mixed.isEmpty():
-        sizes = mixed.groupBy("band").agg(F.count(F.lit(1)).alias("members"))
-        small = mixed.join(sizes.filter(F.col("members") <= SMALL_BUCKET).select("band"), "band", "left_semi")
-        large = mixed.join(sizes.filter(F.col("members") > SMALL_BUCKET).select("band"), "band", "left_semi")
-        rest = _rare_shingles(large.select("node", "n", "root").distinct(), texts, signatures, scratch, words, threshold)
-        links.add(_cross_pairs(small.select(F.col("band").alias("at"), "node", "root", "n", F.col("n").alias("shared")), threshold).union(_cross_pairs(rest, threshold)).distinct())
-        roots, _ = _still_mixed(buckets, links, scratch, STAR_ROUNDS)
+    met = buckets.groupBy("node").agg(F.sum("members").alias("met"))
+    hubs = buckets.join(met, "node").groupBy("band").agg(F.max(F.struct("met", "node"))["node"].alias("hub"))
+    placed = scratch.save(buckets.join(hubs, "band").filter("node <> hub").select("band", "node", "hub"), "placed")
+    stars = scratch.save(placed.select("node", "hub").distinct(), "stars")
+    need = stars.select("node").union(stars.select("hub")).distinct().join(signatures.select("node", "key"), "node")
+    raw = texts.join(need.hint("shuffle_hash"), "key").select("node", F.col("text").cast("binary").alias("text"))
+    sets = scratch.save(arrow_map(raw, partial(_sets, n=words), "node long, members binary"), "sets")
+
+    pairs = stars.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
+    own = Scratch(docs.sparkSession, "minhash-stars")
+    roots = components(_links(pairs, signatures, sets, scratch, threshold, "stars"), own)
+    rest = _settled(placed, roots, signatures, sets, scratch, threshold)
+    over = lambda s: F.coalesce(F.col(s), F.col("node"))
+    if rest is not None:  # links between components, as links between their roots
+        far = Scratch(docs.sparkSession, "minhash-rest")
+        rooted = lambda s: roots.select(F.col("node").alias(s), F.col("root").alias(f"root_{s}"))
+        between = rest.join(rooted("a"), "a", "left").join(rooted("b"), "b", "left").select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b"))
+        later = components(between, far).select(F.col("node").alias("was"), F.col("root").alias("now"))
+        roots = signatures.select("node").join(roots, "node", "left").select("node", over("root").alias("was")).join(later, "was", "left").select("node", F.coalesce("now", "was").alias("root"))
 
     named = docs.select(F.col("doc_id").alias("doc_id"), text_key("text"))
     least = named.groupBy("key").agg(F.min("doc_id").alias("least"))
-    known = signatures.select("key", "node", "n").join(least, "key").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    known = signatures.select("key", "node", "n").join(least, "key").join(roots, "node", "left").withColumn("root", over("root"))
     known = scratch.save(known.select("key", "n", "root", "least"), "known")
+    scratch.keep_only("known")
+    own.keep_only()
     ids = known.join(known.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("key", "n", "component_id")
     out = named.join(ids, "key").select("key", "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def _cross_pairs(places: DataFrame, threshold: int) -> DataFrame:
-    """(a, b) of nodes that share a place, lie in different components, and whose sizes and shared counts allow a link.
-
-    A link needs |A n B| >= t / (1 + t) (|A| + |B|); neither set shares more with others than its ``shared`` shingles.
-    """
-    side = lambda s: places.select("at", F.col("node").alias(s), F.col("root").alias(f"root_{s}"), F.col("n").alias(f"n_{s}"), F.col("shared").alias(f"shared_{s}"))
-    near = ((F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b")) & (100 * F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b"))
-            & ((100 + threshold) * F.least("shared_a", "shared_b") >= threshold * (F.col("n_a") + F.col("n_b"))))
-    return side("a").join(side("b"), "at").filter(near).select("a", "b")
+def _settled(placed: DataFrame, roots: DataFrame, signatures: DataFrame, sets: DataFrame, scratch: Scratch, threshold: int) -> DataFrame | None:
+    """Links between the components that buckets still hold; None if each bucket holds one only."""
+    named = placed.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    hubs = roots.select(F.col("node").alias("hub"), F.col("root").alias("hub_root"))
+    named = named.join(hubs, "hub", "left").withColumn("hub_root", F.coalesce("hub_root", "hub"))
+    mixed = named.filter("root <> hub_root").select("band").distinct()  # a bucket without such a member is one component
+    members = scratch.save(named.join(mixed, "band", "left_semi").select("hub", "node", "root").distinct(), "members")
+    if members.isEmpty():
+        return None
+    both = members.join(_side(sets, "a", "node"), "node").join(_side(sets, "b", "hub"), "hub")
+    found = arrow_map(both.select("hub", "node", "root", "set_a", "set_b"), _differences, "hub long, node long, root long, n long, h long, lacks long, adds long, tokens array<long>")
+    pairs = scratch.save(_difference_pairs(scratch.save(found, "differences"), scratch, threshold), "pairs-rest")
+    return _links(pairs, signatures, sets, scratch, threshold, "rest")
 
 
-def _rare_shingles(nodes: DataFrame, texts: DataFrame, signatures: DataFrame, scratch: Scratch, n: int, threshold: int) -> DataFrame:
-    """(at, node, root, n, shared): each node at its rarest shingles, as many as a linked partner cannot all lack.
+def _difference_pairs(found: DataFrame, scratch: Scratch, threshold: int) -> DataFrame:
+    """(a, b) of different components under one hub whose differences from it may have enough in common for a link.
 
-    ``shared`` counts its shingles that other components hold as well. Shingles of one component come first in the order, then the
-    rarer ones, counted among these nodes, with the shingle's hash to break ties: any one order serves, and this one leaves few shingles
-    that make pairs. A node's list is sorted by itself; it is as long as its text.
+    Scaled by 100: u = 100 lacks + t adds, a link needs (100 + t) common >= u_a + u_b - (100 - t) h. Differences of one component
+    alone come first in the order, then the rarer ones. The prefix of a text depends on how far its partner is from the hub: there is one for
+    each class of u that a partner can have (linked sets differ by at most (100 - t) / t of either), and a pair meets in the classes of both.
     """
-    keyed = nodes.join(signatures.select("node", "key"), "node").select("key", "node", "root", "n")
-    raw = texts.join(keyed.hint("shuffle_hash"), "key").select("node", "root", "n", F.col("text").cast("binary").alias("text"))
-    sets = scratch.save(arrow_map(raw, partial(_members, n=n), "node long, root long, n long, shingles array<long>"), "rest-sets")
-    spread = sets.select("node", "root", "n", F.explode("shingles").alias("at"))
-    often = spread.groupBy("at").agg(F.count(F.lit(1)).alias("often"), (F.min("root") < F.max("root")).alias("common"))
-    place = F.struct("common", "often", "at")
-    listed = spread.join(often, "at").groupBy("node").agg(F.first("root").alias("root"), F.first("n").alias("n"), F.sum(F.col("common").cast("long")).alias("shared"), F.sort_array(F.collect_list(place)).alias("list"))
-    length = (F.col("n") - F.ceil(F.col("n") * F.lit(threshold) / 100 - 1e-9) + 1).cast("int")
-    first = F.filter(F.slice("list", F.lit(1), length), lambda x: x["common"])
-    rare = listed.filter(100 * F.col("shared") >= threshold * F.col("n")).select("node", "root", "n", "shared", F.explode(first).alias("x"))
-    return scratch.save(rare.select(F.col("x.at").alias("at"), "node", "root", "n", "shared"), "rare")
-
-
-def _still_mixed(buckets: DataFrame, links: _Links, scratch: Scratch, turn: int) -> tuple[DataFrame, DataFrame]:
-    """Components of the links so far, and the buckets that hold more than one of them."""
-    own = Scratch(scratch.spark, f"minhash-components-{turn}")
-    roots = components(links.links, own)
-    rooted = buckets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    several = rooted.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("band")
-    return roots, scratch.save(rooted.join(several, "band").select("band", "node", "n", "root"), f"mixed-{turn}")
+    t = threshold
+    spread = found.select("hub", "node", "root", F.explode("tokens").alias("at"))
+    often = spread.groupBy("hub", "at").agg(F.count(F.lit(1)).alias("often"), (F.min("root") < F.max("root")).alias("common")).filter("common").select("hub", "at", "often")
+    common = spread.join(often, ["hub", "at"]).groupBy("hub", "node").agg(F.sort_array(F.collect_list(F.struct("often", "at"))).alias("list"))
+    u, base = 100 * F.col("lacks") + t * F.col("adds"), (100 - t) * F.col("h")
+    listed = found.select("hub", "node", "root", "n", (F.col("lacks") + F.col("adds")).alias("d"), u.alias("u"), base.alias("base"), F.greatest(F.lit(1), F.floor(base / CLASSES)).cast("long").alias("step"))
+    listed = scratch.save(listed.join(common, ["hub", "node"]).withColumn("own", F.floor(F.col("u") / F.col("step"))), "listed")
+    reach = F.ceil(F.lit((100 - t) * 100 / t) * F.col("n")) + 1
+    classes = F.sequence(F.greatest(F.lit(0), F.floor((F.col("u") - reach) / F.col("step"))), F.floor((F.col("u") + reach) / F.col("step")))
+    by_class = listed.select("*", F.explode(classes).alias("other"))
+    # two that are linked to the hub need no test
+    by_class = by_class.filter((F.col("u") > F.col("base")) | ((F.col("other") + 1) * F.col("step") > F.col("base")))
+    need = F.greatest(F.lit(1), F.ceil((F.col("u") + F.col("other") * F.col("step") - F.col("base")) / (100 + t)))
+    alone = F.col("d") - F.size("list")
+    length = F.least(F.size("list"), F.col("d") - need + 1 - alone).cast("int")
+    prefixes = by_class.filter(length > 0).select("hub", "node", "root", "n", "d", "u", "base", "own", "other", alone.alias("alone"), F.posexplode(F.slice("list", F.lit(1), length)).alias("i", "x"))
+    places = prefixes.select("hub", "own", "other", F.col("x.at").alias("at"), "node", "root", "n", "u", "base", (F.col("d") - F.col("alone") - F.col("i")).alias("left"))
+    places = scratch.save(places, "places")
+    a = places.select("hub", "at", "own", "other", "base", *[F.col(c).alias(f"{c}_a") for c in ("root", "n", "u", "left")], F.col("node").alias("a"))
+    b = places.select("hub", "at", F.col("own").alias("other"), F.col("other").alias("own"), *[F.col(c).alias(f"{c}_b") for c in ("root", "n", "u", "left")], F.col("node").alias("b"))
+    enough = (100 + t) * F.least("left_a", "left_b") >= F.col("u_a") + F.col("u_b") - F.col("base")
+    near = (F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b")) & (100 * F.least("n_a", "n_b") >= t * F.greatest("n_a", "n_b")) & enough
+    return a.join(b, ["hub", "at", "own", "other"]).filter(near).select("a", "b").distinct()

@@ -1,3 +1,5 @@
+import random
+from collections import Counter
 from itertools import combinations
 
 from tessella.llm import minhash
@@ -20,14 +22,14 @@ def brute(rows, n):
 
     for x, y in combinations(sorted(sets), 2):
         a, b = sets[x], sets[y]
-        if a and b and 100 * len(a & b) >= 80 * len(a | b):
+        if a and b and 100 * min(len(a), len(b)) >= 80 * max(len(a), len(b)) and 100 * len(a & b) >= 80 * len(a | b):
             u, v = sorted((find(x), find(y)))
             root[v] = u
     return {d: (len(s), find(d), find(d) == d) for d, s in sets.items()}
 
 
-def test_whole_table_against_brute_force(spark, sf_small):
-    docs = spark.read.parquet(f"{sf_small}/documents.parquet")
+def test_whole_table_against_brute_force(spark, sf_mid):
+    docs = spark.read.parquet(f"{sf_mid}/documents.parquet")
     rows = [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()]
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in near_duplicates(docs, words=2).collect()}
     assert got == brute(rows, 2)
@@ -43,21 +45,38 @@ def test_edges_chain_and_hot_group(spark):
     assert got == brute(rows, 2)
 
 
-def test_large_mixed_buckets(spark, monkeypatch):
-    import random
+def got_of(df, words=2):
+    return {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in near_duplicates(df, words=words).collect()}
 
-    monkeypatch.setattr(minhash, "SMALL_BUCKET", 1)
-    monkeypatch.setattr(minhash, "STAR_ROUNDS", 1)
+
+def test_buckets_of_many_components(spark):
     rng = random.Random(4)
-    passage = [f"p{i}" for i in range(60)]
-    rows = []
+    passage, rows = [f"p{i}" for i in range(60)], []
     for i in range(40):
         own = [f"o{i}.{j}" for j in range(20)]
         for k in range(3):
             text = passage + [w if rng.random() > 0.06 * k else f"e{rng.random()}" for w in own]
             rows.append((1000 - 3 * i - k, " ".join(text)))
-    got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), words=2).collect()}
-    assert got == brute(rows, 2)
+    assert got_of(spark.createDataFrame(rows, "doc_id long, text string")) == brute(rows, 2)
+
+
+def test_a_large_near_copy_group_and_a_passage_in_a_thousand_documents(spark):
+    rng = random.Random(7)
+    base = [f"b{i}" for i in range(70)]
+    near = lambda p: " ".join(w if rng.random() > p else rng.choice(base + [f"v{rng.randrange(40)}"]) for w in base)
+    rows = [(i, near(rng.choice((0.02, 0.06, 0.09)))) for i in range(500)]
+    passage = " ".join(f"p{i}" for i in range(50))
+    rows += [(1000 + i, passage + " " + " ".join(f"o{i % 400}.{j}" if j != i % 7 or i < 400 else "z" for j in range(12))) for i in range(1000)]
+    expected = brute(rows, 2)
+    sizes = Counter(c for _, c, _ in expected.values())
+    assert max(sizes.values()) > 100 and len(sizes) > 200  # the graph is neither whole nor empty
+    assert got_of(spark.createDataFrame(rows, "doc_id long, text string").repartition(7)) == expected
+
+
+def test_very_long_texts(spark):
+    long = [f"w{i}" for i in range(60_000)]
+    rows = [(1, " ".join(long)), (2, " ".join(long[5000:])), (3, " ".join(long[20_000:])), (4, "x" * 1_000_000), (5, "X" * 1_000_000)]
+    assert got_of(spark.createDataFrame(rows, "doc_id long, text string")) == brute(rows, 2)
 
 
 def test_empty_table_repeated_rows_and_null_ids(spark):

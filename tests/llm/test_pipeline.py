@@ -21,8 +21,8 @@ def test_stages_keep_columns_and_take_effect(spark, sf_small):
 
 def test_one_of_each_with_repeated_rows(spark):
     rows = [(1, "a b c d e f g"), (1, "a b c d e f g"), (2, "a b c d e f g"), (3, ""), (None, None)]
-    got = minhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "5 AS n", "'k' AS key"))
-    assert sorted((str(r["doc_id"]) for r in got.collect())) == ["1", "3", "None"] and got.columns == ["doc_id", "text", "n", "key"]
+    got = minhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "5 AS n", "'k' AS key", "1 AS `__key`", "2 AS kept_id"))
+    assert sorted((str(r["doc_id"]) for r in got.collect())) == ["1", "3", "None"] and got.columns == ["doc_id", "text", "n", "key", "__key", "kept_id"]
 
 
 def test_empty_input(spark, sf_small):
