@@ -3,20 +3,25 @@
 1. Targets. Sources in code-point order (null last) weigh 5, 2, 1, 5, 2, 1, ... and share all words; a target stops
    at ``max_repeats`` times its source's size and the excess is shared again by weight until none is above.
    That is water-filling: target = min(cap, level * weight), found exactly by sorting cap / weight.
-2. Whole passes. A source with target t and size s is taken floor(t / s) times in full.
-3. The remaining t mod s words. The source's documents lie in blocks by a seeded hash; the blocks are permuted by
-   another, and the first ones whose words add up to the remainder are drawn. Only the last one is drawn in part:
-   its documents in shuffled order, the last document by a prefix. So a source's words hit its target to a word.
-4. The splitting tree. Each pass of each source has a quota of blocks. A node with output shards [lo, hi) holds the
-   blocks still to be dealt; its left half gets a multivariate-hypergeometric draw of them by source and pass, and so on
-   down to single shards: exact, disjoint, and every shard has the mix of the whole in expectation. Shard quotas become
-   ranges of the permuted block order, and documents are shuffled locally within their shard.
-
-The driver sees one row per source and the tree's integer quotas, never documents or blocks.
+2. Blocks. A source's documents lie in blocks of about BLOCK_DOCS by a seeded hash, at any size of the source, and the blocks
+   are permuted by another.
+3. Quotas. A source with target t and size s is passed over floor(t / s) times in full, so each of these passes has a quota of
+   all its blocks. The remaining t mod s words are a last pass, whose quota is as many permuted blocks as hold them.
+4. The splitting tree. A node with output shards [lo, hi) holds the quotas still to be dealt, by source and pass; its left half
+   gets a multivariate-hypergeometric draw of them, and so on down to single shards: exact, disjoint, and every shard has the mix of the
+   whole in expectation.
+5. Leaves. A shard's quota of a pass is a range of that pass's block order; the leaf draws the blocks in it. A document takes its words
+   once for each leaf that draws its block. Only the last block of a last pass is drawn in part: its documents in
+   hashed order, the last of them by a prefix, so that a source's words hit its target.
+6. Local shuffle. Each copy has a seeded ``order`` that places it within its shard; ``mixed_documents`` writes them so.
+
+The driver sees one row per source and the tree's integer quotas, never documents or blocks. The running sums over a source's
+blocks go by segments of SEGMENT blocks, so a source with a third of all rows is no single task.
 
 Defined results: null text has size 0 (target shares are not changed by it, taken 0); a null source is one source; if all
-sizes are 0 every target is 0; repeated rows are separate documents (their order among themselves is arbitrary but they are
-equal); an empty table gives no rows; other columns are ignored by ``mix`` and kept by ``mixed_documents``.
+sizes are 0 every target is 0; repeated rows are separate documents (where a cut falls on such rows they share what is left
+equally); very long texts are counted whole; an empty table gives no rows; other columns are ignored by ``mix`` and kept by
+``mixed_documents``, whatever their names.
 """
 
 from __future__ import annotations
@@ -30,12 +35,12 @@ from .common import SPACE, Scratch
 WEIGHTS = (5, 2, 1)
 MAX_REPEATS = 3
 N_SHARDS = 8
-#: Blocks of one source, at most, and the documents a block holds at least, on average.
-BLOCKS_PER_SOURCE, BLOCK_DOCS = 4096, 16
-#: Blocks that are broadcast to their documents (about 100 bytes each); beyond it the join is shuffled.
-BROADCAST_BLOCKS = 100_000
-#: Sources whose sums the driver may hold.
-MAX_SOURCES = 5_000_000
+#: Documents that a block holds on average, and blocks in a segment of a source's block order.
+BLOCK_DOCS, SEGMENT = 32, 512
+#: Rows (about 100 bytes each) of blocks or sources that are broadcast to the documents; beyond it the join is shuffled.
+BROADCAST_ROWS = 100_000
+#: Sources whose sums the driver holds; more are refused.
+MAX_SOURCES = 200_000
 
 
 def targets(sizes: list[int], weights: list[float], max_repeats: int = MAX_REPEATS) -> list[float]:
@@ -72,20 +77,29 @@ def splitting_tree(quotas: np.ndarray, n_shards: int, seed: int) -> np.ndarray:
 
 def mix(docs: DataFrame, n_shards: int = N_SHARDS, seed: int = 17, weights: tuple[float, ...] = WEIGHTS, max_repeats: int = MAX_REPEATS) -> DataFrame:
     """doc_id, size, source_size, target, taken, source, passes (whole copies), part (words of a further prefix),
-    shards (array: the output shard of each whole copy, then of the part)."""
-    sized = sized_documents(docs, seed)
+    shards and orders (arrays: the output shard and the shuffled place in it of each whole copy, then of the part)."""
     scratch = Scratch(docs.sparkSession, "mix")
-    return mix_sized(scratch.save(sized, "sized"), None, scratch, n_shards, seed, weights, max_repeats)
+    sized = scratch.save(sized_documents(docs, seed), "sized")
+    drawn = drawn_documents(sized, sized, scratch, n_shards, seed, weights, max_repeats)
+    words = F.aggregate("copies", F.lit(0).cast("long"), lambda s, c: s + c["words"])
+    whole = F.size(F.filter("copies", lambda c: c["whole"]))
+    part = F.aggregate(F.filter("copies", lambda c: ~c["whole"]), F.lit(0).cast("long"), lambda s, c: s + c["words"])
+    return drawn.select("doc_id", "size", "source_size", "target", words.alias("taken"), "source", whole.alias("passes"), part.alias("part"),
+                        F.col("copies.shard").alias("shards"), F.col("copies.order").alias("orders"))
 
 
-def mixed_documents(docs: DataFrame, seed: int = 17, weights: tuple[float, ...] = WEIGHTS, max_repeats: int = MAX_REPEATS) -> DataFrame:
-    """The mix as rows of ``docs``: each as often as it is taken. A part counts as a copy if it is at least half of the text."""
+def mixed_documents(docs: DataFrame, n_shards: int = N_SHARDS, seed: int = 17, weights: tuple[float, ...] = WEIGHTS, max_repeats: int = MAX_REPEATS) -> DataFrame:
+    """The mix as rows of ``docs``: each as often as it is drawn, in shuffled order by shard within each partition.
+
+    A part counts as a copy if it is at least half of the text. The texts are shuffled once, by block.
+    """
     scratch = Scratch(docs.sparkSession, "mix")
     sized = scratch.save(sized_documents(docs, seed), "sized")
-    carried = sized_documents(docs, seed, F.struct(*[F.col(c) for c in docs.columns]).alias("row"))
-    mixed = mix_sized(sized, carried, scratch, 1, seed, weights, max_repeats)
-    copies = F.col("passes") + F.when((F.col("part") > 0) & (2 * F.col("part") >= F.col("size")), 1).otherwise(0)
-    return mixed.filter(copies > 0).select("row", F.explode(F.sequence(F.lit(1), copies))).select("row.*")
+    carried = sized_documents(docs, seed, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    drawn = drawn_documents(sized, carried, scratch, n_shards, seed, weights, max_repeats, by_block=True)
+    taken = F.filter("copies", lambda c: c["whole"] | ((c["words"] > 0) & (2 * c["words"] >= F.col("size"))))
+    copies = drawn.select("row", F.explode(taken).alias("copy"))
+    return copies.sortWithinPartitions("copy.shard", "copy.order").select("row.*")
 
 
 def sized_documents(docs: DataFrame, seed: int, *more: Column) -> DataFrame:
@@ -93,60 +107,87 @@ def sized_documents(docs: DataFrame, seed: int, *more: Column) -> DataFrame:
     return docs.select(F.col("doc_id").alias("doc_id"), F.col("source").alias("source"), words.alias("size"), F.xxhash64("doc_id", "text", F.lit(seed)).alias("place"), *more)
 
 
-def mix_sized(sized: DataFrame, carried: DataFrame | None, scratch: Scratch, n_shards: int, seed: int, weights: tuple[float, ...], max_repeats: int) -> DataFrame:
-    """sized: what sums and blocks are made from; carried: the same rows with more columns, if any, for the result."""
+def drawn_documents(sized: DataFrame, rows: DataFrame, scratch: Scratch, n_shards: int, seed: int, weights: tuple[float, ...], max_repeats: int, *, by_block: bool = False) -> DataFrame:
+    """``rows`` (those of ``sized``, maybe with more columns) with source_size, target and copies: an array of (shard, words, whole, order).
+
+    by_block: lay the rows out by block, in one shuffle.
+    """
     spark = sized.sparkSession
     sums = sized.groupBy("source").agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("docs"))
-    rows = sums.orderBy(F.col("source").asc_nulls_last()).limit(MAX_SOURCES + 1).collect()
-    if len(rows) > MAX_SOURCES:
+    found = sums.orderBy(F.col("source").asc_nulls_last()).limit(MAX_SOURCES + 1).collect()
+    if len(found) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources: group them first")
-    goal = targets([r["words"] for r in rows], [weights[i % len(weights)] for i in range(len(rows))], max_repeats)
-    plan, kinds, quotas = [], [], []
-    for i, (r, t) in enumerate(zip(rows, goal, strict=True)):
+    goal = targets([r["words"] for r in found], [weights[i % len(weights)] for i in range(len(found))], max_repeats)
+    plan = []
+    for i, (r, t) in enumerate(zip(found, goal, strict=True)):
         whole = min(max_repeats, int((t + 1e-6) // r["words"])) if r["words"] else 0
         rest = max(0, round(t - whole * r["words"])) if whole < max_repeats else 0
-        n_blocks = max(1, min(BLOCKS_PER_SOURCE, r["docs"] // BLOCK_DOCS))
-        plan.append((i, r["source"], r["words"], float(t), whole, rest, n_blocks))
-    sources = spark.createDataFrame(plan, "source_no int, source string, source_size long, target double, whole int, rest long, n_blocks int")
-
-    # The hash places a document in its block; blocks are permuted by a hash of their own.
-    def in_blocks(rows: DataFrame) -> DataFrame:
-        joined = rows.join(sources.withColumnRenamed("source", "known"), F.col("source").eqNullSafe(F.col("known"))).drop("known")
-        return joined.withColumn("block", F.pmod(F.xxhash64("place", F.lit(1)), F.col("n_blocks")).cast("int"))
-
-    more = [c for c in carried.columns if c not in sized.columns] if carried is not None else []
-    placed = in_blocks(carried if carried is not None else sized)
-    blocks = in_blocks(sized).groupBy("source_no", "block").agg(F.sum("size").alias("block_words"), F.first("rest").alias("rest"), F.first("whole").alias("whole"))
-    permuted = Window.partitionBy("source_no").orderBy(F.xxhash64("source_no", "block", F.lit(seed)), "block")
-    blocks = blocks.select("source_no", "block", "block_words", "rest", "whole", (F.row_number().over(permuted) - 1).alias("turn"),
-                           (F.sum("block_words").over(permuted.rowsBetween(Window.unboundedPreceding, 0)) - F.col("block_words")).alias("before"))
-    blocks = scratch.save(blocks.withColumn("drawn", F.greatest(F.lit(0), F.least(F.col("block_words"), F.col("rest") - F.col("before")))), "blocks")
-
-    counts = blocks.groupBy("source_no").agg(F.count(F.lit(1)).alias("all"), F.sum((F.col("drawn") > 0).cast("long")).alias("some"), F.first("whole").alias("whole")).orderBy("source_no").collect()
-    for r in counts:
-        for copy in range(r["whole"]):
-            kinds.append((r["source_no"], copy))
-            quotas.append(r["all"])
-        if r["some"]:
-            kinds.append((r["source_no"], r["whole"]))
-            quotas.append(r["some"])
-    dealt = np.cumsum(splitting_tree(np.array(quotas, np.int64), n_shards, seed), axis=0) if kinds else np.zeros((n_shards, 0), np.int64)
-    bounds = {}
-    for k, (no, copy) in enumerate(kinds):
-        bounds.setdefault(no, {})[copy] = [int(x) for x in dealt[:, k]]
-    ends = spark.createDataFrame([(no, [by[c] for c in sorted(by)]) for no, by in bounds.items()], "source_no int, ends array<array<long>>")
-
-    # A block's shard in each pass: how many shards end at or before its turn.
-    shard_of = F.transform("ends", lambda e: F.size(F.filter(e, lambda x: x <= F.col("turn"))))
-    blocks = blocks.join(ends, "source_no", "left").select("source_no", "block", "block_words", "drawn", F.coalesce(shard_of, F.array().cast("array<int>")).alias("shards"))
-    if sum(r["all"] for r in counts) <= BROADCAST_BLOCKS:
+        plan.append((i, r["source"], r["words"], float(t), whole, rest, max(1, r["docs"] // BLOCK_DOCS)))
+    sources = spark.createDataFrame(plan, "source_no int, known string, source_size long, target double, whole int, rest long, n_blocks long")
+    if len(plan) <= BROADCAST_ROWS:
+        sources = F.broadcast(sources)
+
+    def in_blocks(some: DataFrame) -> DataFrame:
+        joined = some.join(sources, F.col("source").eqNullSafe(F.col("known"))).drop("known")
+        return joined.withColumn("block", F.pmod(F.xxhash64("place", F.lit(1)), F.col("n_blocks")))
+
+    blocks = _in_order(in_blocks(sized), scratch, seed)
+    counts = blocks.groupBy("source_no").agg(F.count(F.lit(1)).alias("all"), F.sum((F.col("before") < F.col("rest")).cast("long")).alias("some"), F.first("whole").alias("whole")).orderBy("source_no").collect()
+    kinds = [(r["source_no"], r["all"]) for r in counts for _ in range(r["whole"])] + [(r["source_no"], r["some"]) for r in counts]
+    dealt = np.cumsum(splitting_tree(np.array([q for _, q in kinds], np.int64), n_shards, seed), axis=0) if kinds else np.zeros((n_shards, 0), np.int64)
+    ends: dict[int, list] = {}
+    for k, (no, _) in enumerate(kinds):  # whole passes first, the last pass last
+        ends.setdefault(no, []).append([int(x) for x in dealt[:, k]])
+    ranges = spark.createDataFrame([(r["source_no"], r["all"], ends[r["source_no"]]) for r in counts], "source_no int, all long, ends array<array<long>>")
+
+    # the leaf whose range holds the block's turn; a whole pass goes through the same circle of blocks from a place of its own
+    leaf = lambda e, turn: F.size(F.filter(e, lambda x: x <= turn))
+    turn_in = lambda k: F.when(k < F.col("whole"), F.pmod(F.col("turn") + F.floor((k + 1) * F.col("all") / (max_repeats + 1)), F.col("all"))).otherwise(F.col("turn"))
+    leaves = F.transform("ends", lambda e, k: leaf(e, turn_in(k)))
+    last = F.least(F.col("block_words"), F.greatest(F.lit(0), F.col("rest") - F.col("before")))
+    blocks = blocks.join(ranges, "source_no").select("source_no", "block", leaves.alias("leaves"), last.alias("last"), (last < F.col("block_words")).alias("cut"))
+    blocks = scratch.save(blocks, "blocks")
+    cuts = _cuts(in_blocks(sized), blocks.filter("cut AND last > 0"), len(plan))
+    blocks = blocks.join(cuts, ["source_no", "block"], "left")
+    if sum(r["all"] for r in counts) <= BROADCAST_ROWS:
         blocks = F.broadcast(blocks)
-    full = placed.drop("n_blocks").join(blocks, ["source_no", "block"])
-    cut = (F.col("drawn") > 0) & (F.col("drawn") < F.col("block_words"))
-    whole_blocks = full.filter(~cut).withColumn("part", F.when(F.col("drawn") > 0, F.col("size")).otherwise(F.lit(0)).cast("long"))
-    local = Window.partitionBy("source_no").orderBy("place", "doc_id").rowsBetween(Window.unboundedPreceding, 0)  # one block of each source
-    cut_block = full.filter(cut).withColumn("so_far", F.sum("size").over(local))
-    cut_block = cut_block.withColumn("part", F.greatest(F.lit(0), F.least(F.col("size"), F.col("drawn") - F.col("so_far") + F.col("size")))).drop("so_far")
-    out = whole_blocks.unionByName(cut_block)
-    shards = F.when(F.col("part") > 0, F.col("shards")).otherwise(F.slice("shards", F.lit(1), F.col("whole")))
-    return out.select("doc_id", "size", "source_size", "target", (F.col("whole") * F.col("size") + F.col("part")).alias("taken"), "source", F.col("whole").alias("passes"), "part", shards.alias("shards"), *more)
+
+    placed = in_blocks(rows)
+    if by_block:
+        placed = placed.repartition("source_no", "block")
+    full = placed.join(blocks, ["source_no", "block"])
+    part = F.when(~F.col("cut") | (F.col("place") < F.col("cut_place")), F.col("size")).when(F.col("place") == F.col("cut_place"), F.col("cut_words")).otherwise(F.lit(0).cast("long"))
+    each = F.transform("leaves", lambda shard, k: F.struct(
+        shard.alias("shard"), F.when(k < F.col("whole"), F.col("size")).otherwise(part).alias("words"), (k < F.col("whole")).alias("whole"), F.xxhash64("place", shard, k, F.lit(seed)).alias("order")))
+    copies = F.filter(each, lambda c: (c["shard"] < n_shards) & (c["whole"] | (c["words"] > 0)))
+    return full.select(*rows.columns, "source_size", "target", copies.alias("copies"))
+
+
+def _in_order(placed: DataFrame, scratch: Scratch, seed: int) -> DataFrame:
+    """Blocks with their words, turn in the source's permuted order and the words before them."""
+    blocks = placed.groupBy("source_no", "block").agg(F.sum("size").alias("block_words"), *[F.first(c).alias(c) for c in ("rest", "whole", "n_blocks")])
+    perm = F.xxhash64("source_no", "block", F.lit(seed))
+    segments = F.ceil(F.col("n_blocks") / SEGMENT)
+    segment = F.least(segments - 1, F.floor((perm / float(1 << 64) + 0.5) * segments))  # rises with perm
+    blocks = scratch.save(blocks.select("source_no", "block", "block_words", "rest", "whole", perm.alias("perm"), segment.alias("segment")), "unordered")
+    by_segment = blocks.groupBy("source_no", "segment").agg(F.count(F.lit(1)).alias("n"), F.sum("block_words").alias("w"))
+    ahead = Window.partitionBy("source_no").orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)
+    zero = F.lit(0).cast("long")
+    starts = by_segment.select("source_no", "segment", F.coalesce(F.sum("n").over(ahead), zero).alias("turns"), F.coalesce(F.sum("w").over(ahead), zero).alias("words"))
+    inside = Window.partitionBy("source_no", "segment").orderBy("perm", "block")
+    numbered = blocks.select("source_no", "block", "block_words", "rest", "whole", "segment", (F.row_number().over(inside) - 1).alias("own_turn"),
+                             (F.sum("block_words").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("block_words")).alias("own_words"))
+    out = numbered.join(starts, ["source_no", "segment"]).select("source_no", "block", "block_words", "rest", "whole", (F.col("turns") + F.col("own_turn")).alias("turn"), (F.col("words") + F.col("own_words")).alias("before"))
+    return scratch.save(out, "ordered")
+
+
+def _cuts(placed: DataFrame, cut_blocks: DataFrame, n_sources: int) -> DataFrame:
+    """source_no, block, cut_place, cut_words: up to where a block's documents are taken. At most one block of each source."""
+    wanted = cut_blocks.select("source_no", "block", "last")
+    if n_sources <= BROADCAST_ROWS:
+        wanted = F.broadcast(wanted)
+    groups = placed.join(wanted, ["source_no", "block"]).groupBy("source_no", "block", "place").agg(F.first("last").alias("last"), F.first("size").alias("size"), F.count(F.lit(1)).alias("n"))
+    upto = Window.partitionBy("source_no", "block").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)  # the documents of one block
+    so_far = groups.withColumn("end", F.sum(F.col("size") * F.col("n")).over(upto)).filter("end > last")
+    first = so_far.groupBy("source_no", "block").agg(F.min(F.struct("place", "end", "last", "size", "n")).alias("g"))
+    return first.select("source_no", "block", F.col("g.place").alias("cut_place"), F.floor((F.col("g.last") - (F.col("g.end") - F.col("g.size") * F.col("g.n"))) / F.col("g.n")).cast("long").alias("cut_words"))

@@ -20,7 +20,7 @@ def op2_suffix_runs_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "passes", "part", "shards")
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "passes", "part", "shards", "orders")
 
 
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -70,7 +70,8 @@ def test_shards_edges(spark):
         sharding.shard(df, law="other")
 
 
-def test_mix_hits_targets(spark, sf_mid):
+def test_mix_hits_targets(spark, sf_mid, monkeypatch):
+    monkeypatch.setattr(mixing, "BLOCK_DOCS", 4)
     docs = spark.read.parquet(f"{sf_mid}/documents.parquet")
     rows = mixing.mix(docs).collect()
     words, taken, target = Counter(), Counter(), {}
@@ -86,10 +87,56 @@ def test_mix_hits_targets(spark, sf_mid):
         assert abs(target[s] - t) < 1e-6 * t and abs(taken[s] - t) <= 1
     again = {r["doc_id"]: r["taken"] for r in mixing.mix(docs.repartition(5)).collect()}
     assert again == {r["doc_id"]: r["taken"] for r in rows}
+    shards = Counter(s for r in rows for s in r["shards"])
+    assert set(shards) == set(range(8)) and max(shards.values()) < 1.5 * min(shards.values())
+    assert sum(len(set(r["shards"])) > 1 for r in rows if r["passes"] == 3) > 0.7 * sum(r["passes"] == 3 for r in rows)
+    orders = [o for r in rows for o in r["orders"]]
+    assert len(set(orders)) > 0.99 * len(orders)
     copies = Counter(r["doc_id"] for r in mixing.mixed_documents(docs).collect())
     assert all(copies[r["doc_id"]] == r["passes"] + (r["part"] > 0 and 2 * r["part"] >= r["size"]) for r in rows)
 
 
+def test_mix_draw_against_a_plain_walk(spark, sf_mid):
+    """Blocks of each source in permuted order: whole passes take all words, the last pass walks until the rest is used up."""
+    docs = spark.read.parquet(f"{sf_mid}/documents.parquet")
+    twice = docs.unionByName(docs.filter("doc_id % 7 = 0"))
+    sized = mixing.sized_documents(twice, 17).withColumn("signed", F.col("place")).collect()
+    sources = sorted({r["source"] for r in sized})
+    words = [sum(r["size"] for r in sized if r["source"] == s) for s in sources]
+    goals, expected = mixing.targets(words, [(5, 2, 1)[i % 3] for i in range(len(sources))]), Counter()
+    for no, (source, w, t) in enumerate(zip(sources, words, goals)):
+        own = [r for r in sized if r["source"] == source]
+        whole = min(3, int((t + 1e-6) // w))
+        left = round(t - whole * w) if whole < 3 else 0
+        n = max(1, len(own) // mixing.BLOCK_DOCS)
+        at = spark.createDataFrame([(r["place"], no, n) for r in own], "place long, source_no int, n long").withColumn("block", F.expr("pmod(xxhash64(place, 1), n)"))
+        at = at.withColumn("perm", F.xxhash64("source_no", "block", F.lit(17))).collect()
+        for r in own:
+            expected[r["doc_id"]] += whole * r["size"]
+        places = {r["place"]: (r["perm"], r["block"]) for r in at}
+        for r in sorted(own, key=lambda r: (*places[r["place"]], r["place"])):
+            expected[r["doc_id"]] += min(r["size"], left)
+            left -= min(r["size"], left)
+    got = Counter()
+    for r in mixing.mix(twice).collect():
+        got[r["doc_id"]] += r["taken"]
+    off = {d: (got[d], expected[d]) for d in expected if abs(got[d] - expected[d]) > 1}  # a cut between equal rows leaves up to a word
+    assert not off and abs(sum(got.values()) - sum(expected.values())) <= len(sources)
+
+
+def test_mix_segments_and_repeated_rows(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "SEGMENT", 2)
+    monkeypatch.setattr(mixing, "BLOCK_DOCS", 4)
+    rows = [(i, "w " * (i % 9), "a" if i % 3 else None) for i in range(300)] + [(7, "a b c d", "b")] * 40
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    taken, target = Counter(), {}
+    for r in got:
+        taken[r["source"]] += r["taken"]
+        target[r["source"]] = r["target"]
+        assert 0 <= r["taken"] <= 3 * r["size"]
+    assert len(got) == 340 and all(abs(taken[s] - target[s]) <= 40 for s in target) and abs(taken["a"] - target["a"]) <= 1
+
+
 def test_water_filling_against_rounds():
     rng = np.random.default_rng(0)
     for _ in range(50):
