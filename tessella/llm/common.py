@@ -120,14 +120,19 @@ def texts_of(rows: pa.RecordBatch, name: str = "text") -> list[bytes]:
 class WordHashes(dict):
     """64-bit hash by word, remembered; forgets everything when a vocabulary outgrows its bound."""
 
+    #: Bytes of the longest word that is remembered.
+    LONG = 64
+
     def __init__(self, bound: int = 500_000) -> None:
         super().__init__()
         self.bound = bound
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.bound:
-            self.clear()
-        self[word] = value = xxhash.xxh3_64_intdigest(word)
+        value = xxhash.xxh3_64_intdigest(word)
+        if len(word) <= self.LONG:  # longer ones hardly recur
+            if len(self) >= self.bound:
+                self.clear()
+            self[word] = value
         return value
 
     def of(self, words: list[bytes]) -> np.ndarray:

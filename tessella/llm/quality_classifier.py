@@ -8,7 +8,7 @@ them in expectation, drawn by a hash of the id; they are the only rows that reac
 As the output layer is linear, a bucket's vector counts only through its logit. Scoring therefore looks up one number per bucket,
 and a word's sum is remembered, so every whole text is scored in one pass over its words.
 
-Defined results: null and blank texts have no features and score as the bias alone says; ids with contradictory or null labels teach
+Defined results: null and blank texts have no features and score as the bias alone says; very long texts and words are read whole; ids with contradictory or null labels teach
 nothing; with no labelled row, or only one class, all scores are that class's share (0.5 without labels); repeated rows are scored
 each; an empty table gives no rows; other columns are never read.
 """
@@ -30,11 +30,12 @@ from .window_dedup import rolled
 
 BUCKETS, DIMS = 1 << 17, 12
 CHAR_GRAMS = (2, 3, 4)
-#: Bytes of a word from which n-grams are taken; the word as a whole is a feature at any length.
-MAX_WORD = 40
+#: Bytes up to which a word's sum is remembered; longer words are summed each time they come.
+LONG = 48
 #: Labelled rows to train on.
 MAX_ROWS = 2500
-EPOCHS, RATE = 4, 0.5
+#: Steps of the descent, however many rows there are to go through, and its first rate.
+STEPS, RATE = 10_000, 0.5
 FOLDS, ACCEPT = 5, 0.3
 PAIR = np.uint64(0xD6E8FEB86659FD93)
 
@@ -46,7 +47,7 @@ def fold_of(doc_id: F.Column | str, folds: int) -> F.Column:
 
 def word_buckets(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(bucket, number of the word) of each word and of each byte n-gram of it in angle brackets."""
-    cut = [b"<%b>" % w[:MAX_WORD] for w in words]
+    cut = [b"<%b>" % w for w in words]
     data = mix(np.frombuffer(b"".join(cut), np.uint8).astype(np.uint64))
     sizes = np.array([len(c) for c in cut], np.int64)
     ends = np.cumsum(sizes)
@@ -85,8 +86,8 @@ class Model:
         return 1 / (1 + np.exp(-(self.bias + sums / np.maximum(counts, 1))))
 
 
-def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, seed: int = 9, epochs: int = EPOCHS, rate: float = RATE) -> Model:
-    """Averaged hashed vectors under a two-class softmax, by plain SGD with a falling rate."""
+def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, seed: int = 9, steps: int = STEPS, rate: float = RATE) -> Model:
+    """Averaged hashed vectors under a two-class softmax, by plain SGD with a falling rate, in whole passes over the rows."""
     ones = float(labels.mean()) if len(labels) else 0.5
     if len(labels) == 0 or ones in (0.0, 1.0):
         p = min(max(ones, 1e-6), 1 - 1e-6)
@@ -94,6 +95,7 @@ def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, seed: i
     rng = np.random.default_rng(seed)
     vectors = rng.uniform(-1 / DIMS, 1 / DIMS, (BUCKETS, DIMS)).astype(np.float32)
     out, bias = np.zeros((DIMS, 2), np.float32), np.log(np.array([1 - ones, ones], np.float32))
+    epochs = max(1, round(steps / len(bags)))
     steps, done = epochs * len(bags), 0
     for _ in range(epochs):
         for i in rng.permutation(len(bags)):
@@ -144,19 +146,25 @@ class Scorer:
     def __call__(self, texts: list[bytes]) -> np.ndarray:
         if len(self.number) > self.bound:
             self.number, self.sums, self.counts = {}, np.empty(0), np.empty(0)
-        known, number = len(self.number), self.number
+        known, number, logits = len(self.number), self.number, self.model.logits
         each = [t.split() for t in texts]
-        ids = [np.fromiter((number.setdefault(w, len(number)) for w in words), np.int64, len(words)) for words in each]
+        long = [[w for w in words if len(w) > LONG] for words in each]
+        kept = [[w for w in words if len(w) <= LONG] if far else words for words, far in zip(each, long, strict=True)]
+        ids = [np.fromiter((number.setdefault(w, len(number)) for w in words), np.int64, len(words)) for words in kept]
         if len(number) > known:
             buckets, owner = word_buckets(list(number)[known:])
             new = len(number) - known
-            self.sums = np.concatenate([self.sums, np.bincount(owner, self.model.logits[buckets], new)])
+            self.sums = np.concatenate([self.sums, np.bincount(owner, logits[buckets], new)])
             self.counts = np.concatenate([self.counts, np.bincount(owner, minlength=new)])
         total, count = np.zeros(len(texts)), np.zeros(len(texts))
         for i, own in enumerate(ids):
-            if len(own):
-                total[i] = self.sums[own].sum() + float(self.model.logits[pair_buckets(self.hashes.of(each[i]))].sum(dtype=np.float64))
-                count[i] = self.counts[own].sum() + len(own) - 1
+            if each[i]:
+                total[i] = self.sums[own].sum() + float(logits[pair_buckets(self.hashes.of(each[i]))].sum(dtype=np.float64))
+                count[i] = self.counts[own].sum() + len(each[i]) - 1
+            for w in long[i]:
+                buckets, _ = word_buckets([w])
+                total[i] += float(logits[buckets].sum(dtype=np.float64))
+                count[i] += len(buckets)
         return self.model.score(total, count)
 
 

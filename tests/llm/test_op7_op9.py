@@ -74,3 +74,32 @@ def test_quality_edges(spark, mid):
     assert qc.score_quality(odd, labels).count() == 7 and qc.score_quality(odd.limit(0), labels).count() == 0
     kept = qc.accepted_documents(docs, labels)
     assert kept.schema == docs.schema and 0.7 < kept.count() / docs.count() < 1
+
+
+def test_quality_learns_from_few_labels(spark, sf_small):
+    docs, labels = spark.read.parquet(f"{sf_small}/documents.parquet"), spark.read.parquet(f"{sf_small}/labels.parquet")
+    truth = {r["doc_id"]: r["quality"] for r in labels.collect()}
+    rows = [(truth[r["doc_id"]], r["predicted"]) for r in qc.score_quality(docs, labels).collect() if r["doc_id"] in truth]
+    bad = [p for y, p in rows if y == 0]
+    assert bad and sum(p == 0 for p in bad) >= 0.6 * len(bad) and np.mean([p == 1 for y, p in rows if y == 1]) > 0.95
+
+
+def test_quality_reads_long_words_whole_and_survives_odd_labels(spark):
+    head = "abc" * 20
+    rows = [(i, (head + ("xyz" if i % 2 else "uvw") * 300)) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)] + [(3, 0), (None, 1), (5, None)], "doc_id long, quality int")
+    got = {r["doc_id"]: r["predicted"] for r in qc.score_quality(docs, labels).collect()}
+    assert np.mean([got[i] == i % 2 for i in range(200)]) > 0.95
+    one = qc.score_quality(docs, labels.filter("quality = 1")).collect()
+    assert {r["predicted"] for r in one} == {1}
+
+
+def test_scorer_and_bags_agree():
+    from tessella.llm.common import WordHashes
+
+    model = qc.Model(np.random.default_rng(0).normal(size=qc.BUCKETS).astype(np.float32), 0.1)
+    texts = [b"a b b b", b"x" * 1000 + b" y", b"", "ünï çödé".encode() * 50, b"one"]
+    for t, s in zip(texts, qc.Scorer(model)(texts)):
+        ids, share = qc.bag(t, WordHashes())
+        assert abs(s - 1 / (1 + np.exp(-(0.1 + float(model.logits[ids] @ share.astype(np.float64)))))) < 1e-4
