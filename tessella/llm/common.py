@@ -11,6 +11,7 @@ import re
 import time
 import uuid
 from collections.abc import Callable, Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -104,9 +105,16 @@ def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[p
     """``mapInArrow`` with batches short enough for long texts."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    names = df.columns
+    if any("." in c for c in names):  # mapInArrow takes such a name for a field of a struct
+        return df.toDF(*[f"c{i}" for i in range(len(names))]).mapInArrow(partial(_renamed, fn=fn, names=names), schema)
     return df.mapInArrow(fn, schema)
 
 
+def _renamed(rows: Iterator[pa.RecordBatch], fn: Callable, names: list[str]) -> Iterator[pa.RecordBatch]:
+    return fn(r.rename_columns(names) for r in rows)
+
+
 def batch(**columns: pa.Array | np.ndarray | list) -> pa.RecordBatch:
     arrays = [c if isinstance(c, pa.Array) else pa.array(c) for c in columns.values()]
     return pa.RecordBatch.from_arrays(arrays, names=list(columns))

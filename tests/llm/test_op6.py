@@ -21,6 +21,34 @@ def test_every_verbatim_item_is_found_and_nothing_else(spark, sf_mid):
     assert all(s >= dc.PARAPHRASE_SHARE for s in share.values())
 
 
+def test_recall_against_all_passages(spark, sf_mid):
+    """Every passage of every document aligned with every item by the same rule."""
+    docs, items = spark.read.parquet(f"{sf_mid}/documents.parquet"), spark.read.parquet(f"{sf_mid}/benchmark.parquet")
+    known = [(r["item_id"], dc.words_of(r["text"]), dc.answer_of(r["text"])) for r in items.collect()]
+    leaks = set()
+    for r in docs.select("doc_id", "text").collect():
+        words = dc.words_of(r["text"] or "")
+        for i, item, answer in known:
+            own = set(item)
+            for s in range(0, max(1, len(words) - dc.PASSAGE + dc.STRIDE), dc.STRIDE):
+                around = words[max(0, s - len(item)) : s + dc.PASSAGE + len(item)]
+                if around and dc.may_leak(item, own, around) and dc.is_leak(*dc.aligned(item, answer, around)):
+                    leaks.add((r["doc_id"], i))
+                    break
+    got = {(r["doc_id"], r["item_id"]) for r in dc.leaked_pairs(docs, items).collect()}
+    assert leaks and len(got & leaks) >= 0.9 * len(leaks) and got <= leaks
+
+
+def test_text_ids_repeated_rows_and_very_long_texts(spark):
+    item = [f"q{i}" for i in range(30)]
+    rows = [("a", " ".join(item)), ("a", " ".join(item)), ("b", " ".join(["x y z"] * 40_000 + item + ["u"] * 1000)), ("c", "x " * 100_000)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string").selectExpr("*", "1 AS codes", "current_timestamp() AS `at.time`", "array(1) AS word")
+    bench = spark.createDataFrame([("i", " ".join(item)), ("j", " ".join(item))], "item_id string, text string")
+    assert sorted((r["doc_id"], r["item_id"]) for r in dc.leaked_pairs(docs, bench).collect()) == sorted((d, i) for d in "aab" for i in "ij")
+    kept = dc.clean_documents(docs, bench)
+    assert kept.schema == docs.schema and [r["doc_id"] for r in kept.collect()] == ["c"]
+
+
 def test_paraphrases_positions_and_edges(spark):
     rng = random.Random(1)
     vocabulary = [f"{a}{b}{c}" for a in "bdfgk" for b in "aeiou" for c in ("lm", "rt", "n", "st", "x")]
@@ -38,10 +66,10 @@ def test_paraphrases_positions_and_edges(spark):
     rows += [(2000 + i, " ".join(filler(300))) for i in range(60)] + [(None, " ".join(items[0]))]
     docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("doc_id", "text", "1 AS item_id", "'x' AS word").repartition(3)
     bench = spark.createDataFrame([*enumerate(" ".join(i) + "." for i in items), (9, None), (10, "")], "item_id long, text string")
-    for block in (2, 256):
-        got = {(r["doc_id"], r["item_id"]) for r in dc.leaked_pairs(docs, bench, block_items=block).collect()}
+    for block in (2, 10_000):
+        got = {(r["doc_id"], r["item_id"]) for r in dc.leaked_pairs(docs, bench, max_items=block).collect()}
         assert got == expected | {(None, 0)}
-        assert dc.clean_documents(docs, bench, block_items=block).count() == 63
+        assert dc.clean_documents(docs, bench, max_items=block).count() == 63
     assert dc.leaked_pairs(docs.limit(0), bench).count() == 0 and dc.leaked_pairs(docs, bench.limit(0)).count() == 0
 
 
