@@ -1,39 +1,43 @@
 """Operator 5: substring dedup by words, with a log-structured index of window fingerprints.
 
-A window is 35 consecutive words. Windows whose anchor occurs twice (``windows.suspicious_spots``) get two 64-bit
-hashes: the fingerprint, by which the index is sorted and joined, and a second one that verifies every match.
-``FingerprintIndex`` is a log of immutable runs, bucketed and sorted by fingerprint. A new batch becomes a run, is
-merge-joined with the runs before it without moving them, and once more than MAX_RUNS have gathered they are
-compacted into one. Whatever occurs twice, within the batch or against history, is returned, so a window of
-an old batch that a new one repeats is marked as well.
+A window is 35 consecutive words. Every window has an anchor, the 8-word gram in it whose hash is least: equal windows have equal anchors
+at equal places, so a window can occur twice only if its anchor's gram does. ``FingerprintIndex`` keeps the anchors of all windows ever seen:
 
-Marked windows go back to their texts, and each word they cover is removed. Copies of a whole text are one row from the
-start; a text with copies loses every window.
+* a batch's anchors go to a log (gram, key of the text, windows owned), which is never rewritten;
+* their grams, counted by a map-side aggregate, become an immutable run, bucketed and sorted, of one row per gram;
+* the run is merge-joined with the runs before it, which stay where they are: grams that now occur twice are returned, also those
+  whose only occurrence so far lies in an old batch. No old text is read for it;
+* once more than MAX_RUNS runs have gathered, they are compacted into one and dropped.
+
+Windows under recurring grams, wherever in the log they lie, are then resolved: their texts give a 64-bit fingerprint of the window's words
+and a second hash of its bytes that verifies a match. Fingerprints are counted by an aggregate before they are joined back, so
+a passage that a third of all texts hold meets in no single task. Each word that a repeated window covers is removed. Copies of a whole
+text are one row from the start; a text with copies loses every window.
 
 Defined results: null and blank texts have no words; texts under 35 words keep all (the digest is of the words joined by one
-space); repeated rows count as copies of each other; an empty table gives no rows; other columns are ignored.
+space); very long texts are read whole; repeated rows count as copies of each other; an empty table gives no rows; other columns are
+ignored.
 """
 
 from __future__ import annotations
 
-import hashlib
-import uuid
 from collections.abc import Iterator
 from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, WordHashes, arrow_map, batch, distinct_texts, mix, shuffle_partitions, text_key, texts_of
-from .windows import suspicious_spots
+from .common import Scratch, WordHashes, arrow_map, batch, distinct_texts, mix, text_key, texts_of
+from .windows import ANCHORS, anchors_of
 
 WINDOW, GRAM = 35, 8
-MAX_RUNS = 3
-N_BATCHES = 3
-#: Odd multipliers of the two polynomial hashes.
-BASE, CHECK_BASE = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
+#: Runs that are kept before they are compacted, and batches that a whole table is appended in.
+MAX_RUNS, N_BATCHES = 2, 4
+#: Odd multiplier of the polynomial hash.
+BASE = np.uint64(0xD6E8FEB86659FD93)
 
 
 class WordGrams:
@@ -51,7 +55,7 @@ def rolled(h: np.ndarray, n: int, base: np.uint64) -> np.ndarray:
     """Hash of each n consecutive values, by doubling: polynomial in ``base``."""
     if len(h) < n:
         return h[:0]
-    out, size, power, done = None, 0, 1, h.copy()
+    out, size, done = None, 0, h.copy()
     width, factor = 1, int(base)
     left = n
     while left:  # binary digits of n, least first
@@ -69,55 +73,69 @@ def rolled(h: np.ndarray, n: int, base: np.uint64) -> np.ndarray:
     return mix(out[: len(h) - n + 1])
 
 
-def _fingerprints(rows: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
-    words = WordHashes()
-    for part in rows:
-        hashes, checks, owner, at = [], [], [], []
-        for i, (t, spots) in enumerate(zip(texts_of(part), part.column("spots").to_pylist(), strict=True)):
-            h = words.of(t.split())
-            starts = np.concatenate([np.arange(s["first"], s["last"] + 1, dtype=np.int32) for s in spots])
-            hashes.append(rolled(h, window, BASE)[starts])
-            checks.append(rolled(mix(h), window, CHECK_BASE)[starts])
-            owner.append(np.full(len(starts), i))
-            at.append(starts)
-        join = lambda xs, t: np.concatenate([*xs, np.empty(0, t)]).astype(t)
-        yield batch(window=join(hashes, np.uint64).view(np.int64), verify=join(checks, np.uint64).view(np.int64), key=part.column("key").take(pa.array(join(owner, np.int64))), at=join(at, np.int32))
-
-
 class FingerprintIndex:
-    """Sorted immutable runs of (window, verify, n); ``append`` returns what now occurs twice."""
+    """A log of anchors, and sorted immutable runs of (gram, n) over it."""
 
-    def __init__(self, scratch: Scratch, max_runs: int = MAX_RUNS) -> None:
-        self.scratch, self.max_runs, self.runs, self.made = scratch, max_runs, [], 0
+    def __init__(self, scratch: Scratch, max_runs: int = MAX_RUNS, window: int = WINDOW) -> None:
+        self.scratch, self.max_runs, self.window = scratch, max_runs, window
+        self.logs: list[DataFrame] = []
+        self.runs: list[tuple[str, DataFrame]] = []
+        self.made = 0
 
-    def _write(self, counts: DataFrame) -> DataFrame:
-        n = shuffle_partitions(self.scratch.spark)
-        name = f"run_{self.made}_{uuid.uuid4().hex[:12]}"
+    def _write(self, counts: DataFrame) -> None:
+        name = f"run-{self.made}"
         self.made += 1
-        (counts.repartition(n, "window").sortWithinPartitions("window").write.option("compression", "zstd")
-         .option("path", f"{self.scratch.root}/{name}").bucketBy(n, "window").sortBy("window").format("parquet").saveAsTable(name))
-        self.scratch.release()
-        return self.scratch.spark.table(name)
-
-    def append(self, prints: DataFrame) -> DataFrame:
-        run = self._write(prints.groupBy("window", "verify").agg(F.count(F.lit(1)).alias("n")))
-        repeats = run.filter("n > 1").select("window", "verify")
-        for old in self.runs:
-            past = old.select(F.col("window").alias("past"), F.col("verify").alias("past_verify"))
-            # both are bucketed by the fingerprint alone; the second hash is checked pair by pair
-            same = (F.col("window") == F.col("past")) & (F.col("verify").bitwiseXOR(F.col("past_verify")) == 0)
-            repeats = repeats.union(run.hint("merge").join(past, same).select("window", "verify"))
-        repeats = self.scratch.save(repeats, f"repeats-{self.made}")
-        self.runs.append(run)
+        self.runs.append((name, self.scratch.save_bucketed(counts, name, "gram", sort=True)))
+
+    def append(self, texts: DataFrame) -> DataFrame:
+        """Add a batch (key, text). Result: the grams of its anchors that now occur twice, in it or with earlier batches; they may repeat."""
+        raw = texts.select("key", F.col("text").cast("binary").alias("text"))
+        log = self.scratch.save(arrow_map(raw, partial(anchors_of, grams=WordGrams, window=self.window, gram_size=GRAM), ANCHORS), f"log-{len(self.logs)}")
+        past = list(self.runs)
+        self._write(log.groupBy("gram").agg(F.count(F.lit(1)).alias("n")))
+        run = self.runs[-1][1]
+        again = run.filter("n > 1").select("gram")
+        for _, old in past:  # both are bucketed by the gram
+            again = again.union(run.select("gram").hint("merge").join(old.select("gram"), "gram"))
+        again = self.scratch.save(again, f"again-{len(self.logs)}")
+        self.logs.append(log)
         if len(self.runs) > self.max_runs:
             self.compact()
-        return repeats
+        return again
 
     def compact(self) -> None:
-        merged = self.runs[0]
-        for run in self.runs[1:]:
+        old, self.runs = self.runs, []
+        merged = old[0][1]
+        for _, run in old[1:]:
             merged = merged.union(run)
-        self.runs = [self._write(merged.groupBy("window", "verify").agg(F.sum("n").alias("n")))]
+        self._write(merged.groupBy("gram").agg(F.sum("n").alias("n")))
+        self.scratch.drop(*(name for name, _ in old))
+
+    def spots(self, grams: DataFrame) -> DataFrame:
+        """key, spots: where the texts of all batches have anchors with one of the grams, and the windows these own."""
+        log = self.logs[0]
+        for more in self.logs[1:]:
+            log = log.union(more)
+        # two plain shuffles, so that a gram in a third of all texts can be split
+        return log.join(grams, "gram", "left_semi").groupBy("key").agg(F.collect_list(F.struct("at", "first", "last")).alias("spots"))
+
+
+def _fingerprints(rows: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
+    hashes = WordHashes()
+    for part in rows:
+        found, checks, owner, at = [], [], [], []
+        for i, (t, spots) in enumerate(zip(texts_of(part), part.column("spots").to_pylist(), strict=True)):
+            words = t.split()
+            starts = np.concatenate([np.arange(s["first"], s["last"] + 1, dtype=np.int32) for s in spots])
+            found.append(rolled(hashes.of(words), window, BASE)[starts])
+            plain = b" ".join(words)
+            ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+            lo, hi = (ends[starts] - 1 - np.fromiter((len(words[s]) for s in starts.tolist()), np.int64, len(starts))).tolist(), (ends[starts + window - 1] - 1).tolist()
+            checks.append(np.fromiter((xxhash.xxh3_64_intdigest(plain[a:b], seed=5) for a, b in zip(lo, hi, strict=True)), np.uint64, len(starts)))
+            owner.append(np.full(len(starts), i))
+            at.append(starts)
+        join = lambda xs, t: np.concatenate([*xs, np.empty(0, t)]).astype(t)
+        yield batch(window=join(found, np.uint64).view(np.int64), verify=join(checks, np.uint64).view(np.int64), key=part.column("key").take(pa.array(join(owner, np.int64))), at=join(at, np.int32))
 
 
 def _kept(rows: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
@@ -126,34 +144,49 @@ def _kept(rows: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatc
         for t, copies, starts in zip(texts_of(part), part.column("copies").to_pylist(), part.column("starts").to_pylist(), strict=True):
             words = t.split()
             n = len(words)
+            gone = np.zeros(n, bool)
             if copies > 1 and n >= window:
-                kept = []
+                gone[:] = True
             elif starts:
                 edges = np.zeros(n + 1, np.int32)
-                at = np.array(starts)
-                np.add.at(edges, at, 1)
-                np.add.at(edges, at + window, -1)
-                kept = [words[i] for i in np.flatnonzero(np.cumsum(edges[:n]) == 0)]
-            else:
-                kept = words
-            out.append((n, n - len(kept), b" ".join(kept)))
-        yield batch(key=part.column("key"), n_words=np.array([x[0] for x in out], np.int64), n_removed=np.array([x[1] for x in out], np.int64), kept_sha256=[hashlib.sha256(x[2]).hexdigest() for x in out])
-
-
-def substring_dedup(docs: DataFrame, window: int = WINDOW, n_batches: int = N_BATCHES) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256: one row per document."""
+                np.add.at(edges, np.array(starts), 1)
+                np.add.at(edges, np.array(starts) + window, -1)
+                gone = np.cumsum(edges[:n]) > 0
+            turns = np.flatnonzero(np.diff(np.concatenate([[False], gone, [False]]).astype(np.int8))).tolist()
+            spans = [{"first": a, "last": b - 1} for a, b in zip(turns[::2], turns[1::2], strict=True)]
+            kept = [words[i] for i in np.flatnonzero(~gone)] if spans else words
+            out.append((n, n - len(kept), spans, b" ".join(kept)))
+        yield batch(key=part.column("key"), n_words=np.array([x[0] for x in out], np.int64), n_removed=np.array([x[1] for x in out], np.int64),
+                    spans=pa.array([x[2] for x in out], pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))), kept=pa.array([x[3] for x in out], pa.binary()))
+
+
+def repeats_removed(docs: DataFrame, window: int = WINDOW, n_batches: int = N_BATCHES, max_runs: int = MAX_RUNS) -> DataFrame:
+    """key, n_words, n_removed, spans (of removed words, both ends included), kept (bytes): one row per distinct text."""
     scratch = Scratch(docs.sparkSession, "windows")
     texts = distinct_texts(docs, scratch)
-    spots = suspicious_spots(texts, scratch, WordGrams, window, GRAM)
+    index, again = FingerprintIndex(scratch, max_runs, window), None
+    for i in range(n_batches):
+        found = index.append(texts.filter(F.pmod(F.xxhash64("key"), F.lit(n_batches)) == i))
+        again = found if again is None else again.union(found)
+    grams = scratch.save(again.distinct(), "recurring")
+    spots = scratch.save(index.spots(grams), "spots")
+    scratch.keep_only("texts", "spots")
     suspects = texts.join(spots.hint("shuffle_hash"), "key").select("key", F.col("text").cast("binary").alias("text"), "spots")
     prints = scratch.save(arrow_map(suspects, partial(_fingerprints, window=window), "window long, verify long, key binary, at int"), "prints")
-    index = FingerprintIndex(scratch)
-    repeats = None
-    for i in range(n_batches):
-        found = index.append(prints.filter(F.pmod(F.xxhash64("key"), F.lit(n_batches)) == i).select("window", "verify"))
-        repeats = found if repeats is None else repeats.union(found)
-    marked = prints.join(repeats.distinct(), ["window", "verify"], "left_semi")
-    marked = scratch.save(marked.groupBy("key").agg(F.collect_list("at").alias("starts")), "marked")
+    twice = scratch.save(prints.groupBy("window", "verify").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("window", "verify"), "twice")
+    marked = scratch.save(prints.join(twice, ["window", "verify"], "left_semi").groupBy("key").agg(F.collect_list("at").alias("starts")), "marked")
+    scratch.keep_only("texts", "marked")
     cut = texts.join(marked.hint("shuffle_hash"), "key", "left").select("key", "copies", F.col("text").cast("binary").alias("text"), "starts")
-    done = scratch.save(arrow_map(cut, partial(_kept, window=window), "key binary, n_words long, n_removed long, kept_sha256 string"), "done")
+    return arrow_map(cut, partial(_kept, window=window), "key binary, n_words long, n_removed long, spans array<struct<first int, last int>>, kept binary")
+
+
+def deduplicated(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+    """doc_id, text (the words that are kept, joined by one space), spans: one row per document."""
+    done = repeats_removed(docs, window).select("key", F.col("kept").cast("string").alias("text"), "spans")
+    return docs.select(F.col("doc_id").alias("doc_id"), text_key("text")).join(done, "key").drop("key")
+
+
+def substring_dedup(docs: DataFrame, window: int = WINDOW, n_batches: int = N_BATCHES, max_runs: int = MAX_RUNS) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_sha256: one row per document."""
+    done = repeats_removed(docs, window, n_batches, max_runs).select("key", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
     return docs.select(F.col("doc_id").alias("doc_id"), text_key("text")).join(done, "key").drop("key")

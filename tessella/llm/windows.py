@@ -36,7 +36,7 @@ def owned_windows(gram: np.ndarray, sizes: np.ndarray, window: int, gram_size: i
     return text, at - starts[text], first - starts[text], last - starts[text], gram[at]
 
 
-def _anchors(rows: Iterator[pa.RecordBatch], grams: Grams, window: int, gram_size: int) -> Iterator[pa.RecordBatch]:
+def anchors_of(rows: Iterator[pa.RecordBatch], grams: Callable[[], Grams], window: int, gram_size: int) -> Iterator[pa.RecordBatch]:
     hashed = grams()
     for part in rows:
         gram, sizes = hashed(texts_of(part))
@@ -52,7 +52,7 @@ def suspicious_spots(texts: DataFrame, scratch: Scratch, grams: Callable[[], Gra
     The count is a partial aggregate and the join back is one that AQE can split, so a gram in a third of all
     texts meets in no single task. A text's list is bounded by its length.
     """
-    anchors = arrow_map(texts.select("key", F.col("text").cast("binary").alias("text")), partial(_anchors, grams=grams, window=window, gram_size=gram_size), ANCHORS)
+    anchors = arrow_map(texts.select("key", F.col("text").cast("binary").alias("text")), partial(anchors_of, grams=grams, window=window, gram_size=gram_size), ANCHORS)
     anchors = scratch.save(anchors, "anchors")
     twice = anchors.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     told = ["at", "first", "last", *["gram", "n"] * with_counts]

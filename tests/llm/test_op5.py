@@ -4,7 +4,8 @@ from collections import Counter
 import numpy as np
 
 from tessella.llm.common import Scratch
-from tessella.llm.window_dedup import BASE, FingerprintIndex, rolled, substring_dedup
+from tessella.llm.common import text_key
+from tessella.llm.window_dedup import BASE, FingerprintIndex, deduplicated, rolled, substring_dedup
 
 
 def brute(rows, w=35):
@@ -45,9 +46,35 @@ def test_rolled_is_a_polynomial():
         assert len(np.unique(b)) == len(b)
 
 
-def test_index_appends_verifies_and_compacts(spark):
-    index = FingerprintIndex(Scratch(spark, "test-index"), max_runs=2)
-    batches = [[(1, 10), (2, 20), (2, 20)], [(1, 11), (3, 30)], [(3, 30), (4, 40)], [(1, 10), (4, 41), (3, 30)]]
-    got = [sorted({tuple(r) for r in index.append(spark.createDataFrame(b, "window long, verify long")).collect()}) for b in batches]
-    assert got == [[(2, 20)], [], [(3, 30)], [(1, 10), (3, 30)]]
-    assert len(index.runs) == 2 and index.runs[0].filter("window = 3").select("n").first()[0] == 2
+def test_batches_and_compaction_do_not_change_the_result(spark, sf_small):
+    docs = spark.read.parquet(f"{sf_small}/documents.parquet")
+    expected = brute([(r["doc_id"], r["text"]) for r in docs.collect()])
+    for n, most in ((1, 1), (3, 1), (5, 2)):
+        assert run(docs, n_batches=n, max_runs=most) == expected
+
+
+def test_a_batch_finds_what_an_old_one_held_once(spark):
+    """The old batch's windows occurred once when it came; the index alone knows them."""
+    p, q, r = (" ".join(f"{c}{i}" for i in range(50)) for c in "pqr")
+    scratch = Scratch(spark, "test-index")
+    index = FingerprintIndex(scratch, max_runs=2)
+    frame = lambda texts: spark.createDataFrame([(t,) for t in texts], "text string").select(text_key("text"), "text")
+    found = [index.append(frame(batch)) for batch in ([p, q], [r], ["a " + q], ["b " + p, "c " + p])]
+    n = [f.distinct().count() for f in found]
+    assert n[0] == n[1] == 0 and n[2] > 0 and n[3] > 0
+    assert len(index.runs) == 2 and len(scratch.tables) == 2  # compacted once, the old runs dropped
+    keys = {row["key"] for row in index.spots(found[2].union(found[3]).distinct()).collect()}
+    assert keys == {row["key"] for row in frame([p, q, "a " + q, "b " + p, "c " + p]).collect()}
+
+
+def test_texts_and_spans(spark):
+    p = " ".join(f"p{i}" for i in range(40))
+    df = spark.createDataFrame([(1, f"a b {p} c"), (2, f"x {p}"), (3, "é  z"), (4, None)], "doc_id long, text string")
+    got = {r["doc_id"]: (r["text"], [tuple(s) for s in r["spans"]]) for r in deduplicated(df).collect()}
+    assert got == {1: ("a b c", [(2, 41)]), 2: ("x", [(1, 40)]), 3: ("é z", []), 4: ("", [])}
+
+
+def test_very_long_and_hot_texts(spark):
+    p = " ".join(f"p{i}" for i in range(45))
+    rows = [(i, f"u{i} v{i} {p} w{i}") for i in range(300)] + [(900, " ".join(f"l{i}" for i in range(50_000)) + " " + p), (901, "y" * 500_000)]
+    assert run(spark.createDataFrame(rows, "doc_id long, text string").repartition(6)) == brute(rows)
