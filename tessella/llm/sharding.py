@@ -1,16 +1,17 @@
 """Operator 10: sharding by sampled splitters. DataFrame functions only.
 
-Records are ordered by (text hash, id hash), so equal texts lie next to each other. A size-weighted sample
-of keys gives quantile boundaries for fine ranges; ranges that still hold more than twice their share are
-subdivided with a sample of their own (the id hash divides even one hot text). Running sums inside a range
-plus the offset of the range give every record its place in the total order, and shards are cut there.
+Records are ordered by (text hash, id hash, row number), so equal texts lie next to each other. A size-weighted sample
+of keys gives quantile boundaries for fine ranges, whose number follows the rows; ranges that still hold more than twice their share
+are subdivided, all of them in one further sample each round (id hash and row number divide even one hot text). A record finds its
+range by binary search in the boundaries. Running sums inside a range plus the offset of the range give every record its place in
+the total order, and shards are cut there.
 
 Laws: ``bytes`` cuts at equal shares of the summed sizes, ``rows`` at equal shares of the count. Under
 ``bytes`` a cut that falls into a group of equal texts moves to the group's nearer end, unless the group
 is larger than ``whole_share`` of a shard; then the cut stays inside, between two rows.
 
 Defined results: a null text has size 1 and CRC 0 and is one group with the empty text; null ids are
-ordinary keys; rows that repeat are separate records; an empty table gives no rows; columns other than
+ordinary keys; rows that repeat are separate records; very long texts count whole; an empty table gives no rows; columns other than
 doc_id and text are ignored.
 """
 
@@ -18,6 +19,7 @@ from __future__ import annotations
 
 import math
 from bisect import bisect_right
+from itertools import groupby
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -26,10 +28,10 @@ from .common import Scratch, shuffle_partitions
 
 #: A cut may move by this share of a shard to keep a group of equal texts whole.
 WHOLE_SHARE = 0.05
-#: Fine ranges, at most: their boundaries are literals in the plan.
-MAX_RANGES = 512
-#: Sampled keys per fine range, as expected.
-SAMPLES_PER_RANGE = 48
+#: Records of a range, sampled keys for each range (both as expected), and rounds of subdivision.
+RANGE_ROWS, SAMPLES_PER_RANGE, ROUNDS = 1_000_000, 24, 4
+
+Key = tuple[int, int, int]
 
 
 def shard(docs: DataFrame, n_shards: int = 8, law: str = "bytes", whole_share: float = WHOLE_SHARE) -> DataFrame:
@@ -41,35 +43,35 @@ def shard(docs: DataFrame, n_shards: int = 8, law: str = "bytes", whole_share: f
     raw = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     keyed = scratch.save(docs.select(
         F.col("doc_id").alias("doc_id"), (F.octet_length(raw) + 1).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"),
-        F.xxhash64(raw).alias("k1"), F.xxhash64("doc_id").alias("k2")), "keyed")
+        F.xxhash64(raw).alias("k1"), F.xxhash64("doc_id").alias("k2"), F.monotonically_increasing_id().alias("k3")), "keyed")  # fixed once written
     weight = F.col("size") if law == "bytes" else F.lit(1).cast("long")
     keyed = keyed.withColumn("weight", weight)
     total, rows = keyed.agg(F.sum("weight"), F.count(F.lit(1))).first()
     if not rows:
         return keyed.select("doc_id", "size", "text_crc32", F.lit(law).alias("law"), F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
-    n_ranges = min(MAX_RANGES // 2, max(2 * n_shards, shuffle_partitions(spark)), rows)
-    splitters = _splitters(keyed, total, n_ranges)
-    ranged, held = _measure(keyed, splitters)
-    for _ in range(3):
+    n_ranges = min(rows, max(2 * n_shards, shuffle_partitions(spark), math.ceil(rows / RANGE_ROWS)))
+    splitters = _splitters(keyed.withColumn("range", F.lit(0)), {0: total}, total / n_ranges, 0)
+    for turn in range(1, ROUNDS + 1):
+        ranged = _ranged(keyed, splitters)
+        held = {r["range"]: (r["w"], r["n"]) for r in ranged.groupBy("range").agg(F.sum("weight").alias("w"), F.count(F.lit(1)).alias("n")).collect()}
         over = {r: w for r, (w, n) in held.items() if w > 2 * total / n_ranges and n > 1}
-        more = [s for r, w in over.items() for s in _splitters(ranged.filter(F.col("range") == r), w, math.ceil(w * n_ranges / total))]
-        grown = sorted({*splitters, *more})[:MAX_RANGES]
-        if grown == splitters:
+        more = _splitters(ranged, over, total / n_ranges, turn) if over and turn < ROUNDS else []
+        if not set(more) - set(splitters):
             break
-        splitters = grown
-        ranged, held = _measure(keyed, splitters)
+        splitters = sorted({*splitters, *more})
 
     before, first, base, base_row = [], [], 0, 0
     for r in range(len(splitters) + 1):
         before.append(base)
         first.append(base_row)
         base, base_row = base + held.get(r, (0, 0))[0], base_row + held.get(r, (0, 0))[1]
-    order = Window.partitionBy("range").orderBy("k1", "text_crc32", "k2", "doc_id")
-    placed = ranged.select(
-        "doc_id", "size", "text_crc32", "k1", "weight",
-        (F.lit(before)[F.col("range")] + F.sum("weight").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("weight")).alias("begin"),
-        (F.lit(first)[F.col("range")] + F.row_number().over(order) - 1).alias("row"))
+    offsets = spark.createDataFrame([(before, first)], "before array<long>, first array<long>")  # one row
+    order = Window.partitionBy("range").orderBy("k1", "k2", "k3")
+    inside = ranged.select("doc_id", "size", "text_crc32", "k1", "weight", "range", F.sum("weight").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("upto"), F.row_number().over(order).alias("number"))
+    placed = inside.join(F.broadcast(offsets)).select(
+        "doc_id", "size", "text_crc32", "k1", "weight", (F.col("before")[F.col("range")] + F.col("upto") - F.col("weight")).alias("begin"), (F.col("first")[F.col("range")] + F.col("number") - 1).alias("row"))
     placed = scratch.save(placed, "placed")
+    scratch.keep_only("placed")
     cuts = _cuts(placed, total, n_shards, whole_share if law == "bytes" else 0.0)
     shard_of = sum((F.when(F.col("begin") >= c, 1).otherwise(0) for c in cuts), F.lit(0)).cast("int")
     out = placed.withColumn("shard", shard_of)
@@ -78,35 +80,45 @@ def shard(docs: DataFrame, n_shards: int = 8, law: str = "bytes", whole_share: f
     return out.select("doc_id", "size", "text_crc32", F.lit(law).alias("law"), "shard", (F.col("row") - start).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
 
-def _splitters(keyed: DataFrame, total: int, n_ranges: int) -> list[tuple[int, int]]:
-    """Quantile boundaries from keys drawn with chance proportional to their weight (by hash, so reruns agree).
+def _splitters(ranged: DataFrame, weights: dict[int, int], share: float, turn: int) -> list[Key]:
+    """Quantile boundaries that cut each of the ranges (by weight) into pieces of about ``share``.
 
-    About n_ranges * SAMPLES_PER_RANGE keys reach the driver, whatever the input's size.
+    Keys are drawn with chance proportional to their weight (by hash, so reruns agree), in one job for all ranges: about
+    SAMPLES_PER_RANGE a piece reach the driver.
     """
-    if n_ranges < 2:
-        return []
-    rate = n_ranges * SAMPLES_PER_RANGE / total
-    chance = F.pmod(F.xxhash64("k1", "k2", F.lit(20)), F.lit(1 << 30)) / float(1 << 30)
-    drawn = sorted((r["k1"], r["k2"]) for r in keyed.filter(chance < F.col("weight") * rate).select("k1", "k2").collect())
-    if not drawn:
+    pieces = {r: math.ceil(w / share) for r, w in weights.items()}
+    rates = [(r, n * SAMPLES_PER_RANGE / weights[r]) for r, n in pieces.items() if n > 1]
+    if not rates:
         return []
-    return sorted({drawn[min(len(drawn) - 1, i * len(drawn) // n_ranges)] for i in range(1, n_ranges)})
-
-
-def _measure(keyed: DataFrame, splitters: list[tuple[int, int]]) -> tuple[DataFrame, dict[int, tuple[int, int]]]:
-    ranged = keyed.withColumn("range", _range_of(splitters, 0, len(splitters)))
-    sums = ranged.groupBy("range").agg(F.sum("weight").alias("w"), F.count(F.lit(1)).alias("n")).collect()
-    return ranged, {r["range"]: (r["w"], r["n"]) for r in sums}
-
-
-def _range_of(splitters: list[tuple[int, int]], lo: int, hi: int) -> Column:
-    """Count of splitters that are at or below the key, by binary search in one CASE tree."""
-    if lo == hi:
-        return F.lit(lo)
-    mid = (lo + hi) // 2
-    k1, k2 = splitters[mid]
-    below = (F.col("k1") < k1) | ((F.col("k1") == k1) & (F.col("k2") < k2))
-    return F.when(below, _range_of(splitters, lo, mid)).otherwise(_range_of(splitters, mid + 1, hi))
+    wanted = ranged.sparkSession.createDataFrame(rates, "range int, rate double")  # a row for each overfull range
+    chance = F.pmod(F.xxhash64("k1", "k2", "k3", F.lit(20 + turn)), F.lit(1 << 30)) / float(1 << 30)
+    drawn = ranged.join(F.broadcast(wanted), "range").filter(chance < F.col("weight") * F.col("rate")).select("range", "k1", "k2", "k3").collect()
+    found: set[Key] = set()
+    for r, keys in groupby(sorted((x["range"], x["k1"], x["k2"], x["k3"]) for x in drawn), key=lambda x: x[0]):
+        own = [k[1:] for k in keys]
+        found |= {own[min(len(own) - 1, i * len(own) // pieces[r])] for i in range(1, pieces[r])}
+    return sorted(found)
+
+
+def _ranged(keyed: DataFrame, splitters: list[Key]) -> DataFrame:
+    """``keyed`` with the number of splitters at or below each key, by binary search in one broadcast row."""
+    columns = [list(x) for x in zip(*splitters, strict=True)] or [[], [], []]
+    bounds = keyed.sparkSession.createDataFrame([tuple(columns)], "b1 array<long>, b2 array<long>, b3 array<long>")
+    found = _search(len(splitters)) if splitters else F.lit(0)
+    return keyed.join(F.broadcast(bounds)).select(*keyed.columns, found.alias("range"))
+
+
+def _search(n: int) -> Column:
+    def at_or_above(mid: Column) -> Column:
+        b1, b2, b3 = (F.get(F.col(c), mid) for c in ("b1", "b2", "b3"))
+        k1, k2, k3 = (F.col(c) for c in ("k1", "k2", "k3"))
+        return (k1 > b1) | ((k1 == b1) & ((k2 > b2) | ((k2 == b2) & (k3 >= b3))))
+
+    def step(s: Column, _: Column) -> Column:
+        mid = F.floor((s["lo"] + s["hi"]) / 2).cast("int")
+        return F.when(s["lo"] >= s["hi"], s).when(at_or_above(mid), F.struct((mid + 1).alias("lo"), s["hi"].alias("hi"))).otherwise(F.struct(s["lo"].alias("lo"), mid.alias("hi")))
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(n.bit_length())), F.struct(F.lit(0).alias("lo"), F.lit(n).alias("hi")), step, lambda s: s["lo"])
 
 
 def _cuts(placed: DataFrame, total: int, n_shards: int, whole_share: float) -> list[int]:

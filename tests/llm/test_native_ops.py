@@ -61,6 +61,28 @@ def test_shards_divide_a_hot_text(spark):
     assert len(counts) == 8 and max(counts) - min(counts) <= 1
 
 
+def test_shards_against_one_sorted_list(spark, sf_mid, monkeypatch):
+    """The places of a plain sort by the same keys, cut at the same words; many ranges, all overfull ones subdivided."""
+    monkeypatch.setattr(sharding, "RANGE_ROWS", 7)
+    monkeypatch.setattr(sharding, "SAMPLES_PER_RANGE", 3)
+    docs = spark.read.parquet(f"{sf_mid}/documents.parquet")
+    keys = {r["doc_id"]: r for r in docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit("")).cast("binary")).alias("k1"), F.xxhash64("doc_id").alias("k2")).collect()}
+    rows = sharding.shard(docs, law="rows").collect()
+    order = sorted(rows, key=lambda r: (keys[r["doc_id"]]["k1"], keys[r["doc_id"]]["k2"]))
+    n = len(order)
+    cuts = [round(i * n / 8) for i in range(9)]
+    for s in range(8):
+        assert [(r["shard"], r["slot"]) for r in order[cuts[s] : cuts[s + 1]]] == [(s, i) for i in range(cuts[s + 1] - cuts[s])]
+
+
+def test_shards_divide_rows_that_are_alike(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "RANGE_ROWS", 20)
+    rows = sharding.shard(spark.createDataFrame([(5, "same")] * 900, "doc_id long, text string").repartition(3)).collect()
+    sizes = Counter(r["shard"] for r in rows)
+    assert len(rows) == 900 and max(sizes.values()) - min(sizes.values()) <= 1
+    assert all(sorted(r["slot"] for r in rows if r["shard"] == s) == list(range(sizes[s])) for s in sizes)
+
+
 def test_shards_edges(spark):
     df = odd_rows(spark)
     rows = sharding.shard(df).collect()
