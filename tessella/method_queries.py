@@ -18,15 +18,12 @@ from .operators import reduce as rd
 from .operators import split as sp
 from .plans import experiment as ex
 from .plans import grid
-from .queries import ORACLES, ORDER_SQL, QUERIES, query, rounded
+from .queries import ORACLES, ORDER_SQL, QUERIES, USERS, institutions, query, rounded
 from .session import stable, table
 
-INSTITUTIONS, USERS = 3, 40
-
-
 def dealt(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id"), F.col("vec_id").alias("row_id"), F.col("label").alias("target"), F.col("embedding").cast("array<double>").alias("features"))
-    return sp.covering_split(rows, "target", INSTITUTIONS, USERS, [F.expr(ORDER_SQL), F.col("vec_id")])
+    return sp.covering_split(rows, "target", institutions(rows, "target"), USERS, [F.expr(ORDER_SQL), F.col("vec_id")])
 
 
 def no_anchors(spark: SparkSession) -> DataFrame:
@@ -98,7 +95,7 @@ for _m in ig.METHODS:
 def _run(name: str, **settings):
     def run(spark: SparkSession, d: str) -> DataFrame:
         rows = ex.embeddings(spark, d)
-        return ex.run_once(rows, ex.Config(**{"dim_intermediate": 40, "num_institution": 5, **settings}))
+        return ex.run_once(rows, ex.Config(**{"dim_intermediate": 40, **settings}))
 
     run.__name__ = name
     QUERIES[name] = run
@@ -177,10 +174,10 @@ def top_singular_value(spark, d):
 def grid_run(spark, d):
     """Two methods and a wrong one, two seeds each: failures are rows."""
     combos = grid.product(spark, {"G_type": ["Imakura", "unknown"], "F_type": ["svd"]})
-    base = ex.Config(dim_intermediate=20, num_institution=5, num_anchor_data=100)
+    base = ex.Config(dim_intermediate=20, num_anchor_data=100)
     return rounded(ex.run_grid(ex.embeddings(spark, d), combos, [0, 1], base), "score", "even_mean", "odd_mean", "ind_mean", digits=4)
 
 
 @query()
 def reduction_benchmark(spark, d):
-    return rounded(ex.reduction_benchmark(ex.embeddings(spark, d), [120], [8], ["svd", "kernel_pca_self_tuning"], ex.Config(num_institution=5)), "auc", "delta_vs_pca", digits=4)
+    return rounded(ex.reduction_benchmark(ex.embeddings(spark, d), [120], [8], ["svd", "kernel_pca_self_tuning"], ex.Config()), "auc", "delta_vs_pca", digits=4)

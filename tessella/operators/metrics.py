@@ -1,7 +1,7 @@
 """Evaluation metrics as aggregates and windows over value counts, never over single rows of a group.
 
 AUC is the exact Mann-Whitney statistic with mid-ranks. Rows are first summed per distinct score; the running count over
-scores then needs one row per distinct score. Without keys the running count is taken over range partitions.
+scores then needs one row per distinct score, and is taken over range partitions, so that no key's scores meet in one task.
 """
 
 from __future__ import annotations
@@ -18,18 +18,17 @@ def auc_binary(df: DataFrame, label: str, score: str, keys: Sequence[str] = ())
     """keys, n_pos, n_neg, auc (null if one class is absent)."""
     y = F.col(label).cast("int")
     ties = df.filter(F.col(label).isNotNull() & F.col(score).isNotNull()).groupBy(*keys, F.col(score).alias("__s")).agg(F.sum(y).alias("__p"), F.sum(1 - y).alias("__n"))
-    if keys:
-        order = Window.partitionBy(*keys).orderBy("__s").rowsBetween(Window.unboundedPreceding, -1)
-        ranked = ties.withColumn("__below", F.coalesce(F.sum("__n").over(order), F.lit(0)))
-    else:
-        cut = stable(ties.repartitionByRange("__s").withColumn("__part", F.spark_partition_id()))
-        sums = {r["__part"]: r["n"] for r in cut.groupBy("__part").agg(F.sum("__n").alias("n")).collect()}
-        before, total = [], 0
-        for p in range(max(sums, default=0) + 1):
-            before.append(total)
-            total += sums.get(p, 0)
-        order = Window.partitionBy("__part").orderBy("__s").rowsBetween(Window.unboundedPreceding, -1)
-        ranked = cut.withColumn("__below", F.coalesce(F.sum("__n").over(order), F.lit(0)) + F.lit(before)[F.col("__part")])
+    # range partitions over keys and score: each is counted by itself and shifted by the same key's counts in the parts before it
+    cut = stable(ties.repartitionByRange(*keys, "__s").withColumn("__part", F.spark_partition_id()))
+    parts = cut.groupBy("__part", *keys).agg(F.sum("__n").alias("__all"))
+    zero = F.lit(0).cast("long")
+    ahead = Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each part that holds the key
+    shifts = parts.select(F.col("__part").alias("__at"), *[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.coalesce(F.sum("__all").over(ahead), zero).alias("__ahead"))
+    same = F.col("__part") == F.col("__at")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"__k{i}"))
+    order = Window.partitionBy("__part", *keys).orderBy("__s").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = cut.withColumn("__own", F.coalesce(F.sum("__n").over(order), zero)).join(shifts, same).withColumn("__below", F.col("__own") + F.col("__ahead"))
     wins = F.sum(F.col("__p") * (F.col("__below") + F.col("__n") / 2))
     sums = ranked.groupBy(*keys).agg(F.sum("__p").alias("n_pos"), F.sum("__n").alias("n_neg"), wins.alias("__wins"))
     pairs = F.col("n_pos").cast("double") * F.col("n_neg")
@@ -61,13 +60,19 @@ def mse_psnr(df: DataFrame, truth: str, predicted: str, peak: float, keys: Seque
 
 
 def moments(df: DataFrame, institution: Column, columns: Sequence[str]) -> DataFrame:
-    """(feature, n, mean, var, sigma) over all rows, from each institution's n, sum and sum of squares alone; sigma 0 becomes 1."""
-    local = df.groupBy(institution.alias("institution")).agg(F.count(F.lit(1)).alias("n"), *[f.alias(f"{a}_{c}") for c in columns for a, f in (("s", F.sum(c)), ("q", F.sum(F.col(c) * F.col(c))))])
-    whole = local.agg(F.sum("n").alias("n"), *[F.sum(f"{a}_{c}").alias(f"{a}_{c}") for c in columns for a in "sq"])
-    mean, square = (lambda c: F.col(f"s_{c}") / F.col("n")), (lambda c: F.col(f"q_{c}") / F.col("n"))
-    var = lambda c: F.greatest(F.lit(0.0), square(c) - mean(c) * mean(c))
-    rows = F.array(*[F.struct(F.lit(c).alias("feature"), F.col("n"), mean(c).alias("mean"), var(c).alias("var"), F.when(var(c) > 0, F.sqrt(var(c))).otherwise(1.0).alias("sigma")) for c in columns])
-    return whole.select(F.explode(rows).alias("r")).select("r.*")
+    """(feature, n, mean, var, sigma) over all rows, from each institution's n, mean and squared deviations alone; sigma 0 becomes 1.
+
+    Deviations are merged about the common mean, so columns far from 0 lose no digits. Null cells count for no feature.
+    """
+    stats = [f.alias(f"{a}_{c}") for c in columns for a, f in (("n", F.count(c)), ("m", F.avg(c)), ("v", F.var_pop(c)))]
+    wide = df.groupBy(institution.alias("institution")).agg(*stats)
+    one = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"n_{c}").alias("n"), F.col(f"m_{c}").alias("m"), F.col(f"v_{c}").alias("v")) for c in columns])
+    local = wide.select(F.explode(one).alias("r")).select("r.*").filter("n > 0")
+    centre = local.groupBy("feature").agg((F.sum(F.col("n") * F.col("m")) / F.sum("n")).alias("mean"))
+    off = F.col("m") - F.col("mean")
+    merged = local.join(F.broadcast(centre), "feature").groupBy("feature").agg(F.sum("n").alias("n"), F.first("mean").alias("mean"), F.sum(F.col("n") * (F.col("v") + off * off)).alias("m2"))  # a row for each column
+    var = F.col("m2") / F.col("n")
+    return merged.select("feature", "n", "mean", var.alias("var"), F.when(var > 0, F.sqrt(var)).otherwise(1.0).alias("sigma"))
 
 
 def least_squares(df: DataFrame, y: str, x1: str, x2: str) -> DataFrame:

@@ -14,8 +14,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import stable
+from .ranking import global_row_number
+
 #: Rows a reference set may have.
 MAX_REFERENCE = 20_000
+#: Rows whose distances to all others are computed at a time, and bins of a count of distances.
+BLOCK, BINS = 500, 4096
 
 
 def collect_reference(df: DataFrame, key: str, vector: str, *more: str) -> pd.DataFrame:
@@ -54,37 +59,102 @@ def _nearest(frames: Iterator[pd.DataFrame], reference, k: int, key: str, vector
         yield out[np.isfinite(out["distance"])].astype({"rank": "int32"})
 
 
+def reference_blocks(df: DataFrame, key: str, vector: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(keys, vectors) of the reference rows, block by block, each of a size that may be broadcast."""
+    n_blocks = max(1, -(-df.count() // (MAX_REFERENCE * 3 // 4)))
+    for i in range(n_blocks):
+        own = df if n_blocks == 1 else df.filter(F.pmod(F.xxhash64(key), F.lit(n_blocks)) == i)
+        found = collect_reference(own, key, vector)
+        if len(found) or n_blocks == 1:
+            yield found[key].to_numpy(), np.array(found[vector].tolist(), float)
+
+
 def nearest(df: DataFrame, reference: DataFrame, k: int, key: str, vector: str) -> DataFrame:
-    """key, rank, neighbour, distance: the k nearest rows of the reference set, without the row itself; ties by key."""
-    ref = collect_reference(reference, key, vector)
-    shared = df.sparkSession.sparkContext.broadcast((ref[key].to_numpy(), np.array(ref[vector].tolist(), float)))
+    """key, rank, neighbour, distance: the k nearest rows of the reference, without the row itself; ties by key.
+
+    The rows stream past the reference in blocks; of each block's k nearest the nearest of all remain.
+    """
     rows = df.select(F.col(key).cast("long").alias(key), F.col(vector).cast("array<double>").alias(vector))
-    return rows.mapInPandas(partial(_nearest, reference=shared, k=k, key=key, vector=vector), f"{key} long, rank int, neighbour long, distance double")
+    out, n_blocks = None, 0
+    for block in reference_blocks(reference, key, vector):
+        shared = df.sparkSession.sparkContext.broadcast(block)
+        found = rows.mapInPandas(partial(_nearest, reference=shared, k=k, key=key, vector=vector), f"{key} long, rank int, neighbour long, distance double")
+        out, n_blocks = (found if out is None else out.union(found)), n_blocks + 1
+    if n_blocks == 1:
+        return out
+    best = out.groupBy(key).agg(F.slice(F.array_sort(F.collect_list(F.struct("distance", "neighbour"))), 1, k).alias("best"))  # k a block
+    return best.select(key, F.posexplode("best").alias("at", "b")).select(key, (F.col("at") + 1).cast("int").alias("rank"), "b.neighbour", "b.distance")
+
+
+def middle(df: DataFrame, column: str) -> DataFrame:
+    """n, median: by a global order over range partitions, so that no task holds all values."""
+    placed = stable(global_row_number(df.select(column), [column], "place"))
+    n = placed.count()
+    return placed.filter(F.col("place").isin((n - 1) // 2, n // 2)).agg(F.lit(n).cast("long").alias("n"), F.avg(column).alias("median"))
 
 
 def self_tuning_gamma(df: DataFrame, reference: DataFrame, key: str, vector: str, k: int = 7) -> DataFrame:
     """n, gamma_median, gamma_mean: kernel width from each row's distance s to its k-th neighbour, 1 / s / 3."""
     kth = nearest(df, reference, k, key, vector).filter(F.col("rank") == k)
-    gamma = 1 / F.greatest("distance", F.lit(np.finfo(float).eps)) / 3
-    return kth.agg(F.count(F.lit(1)).alias("n"), F.median(gamma).alias("gamma_median"), F.avg(gamma).alias("gamma_mean"))
+    gammas = stable(kth.select((1 / F.greatest("distance", F.lit(np.finfo(float).eps)) / 3).alias("gamma")))
+    half, whole = middle(gammas, "gamma"), gammas.agg(F.avg("gamma").alias("gamma_mean"))
+    return half.crossJoin(whole).select("n", F.col("median").alias("gamma_median"), "gamma_mean")  # one row each
 
 
-def _distances(frames: Iterator[pd.DataFrame], reference, key: str, vector: str) -> Iterator[pd.DataFrame]:
-    keys, y = reference.value
+def _pair_squares(y: np.ndarray, lo: int) -> np.ndarray:
+    """Squared distances of rows lo .. lo + BLOCK - 1 to all later rows."""
+    d = squared_distances(y[lo : lo + BLOCK], y[lo:])
+    return d[np.arange(d.shape[1])[None, :] > np.arange(d.shape[0])[:, None]]
+
+
+def _counts(frames: Iterator[pd.DataFrame], vectors, low: float, high: float) -> Iterator[pd.DataFrame]:
     for f in frames:
-        for k, v in zip(f[key], f[vector], strict=True):
-            after = keys > k
-            yield pd.DataFrame({"squared": ((y[after] - np.array(v, float)) ** 2).sum(axis=1)})
+        for lo in f["lo"]:
+            d = _pair_squares(vectors.value, lo)
+            inside = d[(d >= low) & (d <= high)]
+            bins = np.minimum(((inside - low) * (BINS / (high - low))).astype(np.int64), BINS - 1)
+            counts = np.bincount(bins, minlength=BINS)
+            used = np.flatnonzero(counts)
+            least, most = np.full(BINS, np.inf), np.full(BINS, -np.inf)
+            np.minimum.at(least, bins, inside)
+            np.maximum.at(most, bins, inside)
+            yield pd.DataFrame({"bin": used, "n": counts[used], "least": least[used], "most": most[used]})
+
+
+def _order_statistic(spark, blocks: DataFrame, vectors, rank: int, low: float, high: float) -> float:
+    """The value of that 0-based rank among all pairs' squares: the bin that holds it is split until it holds one value."""
+    below = 0
+    while True:
+        found = blocks.mapInPandas(partial(_counts, vectors=vectors, low=low, high=high), "bin long, n long, least double, most double")
+        bins = found.groupBy("bin").agg(F.sum("n").alias("n"), F.min("least").alias("least"), F.max("most").alias("most")).orderBy("bin").collect()  # at most BINS
+        for b in bins:
+            if below + b["n"] > rank:
+                break
+            below += b["n"]
+        if b["least"] == b["most"] or (low, high) == (b["least"], b["most"]):
+            return b["least"]
+        low, high = b["least"], b["most"]
 
 
 def median_gammas(reference: DataFrame, key: str, vector: str) -> DataFrame:
-    """The three rules in use, from all pairs of a bounded draw: 1/(2 median^2), 1/(2 median of squares), 1/median of squares."""
+    """The three rules in use, from all pairs of a reference set: 1/(2 median^2), 1/(2 median of squares), 1/median of squares.
+
+    Blocks of matrix products are counted into bins, and the bin of the median is refined: no pair becomes a row.
+    """
+    spark = reference.sparkSession
     ref = collect_reference(reference, key, vector)
-    shared = reference.sparkSession.sparkContext.broadcast((ref[key].to_numpy(), np.array(ref[vector].tolist(), float)))
-    rows = reference.select(key, F.col(vector).cast("array<double>").alias(vector))
-    d = rows.mapInPandas(partial(_distances, reference=shared, key=key, vector=vector), "squared double")
-    m, q = F.median(F.sqrt("squared")), F.median("squared")
-    return d.agg(F.count(F.lit(1)).alias("n_pairs"), (1 / (2 * m * m)).alias("gamma_half_median_squared"), (1 / (2 * q)).alias("gamma_half_median_of_squares"), (1 / q).alias("gamma_median_of_squares"))
+    n = len(ref) * (len(ref) - 1) // 2
+    schema = "n_pairs long, gamma_half_median_squared double, gamma_half_median_of_squares double, gamma_median_of_squares double"
+    if not n:
+        return spark.createDataFrame([(0, None, None, None)], schema)
+    y = np.array(ref[vector].tolist(), float)
+    vectors, blocks = spark.sparkContext.broadcast(y), spark.range(0, len(y), BLOCK).select(F.col("id").alias("lo")).repartition(max(1, len(y) // BLOCK))
+    top = 4 * float((y * y).sum(axis=1).max()) + 1e-9
+    lower = _order_statistic(spark, blocks, vectors, (n - 1) // 2, 0.0, top)
+    upper = lower if n % 2 else _order_statistic(spark, blocks, vectors, n // 2, 0.0, top)
+    m, q = (lower**0.5 + upper**0.5) / 2, (lower + upper) / 2
+    inverse = lambda x: 1 / x if x > 0 else None
+    return spark.createDataFrame([(n, inverse(2 * m * m), inverse(2 * q), inverse(q))], schema)
 
 
 def vote(neighbours: DataFrame, labels: DataFrame, key: str, label: str) -> DataFrame:

@@ -146,24 +146,35 @@ def coalesce_by_name(spark, d):
 ORDER_SQL = "(vec_id * 7919) % 1000003"
 
 
-@query(f"""WITH r AS (SELECT vec_id, label, {ORDER_SQL} AS o, row_number() OVER (PARTITION BY label ORDER BY {ORDER_SQL}, vec_id) AS rk FROM embeddings), k AS (SELECT count(DISTINCT label) c FROM embeddings),
- head AS (SELECT vec_id, label, CASE WHEN rk <= 3 THEN 'train' ELSE 'test' END AS split, (rk - 1) % 3 AS institution FROM r WHERE rk <= 6),
- rest AS (SELECT vec_id, label, row_number() OVER (ORDER BY o, vec_id) - 1 AS p FROM r WHERE rk > 6)
+#: Rows of an institution on each side; there are as many institutions as the table and its rarest class allow.
+USERS = 40
+SHAPE_SQL = f"SELECT greatest(1, least(sum(n) // {2 * USERS}, min(n) // 2))::INT AS m, count(*) AS c FROM (SELECT count(*) AS n FROM embeddings GROUP BY label)"
+
+
+def institutions(rows: DataFrame, label: str) -> int:
+    n, least = rows.groupBy(label).count().agg(F.sum("count"), F.min("count")).first()
+    return split.resolve_shape(n or 0, least or 0, 0, rows=USERS).institutions
+
+
+@query(f"""WITH r AS (SELECT vec_id, label, {ORDER_SQL} AS o, row_number() OVER (PARTITION BY label ORDER BY {ORDER_SQL}, vec_id) AS rk FROM embeddings), k AS ({SHAPE_SQL}),
+ head AS (SELECT vec_id, label, CASE WHEN rk <= m THEN 'train' ELSE 'test' END AS split, (rk - 1) % m AS institution FROM r, k WHERE rk <= 2 * m),
+ rest AS (SELECT vec_id, label, row_number() OVER (ORDER BY o, vec_id) - 1 AS p FROM r, k WHERE rk > 2 * m)
  SELECT vec_id, label, split, institution::INT AS institution FROM head UNION ALL
- SELECT vec_id, label, CASE WHEN p < 3 * (40 - c) THEN 'train' ELSE 'test' END, (CAST(floor(p / (40 - c)) AS INT) % 3)::INT FROM rest, k WHERE p < 6 * (40 - c)""")
+ SELECT vec_id, label, CASE WHEN p < m * ({USERS} - c) THEN 'train' ELSE 'test' END, (CAST(floor(p / ({USERS} - c)) AS INT) % m)::INT FROM rest, k WHERE p < 2 * m * ({USERS} - c)""")
 def institution_split(spark, d):
     rows = table(spark, d, "embeddings").select("vec_id", "label")
-    return split.covering_split(rows, "label", 3, 40, [F.expr(ORDER_SQL), F.col("vec_id")])
+    return split.covering_split(rows, "label", institutions(rows, "label"), USERS, [F.expr(ORDER_SQL), F.col("vec_id")])
 
 
-@query("SELECT split, institution, 40::BIGINT AS n_rows, c AS n_classes, true AS complete FROM (VALUES ('train'), ('test')) t(split), range(3) r(institution), (SELECT count(DISTINCT label) c FROM embeddings)")
+@query(f"SELECT split, unnest(range(m))::BIGINT AS institution, {USERS}::BIGINT AS n_rows, c AS n_classes, true AS complete FROM (VALUES ('train'), ('test')) t(split), ({SHAPE_SQL})")
 def split_class_coverage(spark, d):
     return split.class_coverage(institution_split(spark, d), "label").withColumn("institution", F.col("institution").cast("long"))
 
 
-@query("SELECT o_orderkey, CAST(floor((row_number() OVER (ORDER BY o_totalprice, o_orderkey) - 1) / 200) AS INT) AS institution FROM orders QUALIFY institution < 6")
+@query("SELECT o_orderkey, CAST(floor((row_number() OVER (ORDER BY o_totalprice, o_orderkey) - 1) / 200) AS INT) AS institution FROM orders QUALIFY institution < (SELECT count(*) // 200 FROM orders)")
 def institution_bucket(spark, d):
-    return split.buckets(table(spark, d, "orders").select("o_orderkey", "o_totalprice"), ["o_totalprice", "o_orderkey"], 200, 6).select("o_orderkey", "institution")
+    rows = table(spark, d, "orders").select("o_orderkey", "o_totalprice")
+    return split.buckets(rows, ["o_totalprice", "o_orderkey"], 200, rows.count() // 200).select("o_orderkey", "institution")
 
 
 @query("SELECT o_orderkey, row_number() OVER (ORDER BY o_orderdate, o_orderkey) - 1 AS place FROM orders")
@@ -376,9 +387,11 @@ def psnr_mse(spark, d):
     return rounded(rounded(metrics.mse_psnr(rows, "a", "b", 1.0), "psnr"), "mse", digits=8)
 
 
-@query(" UNION ALL ".join(f"SELECT '{c}' AS feature, count(*) AS n, round(avg({c}), 6) AS mean, round(var_pop({c}), 4) AS var, round(coalesce(nullif(stddev_pop({c}), 0), 1), 6) AS sigma FROM lineitem" for c in ("l_quantity", "l_discount", "l_tax")))
+@query(" UNION ALL ".join(f"SELECT '{c}' AS feature, count(*) AS n, round(avg({c}), 9) AS mean, round(var_pop({c}), 4) AS var, round(coalesce(nullif(stddev_pop({c}), 0), 1), 6) AS sigma FROM lineitem" for c in ("l_quantity", "l_discount", "l_tax")))
 def fed_moments(spark, d):
-    return rounded(rounded(metrics.moments(table(spark, d, "lineitem"), F.col("l_suppkey") % 10, ["l_quantity", "l_discount", "l_tax"]), "mean", "sigma"), "var", digits=4)
+    # means of cents over round counts fall on ties of the sixth decimal, but on none of the ninth
+    found = metrics.moments(table(spark, d, "lineitem"), F.col("l_suppkey") % 10, ["l_quantity", "l_discount", "l_tax"])
+    return rounded(rounded(rounded(found, "sigma"), "var", digits=4), "mean", digits=9)
 
 
 @query("""WITH c AS (SELECT count(*) n, avg(p_retailprice) my, avg(p_size) m1, avg(p_partkey % 100) m2, var_pop(p_size) s11, var_pop(p_partkey % 100) s22, covar_pop(p_size, p_partkey % 100) s12, covar_pop(p_size, p_retailprice) s1, covar_pop(p_partkey % 100, p_retailprice) s2 FROM part),
@@ -392,16 +405,16 @@ VEC = "SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e
 SQ = "list_sum(list_transform(list_zip(a.e, b.e), lambda p: (p[1] - p[2]) * (p[1] - p[2])))"
 
 
-@query(f"WITH v AS ({VEC}) SELECT a.vec_id, b.vec_id AS other, round(exp(-0.5 * {SQ}), 6) AS kernel FROM v a, v b WHERE b.vec_id < 20")
+@query(f"WITH v AS ({VEC}) SELECT a.vec_id, b.vec_id AS other, round(exp(-0.5 * {SQ}), 6) AS kernel FROM v a, v b WHERE b.vec_id % 100 = 0")
 def rbf_kernel_pairs(spark, d):
     rows = table(spark, d, "embeddings")
-    return rounded(pairs.kernel_to_reference(rows, rows.filter("vec_id < 20"), "vec_id", "embedding", 0.5), "kernel")
+    return rounded(pairs.kernel_to_reference(rows, rows.filter("vec_id % 100 = 0"), "vec_id", "embedding", 0.5), "kernel")
 
 
-@query(f"WITH v AS ({VEC}), s AS (SELECT a.vec_id, b.vec_id AS neighbour, sqrt({SQ}) AS distance FROM v a, v b WHERE a.vec_id <> b.vec_id AND b.vec_id % 10 = 0) SELECT vec_id, row_number() OVER w::INT AS rank, neighbour, round(distance, 6) AS distance FROM s WINDOW w AS (PARTITION BY vec_id ORDER BY distance, neighbour) QUALIFY row_number() OVER w <= 5")
+@query(f"WITH v AS ({VEC}), s AS (SELECT a.vec_id, b.vec_id AS neighbour, sqrt({SQ}) AS distance FROM v a, v b WHERE a.vec_id <> b.vec_id) SELECT vec_id, row_number() OVER w::INT AS rank, neighbour, round(distance, 6) AS distance FROM s WINDOW w AS (PARTITION BY vec_id ORDER BY distance, neighbour) QUALIFY row_number() OVER w <= 5")
 def knn_join(spark, d):
     rows = table(spark, d, "embeddings")
-    return rounded(pairs.nearest(rows, rows.filter("vec_id % 10 = 0"), 5, "vec_id", "embedding"), "distance")
+    return rounded(pairs.nearest(rows, rows, 5, "vec_id", "embedding"), "distance")
 
 
 @query(f"""WITH v AS ({VEC}), s AS (SELECT a.vec_id, b.vec_id AS nb, {SQ} AS q FROM v a, v b WHERE a.vec_id <> b.vec_id), k AS (SELECT 1 / sqrt(q) / 3 AS g FROM s QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY q, nb) = 7) SELECT count(*) AS n, round(median(g), 6) AS gamma_median, round(avg(g), 6) AS gamma_mean FROM k""")
@@ -412,22 +425,25 @@ def self_tuning_gamma(spark, d):
 
 @query(f"WITH v AS ({VEC}), s AS (SELECT {SQ} AS q FROM v a, v b WHERE a.vec_id < b.vec_id) SELECT count(*) AS n_pairs, round(1 / (2 * median(sqrt(q)) ** 2), 6) AS gamma_half_median_squared, round(1 / (2 * median(q)), 6) AS gamma_half_median_of_squares, round(1 / median(q), 6) AS gamma_median_of_squares FROM s")
 def median_heuristic_gamma(spark, d):
-    rows = pairs.bounded_draw(table(spark, d, "embeddings"), "vec_id", 2000)
+    rows = pairs.bounded_draw(table(spark, d, "embeddings"), "vec_id", pairs.MAX_REFERENCE)
     return rounded(pairs.median_gammas(rows, "vec_id", "embedding"), "gamma_half_median_squared", "gamma_half_median_of_squares", "gamma_median_of_squares")
 
 
-@query(f"""WITH v AS ({VEC}), n AS (SELECT a.vec_id, b.label FROM v a, v b WHERE a.vec_id <> b.vec_id AND b.vec_id % 5 = 0 QUALIFY row_number() OVER (PARTITION BY a.vec_id ORDER BY round({SQ}, 12), b.vec_id) <= 5), c AS (SELECT vec_id, label AS vote, count(*) AS votes FROM n GROUP BY 1, 2)
+@query(f"""WITH v AS ({VEC}), n AS (SELECT a.vec_id, b.label FROM v a, v b WHERE a.vec_id <> b.vec_id QUALIFY row_number() OVER (PARTITION BY a.vec_id ORDER BY round({SQ}, 12), b.vec_id) <= 5), c AS (SELECT vec_id, label AS vote, count(*) AS votes FROM n GROUP BY 1, 2)
  SELECT vec_id, vote, votes FROM c QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY votes DESC, vote) = 1""")
 def knn_vote(spark, d):
     rows = table(spark, d, "embeddings")
-    return pairs.vote(pairs.nearest(rows, rows.filter("vec_id % 5 = 0"), 5, "vec_id", "embedding"), rows, "vec_id", "label")
+    return pairs.vote(pairs.nearest(rows, rows, 5, "vec_id", "embedding"), rows, "vec_id", "label")
 
 
-@query(f"""WITH v AS (SELECT * FROM ({VEC}) WHERE vec_id < 60), w AS (SELECT CASE WHEN a.label = b.label THEN 'within' ELSE 'between' END AS kind, a.vec_id AS i, b.vec_id AS j, exp(-0.5 * {SQ}) AS w FROM v a, v b WHERE a.vec_id <> b.vec_id),
- d AS (SELECT kind, i, sum(w) AS s FROM w GROUP BY 1, 2), t AS (SELECT kind, sum(s) AS t FROM d GROUP BY 1) SELECT kind, i, j, round(-w / t, 8) AS value FROM w JOIN t USING (kind) UNION ALL SELECT kind, i, i, round(s / t, 8) FROM d JOIN t USING (kind)""")
+@query(f"""WITH v AS ({VEC}), w AS (SELECT CASE WHEN a.label = b.label THEN 'within' ELSE 'between' END AS kind, a.vec_id AS i, b.vec_id AS j, exp(-0.5 * {SQ}) AS w FROM v a, v b WHERE a.vec_id <> b.vec_id),
+ d AS (SELECT kind, i, sum(w) AS s, sum(w * j) AS sj, count(*) AS n FROM w GROUP BY 1, 2), t AS (SELECT kind, sum(s) AS t FROM d GROUP BY 1) SELECT kind, i, n, round(s / t, 8) AS diagonal, round(-sj / t, 5) AS moment FROM d JOIN t USING (kind)""")
 def label_laplacian(spark, d):
-    rows = table(spark, d, "embeddings").filter("vec_id < 60")
-    return rounded(pairs.label_laplacians(rows, "vec_id", "embedding", "label", 0.5), "value", digits=8)
+    """Each row of both Laplacians of all rows, told by its diagonal and the first moment of the rest."""
+    found = pairs.label_laplacians(table(spark, d, "embeddings"), "vec_id", "embedding", "label", 0.5)
+    other = F.col("i") != F.col("j")
+    told = found.groupBy("kind", "i").agg(F.sum(other.cast("long")).alias("n"), F.sum(F.when(~other, F.col("value"))).alias("diagonal"), F.sum(F.when(other, F.col("value") * F.col("j"))).alias("moment"))
+    return rounded(rounded(told, "diagonal", digits=8), "moment", digits=5)
 
 
 IMAGES_SQL = "SELECT CAST(vec_id % 5 AS INT) AS institution, CAST(floor(vec_id / 5) AS BIGINT) AS anchor_id, e FROM v"
@@ -444,7 +460,10 @@ def alignment_metric(spark, d):
     return pairs.alignment_summary(alignment_pairs(spark, d))
 
 
-@query("""SELECT p_partkey, round(CASE WHEN p_partkey % 50 = 7 THEN v.m ELSE p_retailprice END, 4) AS price FROM part, (SELECT avg(p_retailprice) FILTER (p_partkey % 50 <> 7) AS m FROM part) v WHERE p_partkey % 50 <> 7""")
-def knn_imputation_keeps_known_cells(spark, d):
+@query("""WITH c AS (SELECT p_partkey, p_size, CASE WHEN p_partkey % 50 <> 7 THEN p_retailprice END AS price FROM part),
+ n AS (SELECT h.p_partkey, o.price FROM c h JOIN c o ON h.price IS NULL AND o.price IS NOT NULL QUALIFY row_number() OVER (PARTITION BY h.p_partkey ORDER BY (h.p_size - o.p_size) ** 2, o.p_partkey) <= 5),
+ m AS (SELECT p_partkey, avg(price) AS price FROM n GROUP BY 1) SELECT p_partkey, round(coalesce(c.price, m.price), 4) AS price FROM c LEFT JOIN m USING (p_partkey)""")
+def knn_imputation(spark, d):
+    """All cells, imputed ones included."""
     p = table(spark, d, "part").select("p_partkey", F.when(F.col("p_partkey") % 50 != 7, F.col("p_retailprice")).alias("price"), F.col("p_size").cast("double").alias("size"))
-    return rounded(prep.knn_impute(p, "p_partkey", ["price", "size"]), "price", digits=4).filter("p_partkey % 50 <> 7").select("p_partkey", "price")
+    return rounded(prep.knn_impute(p, "p_partkey", ["price", "size"]), "price", digits=4).select("p_partkey", "price")
