@@ -1,4 +1,4 @@
-"""Registered queries of the matrix and model operators. All of them work on the table of embeddings, split as its size allows.
+"""Registered queries of the matrix and model operators. All of them work on the table of embeddings, dealt to as many institutions as its size allows.
 
 Where a result does not depend on the basis that an eigensolver happens to return (sums of squares, traces), the query has a SQL
 twin. Other results have none and are held against numpy by the tests.
@@ -107,6 +107,7 @@ _run("collaboration_nonlinear", G_type="nonlinear", F_type="kernel_pca_svd_mixed
 _run("baseline_centralize", G_type="centralize")
 _run("baseline_centralize_reduced", G_type="centralize_dim")
 _run("baseline_individual", G_type="individual")
+_run("baseline_individual_reduced", G_type="individual_dim", F_type="kernel_pca_svd_mixed", dim_intermediate=20)
 _run("baseline_federated", G_type="fl")
 _run("model_random_forest", h_model="random_forest", G_type="centralize")
 _run("model_svm_linear", h_model="svm_linear", G_type="centralize", metric="accuracy")
@@ -175,7 +176,13 @@ def grid_run(spark, d):
     """Two methods and a wrong one, two seeds each: failures are rows."""
     combos = grid.product(spark, {"G_type": ["Imakura", "unknown"], "F_type": ["svd"]})
     base = ex.Config(dim_intermediate=20, num_anchor_data=100)
-    return rounded(ex.run_grid(ex.embeddings(spark, d), combos, [0, 1], base), "score", "even_mean", "odd_mean", "ind_mean", digits=4)
+    return rounded(ex.run_grid(ex.embeddings(spark, d), combos, [0, 1], base), "score", "even_mean", "odd_mean", "ind_mean", "even_ind_mean", "odd_ind_mean", digits=4)
+
+
+@query()
+def best_reduction_parameter(spark, d):
+    """Each institution's best kernel width, and what its own model reaches with it."""
+    return rounded(ex.best_ratios(ex.embeddings(spark, d), ex.Config(F_type="kernel_pca_self_tuning", dim_intermediate=10), (0.1, 1.0, 10.0)), "score", digits=4)
 
 
 @query()

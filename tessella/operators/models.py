@@ -1,8 +1,9 @@
 """Models on aligned rows, and the baselines they are compared with.
 
 The integrated model is fitted once on all institutions' training rows with Spark ML and evaluated by institution. Models that stay
-inside one institution are small numpy fits in a grouped map. Spark ML's network has a sigmoid hidden layer and no early stop, and it has no
-RBF machine: ``mlp`` and ``svm`` stand for the closest it has (``svm`` adds Fourier features of the kernel before a linear machine).
+inside one institution are small numpy fits in a grouped map. ``mlp`` is a relu layer of 256 units that stops early, trained in parts whose
+parameters are averaged. Spark ML has no RBF machine: ``svm`` adds Fourier features of the kernel before a linear one. The margins of both
+machines become probabilities by a logistic fit for each class.
 """
 
 from __future__ import annotations
@@ -11,13 +12,13 @@ from functools import partial
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.classification import LinearSVC, LogisticRegression, MultilayerPerceptronClassifier, OneVsRest, RandomForestClassifier
+from pyspark.ml.classification import LinearSVC, LogisticRegression, OneVsRest, RandomForestClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import metrics
+from . import federated, metrics
 from .reduce import matrix
 
 MODELS = ("softmax", "random_forest", "svm_linear", "svm", "mlp", "linear_regression", "gbt_regression")
@@ -62,19 +63,37 @@ def fit_and_score(train: DataFrame, test: DataFrame, model: str, n_classes: int,
     elif model in ("svm", "svm_linear"):
         est = OneVsRest(classifier=LinearSVC(regParam=1 / (c * max(train.count(), 1)), maxIter=100, standardization=False), rawPredictionCol="rawPrediction", **common)
     elif model == "mlp":
-        width = len(train.select("features").first()[0])
-        est = MultilayerPerceptronClassifier(layers=[width, 64, n_classes], seed=seed, maxIter=100, **common)
+        return federated.relu_network(train_z, test_z, n_classes, seed)
     elif model in ("linear_regression", "gbt_regression"):
         est = LinearRegression(solver="normal", **common) if model == "linear_regression" else GBTRegressor(maxIter=30, seed=seed, **common)
         out = est.fit(train_x).transform(test_x)
         return out.withColumn("scores", F.array("prediction")).withColumn("predicted", F.col("prediction")).drop("x", "y", "prediction")
     else:
         raise ValueError(f"unknown model {model!r}: one of {MODELS}")
-    out = est.fit(train_x).transform(test_x)
+    fitted = est.fit(train_x)
+    out = fitted.transform(test_x)
+    if model in ("svm", "svm_linear"):
+        p = margin_probabilities(fitted.transform(train_x), out, n_classes)
+        return p.withColumn("predicted", F.col("prediction").cast("int")).select(*test.columns, "scores", "predicted")
     raw = "probability" if "probability" in out.columns else "rawPrediction"
     return out.withColumn("scores", vector_to_array(raw)).withColumn("predicted", F.col("prediction").cast("int")).select(*test.columns, "scores", "predicted")
 
 
+def margin_probabilities(train: DataFrame, rows: DataFrame, n_classes: int) -> DataFrame:
+    """``rows`` with ``scores``: each class's margin through a logistic fit on the training margins, scaled to sum to one."""
+    fits = []
+    for c in range(n_classes):
+        own = lambda df, c=c: df.withColumn("__m", array_to_vector(F.array(vector_to_array("rawPrediction")[c])))
+        both = own(train).select("__m", (F.col("y") == c).cast("double").alias("__y"))
+        model = LogisticRegression(featuresCol="__m", labelCol="__y", maxIter=50).fit(both)
+        fits.append((float(model.coefficients[0]), float(model.intercept)))
+    margins = vector_to_array("rawPrediction")
+    each = F.array(*[1 / (1 + F.exp(-(F.lit(a) * margins[c] + F.lit(b)))) for c, (a, b) in enumerate(fits)])
+    out = rows.withColumn("__p", each)
+    total = F.aggregate("__p", F.lit(0.0), lambda s, v: s + v)
+    return out.withColumn("scores", F.transform("__p", lambda v: v / F.greatest(total, F.lit(1e-300)))).drop("__p")
+
+
 def evaluate(scored: DataFrame, metric: str, n_classes: int, keys: tuple[str, ...] = ()) -> DataFrame:
     """keys, score. auc: binary, or the mean of one against the rest."""
     if metric == "auc":

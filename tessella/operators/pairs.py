@@ -101,31 +101,31 @@ def self_tuning_gamma(df: DataFrame, reference: DataFrame, key: str, vector: str
     return half.crossJoin(whole).select("n", F.col("median").alias("gamma_median"), "gamma_mean")  # one row each
 
 
-def _pair_squares(y: np.ndarray, lo: int) -> np.ndarray:
-    """Squared distances of rows lo .. lo + BLOCK - 1 to all later rows."""
-    d = squared_distances(y[lo : lo + BLOCK], y[lo:])
+def _pair_squares(y: np.ndarray, lo: int, block: int) -> np.ndarray:
+    """Squared distances of rows lo .. lo + block - 1 to all later rows."""
+    d = squared_distances(y[lo : lo + block], y[lo:])
     return d[np.arange(d.shape[1])[None, :] > np.arange(d.shape[0])[:, None]]
 
 
-def _counts(frames: Iterator[pd.DataFrame], vectors, low: float, high: float) -> Iterator[pd.DataFrame]:
+def _counts(frames: Iterator[pd.DataFrame], vectors, block: int, n_bins: int, low: float, high: float) -> Iterator[pd.DataFrame]:
     for f in frames:
         for lo in f["lo"]:
-            d = _pair_squares(vectors.value, lo)
+            d = _pair_squares(vectors.value, lo, block)
             inside = d[(d >= low) & (d <= high)]
-            bins = np.minimum(((inside - low) * (BINS / (high - low))).astype(np.int64), BINS - 1)
-            counts = np.bincount(bins, minlength=BINS)
+            bins = np.minimum(((inside - low) * (n_bins / (high - low))).astype(np.int64), n_bins - 1)
+            counts = np.bincount(bins, minlength=n_bins)
             used = np.flatnonzero(counts)
-            least, most = np.full(BINS, np.inf), np.full(BINS, -np.inf)
+            least, most = np.full(n_bins, np.inf), np.full(n_bins, -np.inf)
             np.minimum.at(least, bins, inside)
             np.maximum.at(most, bins, inside)
             yield pd.DataFrame({"bin": used, "n": counts[used], "least": least[used], "most": most[used]})
 
 
-def _order_statistic(spark, blocks: DataFrame, vectors, rank: int, low: float, high: float) -> float:
+def _order_statistic(blocks: DataFrame, vectors, rank: int, low: float, high: float) -> float:
     """The value of that 0-based rank among all pairs' squares: the bin that holds it is split until it holds one value."""
     below = 0
     while True:
-        found = blocks.mapInPandas(partial(_counts, vectors=vectors, low=low, high=high), "bin long, n long, least double, most double")
+        found = blocks.mapInPandas(partial(_counts, vectors=vectors, block=BLOCK, n_bins=BINS, low=low, high=high), "bin long, n long, least double, most double")
         bins = found.groupBy("bin").agg(F.sum("n").alias("n"), F.min("least").alias("least"), F.max("most").alias("most")).orderBy("bin").collect()  # at most BINS
         for b in bins:
             if below + b["n"] > rank:
@@ -150,8 +150,8 @@ def median_gammas(reference: DataFrame, key: str, vector: str) -> DataFrame:
     y = np.array(ref[vector].tolist(), float)
     vectors, blocks = spark.sparkContext.broadcast(y), spark.range(0, len(y), BLOCK).select(F.col("id").alias("lo")).repartition(max(1, len(y) // BLOCK))
     top = 4 * float((y * y).sum(axis=1).max()) + 1e-9
-    lower = _order_statistic(spark, blocks, vectors, (n - 1) // 2, 0.0, top)
-    upper = lower if n % 2 else _order_statistic(spark, blocks, vectors, n // 2, 0.0, top)
+    lower = _order_statistic(blocks, vectors, (n - 1) // 2, 0.0, top)
+    upper = lower if n % 2 else _order_statistic(blocks, vectors, n // 2, 0.0, top)
     m, q = (lower**0.5 + upper**0.5) / 2, (lower + upper) / 2
     inverse = lambda x: 1 / x if x > 0 else None
     return spark.createDataFrame([(n, inverse(2 * m * m), inverse(2 * q), inverse(q))], schema)

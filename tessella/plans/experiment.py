@@ -17,7 +17,9 @@ from ..operators import reduce as rd
 from ..operators import split as sp
 from ..session import stable, table
 
-BASELINES = ("centralize", "centralize_dim", "individual", "fl")
+BASELINES = ("centralize", "centralize_dim", "individual", "individual_dim", "fl")
+#: Ratios of the kernel width that a search tries.
+RATIOS = (1e-7, 1e-6, 1e-5, 1e-4, 1e-3, 1e-2, 1e-1, 1.0, 10.0, 100.0, 1000.0)
 
 
 @dataclass(frozen=True)
@@ -78,6 +80,8 @@ def run_once(rows: DataFrame, config: Config) -> DataFrame:
         scored = mo.fit_and_score(pooled.filter("part = 'train'"), pooled.filter("part = 'test'"), config.h_model, classes, config.run_seed)
     elif config.G_type == "individual":
         scored = mo.individual(plain, classes)
+    elif config.G_type == "individual_dim":
+        scored = mo.individual(_own_reduced(dealt, config, dim), classes)
     elif config.G_type == "fl":
         scored = fed.federated(plain, classes, config.run_seed)
     else:
@@ -97,6 +101,25 @@ def run_once(rows: DataFrame, config: Config) -> DataFrame:
     return sizes.join(own, "institution", "left").join(scores, "institution", "left").select("institution", "n_test", "score_individual", "score")
 
 
+def _own_reduced(dealt: DataFrame, config: Config, width: int, ratio: float | None = None) -> DataFrame:
+    """Each institution's rows in its own reduced space: no anchors, nothing shared."""
+    none = an.make_anchors(dealt.sparkSession, 1, width, config.run_seed)
+    reduced = rd.reduce_locally(dealt, none, config.F_type, config.dim_intermediate, config.run_seed, config.gamma_ratio if ratio is None else ratio)
+    return reduced.filter(F.col("part").isin("train", "test")).drop("gamma")
+
+
+def best_ratios(rows: DataFrame, config: Config, ratios: Sequence[float] = RATIOS) -> DataFrame:
+    """(institution, best_param, score): the ratio of the kernel width with which each institution's own model does best; the least one on ties."""
+    dealt, classes = split_rows(rows, config)
+    width, found = len(dealt.select("features").first()[0]), None
+    for ratio in ratios:
+        scored = mo.evaluate(mo.individual(_own_reduced(dealt, config, width, ratio), classes), config.metric, classes, ("institution",))
+        told = scored.select("institution", F.lit(float(ratio)).alias("best_param"), "score")
+        found = told if found is None else found.unionByName(told)
+    order = F.struct(F.coalesce("score", F.lit(-1.0)), -F.col("best_param"))
+    return found.groupBy("institution").agg(F.max_by(F.struct("best_param", "score"), order).alias("b")).select("institution", "b.best_param", "b.score")
+
+
 def run_grid(rows: DataFrame, combos: DataFrame, seeds: Sequence[int] = range(5), base: Config | None = None) -> DataFrame:
     """One row per combination and seed: its parameters, status, error, and means over all, even and odd institutions.
 
@@ -109,16 +132,17 @@ def run_grid(rows: DataFrame, combos: DataFrame, seeds: Sequence[int] = range(5)
     for combo in combos.select(*names).collect():  # the grid is the caller's list of runs
         for seed in seeds:
             config = replace(base, **{k: v for k, v in combo.asDict().items() if v is not None}, run_seed=int(seed))
-            row = {**combo.asDict(), "run_seed": int(seed), "status": "ok", "error": None, "score": None, "even_mean": None, "odd_mean": None, "ind_mean": None}
+            row = {**combo.asDict(), "run_seed": int(seed), "status": "ok", "error": None, "score": None, "even_mean": None, "odd_mean": None, "ind_mean": None, "even_ind_mean": None, "odd_ind_mean": None}
             try:
                 even = F.col("institution") % 2 == 0
-                found = run_once(rows, config).agg(F.avg("score").alias("score"), F.avg(F.when(even, F.col("score"))).alias("even_mean"), F.avg(F.when(~even, F.col("score"))).alias("odd_mean"), F.avg("score_individual").alias("ind_mean")).first()
+                found = run_once(rows, config).agg(F.avg("score").alias("score"), F.avg(F.when(even, F.col("score"))).alias("even_mean"), F.avg(F.when(~even, F.col("score"))).alias("odd_mean"), F.avg("score_individual").alias("ind_mean"),
+                                                   F.avg(F.when(even, F.col("score_individual"))).alias("even_ind_mean"), F.avg(F.when(~even, F.col("score_individual"))).alias("odd_ind_mean")).first()
                 row |= found.asDict()
             except Exception as e:  # noqa: BLE001  a failed run is a result
                 row |= {"status": "failed", "error": str(e)[:300]}
             out.append(row)
     kinds = {f.name: f.dataType.simpleString() for f in combos.schema}
-    schema = ", ".join([*(f"{n} {kinds[n]}" for n in names), "run_seed int, status string, error string, score double, even_mean double, odd_mean double, ind_mean double"])
+    schema = ", ".join([*(f"{n} {kinds[n]}" for n in names), "run_seed int, status string, error string, score double, even_mean double, odd_mean double, ind_mean double, even_ind_mean double, odd_ind_mean double"])
     return rows.sparkSession.createDataFrame([tuple(r.values()) for r in out], schema)
 
 

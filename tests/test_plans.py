@@ -133,3 +133,55 @@ def test_collaboration_beats_chance_and_sees_no_rows_in_the_solve(spark):
     assert len(got) == 3 and all(r["n_test"] == 40 and r["score"] > 0.85 for r in got)
     with pytest.raises(ValueError, match="unknown reduction"):
         rd.reduce_locally(rows, rows, "nothing", 2)
+
+
+def test_exported_tables_and_published_names(spark, tmp_path):
+    (tmp_path / "h.csv").write_text("a,b,MedHouseVal\n1,2,3.5\n4,x,1\n")
+    rows = loaders.load(spark, "housing", [str(tmp_path / "none.csv"), str(tmp_path / "h.csv")]).orderBy("a").collect()
+    assert [r["target"] for r in rows] == ["3.5", "1"] and rows[1]["b"] is None
+    spark.createDataFrame([("CCO", 1)], "Drug string, Y int").write.parquet(str(tmp_path / "t.parquet"))
+    assert loaders.load(spark, "ames", str(tmp_path / "t.parquet")).first().asDict() == {"Drug": "CCO", "target": 1}
+    assert len(loaders.LOADERS) == 30 and "asymmetry_coefficient" in loaders.SEEDS
+
+
+def test_network_machines_and_own_reductions(spark, sf_small):
+    from tessella.operators import models
+
+    rows = experiment.embeddings(spark, sf_small)
+    plain = rows.withColumn("side", F.pmod(F.xxhash64("row_id"), F.lit(3)))
+    train, test = plain.filter("side > 0").drop("side"), plain.filter("side = 0").drop("side")
+    for model in ("mlp", "svm_linear"):
+        scored = models.fit_and_score(train, test, model, 4).collect()
+        assert all(abs(sum(r["scores"]) - 1) < 1e-6 for r in scored)
+        assert sum(r["predicted"] == r["target"] for r in scored) > 0.6 * len(scored), model
+    own = experiment.run_once(rows, experiment.Config(G_type="individual_dim", dim_intermediate=20)).collect()
+    assert len(own) == 5 and all(0 <= r["score"] <= 1 for r in own)
+    best = experiment.best_ratios(rows, experiment.Config(F_type="kernel_pca_self_tuning", dim_intermediate=10), (0.1, 1.0)).collect()
+    assert len(best) == 5 and all(r["best_param"] in (0.1, 1.0) for r in best)
+
+
+def test_moments_far_from_zero_and_neighbours_in_blocks(spark, monkeypatch):
+    import numpy as np
+
+    from tessella.operators import pairs
+
+    x = 1e9 + np.random.default_rng(3).normal(size=500)
+    got = metrics.moments(spark.createDataFrame([(i % 7, float(v)) for i, v in enumerate(x)], "i int, x double"), F.col("i"), ["x"]).first()
+    assert abs(got["var"] - x.var()) < 1e-4 and abs(got["mean"] - x.mean()) < 1e-5
+    rows = spark.createDataFrame([(i, [float(v) for v in np.random.default_rng(i).normal(size=4)]) for i in range(90)], "k long, v array<double>")
+    whole = sorted(map(tuple, pairs.nearest(rows, rows, 3, "k", "v").collect()))
+    monkeypatch.setattr(pairs, "MAX_REFERENCE", 40)
+    assert sorted(map(tuple, pairs.nearest(rows, rows, 3, "k", "v").collect())) == whole
+    y = np.array([r["v"] for r in rows.collect()])
+    monkeypatch.setattr(pairs, "MAX_REFERENCE", 20_000)
+    monkeypatch.setattr(pairs, "BLOCK", 25)
+    monkeypatch.setattr(pairs, "BINS", 8)
+    q = np.sort([((a - b) ** 2).sum() for i, a in enumerate(y) for b in y[i + 1 :]])
+    got = pairs.median_gammas(rows, "k", "v").first()
+    assert got["n_pairs"] == len(q) and abs(got["gamma_median_of_squares"] - 1 / np.median(q)) < 1e-9 and abs(got["gamma_half_median_squared"] - 1 / (2 * np.median(np.sqrt(q)) ** 2)) < 1e-9
+
+
+def test_imputation_in_blocks(spark):
+    rows = spark.createDataFrame([(i, float(i * 7 % 31), float(i) if i % 5 else None) for i in range(200)], "k long, a double, b double")
+    whole = sorted(map(tuple, prep.knn_impute(rows, "k", ["a", "b"]).collect()))
+    assert sorted(map(tuple, prep.knn_impute(rows, "k", ["a", "b"], block=30).collect())) == whole
