@@ -41,7 +41,9 @@ def repeat_words(words: Column) -> Column:
             F.lit(0), lambda a, b: a + b))
         return F.when(F.size(F.array_distinct(grams)) < F.size(grams), covered).otherwise(F.lit(0))
 
-    grams = F.when(F.size(words) >= WINDOW, F.transform(F.sequence(F.lit(1), F.size(words) - (WINDOW - 1)), lambda i: F.xxhash64(F.slice(words, i, WINDOW)))).otherwise(F.array().cast("array<bigint>"))
+    # each word is hashed once; a window's hash is that of its words' hashes
+    hashes = F.transform(words, lambda w: F.xxhash64(w))
+    grams = let(hashes, lambda h: F.when(F.size(h) >= WINDOW, F.transform(F.sequence(F.lit(0), F.size(h) - WINDOW), lambda i: F.xxhash64(*[F.get(h, i + k) for k in range(WINDOW)]))).otherwise(F.array().cast("array<bigint>")))
     return let(grams, by_grams)
 
 

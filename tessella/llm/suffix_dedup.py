@@ -14,7 +14,7 @@ class numbers (running counts of short neighbours), so each o is one sort of pai
 Suffixes with more than HOT occurrences of one first gram do not meet in one part: their 400-byte strings are counted by a
 128-bit digest in a map-side aggregate instead. Copies of a whole text are one row from the start.
 
-Defined results: null and empty texts have 0 bytes; texts under 400 bytes keep all; repeated rows count as copies of each
+Defined results: null and empty texts have 0 bytes; texts under 400 bytes keep all; very long texts are read whole; repeated rows count as copies of each
 other; matches never cross documents; an empty table gives no rows; other columns are ignored.
 """
 
@@ -154,13 +154,11 @@ def _repeats(rows: pd.DataFrame) -> pd.DataFrame:
     """Merge the runs of one part; spans of bytes that repeated strings cover."""
     tables = [pa.ipc.open_stream(r).read_all() for r in rows["run"]]
     runs = [(t.column("shared").to_pylist(), t.column("rest").to_pylist()) for t in tables]
-    order, shared, singles = [], [], True
-    strings = []
+    order, shared = [], []
     offset = np.cumsum([0, *(len(t) for t in tables)])
-    for run, at, string, known in merged(runs):
+    for run, at, _, known in merged(runs):  # strings are rebuilt one at a time and not kept
         order.append(offset[run] + at)
         shared.append(known - 8)
-        strings.append(string)
     whole = pa.concat_tables(tables).select(["left", "key", "at", "first", "last"]).take(pa.array(np.array(order, np.int64)))
     at, first, last = (whole.column(c).to_numpy().astype(np.int64) for c in ("at", "first", "last"))
     low, high = repeated_windows(np.array(shared, np.int64), whole.column("left").to_pylist(), at, first, last)
@@ -214,25 +212,24 @@ def _digests(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _kept(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in rows:
         out = []
-        for t, copies, spans in zip(texts_of(part), part.column("copies").to_pylist(), part.column("spans").to_pylist(), strict=True):
-            kept, end, removed, n_spans = [], 0, 0, 0
+        for t, copies, found in zip(texts_of(part), part.column("copies").to_pylist(), part.column("spans").to_pylist(), strict=True):
             if copies > 1 and len(t) >= WINDOW:
-                spans = [{"low": 0, "high": len(t)}]
-            for s in sorted(spans or [], key=lambda s: s["low"]):
-                if s["low"] > end or not n_spans:
-                    kept.append(t[end : s["low"]])
-                    n_spans += 1
-                    removed += s["high"] - s["low"]
+                found = [{"low": 0, "high": len(t)}]
+            spans: list[list[int]] = []
+            for s in sorted(found or [], key=lambda s: s["low"]):
+                if spans and s["low"] <= spans[-1][1]:
+                    spans[-1][1] = max(spans[-1][1], s["high"])
                 else:
-                    removed += max(0, s["high"] - end)
-                end = max(end, s["high"])
-            out.append((len(t), removed, n_spans, b"".join(kept) + t[end:]))
-        columns = {c: np.array([x[i] for x in out], np.int64) for i, c in enumerate(("n_bytes", "n_removed", "n_spans"))}
-        yield batch(key=part.column("key"), **columns, kept_sha256=[hashlib.sha256(x[3]).hexdigest() for x in out])
+                    spans.append([s["low"], s["high"]])
+            edges = [0, *(x for s in spans for x in s), len(t)]
+            kept = b"".join(t[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
+            out.append((len(t), len(t) - len(kept), [{"low": a, "high": b} for a, b in spans], kept))
+        yield batch(key=part.column("key"), n_bytes=np.array([x[0] for x in out], np.int64), n_removed=np.array([x[1] for x in out], np.int64),
+                    spans=pa.array([x[2] for x in out], pa.list_(pa.struct([("low", pa.int32()), ("high", pa.int32())]))), kept=pa.array([x[3] for x in out], pa.binary()))
 
 
-def suffix_dedup(docs: DataFrame, hot: int = HOT) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256: one row per document."""
+def repeats_removed(docs: DataFrame, hot: int = HOT) -> DataFrame:
+    """key, n_bytes, n_removed, spans (low, high of removed bytes, high not included), kept (bytes): one row per distinct text."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "suffixes")
     texts = distinct_texts(docs, scratch)
@@ -243,6 +240,7 @@ def suffix_dedup(docs: DataFrame, hot: int = HOT) -> DataFrame:
     parts = 4 * shuffle_partitions(spark)
     runs = scratch.save(arrow_map(calm, partial(_runs, parts=parts, grams=ByteGrams), "part int, run binary"), "runs")
     spans = scratch.save(runs.groupBy("part").applyInPandas(_repeats, SPANS), "spans")
+    scratch.drop("runs")
 
     busy = suspects.select("key", raw, F.filter("spots", lambda s: s["n"] > hot).alias("spots")).filter("size(spots) > 0")
     strings = scratch.save(arrow_map(busy, _digests, "digest binary, key binary, at int"), "strings")
@@ -250,6 +248,18 @@ def suffix_dedup(docs: DataFrame, hot: int = HOT) -> DataFrame:
     spans = spans.union(strings.join(again, "digest", "left_semi").select("key", F.col("at").alias("low"), (F.col("at") + WINDOW).alias("high")))
 
     by_text = scratch.save(spans.groupBy("key").agg(F.collect_list(F.struct("low", "high")).alias("spans")), "by_text")
+    scratch.keep_only("texts", "by_text")
     cut = texts.join(by_text.hint("shuffle_hash"), "key", "left").select("key", "copies", raw, "spans")
-    done = scratch.save(arrow_map(cut, _kept, "key binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string"), "done")
+    return arrow_map(cut, _kept, "key binary, n_bytes long, n_removed long, spans array<struct<low int, high int>>, kept binary")
+
+
+def deduplicated(docs: DataFrame, hot: int = HOT) -> DataFrame:
+    """doc_id, kept (the bytes that stay), spans: one row per document."""
+    done = repeats_removed(docs, hot).select("key", "kept", "spans")
+    return docs.select(F.col("doc_id").alias("doc_id"), text_key("text")).join(done, "key").drop("key")
+
+
+def suffix_dedup(docs: DataFrame, hot: int = HOT) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256: one row per document."""
+    done = repeats_removed(docs, hot).select("key", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
     return docs.select(F.col("doc_id").alias("doc_id"), text_key("text")).join(done, "key").drop("key")

@@ -10,12 +10,12 @@ from tessella.llm import suffix_dedup as sd
 
 def brute(rows, w=400):
     texts = [(d, (t or "").encode()) for d, t in rows]
-    seen = Counter(t[i : i + w] for _, t in texts for i in range(len(t) - w + 1))
+    seen = Counter(hash(t[i : i + w]) for _, t in texts for i in range(len(t) - w + 1))
     out = []
     for d, t in texts:
         gone = bytearray(len(t))
         for i in range(len(t) - w + 1):
-            if seen[t[i : i + w]] > 1:
+            if seen[hash(t[i : i + w])] > 1:
                 gone[i : i + w] = b"\1" * w
         spans = sum(1 for i, g in enumerate(gone) if g and not (i and gone[i - 1]))
         out.append((d, len(t), sum(gone), spans, hashlib.sha256(bytes(b for b, g in zip(t, gone) if not g)).hexdigest()))
@@ -26,8 +26,8 @@ def run(df, **k):
     return sorted((tuple(r[c] for c in ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")) for r in sd.suffix_dedup(df, **k).collect()), key=str)
 
 
-def test_whole_table_against_brute_force(spark, sf_small):
-    docs = spark.read.parquet(f"{sf_small}/documents.parquet")
+def test_whole_table_against_brute_force(spark, sf_mid):
+    docs = spark.read.parquet(f"{sf_mid}/documents.parquet")
     assert run(docs) == brute([(r["doc_id"], r["text"]) for r in docs.collect()])
 
 
@@ -47,6 +47,12 @@ def test_edges(spark):
     assert run(df.limit(0)) == []
 
 
+def test_kept_bytes_and_spans(spark):
+    p = "".join(chr(97 + (i * i + i // 7) % 26) for i in range(450))
+    got = {r["doc_id"]: (bytes(r["kept"]), [tuple(s) for s in r["spans"]]) for r in sd.deduplicated(spark.createDataFrame([(1, "ä" + p + "z"), (2, p + "9"), (3, None)], "doc_id long, text string")).collect()}
+    assert got == {1: ("äz".encode(), [(2, 452)]), 2: (b"9", [(0, 450)]), 3: (b"", [])}
+
+
 def test_hot_grams_agree(spark):
     rows = edge_rows()
     assert run(spark.createDataFrame(rows, "doc_id long, text string"), hot=3) == brute(rows)
