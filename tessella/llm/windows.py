@@ -54,9 +54,10 @@ def suspicious_spots(texts: DataFrame, scratch: Scratch, grams: Callable[[], Gra
     """
     anchors = arrow_map(texts.select("key", F.col("text").cast("binary").alias("text")), partial(anchors_of, grams=grams, window=window, gram_size=gram_size), ANCHORS)
     anchors = scratch.save(anchors, "anchors")
-    twice = anchors.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    # saved, so that the join below has two plain shuffles, of which a hot gram's can be split
+    twice = scratch.save(anchors.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "twice")
     told = ["at", "first", "last", *["gram", "n"] * with_counts]
     spots = anchors.join(twice, "gram").groupBy("key").agg(F.collect_list(F.struct(*told)).alias("spots"))
     spots = scratch.save(spots, "spots")
-    scratch.drop("anchors")
+    scratch.drop("anchors", "twice")
     return spots
