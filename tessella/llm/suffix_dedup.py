@@ -244,7 +244,8 @@ def repeats_removed(docs: DataFrame, hot: int = HOT) -> DataFrame:
 
     busy = suspects.select("key", raw, F.filter("spots", lambda s: s["n"] > hot).alias("spots")).filter("size(spots) > 0")
     strings = scratch.save(arrow_map(busy, _digests, "digest binary, key binary, at int"), "strings")
-    again = strings.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("digest")
+    # saved, so that the join below has two plain shuffles, of which a hot digest's can be split
+    again = scratch.save(strings.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("digest"), "again")
     spans = spans.union(strings.join(again, "digest", "left_semi").select("key", F.col("at").alias("low"), (F.col("at") + WINDOW).alias("high")))
 
     by_text = scratch.save(spans.groupBy("key").agg(F.collect_list(F.struct("low", "high")).alias("spans")), "by_text")
