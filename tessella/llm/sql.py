@@ -45,13 +45,25 @@ FROM judged j JOIN verdicts v ON j.host IS NOT DISTINCT FROM v.host
 
 
 def _license_sql() -> str:
-    names = sorted(license_scan.TEMPLATES)
+    names = license_scan.by_size(license_scan.TEMPLATES)
     quoted = lambda s: "'" + s.replace("'", "''") + "'"
     rows = ", ".join(f"({i}, {quoted(n)}, [{', '.join(map(quoted, sorted(license_scan.bigrams(license_scan.TEMPLATES[n]))))}])" for i, n in enumerate(names))
+    anchors = ", ".join(f"({quoted(g)}, {i}, {p}, {len(license_scan.normalised_words(license_scan.TEMPLATES[n]))})" for i, n in enumerate(names) for g, p in license_scan.anchor_bigrams(license_scan.TEMPLATES[n], license_scan.THRESHOLD))
     return rf"""
 WITH templates(place, license, grams) AS (VALUES {rows}
+), anchors(gram, place, off, n) AS (VALUES {anchors}
 ), docs AS (
   SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents
+), words AS (
+  SELECT rid, string_split(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')), ' ') AS ws FROM docs
+), laid AS (
+  SELECT DISTINCT rid, place, n, greatest(i - off, 0) AS start
+  FROM (SELECT rid, i, ws[i + 1] || ' ' || ws[i + 2] AS gram FROM (SELECT rid, ws, unnest(range(len(ws) - 1)) AS i FROM words)) JOIN anchors USING (gram)
+), windows AS (
+  SELECT rid, place, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g
+  FROM (SELECT rid, place, list_slice(ws, start + 1, start + n) AS w FROM laid JOIN words USING (rid))
+), near AS (
+  SELECT rid, place, license, 2 * len(list_intersect(g, grams)) / (len(g) + len(grams)) AS dice FROM windows JOIN templates USING (place)
 ), units AS (
   SELECT DISTINCT rid, trim(regexp_replace(lower(unit), '[^a-z0-9]+', ' ', 'g')) AS unit FROM (
     SELECT rid, unnest(string_split(text, chr(10))) AS unit FROM docs
@@ -61,10 +73,13 @@ WITH templates(place, license, grams) AS (VALUES {rows}
 ), scored AS (
   SELECT rid, unit, place, license, 2 * len(list_intersect(g, grams)) / (len(g) + len(grams)) AS dice FROM grams, templates
   WHERE len(g) BETWEEN 1 AND 2 * len(grams) AND 2 * len(g) >= len(grams)
+), found AS (
+  SELECT rid, unit, arg_min(place, (-dice, place)) AS place, arg_min(license, (-dice, place)) AS license, max(dice) AS dice FROM scored WHERE dice >= {license_scan.THRESHOLD} GROUP BY rid, unit
+  UNION ALL SELECT rid, NULL, place, license, dice FROM near WHERE dice >= {license_scan.THRESHOLD}
 ), best AS (
-  SELECT rid, count(DISTINCT unit) AS n_matches, arg_min(license, (-dice, place)) AS license, max(dice) AS dice FROM scored WHERE dice >= {license_scan.THRESHOLD} GROUP BY rid
+  SELECT rid, count(DISTINCT unit) AS n_matches, count(DISTINCT place) AS n_licenses, arg_min(license, (-dice, place)) AS license, max(dice) AS dice FROM found GROUP BY rid
 )
-SELECT doc_id, license, round(coalesce(dice, 0.0), 6) AS dice, coalesce(n_matches, 0)::BIGINT AS n_matches FROM docs LEFT JOIN best USING (rid)
+SELECT doc_id, license, round(coalesce(dice, 0.0), 6) AS dice, coalesce(n_matches, 0)::BIGINT AS n_matches, coalesce(n_licenses, 0)::BIGINT AS n_licenses FROM docs LEFT JOIN best USING (rid)
 """
 
 

@@ -230,3 +230,22 @@ def test_licences(spark):
         grams = license_scan.bigrams(text)
         free = {g for g in grams if not set(g.split()) & set(names)}
         assert len(free) < license_scan.THRESHOLD / (2 - license_scan.THRESHOLD) * len(grams)
+
+
+def test_licences_within_other_text(spark):
+    t, words = license_scan.TEMPLATES, license_scan.normalised_words
+    wrapped = lambda name: "\n".join(" ".join(w) for w in [t[name].split()[i : i + 9] for i in range(0, len(t[name].split()), 9)])
+    rows = [(1, f"import x\n{wrapped('Apache-2.0-header')}\nx.run()\n" + "more words here " * 200),
+            (2, "intro " * 40 + "This page is released under the MIT License, as ever. " + "outro " * 40),
+            (3, "lead in\n" + wrapped("MIT-full") + "\ncode " * 300), (4, wrapped("BSD-3-Clause-full")), (5, "a\n" + wrapped("Zlib").replace("acknowledgment", "thanks") + "\nb"),
+            (6, "the software under the license " * 20000), (7, None), (8, ""), (9, "License"), (9, "License")]
+    got = {r["doc_id"]: r for r in license_scan.license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[i]["license"] for i in range(1, 10)] == ["Apache-2.0-header", "MIT", "MIT-full", "BSD-3-Clause-full", "Zlib", None, None, None, None]
+    assert got[1]["dice"] == got[2]["dice"] == got[3]["dice"] == 1.0 and 0.9 < got[5]["dice"] < 1.0
+    assert got[1]["n_licenses"] == 2  # the short notice lies within the header
+    assert got[2]["n_matches"] == 0 and got[2]["n_licenses"] == 1
+    assert got[6]["n_licenses"] == got[7]["n_licenses"] == 0
+    for name, text in t.items():  # so many bigrams that no match can do without all of them
+        chosen = {g for g, _ in license_scan.anchor_bigrams(text, license_scan.THRESHOLD)}
+        assert len(license_scan.bigrams(text) - chosen) < license_scan.THRESHOLD / (2 - license_scan.THRESHOLD) * len(license_scan.bigrams(text)), name
+        assert all(words(text)[p : p + 2] == g.split() for g, p in license_scan.anchor_bigrams(text, license_scan.THRESHOLD))
