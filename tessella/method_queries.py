@@ -103,6 +103,7 @@ def _run(name: str, **settings):
 
 _run("collaboration_imakura")
 _run("collaboration_gep_weighted", G_type="GEP_weighted", dim_intermediate=20)
+_run("collaboration_joint", G_type="mlp_objective", dim_intermediate=20, joint_rounds=20)
 _run("collaboration_nonlinear", G_type="nonlinear", F_type="kernel_pca_svd_mixed", dim_intermediate=20)
 _run("baseline_centralize", G_type="centralize")
 _run("baseline_centralize_reduced", G_type="centralize_dim")

@@ -12,6 +12,7 @@ from ..functions.linalg import eigen_weights
 from ..operators import anchors as an
 from ..operators import federated as fed
 from ..operators import integrate as ig
+from ..operators import joint
 from ..operators import models as mo
 from ..operators import reduce as rd
 from ..operators import split as sp
@@ -40,6 +41,8 @@ class Config:
     gamma_ratio: float = 1.0
     gamma_ratio_krr: float = 1.0
     nl_lambda: float = 0.1
+    weight_pred: float = 1.0
+    joint_rounds: int = 100
     split_seed: int = 42
     run_seed: int = 0
 
@@ -91,7 +94,11 @@ def run_once(rows: DataFrame, config: Config) -> DataFrame:
             ranges = long.select(F.lpad(F.col("i").cast("string"), 8, "0").alias("feature"), "low", "high")
         anchors = an.make_anchors(rows.sparkSession, config.num_anchor_data, dim, config.run_seed, config.anchor_method, ranges)
         reduced = stable(rd.reduce_locally(dealt, anchors, config.F_type, k, config.run_seed, config.gamma_ratio))
-        shared, maps = ig.integrate(reduced, config.dim_integrate or k, config.G_type, penalty=config.nl_lambda, width=config.gamma_type, width_ratio=config.gamma_ratio_krr)
+        if config.G_type == "mlp_objective":
+            maps, _ = joint.joint_maps(reduced, config.dim_integrate or k, classes, config.weight_pred, rounds=config.joint_rounds, seed=config.run_seed)
+            shared = ig.project(reduced, maps)
+        else:
+            shared, maps = ig.integrate(reduced, config.dim_integrate or k, config.G_type, penalty=config.nl_lambda, width=config.gamma_type, width_ratio=config.gamma_ratio_krr)
         shared = stable(shared)
         weights = eigen_weights(maps.values) if config.G_type == "GEP_weighted" else None
         scored = mo.fit_and_score(shared.filter("part = 'train'"), shared.filter("part = 'test'"), config.h_model, classes, config.run_seed, weights=weights)

@@ -1,5 +1,6 @@
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -185,3 +186,46 @@ def test_imputation_in_blocks(spark):
     rows = spark.createDataFrame([(i, float(i * 7 % 31), float(i) if i % 5 else None) for i in range(200)], "k long, a double, b double")
     whole = sorted(map(tuple, prep.knn_impute(rows, "k", ["a", "b"]).collect()))
     assert sorted(map(tuple, prep.knn_impute(rows, "k", ["a", "b"], block=30).collect())) == whole
+
+
+def test_joint_training_of_maps_and_network(spark, sf_small):
+    from tessella.operators import anchors as an
+    from tessella.operators import joint
+    from tessella.session import stable
+
+    dealt, classes = experiment.split_rows(experiment.embeddings(spark, sf_small), experiment.Config())
+    reduced = stable(rd.reduce_locally(dealt, an.make_anchors(spark, 60, 64, 0), "svd", 8))
+    maps, losses = joint.joint_maps(reduced, 6, classes, hidden=32, rounds=15, rate=1e-2)
+    assert len(losses) > 1 and losses[-1] < losses[0]
+    images, _ = joint.images_of(reduced)
+    _, b, cuts = joint.anchor_matrices(images)
+    v = np.vstack([maps.linear[i] for i in sorted(cuts)])
+    assert np.allclose((v * (b @ v)).sum(axis=0), 1)
+    only_anchors, kept = joint.joint_maps(reduced, 6, classes, weight_pred=0.0, hidden=8, rounds=5)
+    assert np.isclose(kept[0], only_anchors.values.sum(), rtol=1e-4)  # it starts from the generalised eigenvectors
+
+
+def test_joint_gradients_against_differences():
+    from tessella.operators import joint
+    from tessella.operators.federated import start
+
+    rng = np.random.default_rng(0)
+    images = {i: rng.normal(size=(20, 4)) for i in range(3)}
+    a, b, cuts = joint.anchor_matrices(images, 0.0)
+    v = rng.normal(size=(12, 2))
+    pairs = sum(((images[i] @ v[cuts[i]] - images[j] @ v[cuts[j]]) ** 2).sum() for i in range(3) for j in range(3))
+    value, grad = joint.anchor_loss(v, a, b, 1.0, 0.0)
+    assert np.isclose(value, pairs)
+    value, grad = joint.anchor_loss(v, a, b, 0.7, 0.3)
+    step = np.zeros_like(v)
+    step[5, 1] = 1e-6
+    assert np.isclose((joint.anchor_loss(v + step, a, b, 0.7, 0.3)[0] - joint.anchor_loss(v - step, a, b, 0.7, 0.3)[0]) / 2e-6, grad[5, 1], rtol=1e-4)
+    shape, x, y, g = (2, 5, 3), rng.normal(size=(9, 4)), rng.integers(0, 3, 9), rng.normal(size=(4, 2))
+    flat = start(*shape, 1)
+    loss, dn, dg = joint.row_gradients(flat, g, x, y, shape)
+    for at in (0, 7, len(flat) - 1):
+        e = np.eye(len(flat))[at] * 1e-6
+        assert np.isclose((joint.row_gradients(flat + e, g, x, y, shape)[0] - joint.row_gradients(flat - e, g, x, y, shape)[0]) / 2e-6, dn[at], rtol=1e-4, atol=1e-6)
+    e = np.zeros_like(g)
+    e[2, 1] = 1e-6
+    assert np.isclose((joint.row_gradients(flat, g + e, x, y, shape)[0] - joint.row_gradients(flat, g - e, x, y, shape)[0]) / 2e-6, dg[2, 1], rtol=1e-4)
