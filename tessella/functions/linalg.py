@@ -207,39 +207,3 @@ def top_singular(a: np.ndarray, rounds: int = 60, tolerance: float = 1e-7, seed:
 def linear_inversion(image: np.ndarray, anchors: np.ndarray, private: np.ndarray) -> np.ndarray:
     """Rows recovered from their private images by the linear map that the anchors give away."""
     return private @ np.linalg.pinv(np.linalg.pinv(anchors) @ image)
-
-
-def forward_selection(vectors: np.ndarray, y: np.ndarray, p: int) -> list[int]:
-    """p columns, one by one, each with the greatest score statistic of a multinomial model given those before it.
-
-    The score of a column is what it correlates with the residuals of the class shares, once the chosen columns are
-    regressed out, summed over classes.
-    """
-    classes = np.unique(y)
-    onehot = (y[:, None] == classes).astype(float)
-    residual, chosen = onehot - onehot.mean(axis=0), []
-    centred = vectors - vectors.mean(axis=0)
-    for _ in range(min(p, vectors.shape[1])):
-        size = np.maximum((centred**2).sum(axis=0), 1e-12)
-        score = ((centred.T @ residual) ** 2).sum(axis=1) / size
-        score[chosen] = -1
-        best = int(score.argmax())
-        chosen.append(best)
-        q = centred[:, best] / np.sqrt(size[best])
-        residual = residual - np.outer(q, q @ residual)
-        centred = centred - np.outer(q, q @ centred)
-    return chosen
-
-
-def backward_elimination(vectors: np.ndarray, y: np.ndarray, p: int) -> list[int]:
-    """p columns left after dropping, one by one, the one whose loss raises the residual sum of squares least."""
-    left = list(range(vectors.shape[1]))
-    target = (y[:, None] == np.unique(y)).astype(float) if y.dtype.kind in "iuSUO" else y[:, None]
-
-    def rss(columns: list[int]) -> float:
-        x = np.column_stack([np.ones(len(vectors)), vectors[:, columns]])
-        return float(((target - x @ np.linalg.lstsq(x, target, rcond=None)[0]) ** 2).sum())
-
-    while len(left) > p:
-        left.remove(min(left, key=lambda c: (rss([x for x in left if x != c]), c)))
-    return left

@@ -92,6 +92,23 @@ for _m in ig.METHODS:
     QUERIES[f"integrate_{_m}"] = _aligned(_m)
 
 
+def _selected(rule: str):
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        anchors = an.make_anchors(spark, 100, 64, 2)
+        reduced = stable(rd.reduce_locally(dealt(spark, d), anchors, "svd", 12))
+        labels = ex.derived_target(anchors.filter("anchor_set = 'anchor'")).select("anchor_id", "target").toPandas().sort_values("anchor_id")  # 100 anchors
+        shared, _ = ig.integrate(reduced, 10, "targetvec", anchor_target=labels["target"].to_numpy(), selection=rule)
+        images = shared.filter("part = 'anchor_test'").select("institution", F.col("row_id").alias("anchor_id"), "features")
+        return rounded(pairs.alignment_pairs(stable(images)), "sum", "mean", "max")
+
+    run.__name__ = f"integrate_targetvec_{rule}_selection"
+    return run
+
+
+for _m in ("forward", "backward"):
+    QUERIES[f"integrate_targetvec_{_m}_selection"] = _selected(_m)
+
+
 def _run(name: str, **settings):
     def run(spark: SparkSession, d: str) -> DataFrame:
         rows = ex.embeddings(spark, d)

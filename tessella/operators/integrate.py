@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import linalg as la
+from . import selection as sel
 from .reduce import SCHEMA, matrix
 
 MAX_SIDE = 5000
@@ -91,17 +92,28 @@ def tuned_widths(images: dict[int, np.ndarray], p: int, start: dict[int, float],
     return {i: float(np.exp(v)) for i, v in logs.items()}
 
 
-def solve(images: dict[int, np.ndarray], p: int, method: str, penalty: float = 0.1, width: str = "auto", width_ratio: float = 1.0, local_widths: dict[int, float] | None = None, shift: float = 0.0, orthonormal: bool = False) -> Maps:
+def _select(maps: Maps, y: np.ndarray | None, p: int, rule: str, ratio: float) -> None:
+    if y is not None:
+        chosen = sel.choose(maps.target, y, p, rule, ratio)
+        maps.values, maps.target = maps.values[chosen], maps.target[:, chosen]
+
+
+def solve(images: dict[int, np.ndarray], p: int, method: str, penalty: float = 0.1, width: str = "auto", width_ratio: float = 1.0, local_widths: dict[int, float] | None = None, shift: float = 0.0, orthonormal: bool = False, anchor_target: np.ndarray | None = None, selection: str = "forward", selection_ratio: float = 0.5) -> Maps:
+    """Maps of one method. With ``anchor_target``, the anchors' labels in their order, ``targetvec`` and the nonlinear methods take a share
+    ``selection_ratio`` of their directions by what they tell of the labels."""
     order = sorted(images)
     s = [images[i] for i in order]
     maps = Maps(method)
+    if anchor_target is not None and method not in SELECTING:
+        raise ValueError(f"only {SELECTING} take a selection by labels")
     if method == "Imakura":
         maps.target = la.left_singular(s, p)
         maps.linear = {i: np.linalg.pinv(x) @ maps.target for i, x in zip(order, s, strict=True)}
     elif method == "targetvec":
         # least eigenvectors of m I - sum of projections: the leading singular vectors of the stacked bases
-        values, _, maps.target = la.shared_basis(s, p)
+        values, _, maps.target = la.shared_basis(s, p if anchor_target is None else min(len(s[0]), sum(x.shape[1] for x in s)))
         maps.values = len(s) - values**2
+        _select(maps, anchor_target, p, selection, selection_ratio)
         maps.linear = {i: np.linalg.pinv(x) @ maps.target for i, x in zip(order, s, strict=True)}
     elif method == "QR_SVD":
         values, found, maps.target = la.shared_basis(s, p)
@@ -120,13 +132,15 @@ def solve(images: dict[int, np.ndarray], p: int, method: str, penalty: float = 0
             gammas = tuned_widths(images, p, gammas, penalty)
         both = method == "nonlinear_linear"
         hats = [la.smoother(x, gammas[i], penalty, both)[0] for i, x in zip(order, s, strict=True)]
-        maps.values, maps.target = la.least_disagreement(hats, p)
+        maps.values, maps.target = la.least_disagreement(hats, p if anchor_target is None else len(hats[0]))
+        _select(maps, anchor_target, p, selection, selection_ratio)
         maps.kernel = {i: (x, gammas[i], penalty, both, maps.target) for i, x in zip(order, s, strict=True)}
     else:
         raise ValueError(f"unknown integration {method!r}")
     return maps
 
 
+SELECTING = ("targetvec", "nonlinear", "nonlinear_linear", "nonlinear_tuning")
 METHODS = ("Imakura", "targetvec", "QR_SVD", "GEP", "GEP_weighted", "ODC", "nonlinear", "nonlinear_linear", "nonlinear_tuning")
 
 

@@ -3,6 +3,7 @@ import pytest
 
 from tessella.functions import linalg as la
 from tessella.operators import integrate as ig
+from tessella.operators import selection
 from tessella.operators.federated import forward, local_steps, start
 from tessella.operators.models import softmax_fit
 from tessella.sources.synthetic import random_images, related_images
@@ -86,7 +87,25 @@ def test_selection_finds_the_columns_that_matter():
     rng = np.random.default_rng(3)
     x = rng.normal(size=(300, 9))
     y = (x[:, 4] + 0.5 * x[:, 7] > 0).astype(int)
-    assert la.forward_selection(x, y, 2) == [4, 7] and sorted(la.backward_elimination(x, y, 2)) == [4, 7]
+    unit = x / np.linalg.norm(x, axis=0)
+    assert selection.forward(unit, y, 2) == [4, 7] and selection.backward(unit[:, [0, 4, 1, 7, 2, 3]], y, 2) == [1, 3]
+    assert selection.choose(unit, y, 4, "forward", 0.5) == [0, 1, 4, 7] and selection.choose(unit, y, 4, "backward", 0.0) == [0, 1, 2, 3]
+    assert selection.backward(unit, y, 2) != [4, 7]  # 7 is beyond three candidates for each direction
+    with pytest.raises(ValueError, match="unknown selection"):
+        selection.choose(unit, y, 2, "sideways", 0.5)
+
+
+def test_selection_in_the_integration(images):
+    y = (images[0][:, 0] > np.median(images[0][:, 0])).astype(int)
+    for method in ("targetvec", "nonlinear"):
+        plain = ig.solve(images, 4, method)
+        assert np.allclose(np.abs(ig.solve(images, 4, method, anchor_target=y, selection_ratio=0.0).target), np.abs(plain.target), atol=1e-8)
+        for rule in ("forward", "backward"):
+            chosen = ig.solve(images, 4, method, anchor_target=y, selection=rule, selection_ratio=0.5)
+            assert np.allclose(np.abs(chosen.target[:, :2]), np.abs(plain.target[:, :2]), atol=1e-8) and chosen.target.shape == (200, 4) and len(chosen.values) == 4
+            assert np.allclose(chosen.target.T @ chosen.target, np.eye(4), atol=1e-8)
+    with pytest.raises(ValueError, match="selection"):
+        ig.solve(images, 4, "ODC", anchor_target=y)
 
 
 def test_power_iteration_and_inversion():
