@@ -62,20 +62,33 @@ def pca(x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     return mean, padded(sign_fixed(vt.T), k)
 
 
-def kernel_pca(x: np.ndarray, k: int, gamma: float) -> Transform:
-    """Scores of rows in the k leading components of the centred RBF kernel; components without variance are zero."""
+def centred_kernel(x: np.ndarray, gamma: float) -> tuple[np.ndarray, Transform]:
+    """The RBF kernel of x with both means taken out, and the same for other rows against x, by the means of x."""
     gram = rbf(x, x, gamma)
     rows, whole = gram.mean(axis=0), gram.mean()
-    w, v = np.linalg.eigh(gram - rows[:, None] - rows[None, :] + whole)
-    w, v = w[::-1], sign_fixed(v[:, ::-1])
-    good = w > max(w[0], 0) * 1e-12
-    scale = padded(v * np.where(good, 1 / np.sqrt(np.where(good, w, 1)), 0), k)
 
-    def transform(y: np.ndarray) -> np.ndarray:
+    def against(y: np.ndarray) -> np.ndarray:
         to = rbf(y, x, gamma)
-        return (to - to.mean(axis=1, keepdims=True) - rows[None, :] + whole) @ scale
+        return to - to.mean(axis=1, keepdims=True) - rows[None, :] + whole
+
+    return gram - rows[:, None] - rows[None, :] + whole, against
+
 
-    return transform
+def inverse_root(a: np.ndarray) -> np.ndarray:
+    """a^(-1/2) of a positive semidefinite matrix; directions without weight are left out."""
+    w, v = np.linalg.eigh((a + a.T) / 2)
+    good = w > max(w[-1], 0) * 1e-12
+    return (v[:, good] / np.sqrt(w[good])) @ v[:, good].T
+
+
+def kernel_pca(x: np.ndarray, k: int, gamma: float) -> Transform:
+    """Scores of rows in the k leading components of the centred RBF kernel; components without variance are zero."""
+    gram, against = centred_kernel(x, gamma)
+    w, v = np.linalg.eigh(gram)
+    w, v = w[::-1], sign_fixed(v[:, ::-1])
+    good = w > max(w[0], 0) * 1e-12
+    scale = padded(v * np.where(good, 1 / np.sqrt(np.where(good, w, 1)), 0), k)
+    return lambda y: against(y) @ scale
 
 
 def locality_projection(x: np.ndarray, k: int, neighbours: int, heat: float = 0.01, ridge: float = 1e-9) -> np.ndarray:
@@ -104,6 +117,49 @@ def kernel_cca(x: np.ndarray, y: np.ndarray, k: int, gamma: float, ridge: float
     return lambda z, a=padded(v[:, ::-1], k): rbf(z, x, gamma) @ a
 
 
+def median_width(x: np.ndarray) -> float:
+    """1 / (2 median^2) of the distances between different rows; 0.5 where there are none."""
+    d = (x * x).sum(1)[:, None] + (x * x).sum(1)[None, :] - 2 * x @ x.T
+    apart = d[np.triu_indices(len(x), 1)]
+    apart = apart[apart > 0]
+    return float(1 / (2 * np.median(np.sqrt(apart)) ** 2)) if len(apart) else 0.5
+
+
+def cca(x: np.ndarray, y: np.ndarray, k: int, ridge: float = 1e-6) -> tuple[np.ndarray, np.ndarray]:
+    """(correlations, directions of x) that correlate most with y; no more than y's rank, zero columns beyond."""
+    x, y = x - x.mean(axis=0), y - y.mean(axis=0)
+    cross = x.T @ y
+    w, v = generalised(cross @ np.linalg.solve(y.T @ y + ridge * np.eye(y.shape[1]), cross.T), x.T @ x + ridge * np.eye(x.shape[1]))
+    n = min(k, x.shape[1], int(np.linalg.matrix_rank(y)))
+    return np.sqrt(np.maximum(w[::-1][:n], 0)), padded(v[:, ::-1][:, :n], k)
+
+
+def whitened_kernel_cca(x: np.ndarray, y: np.ndarray, k: int, gamma: float, ridge: float = 1e-3) -> tuple[np.ndarray, Transform]:
+    """(singular values, scores) of the product of both centred kernels, whitened on each side: RBF of x, linear of y.
+
+    In the eigenbases of the two kernels whitening is a diagonal, and y's basis has only as many columns as y.
+    """
+    gram, against = centred_kernel(x, gamma)
+    e, u = np.linalg.eigh(gram)
+    e = np.maximum(e, 0)
+    v, s, _ = np.linalg.svd(y - y.mean(axis=0), full_matrices=False)
+    left, values, _ = np.linalg.svd((e / np.sqrt(e + ridge))[:, None] * (u.T @ v) * (s**2 / np.sqrt(s**2 + ridge)), full_matrices=False)
+    rank = int((s > s[:1] * 1e-12).sum())  # beyond it no direction tells anything of y
+    a = padded(sign_fixed(u @ (left[:, :rank] / np.sqrt(e + ridge)[:, None])), k)
+    return values[:k], lambda z: against(z) @ a
+
+
+def symmetric_kernel_cca(x: np.ndarray, y: np.ndarray, k: int, gamma: float, ridge: float = 1e-3) -> Transform:
+    """Scores along the leading eigenvectors of the symmetric part of (Kx + r)^-1 Ky (Ky + r)^-1 Kx."""
+    kx, against = centred_kernel(x, gamma)
+    y = y - y.mean(axis=0)
+    ky, r = y @ y.T, ridge * np.eye(len(x))
+    m = np.linalg.solve(kx + r, ky) @ np.linalg.solve(ky + r, kx)
+    _, v = np.linalg.eigh((m + m.T) / 2)
+    a = padded(sign_fixed(v[:, ::-1]), k)
+    return lambda z: against(z) @ a
+
+
 def random_orthogonal(n: int, rng: np.random.Generator) -> np.ndarray:
     q, r = np.linalg.qr(rng.normal(size=(n, n)))
     return q * np.where(np.diag(r) < 0, -1.0, 1.0)
@@ -207,3 +263,16 @@ def top_singular(a: np.ndarray, rounds: int = 60, tolerance: float = 1e-7, seed:
 def linear_inversion(image: np.ndarray, anchors: np.ndarray, private: np.ndarray) -> np.ndarray:
     """Rows recovered from their private images by the linear map that the anchors give away."""
     return private @ np.linalg.pinv(np.linalg.pinv(anchors) @ image)
+
+
+def alignment_errors(images: list[np.ndarray], p: int, penalty: float = 1e-3) -> tuple[float, float]:
+    """What linear and kernel maps leave of their best p-dimensional target: the sums of squares over the images.
+
+    The linear target is orthonormal, the kernel target has unit norm as a whole.
+    """
+    z = left_singular(images, p)
+    linear = sum(((z - s @ (np.linalg.pinv(s) @ z)) ** 2).sum() for s in images)
+    hats = [smoother(s, 1 / s.shape[1], penalty, normalise=False)[0] for s in images]
+    _, z = least_disagreement(hats, p)
+    z = z / np.linalg.norm(z)
+    return float(linear), float(sum(((h @ z - z) ** 2).sum() for h in hats))

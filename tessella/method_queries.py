@@ -18,7 +18,7 @@ from .operators import reduce as rd
 from .operators import split as sp
 from .plans import experiment as ex
 from .plans import grid
-from .queries import ORACLES, ORDER_SQL, QUERIES, USERS, institutions, query, rounded
+from .queries import ORACLES, ORDER_SQL, QUERIES, SHAPE_SQL, USERS, institutions, query, rounded
 from .session import stable, table
 
 def dealt(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,6 +92,38 @@ for _m in ig.METHODS:
     QUERIES[f"integrate_{_m}"] = _aligned(_m)
 
 
+INSTITUTIONS_SQL = f"WITH k AS ({SHAPE_SQL}), r AS (SELECT unnest(range(m))::INT AS i FROM k)"
+
+
+def _exact(method: str, reduction: str):
+    """Images of full width span the anchors' own space, so linear maps bring them together without a rest, test anchors included."""
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        reduced = stable(rd.reduce_locally(dealt(spark, d), an.make_anchors(spark, 200, 64, 2), reduction, 64))
+        shared, _ = ig.integrate(reduced, 10 if method != "ODC" else 64, method)
+        images = shared.filter("part = 'anchor_test'").select("institution", F.col("row_id").alias("anchor_id"), "features")
+        return rounded(pairs.alignment_pairs(stable(images)), "sum", "mean", "max", digits=2)
+
+    name = f"integrate_{method}_exact"
+    run.__name__ = name
+    QUERIES[name] = run
+    ORACLES[name] = INSTITUTIONS_SQL + " SELECT a.i, b.i AS j, 200::BIGINT AS n_rows_used, 0.0::DOUBLE AS sum, 0.0::DOUBLE AS mean, 0.0::DOUBLE AS max FROM r a JOIN r b ON a.i < b.i"
+
+
+for _m in ("Imakura", "targetvec", "QR_SVD", "GEP", "GEP_weighted", "GEP_weighted_maps", "ODC"):
+    _exact(_m, "samespan_orth")
+
+
+@query()
+def alignment_comparison(spark, d):
+    """What linear and kernel maps leave of their best target, on the anchors' images under a linear and a kernel reduction."""
+    found = []
+    for method in ("svd", "kernel_pca"):
+        images, _ = ig.images_of(stable(rd.reduce_locally(dealt(spark, d), an.make_anchors(spark, 100, 64, 2), method, 12)))
+        linear, kernel = la.alignment_errors([images[i] for i in sorted(images)], 10)
+        found.append((method, linear, kernel, kernel / linear if linear > 1e-12 else None))  # images of one span leave nothing
+    return rounded(spark.createDataFrame(found, "method string, linear double, kernel double, ratio double"), "linear", "kernel", "ratio", digits=4)
+
+
 def _selected(rule: str):
     def run(spark: SparkSession, d: str) -> DataFrame:
         anchors = an.make_anchors(spark, 100, 64, 2)
@@ -133,7 +165,11 @@ _run("model_svm_fourier", h_model="svm", G_type="centralize", metric="accuracy")
 _run("model_mlp", h_model="mlp", G_type="centralize")
 
 
-@query()
+@query("""WITH t AS (SELECT l_extendedprice::DOUBLE AS y, l_quantity::DOUBLE AS a, l_discount::DOUBLE AS b, l_tax::DOUBLE AS c, l_orderkey % 5 AS fold FROM lineitem),
+ s AS (SELECT avg(y) my, avg(a) ma, avg(b) mb, avg(c) mc, var_pop(a) aa, var_pop(b) bb, var_pop(c) cc, covar_pop(a, b) ab, covar_pop(a, c) ac, covar_pop(b, c) bc, covar_pop(a, y) ya, covar_pop(b, y) yb, covar_pop(c, y) yc FROM t WHERE fold <> 0),
+ e AS (SELECT *, aa * (bb * cc - bc * bc) - ab * (ab * cc - bc * ac) + ac * (ab * bc - bb * ac) AS det FROM s),
+ w AS (SELECT *, (ya * (bb * cc - bc * bc) - ab * (yb * cc - bc * yc) + ac * (yb * bc - bb * yc)) / det AS wa, (aa * (yb * cc - bc * yc) - ya * (ab * cc - bc * ac) + ac * (ab * yc - yb * ac)) / det AS wb, (aa * (bb * yc - yb * bc) - ab * (ab * yc - yb * ac) + ya * (ab * bc - bb * ac)) / det AS wc FROM e)
+ SELECT round(1 - avg((y - my - wa * (a - ma) - wb * (b - mb) - wc * (c - mc)) ** 2) / var_pop(y), 6) AS score FROM t, w WHERE fold = 0""")
 def model_linear_regression(spark, d):
     rows = table(spark, d, "lineitem").select(F.col("l_extendedprice").alias("target"), F.array("l_quantity", "l_discount", "l_tax").alias("features"), (F.col("l_orderkey") % 5).alias("fold"))
     scored = mo.fit_and_score(rows.filter("fold <> 0"), rows.filter("fold = 0"), "linear_regression", 1)
@@ -159,25 +195,37 @@ def ratings_factorisation(spark, d):
     return rounded(metrics.rmse_r2(model.transform(r.filter("fold = 0")), "rating", "prediction"), "rmse", "r2", digits=3)
 
 
-@query()
-def inversion_attack(spark, d):
-    """How well a linear map learned from the anchors recovers the test rows behind their private images."""
+def _inverted(spark: SparkSession, d: str, k: int) -> DataFrame:
+    """(institution, truth, guess): the cells of the test rows, and what a linear map learned from the anchors makes of their private images."""
     rows = dealt(spark, d)
     anchors = an.make_anchors(spark, 200, 64, 3)
-    reduced = rd.reduce_locally(rows, anchors, "samespan", 40)
+    reduced = rd.reduce_locally(rows, anchors, "samespan", k)
     images, _ = ig.images_of(stable(reduced))
     plain = rd.anchor_matrices(anchors)["anchor"][1]
     # row by row: the pseudo-inverse of the map that the anchors give away
     back = {i: la.linear_inversion(s, plain, la.np.eye(s.shape[1])) for i, s in images.items()}
     tables = F.create_map(*[x for i, b in back.items() for x in (F.lit(i), F.lit([[float(v) for v in column] for column in b.T]))])
     from .functions.expressions import dot
-    from .operators import metrics
 
     private = reduced.filter("part = 'test'").select("row_id", "institution", F.col("features").alias("image"))
     guess = private.withColumn("guess", F.transform(tables[F.col("institution")], lambda column: dot(column, F.col("image"))))
     both = guess.join(rows.select("row_id", F.col("features").alias("truth")), "row_id")
-    cells = both.select("institution", F.explode(F.arrays_zip("truth", "guess")).alias("c")).select("institution", "c.truth", "c.guess")
-    return rounded(metrics.mse_psnr(cells, "truth", "guess", 1.0, ["institution"]), "mse", "psnr")
+    return both.select("institution", F.explode(F.arrays_zip("truth", "guess")).alias("c")).select("institution", "c.truth", "c.guess")
+
+
+@query()
+def inversion_attack(spark, d):
+    """How well a linear map learned from the anchors recovers the test rows behind their private images."""
+    from .operators import metrics
+
+    return rounded(metrics.mse_psnr(_inverted(spark, d, 40), "truth", "guess", 1.0, ["institution"]), "mse", "psnr")
+
+
+@query(INSTITUTIONS_SQL + f" SELECT i AS institution, {USERS * 64}::BIGINT AS n, 0.0::DOUBLE AS worst FROM r")
+def inversion_of_full_images(spark, d):
+    """Images of full width give every cell away."""
+    cells = _inverted(spark, d, 64)
+    return rounded(cells.groupBy("institution").agg(F.count(F.lit(1)).alias("n"), F.max(F.abs(F.col("truth") - F.col("guess"))).alias("worst")), "worst", digits=3)
 
 
 @query()

@@ -61,9 +61,10 @@ def _widths(images: dict[int, np.ndarray], rule: str, ratio: float, local: dict[
 
 
 def tuned_widths(images: dict[int, np.ndarray], p: int, start: dict[int, float], penalty: float = 1e-9, rounds: int = 300) -> dict[int, float]:
-    """Coordinate search on the log widths for the least disagreement on the second half of the anchors.
+    """Search on the log widths for the least disagreement on the second half of the anchors.
 
-    Each coordinate moves against its central difference by tenfold steps, turns once, then halves; it ends after two halvings.
+    A round takes the slopes of all widths at once and then moves each in turn, downhill by tenfold at first, or uphill where only that helps.
+    A width that neither helps halves its step; with two halvings, or no slope, it is settled. Every open width comes back in the next round.
     """
     half = len(next(iter(images.values()))) // 2
     logs = {i: np.log(g) for i, g in start.items()}
@@ -75,20 +76,25 @@ def tuned_widths(images: dict[int, np.ndarray], p: int, start: dict[int, float],
         mean = sum(held) / len(held)
         return float(sum(((h - mean) ** 2).sum() for h in held) / max((mean**2).sum(), 1e-300))
 
-    used = 0
-    for i in sorted(images):
-        step, shrinks, best = np.log(10.0), 0, loss(logs)
-        side = -np.sign(loss({**logs, i: logs[i] + 1e-4}) - loss({**logs, i: logs[i] - 1e-4})) or 1.0
-        turned = False
-        while shrinks < 2 and used < rounds:
-            used += 1
-            new = loss({**logs, i: logs[i] + side * step})
-            if new < best:
-                logs[i], best = logs[i] + side * step, new
-            elif not turned:
-                side, turned = -side, True
+    step, left, best = dict.fromkeys(images, np.log(10.0)), dict.fromkeys(sorted(images), 2), loss(logs)
+    for _ in range(rounds):
+        slopes = {i: loss({**logs, i: logs[i] + 1e-4}) - loss({**logs, i: logs[i] - 1e-4}) for i in left}
+        for i, slope in slopes.items():
+            if not slope:
+                del left[i]
+                continue
+            for side in (-np.sign(slope), np.sign(slope)):
+                moved = {**logs, i: logs[i] + side * step[i]}
+                if (new := loss(moved)) < best:
+                    logs, best = moved, new
+                    break
             else:
-                step, shrinks = step / 2, shrinks + 1
+                step[i] /= 2
+                left[i] -= 1
+                if not left[i]:
+                    del left[i]
+        if not left:
+            break
     return {i: float(np.exp(v)) for i, v in logs.items()}
 
 
@@ -121,6 +127,10 @@ def solve(images: dict[int, np.ndarray], p: int, method: str, penalty: float = 0
     elif method in ("GEP", "GEP_weighted"):
         maps.values, found = la.block_eigen(s, p, shift=shift, orthonormal=orthonormal)
         maps.linear = dict(zip(order, found, strict=True))
+    elif method == "GEP_weighted_maps":
+        maps.values, found = la.block_eigen(s, p, shift=shift, orthonormal=orthonormal)
+        weights = np.resize(la.eigen_weights(maps.values), p)  # in the maps themselves, so that rows come out weighted
+        maps.linear = {i: g * weights for i, g in zip(order, found, strict=True)}
     elif method == "ODC":
         if len({x.shape[1] for x in s}) > 1:
             raise ValueError("ODC needs images of one width")
@@ -141,7 +151,7 @@ def solve(images: dict[int, np.ndarray], p: int, method: str, penalty: float = 0
 
 
 SELECTING = ("targetvec", "nonlinear", "nonlinear_linear", "nonlinear_tuning")
-METHODS = ("Imakura", "targetvec", "QR_SVD", "GEP", "GEP_weighted", "ODC", "nonlinear", "nonlinear_linear", "nonlinear_tuning")
+METHODS = ("Imakura", "targetvec", "QR_SVD", "GEP", "GEP_weighted", "GEP_weighted_maps", "ODC", "nonlinear", "nonlinear_linear", "nonlinear_tuning")
 
 
 def _projected(rows: pd.DataFrame, maps) -> pd.DataFrame:

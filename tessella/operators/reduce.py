@@ -1,11 +1,13 @@
 """Local reductions: each institution fits a map on its own training rows and applies it to its rows and to the anchors.
 
-A group is one institution's rows, whose number the split fixes. Only ``features`` of that group and the anchors are seen.
+A group is one institution's rows, whose number the split fixes. Only ``features`` of that group and the anchors are seen. The centralised
+baseline, which sees the rows of all, has a form of its own (``reduce_pooled``).
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from functools import partial
 
 import numpy as np
@@ -14,11 +16,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import linalg as la
-from .pairs import MAX_REFERENCE
+from .pairs import MAX_REFERENCE, bounded_draw
 
 #: (train rows, train labels, dimensions, institution, seed, gamma ratio) -> (map, gamma or nan)
 Fit = Callable[[np.ndarray, np.ndarray, int, int, int, float], tuple[la.Transform, float]]
 SCHEMA = "institution int, part string, row_id long, target int, features array<double>, gamma double"
+#: Methods whose map over the pooled rows of all institutions comes from sums, and the landmarks that span their kernels.
+POOLED, LANDMARKS = ("svd", "kernel_pca", "kernel_pca_self_tuning"), 500
+#: Tasks that add up a Gram matrix each.
+MAX_TASKS = 256
 #: Institutions cycle through so many kernel widths under ``kernel_pca_unfixed_gamma``.
 WIDTH_CYCLE = 6
 
@@ -53,7 +59,26 @@ def _lpp(x, y, k, inst, seed, ratio):
 
 def _kcca(x, y, k, inst, seed, ratio):
     gamma = 1 / x.shape[1]
-    return la.kernel_cca(x, (y[:, None] == np.unique(y)).astype(float), k, gamma), gamma
+    return la.kernel_cca(x, _one_hot(y), k, gamma), gamma
+
+
+def _one_hot(y: np.ndarray) -> np.ndarray:
+    return (y[:, None] == np.unique(y)).astype(float)
+
+
+def _cca(x, y, k, inst, seed, ratio):
+    mean, (_, v) = x.mean(axis=0), la.cca(x, _one_hot(y), k)
+    return (lambda z: (z - mean) @ v), np.nan
+
+
+def _kcca_whitened(x, y, k, inst, seed, ratio):
+    gamma = la.median_width(x) * ratio
+    return la.whitened_kernel_cca(x, _one_hot(y), k, gamma)[1], gamma
+
+
+def _kcca_symmetric(x, y, k, inst, seed, ratio):
+    gamma = la.median_width(x) * ratio
+    return la.symmetric_kernel_cca(x, _one_hot(y), k, gamma), gamma
 
 
 def _kernel_pca(x, y, k, inst, seed, ratio, rule="auto"):
@@ -80,6 +105,7 @@ def _unfixed_mixed(x, y, k, inst, seed, ratio):
 
 METHODS: dict[str, Fit] = {
     "svd": _svd, "diffspan": _diffspan, "samespan_orth": _samespan_orth, "samespan": _samespan, "lpp": _lpp, "kcca": _kcca,
+    "cca": _cca, "kcca_whitened": _kcca_whitened, "kcca_symmetric": _kcca_symmetric,
     "kernel_pca": _kernel_pca, "kernel_pca_self_tuning": partial(_kernel_pca, rule="self_tuning"), "kernel_pca_unfixed_gamma": partial(_kernel_pca, rule="unfixed"),
     "kernel_pca_random_gamma": partial(_kernel_pca, rule="random"), "kernel_pca_svd_mixed": _mixed, "kernel_pca_unfixed_mixed": _unfixed_mixed}
 
@@ -116,3 +142,71 @@ def reduce_locally(rows: DataFrame, anchors: DataFrame, method: str, k: int, see
     shared = rows.sparkSession.sparkContext.broadcast(anchor_matrices(anchors))
     own = rows.select(F.col("institution").cast("int").alias("institution"), "split", F.col("row_id").cast("long").alias("row_id"), F.col("target").cast("int").alias("target"), F.col("features").cast("array<double>").alias("features"))
     return own.groupBy("institution").applyInPandas(partial(_local, anchors=shared, fit=METHODS[method], k=k, seed=seed, ratio=gamma_ratio), SCHEMA)
+
+
+@dataclass(frozen=True)
+class _Lift:
+    """Rows to the space whose principal components are wanted: standardised, and by kernel values with landmarks if there are any."""
+
+    shift: np.ndarray
+    scale: np.ndarray
+    landmarks: np.ndarray | None = None
+    half: np.ndarray | None = None
+    gamma: float = np.nan
+
+    def __call__(self, x: np.ndarray) -> np.ndarray:
+        z = (x - self.shift) / self.scale
+        return z if self.landmarks is None else la.rbf(z, self.landmarks, self.gamma) @ self.half
+
+
+def _moments(frames: Iterator[pd.DataFrame], shared) -> Iterator[pd.DataFrame]:
+    """One task's count and sum (row -1) and the rows of its Gram matrix."""
+    n, total, gram = 0, 0.0, 0.0
+    for f in frames:
+        if len(f):
+            z = shared.value(matrix(f["features"]))
+            n, total, gram = n + len(z), total + z.sum(axis=0), gram + z.T @ z
+    if n:
+        yield pd.DataFrame({"i": np.arange(-1, len(gram)), "n": n, "v": [total, *gram]})
+
+
+def _added(rows: pd.DataFrame) -> pd.DataFrame:
+    return pd.DataFrame({"i": rows["i"].iloc[:1], "n": [int(rows["n"].sum())], "v": [np.sum(rows["v"].tolist(), axis=0)]})
+
+
+def _pooled(frames: Iterator[pd.DataFrame], shared) -> Iterator[pd.DataFrame]:
+    lift, mean, v = shared.value
+    for f in frames:
+        yield f.assign(features=list((lift(matrix(f["features"])) - mean) @ v)) if len(f) else f
+
+
+def reduce_pooled(rows: DataFrame, method: str, k: int, ratio: float = 1.0, landmarks: int = LANDMARKS) -> DataFrame:
+    """One map for the rows of all institutions, fitted on their training rows: (row_id, part, features, ...) with reduced features.
+
+    Nothing is pooled in a task. The components come from a Gram matrix that tasks add up: of the features, or, for a kernel, of the rows'
+    kernel values with a bounded draw of training rows. With as many landmarks as training rows that is kernel PCA itself, with fewer
+    it is its approximation in the span of the landmarks.
+    """
+    if method not in POOLED:
+        raise ValueError(f"no pooled form of {method!r}: one of {POOLED}")
+    context = rows.sparkSession.sparkContext
+    rows = rows.withColumn("features", F.col("features").cast("array<double>"))
+    train = rows.filter(F.col("part") == "train").select("row_id", "features")
+    stats = train.select(F.posexplode("features").alias("i", "x")).groupBy("i").agg(F.avg("x").alias("m"), F.stddev_pop("x").alias("s"), F.count(F.lit(1)).alias("n")).orderBy("i").collect()  # a row a dimension
+    if not stats:
+        raise ValueError("no training rows")
+    mean, deviation = np.array([r["m"] for r in stats]), np.array([r["s"] or 1.0 for r in stats])
+    if method == "svd":
+        lift = _Lift(mean, np.ones(len(mean)))
+    else:
+        some = matrix(bounded_draw(train, "row_id", landmarks).toPandas()["features"])
+        gamma = 1 / len(mean) if method == "kernel_pca" else la.self_tuning(some) * ratio
+        points = (some - mean) / deviation
+        lift = _Lift(mean, deviation, points, la.inverse_root(la.rbf(points, points, gamma)), gamma)
+    sums = train.coalesce(MAX_TASKS).mapInPandas(partial(_moments, shared=context.broadcast(lift)), "i int, n long, v array<double>")
+    found = sums.groupBy("i").applyInPandas(_added, "i int, n long, v array<double>").toPandas().sort_values("i")  # a row a dimension
+    n, total, gram = int(found["n"].iloc[0]), np.array(found["v"].iloc[0]), matrix(found["v"].iloc[1:])
+    centre = total / n
+    _, v = np.linalg.eigh(gram - n * np.outer(centre, centre))
+    shared = context.broadcast((lift, centre, la.padded(la.sign_fixed(v[:, ::-1]), k)))
+    return rows.mapInPandas(partial(_pooled, shared=shared), rows.schema)

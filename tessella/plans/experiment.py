@@ -75,11 +75,7 @@ def run_once(rows: DataFrame, config: Config) -> DataFrame:
     plain = dealt.select(F.col("institution").cast("int").alias("institution"), F.col("split").alias("part"), "row_id", "target", "features")
     keys = ("institution",)
     if config.G_type in ("centralize", "centralize_dim"):
-        pooled = plain
-        if config.G_type == "centralize_dim":
-            none = an.make_anchors(rows.sparkSession, 1, dim, config.run_seed)
-            whole = rd.reduce_locally(dealt.withColumn("site", F.col("institution")).withColumn("institution", F.lit(0)), none, "kernel_pca", config.dim_integrate or k, config.run_seed)
-            pooled = whole.filter(F.col("part").isin("train", "test")).drop("institution", "gamma").join(plain.select("row_id", "institution"), "row_id")
+        pooled = stable(rd.reduce_pooled(plain, "kernel_pca", config.dim_integrate or k)) if config.G_type == "centralize_dim" else plain
         scored = mo.fit_and_score(pooled.filter("part = 'train'"), pooled.filter("part = 'test'"), config.h_model, classes, config.run_seed)
     elif config.G_type == "individual":
         scored = mo.individual(plain, classes)
@@ -162,10 +158,13 @@ def reduction_benchmark(rows: DataFrame, sizes: Sequence[int], dims: Sequence[in
     out = []
     for n in sizes:
         order = [F.xxhash64("row_id", F.lit(7)), F.col("row_id")]
-        some = sp.stratified_subsample(dealt.filter("split = 'train'"), "target", n, order).unionByName(dealt.filter("split = 'test'")).withColumn("institution", F.lit(0))
+        some = stable(sp.stratified_subsample(dealt.filter("split = 'train'"), "target", n, order).unionByName(dealt.filter("split = 'test'")))
         for dim in dims:
             for method in methods:
-                reduced = rd.reduce_locally(some, anchors, method, dim).drop("gamma")
+                if method in rd.POOLED:
+                    reduced = stable(rd.reduce_pooled(some.withColumnRenamed("split", "part"), method, dim))
+                else:  # the rows of a stated size, as one institution's
+                    reduced = rd.reduce_locally(some.withColumn("institution", F.lit(0)), anchors, method, dim).drop("gamma")
                 scored = mo.fit_and_score(reduced.filter("part = 'train'"), reduced.filter("part = 'test'"), "softmax", classes)
                 out.append((n, dim, method, mo.evaluate(scored, "auc", classes).first()["score"]))
     found = rows.sparkSession.createDataFrame(out, "n_train int, dim int, method string, auc double")

@@ -83,6 +83,39 @@ def test_reductions():
     assert abs(np.corrcoef(first, y[:, 0])[0, 1]) > 0.8
 
 
+def test_correlated_directions():
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(80, 5))
+    y = (x[:, :1] + 0.3 * rng.normal(size=(80, 1)) > 0).astype(float)
+    both = np.hstack([y, 1 - y])
+    r, a = la.cca(x, both, 3)
+    xc, yc = x - x.mean(axis=0), y - y.mean(axis=0)
+    fitted = xc @ np.linalg.lstsq(xc, yc, rcond=None)[0]
+    assert a.shape == (5, 3) and not a[:, 2].any() and np.isclose(r[0], np.corrcoef(fitted[:, 0], y[:, 0])[0, 1], atol=1e-4)
+    gamma = la.median_width(x)
+    h, n = np.eye(80) - 1 / 80, np.eye(80)
+    kx, ky = h @ la.rbf(x, x, gamma) @ h, h @ (both @ both.T) @ h
+    root = lambda m: (lambda w, v: (v / np.sqrt(w)) @ v.T)(*np.linalg.eigh(m))
+    u, s, _ = np.linalg.svd(root(kx + 1e-3 * n) @ kx @ ky @ root(ky + 1e-3 * n))
+    values, scores = la.whitened_kernel_cca(x, both, 2, gamma)
+    expected = kx @ root(kx + 1e-3 * n) @ u[:, :1]
+    assert np.isclose(values[0], s[0]) and np.allclose(aligned(scores(x)[:, :1], expected), expected, atol=1e-6)
+    m = np.linalg.inv(kx + 1e-3 * n) @ ky @ np.linalg.inv(ky + 1e-3 * n) @ kx
+    lead = np.linalg.eigh((m + m.T) / 2)[1][:, -1:]
+    assert np.allclose(aligned(la.symmetric_kernel_cca(x, both, 1, gamma)(x), kx @ lead), kx @ lead, atol=1e-6)
+
+
+def test_weighted_maps_errors_and_widths(images):
+    plain, weighted = ig.solve(images, 4, "GEP"), ig.solve(images, 4, "GEP_weighted_maps")
+    w = la.eigen_weights(plain.values)
+    assert all(np.allclose(plain.linear[i] * w, weighted.linear[i]) for i in images)
+    related = related_images(3, 60, 5, seed=2)
+    linear, kernel = la.alignment_errors(list(related.values()), 4)
+    assert linear < 1e-18 and 0 < kernel < 1e-3
+    wide = {i: 50.0 for i in related}
+    assert all(g < 50 for g in ig.tuned_widths(related, 3, wide).values())
+
+
 def test_selection_finds_the_columns_that_matter():
     rng = np.random.default_rng(3)
     x = rng.normal(size=(300, 9))

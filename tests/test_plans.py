@@ -229,3 +229,35 @@ def test_joint_gradients_against_differences():
     e = np.zeros_like(g)
     e[2, 1] = 1e-6
     assert np.isclose((joint.row_gradients(flat, g + e, x, y, shape)[0] - joint.row_gradients(flat, g - e, x, y, shape)[0]) / 2e-6, dg[2, 1], rtol=1e-4)
+
+
+def test_pooled_reductions_are_those_of_one_institution(spark, sf_small):
+    rows = experiment.embeddings(spark, sf_small).limit(150).withColumn("part", F.when(F.col("row_id") % 3 == 0, "test").otherwise("train"))
+    rows = spark.createDataFrame(rows.collect(), rows.schema)
+    none = spark.createDataFrame([("anchor", 0, [0.0] * 64), ("anchor_test", 0, [0.0] * 64)], "anchor_set string, anchor_id long, features array<double>")
+    for method in rd.POOLED:
+        one = {r["row_id"]: r["features"] for r in rd.reduce_locally(rows.withColumnRenamed("part", "split").withColumn("institution", F.lit(0)), none, method, 5).filter("part IN ('train', 'test')").collect()}
+        for parts in (1, 6):
+            pooled = rd.reduce_pooled(rows.repartition(parts), method, 5)
+            assert pooled.columns == rows.columns
+            got = {r["row_id"]: r["features"] for r in pooled.collect()}
+            x, y = (np.array([d[i] for i in sorted(one)]) for d in (got, one))
+            assert len(got) == 150 and np.allclose(x * np.sign((x * y).sum(axis=0)), y, atol=1e-5), method
+    from tessella.functions import linalg as la
+    from tessella.operators.pairs import bounded_draw
+
+    table = sorted((r["row_id"], r["part"], r["features"]) for r in rows.collect())
+    x = np.array([t[2] for t in table])
+    train = np.array([t[1] == "train" for t in table])
+    points = np.array([r["features"] for r in bounded_draw(rows.filter("part = 'train'"), "row_id", 40).collect()])
+    scale = lambda z: (z - x[train].mean(axis=0)) / x[train].std(axis=0)
+    w, u = np.linalg.eigh(la.rbf(scale(points), scale(points), 1 / 64))
+    lifted = la.rbf(scale(x), scale(points), 1 / 64) @ (u / np.sqrt(w)) @ u.T
+    centred = lifted - lifted[train].mean(axis=0)
+    expected = centred @ np.linalg.svd(centred[train], full_matrices=False)[2][:3].T
+    few = np.array([r["features"] for r in sorted(rd.reduce_pooled(rows, "kernel_pca", 3, landmarks=40).collect(), key=lambda r: r["row_id"])])
+    assert np.allclose(few * np.sign((few * expected).sum(axis=0)), expected, atol=1e-6)
+    with pytest.raises(ValueError, match="pooled form"):
+        rd.reduce_pooled(rows, "lpp", 3)
+    with pytest.raises(ValueError, match="no training rows"):
+        rd.reduce_pooled(rows.filter("part = 'none'"), "svd", 3)
