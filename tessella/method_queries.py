@@ -115,10 +115,11 @@ for _m in ("Imakura", "targetvec", "QR_SVD", "GEP", "GEP_weighted", "GEP_weighte
 
 @query()
 def alignment_comparison(spark, d):
-    """What linear and kernel maps leave of their best target, on the anchors' images under a linear and a kernel reduction."""
-    found = []
+    """What linear and kernel maps leave of their best target, on images of anchors within the data's bounds under a linear and a kernel reduction."""
+    rows, found = stable(dealt(spark, d)), []
+    anchors = an.make_anchors(spark, 100, 64, 2, "uniform", an.ranges_of(rows.filter("split = 'train'")))
     for method in ("svd", "kernel_pca"):
-        images, _ = ig.images_of(stable(rd.reduce_locally(dealt(spark, d), an.make_anchors(spark, 100, 64, 2), method, 12)))
+        images, _ = ig.images_of(rd.reduce_locally(rows, anchors, method, 12).filter("part = 'anchor'"))
         linear, kernel = la.alignment_errors([images[i] for i in sorted(images)], 10)
         found.append((method, linear, kernel, kernel / linear if linear > 1e-12 else None))  # images of one span leave nothing
     return rounded(spark.createDataFrame(found, "method string, linear double, kernel double, ratio double"), "linear", "kernel", "ratio", digits=4)

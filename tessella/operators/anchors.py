@@ -30,3 +30,9 @@ def make_anchors(spark: SparkSession, rows: int, features: int, seed: int, metho
         one = spark.range(0, rows, 1, 1).select(F.lit(name).alias("anchor_set"), F.col("id").alias("anchor_id"), F.array(*draws).alias("features"))
         out = one if out is None else out.union(one)
     return out
+
+
+def ranges_of(rows: DataFrame) -> DataFrame:
+    """(feature, low, high) of an array of features; names sort as the places do."""
+    long = rows.select(F.posexplode("features").alias("i", "x")).groupBy("i").agg(F.min("x").alias("low"), F.max("x").alias("high"))
+    return long.select(F.lpad(F.col("i").cast("string"), 8, "0").alias("feature"), "low", "high")

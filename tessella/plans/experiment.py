@@ -84,10 +84,7 @@ def run_once(rows: DataFrame, config: Config) -> DataFrame:
     elif config.G_type == "fl":
         scored = fed.federated(plain, classes, config.run_seed)
     else:
-        ranges = None
-        if config.anchor_method == "uniform":
-            long = plain.filter("part = 'train'").select(F.posexplode("features").alias("i", "x")).groupBy("i").agg(F.min("x").alias("low"), F.max("x").alias("high"))
-            ranges = long.select(F.lpad(F.col("i").cast("string"), 8, "0").alias("feature"), "low", "high")
+        ranges = an.ranges_of(plain.filter("part = 'train'")) if config.anchor_method == "uniform" else None
         anchors = an.make_anchors(rows.sparkSession, config.num_anchor_data, dim, config.run_seed, config.anchor_method, ranges)
         reduced = stable(rd.reduce_locally(dealt, anchors, config.F_type, k, config.run_seed, config.gamma_ratio))
         if config.G_type == "mlp_objective":
