@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from . import license_scan
+import re
+
+from . import chat_format, license_scan
 from .host_rules import HOST_LIMIT, PRIOR_WEIGHT
 
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -83,4 +85,78 @@ SELECT doc_id, license, round(coalesce(dice, 0.0), 6) AS dice, coalesce(n_matche
 """
 
 
-ORACLES = {"op8_host_quality_rules": _RULES, "op4_license_scan": _license_sql()}
+
+def _chat_sql() -> str:
+    probe = "</s>[INST] ok [/INST]"
+    controls = "|".join(re.escape(c) for c in chat_format.CONTROLS)
+    broken = lambda x: f"length({x}) + length({x}) - length(replace({x}, chr(27), '')) + len(regexp_extract_all({x}, '{controls}'))"
+    marks = len(chat_format.OPEN + chat_format.TEXT + chat_format.CLOSE)
+    order = "ORDER BY turn NULLS FIRST, role, text"
+    return f"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT * FROM (VALUES (-7, 0, 'user', '{probe}'), (-7, 1, 'assistant', '{probe}'))
+), told AS (
+  SELECT *, role = 'assistant' AS said, CASE WHEN role = 'assistant' THEN {broken('text')} + {len(chat_format.END)} ELSE {broken('role')} + {broken('text')} + {marks} END AS n FROM turns
+)
+SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' {order})) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (said), 0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(text, '' {order}) FILTER (said), '')) AS loss_sha256, sum(n)::BIGINT AS formatted_chars
+FROM told GROUP BY conv_id
+"""
+
+
+_NEGATIVES = """
+WITH own AS (
+  SELECT row_number() OVER () AS uid, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT a.uid AS anchor, a.vec_id AS anchor_id, b.uid, b.vec_id, a.label = b.label AS same, list_sum(list_transform(list_zip(a.v, b.v), lambda p: p[1] * p[2]))::BIGINT AS score
+  FROM own a JOIN own b ON a.vec_id % 50 = 0 AND a.uid <> b.uid
+), positives AS (
+  SELECT anchor, anchor_id, uid, vec_id AS positive_id, score AS positive_score FROM scored WHERE same QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY score DESC, vec_id, uid) <= 5
+), negatives AS (
+  SELECT p.*, s.vec_id AS negative_id, s.score AS negative_score, row_number() OVER (PARTITION BY p.anchor, p.uid ORDER BY s.score DESC, s.vec_id, s.uid)::INT AS rank
+  FROM positives p JOIN scored s ON p.anchor = s.anchor AND NOT s.same AND 50 * positive_score <= 100 * s.score AND 100 * s.score <= 95 * positive_score
+)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM negatives WHERE rank <= 3
+"""
+
+# crc32 of <doc_id>:<run>, byte by byte; the table of 256 values comes from its rule, and letters from U+00C0 on are two bytes.
+# levenshtein() counts bytes there, so distances are taken of words in a code of one byte a letter.
+_SPELLING = r"""
+WITH RECURSIVE steps(i, k, c) AS (
+  SELECT i, 0, i::BIGINT FROM range(256) t(i)
+  UNION ALL SELECT i, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::BIGINT) ELSE c >> 1 END FROM steps WHERE k < 8
+), crc AS MATERIALIZED (
+  SELECT list(c ORDER BY i) AS t FROM steps WHERE k = 8
+), runs AS MATERIALIZED (
+  SELECT id, run, count(*) AS n FROM (
+    SELECT coalesce(doc_id::VARCHAR, '') AS id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{00C0}-\x{00FF}]+')) AS run FROM documents
+  ) GROUP BY ALL
+), hashed AS (
+  SELECT run, n, xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(id || ':' || run, ''), lambda ch:
+    CASE WHEN ord(ch) < 128 THEN [ord(ch)::BIGINT] ELSE [(192 + (ord(ch) >> 6))::BIGINT, (128 + (ord(ch) & 63))::BIGINT] END))),
+    lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295::BIGINT) AS h
+  FROM runs, crc
+), words AS MATERIALIZED (
+  SELECT word, sum(n)::BIGINT AS n FROM (
+    SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word, n FROM hashed
+  ) WHERE length(word) >= 6 GROUP BY 1 HAVING sum(n) >= 5
+), coded AS MATERIALIZED (
+  SELECT word, n, translate(word, (SELECT string_agg(chr((192 + i)::INT), '' ORDER BY i) FROM range(64) t(i)), (SELECT string_agg(chr((1 + i)::INT), '' ORDER BY i) FROM range(64) t(i))) AS code FROM words
+), near AS (
+  SELECT a.word, a.n, b.word AS other, b.n AS other_n FROM coded a JOIN coded b ON substr(a.code, 1, 3) = substr(b.code, 1, 3) WHERE abs(length(a.code) - length(b.code)) <= 1 AND levenshtein(a.code, b.code) = 1
+  UNION
+  SELECT a.word, a.n, b.word, b.n FROM coded a JOIN coded b ON right(a.code, 3) = right(b.code, 3) WHERE abs(length(a.code) - length(b.code)) <= 1 AND levenshtein(a.code, b.code) = 1
+), best AS (
+  SELECT word, n, count(*)::BIGINT AS n_near, arg_min(other, (-other_n, other)) AS form, max(other_n) AS form_n FROM near GROUP BY 1, 2
+), forms AS MATERIALIZED (
+  SELECT word, w.n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN form_n >= 5 * w.n THEN form END AS form, CASE WHEN form_n >= 5 * w.n THEN form_n END AS form_n FROM words w LEFT JOIN best USING (word)
+), paths(word, stop) AS (
+  SELECT word, word FROM forms
+  UNION ALL SELECT p.word, f.form FROM paths p JOIN forms f ON p.stop = f.word WHERE f.form IS NOT NULL
+)
+SELECT f.word, f.form, p.stop AS root, f.n, f.n_near, f.form_n FROM forms f JOIN paths p ON f.word = p.word JOIN forms e ON p.stop = e.word WHERE e.form IS NULL
+"""
+
+ORACLES = {"op12_spelling_variants": _SPELLING, "op11_chat_format": _chat_sql(), "op13_hard_negatives": _NEGATIVES, "op8_host_quality_rules": _RULES, "op4_license_scan": _license_sql()}
