@@ -1,12 +1,12 @@
-"""Distances and kernels between rows and a reference set.
+"""Distances and kernels between rows: nearest rows, order statistics of all pairs, kernels and Laplacians.
 
-One side is always a stated reference set (anchors, a bounded draw, or a block of queries) that is broadcast after its size is
-checked; the other side is streamed past it in Arrow batches as matrix products. Nothing here joins a large table with itself.
+Nearest rows come from the pivot search of ``neighbours``. What needs all pairs of rows packs them into blocks and joins the blocks pair by pair, as matrix
+products; no vector reaches the driver, and no pair becomes a row unless pairs are the result.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import partial
 
 import numpy as np
@@ -15,20 +15,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import stable
+from .neighbours import nearest_rows
 from .ranking import global_row_number
 
-#: Rows a reference set may have.
+#: Rows a reference set may have where it is broadcast.
 MAX_REFERENCE = 20_000
-#: Rows whose distances to all others are computed at a time, and bins of a count of distances.
+#: Rows of a block of pairs, and bins of a count of distances.
 BLOCK, BINS = 500, 4096
 
 
-def collect_reference(df: DataFrame, key: str, vector: str, *more: str) -> pd.DataFrame:
-    """The reference set, sorted by key; an error beyond MAX_REFERENCE."""
-    found = df.select(key, F.col(vector).cast("array<double>").alias(vector), *more).limit(MAX_REFERENCE + 1).toPandas()
-    if len(found) > MAX_REFERENCE:
-        raise ValueError(f"a reference set has at most {MAX_REFERENCE} rows: take it in blocks")
-    return found.sort_values(key, kind="stable").reset_index(drop=True)
+def checked_reference(df: DataFrame) -> DataFrame:
+    """A reference set that may be broadcast; an error beyond MAX_REFERENCE rows."""
+    if df.limit(MAX_REFERENCE + 1).count() > MAX_REFERENCE:
+        raise ValueError(f"a reference set has at most {MAX_REFERENCE} rows")
+    return df
 
 
 def bounded_draw(df: DataFrame, key: str, n: int) -> DataFrame:
@@ -41,49 +41,24 @@ def squared_distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.maximum(d, 0)
 
 
-def _nearest(frames: Iterator[pd.DataFrame], reference, k: int, key: str, vector: str) -> Iterator[pd.DataFrame]:
-    keys, y = reference.value
-    for f in frames:
-        x = np.array(f[vector].tolist(), float).reshape(len(f), -1)
-        if not len(f):
-            continue
-        d = squared_distances(x, y)
-        d[f[key].to_numpy()[:, None] == keys[None, :]] = np.inf  # not one's own neighbour
-        n = min(k, d.shape[1])
-        part = np.argpartition(d, n - 1, axis=1)[:, :n]
-        exact = np.sqrt(((x[:, None, :] - y[part]) ** 2).sum(axis=2))
-        exact[np.isinf(np.take_along_axis(d, part, 1))] = np.inf
-        order = np.lexsort((keys[part], exact), axis=1)
-        part, exact = np.take_along_axis(part, order, 1), np.take_along_axis(exact, order, 1)
-        out = pd.DataFrame({key: np.repeat(f[key].to_numpy(), n), "rank": np.tile(np.arange(1, n + 1), len(f)), "neighbour": keys[part].ravel(), "distance": exact.ravel()})
-        yield out[np.isfinite(out["distance"])].astype({"rank": "int32"})
-
-
-def reference_blocks(df: DataFrame, key: str, vector: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(keys, vectors) of the reference rows, block by block, each of a size that may be broadcast."""
-    n_blocks = max(1, -(-df.count() // (MAX_REFERENCE * 3 // 4)))
-    for i in range(n_blocks):
-        own = df if n_blocks == 1 else df.filter(F.pmod(F.xxhash64(key), F.lit(n_blocks)) == i)
-        found = collect_reference(own, key, vector)
-        if len(found) or n_blocks == 1:
-            yield found[key].to_numpy(), np.array(found[vector].tolist(), float)
+def nearest(df: DataFrame, reference: DataFrame, k: int, key: str, vector: str) -> DataFrame:
+    """key, rank, neighbour, distance: the k nearest rows of the reference, without the row itself; ties by key."""
+    return nearest_rows(df, reference, k, key, vector).select(F.col("key").alias(key), "rank", "neighbour", F.sqrt("square").alias("distance"))
 
 
-def nearest(df: DataFrame, reference: DataFrame, k: int, key: str, vector: str) -> DataFrame:
-    """key, rank, neighbour, distance: the k nearest rows of the reference, without the row itself; ties by key.
+def block_pairs(df: DataFrame, key: str, vector: str, *more: str) -> DataFrame:
+    """Every unordered pair of blocks once: i, j, left and right, each an array of (k, x, further columns).
 
-    The rows stream past the reference in blocks; of each block's k nearest the nearest of all remain.
+    A block goes to as many pairs as there are blocks, so n rows are moved n / BLOCK times: all pairs by a plain join on the pair's two numbers.
     """
-    rows = df.select(F.col(key).cast("long").alias(key), F.col(vector).cast("array<double>").alias(vector))
-    out, n_blocks = None, 0
-    for block in reference_blocks(reference, key, vector):
-        shared = df.sparkSession.sparkContext.broadcast(block)
-        found = rows.mapInPandas(partial(_nearest, reference=shared, k=k, key=key, vector=vector), f"{key} long, rank int, neighbour long, distance double")
-        out, n_blocks = (found if out is None else out.union(found)), n_blocks + 1
-    if n_blocks == 1:
-        return out
-    best = out.groupBy(key).agg(F.slice(F.array_sort(F.collect_list(F.struct("distance", "neighbour"))), 1, k).alias("best"))  # k a block
-    return best.select(key, F.posexplode("best").alias("at", "b")).select(key, (F.col("at") + 1).cast("int").alias("rank"), "b.neighbour", "b.distance")
+    rows = df.select(F.col(key).alias("k"), F.col(vector).cast("array<double>").alias("x"), *more)
+    n_blocks = max(1, -(-rows.count() // BLOCK))
+    block = F.pmod(F.xxhash64("k"), F.lit(n_blocks)).cast("int")
+    held = stable(rows.withColumn("b", block).groupBy("b").agg(F.array_sort(F.collect_list(F.struct("k", "x", *more))).alias("rows")))
+    other = F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))
+    left = held.select(F.col("b").alias("i"), other.alias("j"), F.col("rows").alias("left")).filter("i <= j")
+    right = held.select(other.alias("i"), F.col("b").alias("j"), F.col("rows").alias("right")).filter("i <= j")
+    return left.join(right, ["i", "j"])
 
 
 def middle(df: DataFrame, column: str) -> DataFrame:
@@ -101,16 +76,17 @@ def self_tuning_gamma(df: DataFrame, reference: DataFrame, key: str, vector: str
     return half.crossJoin(whole).select("n", F.col("median").alias("gamma_median"), "gamma_mean")  # one row each
 
 
-def _pair_squares(y: np.ndarray, lo: int, block: int) -> np.ndarray:
-    """Squared distances of rows lo .. lo + block - 1 to all later rows."""
-    d = squared_distances(y[lo : lo + block], y[lo:])
-    return d[np.arange(d.shape[1])[None, :] > np.arange(d.shape[0])[:, None]]
+def _squares(f: pd.DataFrame, r: int) -> np.ndarray:
+    """Squared distances of the pairs of rows of one pair of blocks, each pair once."""
+    x, y = (np.array([row["x"] for row in f[side].iloc[r]], float) for side in ("left", "right"))
+    d = squared_distances(x, y)
+    return d[np.triu_indices(len(d), 1)] if f["i"].iloc[r] == f["j"].iloc[r] else d.ravel()
 
 
-def _counts(frames: Iterator[pd.DataFrame], vectors, block: int, n_bins: int, low: float, high: float) -> Iterator[pd.DataFrame]:
+def _counts(frames: Iterator[pd.DataFrame], n_bins: int, low: float, high: float) -> Iterator[pd.DataFrame]:
     for f in frames:
-        for lo in f["lo"]:
-            d = _pair_squares(vectors.value, lo, block)
+        for r in range(len(f)):
+            d = _squares(f, r)
             inside = d[(d >= low) & (d <= high)]
             bins = np.minimum(((inside - low) * (n_bins / (high - low))).astype(np.int64), n_bins - 1)
             counts = np.bincount(bins, minlength=n_bins)
@@ -121,11 +97,11 @@ def _counts(frames: Iterator[pd.DataFrame], vectors, block: int, n_bins: int, lo
             yield pd.DataFrame({"bin": used, "n": counts[used], "least": least[used], "most": most[used]})
 
 
-def _order_statistic(blocks: DataFrame, vectors, rank: int, low: float, high: float) -> float:
+def _order_statistic(blocks: DataFrame, rank: int, low: float, high: float) -> float:
     """The value of that 0-based rank among all pairs' squares: the bin that holds it is split until it holds one value."""
     below = 0
     while True:
-        found = blocks.mapInPandas(partial(_counts, vectors=vectors, block=BLOCK, n_bins=BINS, low=low, high=high), "bin long, n long, least double, most double")
+        found = blocks.mapInPandas(partial(_counts, n_bins=BINS, low=low, high=high), "bin long, n long, least double, most double")
         bins = found.groupBy("bin").agg(F.sum("n").alias("n"), F.min("least").alias("least"), F.max("most").alias("most")).orderBy("bin").collect()  # at most BINS
         for b in bins:
             if below + b["n"] > rank:
@@ -137,21 +113,20 @@ def _order_statistic(blocks: DataFrame, vectors, rank: int, low: float, high: fl
 
 
 def median_gammas(reference: DataFrame, key: str, vector: str) -> DataFrame:
-    """The three rules in use, from all pairs of a reference set: 1/(2 median^2), 1/(2 median of squares), 1/median of squares.
+    """The three rules in use, from all pairs of rows: 1/(2 median^2), 1/(2 median of squares), 1/median of squares.
 
-    Blocks of matrix products are counted into bins, and the bin of the median is refined: no pair becomes a row.
+    Pairs of blocks are counted into bins, and the bin of the median is refined.
     """
     spark = reference.sparkSession
-    ref = collect_reference(reference, key, vector)
-    n = len(ref) * (len(ref) - 1) // 2
+    square = F.aggregate(F.col(vector).cast("array<double>"), F.lit(0.0), lambda s, v: s + v * v)
+    rows, top = reference.agg(F.count(F.lit(1)), F.max(square)).first()
+    n = rows * (rows - 1) // 2
     schema = "n_pairs long, gamma_half_median_squared double, gamma_half_median_of_squares double, gamma_median_of_squares double"
     if not n:
         return spark.createDataFrame([(0, None, None, None)], schema)
-    y = np.array(ref[vector].tolist(), float)
-    vectors, blocks = spark.sparkContext.broadcast(y), spark.range(0, len(y), BLOCK).select(F.col("id").alias("lo")).repartition(max(1, len(y) // BLOCK))
-    top = 4 * float((y * y).sum(axis=1).max()) + 1e-9
-    lower = _order_statistic(blocks, vectors, (n - 1) // 2, 0.0, top)
-    upper = lower if n % 2 else _order_statistic(blocks, vectors, n // 2, 0.0, top)
+    blocks, top = block_pairs(reference, key, vector), 4 * top + 1e-9
+    lower = _order_statistic(blocks, (n - 1) // 2, 0.0, top)
+    upper = lower if n % 2 else _order_statistic(blocks, n // 2, 0.0, top)
     m, q = (lower**0.5 + upper**0.5) / 2, (lower + upper) / 2
     inverse = lambda x: 1 / x if x > 0 else None
     return spark.createDataFrame([(n, inverse(2 * m * m), inverse(2 * q), inverse(q))], schema)
@@ -166,27 +141,61 @@ def vote(neighbours: DataFrame, labels: DataFrame, key: str, label: str) -> Data
 
 def kernel_to_reference(df: DataFrame, reference: DataFrame, key: str, vector: str, gamma: float) -> DataFrame:
     """key, other, kernel: RBF kernel of each row with each reference row, in the JVM."""
-    collect_reference(reference, key, vector)  # its size is checked before it is broadcast
-    ref = reference.select(F.col(key).alias("other"), F.col(vector).alias("__r"))
+    ref = checked_reference(reference).select(F.col(key).alias("other"), F.col(vector).alias("__r"))
     from ..functions.expressions import rbf
 
     return df.crossJoin(F.broadcast(ref)).select(key, "other", rbf(F.col(vector), F.col("__r"), gamma).alias("kernel"))
 
 
-def label_laplacians(anchors: DataFrame, key: str, vector: str, label: str, gamma: float) -> DataFrame:
-    """Rows (kind, i, j, value) of the graph Laplacians of RBF weights within and between classes: no loops, unit trace each."""
-    left = anchors.select(F.col(key).alias("i"), F.col(vector).alias("x"), F.col(label).alias("a"))
-    right = anchors.select(F.col(key).alias("j"), F.col(vector).alias("y"), F.col(label).alias("b"))
-    collect_reference(anchors, key, vector)
-    from ..functions.expressions import rbf
+def _weights(frames: Iterator[pd.DataFrame], gamma: float, told: Callable) -> Iterator[pd.DataFrame]:
+    """RBF weights within and between classes of one pair of blocks, both ways round, as ``told`` puts them."""
+    for f in frames:
+        for r in range(len(f)):
+            left, right = ([row.asDict() if hasattr(row, "asDict") else row for row in f[side].iloc[r]] for side in ("left", "right"))
+            ki, kj = (np.array([row["k"] for row in rows]) for rows in (left, right))
+            x, y = (np.array([row["x"] for row in rows], float) for rows in (left, right))
+            a, b = (np.array([row["label"] for row in rows]) for rows in (left, right))
+            w, same = np.exp(-gamma * squared_distances(x, y)), a[:, None] == b[None, :]
+            off = ki[:, None] != kj[None, :]
+            for kind, mask in (("within", same & off), ("between", ~same & off)):
+                yield from told(kind, ki, kj, w, mask)
+                if f["i"].iloc[r] != f["j"].iloc[r]:
+                    yield from told(kind, kj, ki, w.T, mask.T)
+
 
-    w = left.crossJoin(F.broadcast(right)).filter("i <> j").select(F.when(F.col("a") == F.col("b"), "within").otherwise("between").alias("kind"), "i", "j", rbf(F.col("x"), F.col("y"), gamma).alias("w"))
+def _entries(kind, ki, kj, w, mask):
+    i, j = np.nonzero(mask)
+    yield pd.DataFrame({"kind": kind, "i": ki[i], "j": kj[j], "w": w[i, j]})
+
+
+def _row_sums(kind, ki, kj, w, mask):
+    n = mask.sum(axis=1)
+    v = np.where(mask, w, 0)
+    yield pd.DataFrame({"kind": kind, "i": ki, "n": n, "degree": v.sum(axis=1), "moment": v @ kj})[n > 0]
+
+
+def label_laplacians(anchors: DataFrame, key: str, vector: str, label: str, gamma: float) -> DataFrame:
+    """Rows (kind, i, j, value) of the graph Laplacians of RBF weights within and between classes: no loops, unit trace each. Every entry is a row."""
+    kind = anchors.schema[key].dataType.simpleString()
+    blocks = block_pairs(anchors.withColumnRenamed(label, "label"), key, vector, "label")
+    w = blocks.mapInPandas(partial(_weights, gamma=gamma, told=_entries), f"kind string, i {kind}, j {kind}, w double")
     degree = w.groupBy("kind", "i").agg(F.sum("w").alias("value"))
     both = w.select("kind", "i", "j", (-F.col("w")).alias("value")).unionByName(degree.select("kind", "i", F.col("i").alias("j"), "value"))
     trace = degree.groupBy("kind").agg(F.sum("value").alias("trace"))
     return both.join(F.broadcast(trace), "kind").select("kind", "i", "j", F.when(F.col("trace") > 0, F.col("value") / F.col("trace")).otherwise(F.col("value")).alias("value"))  # two rows
 
 
+def label_laplacian_sums(rows: DataFrame, key: str, vector: str, label: str, gamma: float) -> DataFrame:
+    """(kind, i, n, diagonal, moment): each row of the same Laplacians told by its entries off the diagonal (their number, and their sum weighted by numeric keys)
+    and its diagonal. Sums of blocks of products: no entry becomes a row."""
+    kind = rows.schema[key].dataType.simpleString()
+    blocks = block_pairs(rows.withColumnRenamed(label, "label"), key, vector, "label")
+    parts = blocks.mapInPandas(partial(_weights, gamma=gamma, told=_row_sums), f"kind string, i {kind}, n long, degree double, moment double")
+    sums = stable(parts.groupBy("kind", "i").agg(F.sum("n").alias("n"), F.sum("degree").alias("degree"), F.sum("moment").alias("moment")))
+    trace = sums.groupBy("kind").agg(F.sum("degree").alias("t")).withColumn("t", F.when(F.col("t") > 0, F.col("t")).otherwise(1.0))
+    return sums.join(F.broadcast(trace), "kind").select("kind", "i", "n", (F.col("degree") / F.col("t")).alias("diagonal"), (-F.col("moment") / F.col("t")).alias("moment"))  # two rows
+
+
 def alignment_pairs(images: DataFrame) -> DataFrame:
     """i, j, n_rows_used, sum, mean, max of the row-wise distances between institutions' images of the anchors.
 

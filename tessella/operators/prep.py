@@ -2,20 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
-from functools import partial
+from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .neighbours import impute
 from .ranking import global_row_number
 
 #: Levels of a categorical column that may become columns or codes held by the driver.
 MAX_LEVELS = 10_000
-#: Donors that are broadcast at a time.
-DONOR_BLOCK = 10_000
 
 
 def levels_of(df: DataFrame, column: str) -> list:
@@ -75,56 +71,11 @@ def three_way_bins(df: DataFrame, column: str, low: float, high: float, min_coun
     return df.crossJoin(F.broadcast(counts)).withColumn(name, F.when(F.col("__enough"), three).otherwise(two)).drop("__enough")
 
 
-def _donor_cells(frames: Iterator[pd.DataFrame], block, key: str, columns: list[str], k: int) -> Iterator[pd.DataFrame]:
-    keys, y = block.value
-    there = ~np.isnan(y)
-    for f in frames:
-        x = f[columns].to_numpy(float)
-        for lo in range(0, len(f), 256):
-            some, own = x[lo : lo + 256], f[key].to_numpy()[lo : lo + 256]
-            total, both = np.zeros((len(some), len(y))), np.zeros((len(some), len(y)))
-            for c in range(len(columns)):
-                gap = (some[:, c, None] - y[None, :, c]) ** 2
-                known = ~np.isnan(gap)
-                total += np.where(known, gap, 0)
-                both += known
-            with np.errstate(divide="ignore", invalid="ignore"):
-                d = np.where((both > 0) & (own[:, None] != keys[None, :]), total * len(columns) / both, np.inf)
-            for c, name in enumerate(columns):
-                holes = np.flatnonzero(np.isnan(some[:, c]))
-                donors = np.flatnonzero(there[:, c])
-                if not len(holes) or not len(donors):
-                    continue
-                part = d[np.ix_(holes, donors)]
-                order = np.lexsort((np.broadcast_to(keys[donors], part.shape), part), axis=1)[:, :k]
-                out = pd.DataFrame({"hole": np.repeat(own[holes], order.shape[1]), "column": name, "d": np.take_along_axis(part, order, 1).ravel(), "donor": keys[donors][order].ravel(), "v": y[donors, c][order].ravel()})
-                yield out[np.isfinite(out["d"])]
-
-
-def knn_impute(df: DataFrame, key: str, columns: Sequence[str], k: int = 5, block: int = DONOR_BLOCK) -> DataFrame:
+def knn_impute(df: DataFrame, key: str, columns: Sequence[str], k: int = 5, n_cells: int | None = None) -> DataFrame:
     """Null cells become the mean of that column over the k nearest rows that have it, by the distance over columns both have
-    (scaled up for the missing ones; ties by key); a column's mean where there is none.
-
-    Every other row may be a donor: rows with holes stream past blocks of about ``block`` donors, each of which leaves the k nearest of every
-    cell, and the nearest of all blocks remain.
-    """
+    (scaled up for the missing ones; ties by key); a column's mean where there is none. Every other row may be a donor; keys are distinct."""
     names = list(columns)
-    rows = df.select(F.col(key).alias(key), *[F.col(c).cast("double").alias(c) for c in names])
-    holes = rows.filter(" OR ".join(f"`{c}` IS NULL" for c in names))
-    n = rows.count()
-    n_blocks = max(1, -(-n // block))
-    kind = df.schema[key].dataType.simpleString()
-    found = None
-    for i in range(n_blocks):
-        donors = rows.filter(F.pmod(F.xxhash64(key), F.lit(n_blocks)) == i).limit(2 * block + 1).toPandas()
-        if len(donors) > 2 * block:
-            raise ValueError("keys of imputed rows must be distinct")
-        shared = df.sparkSession.sparkContext.broadcast((donors[key].to_numpy(), donors[names].to_numpy(float)))
-        near = holes.mapInPandas(partial(_donor_cells, block=shared, key=key, columns=names, k=k), f"hole {kind}, column string, d double, donor {kind}, v double")
-        found = near if found is None else found.union(near)
-    cells = found.groupBy("hole", "column").agg(F.slice(F.array_sort(F.collect_list(F.struct("d", "donor", "v"))), 1, k).alias("near"))  # at most k a block
-    mean = F.aggregate("near", F.lit(0.0), lambda s, x: s + x["v"]) / F.size("near")
-    wide = cells.select("hole", "column", mean.alias("v")).groupBy("hole").pivot("column", names).agg(F.first("v"))
-    wide = wide.select(F.col("hole").alias("__hole"), *[F.col(f"`{c}`").alias(f"__n_{c}") for c in names])
+    found = impute(df, key, names, k, n_cells).groupBy("key").pivot("slot", list(range(len(names)))).agg(F.first("mean"))
+    wide = found.select(F.col("key").alias("__hole"), *[F.col(f"`{i}`").alias(f"__n_{c}") for i, c in enumerate(names)])
     out = df.join(wide, F.col(key) == F.col("__hole"), "left").crossJoin(F.broadcast(df.agg(*[F.avg(c).alias(f"__m_{c}") for c in names])))  # one row
     return out.select(*[F.coalesce(F.col(c), F.col(f"__n_{c}"), F.col(f"__m_{c}")).alias(c) if c in names else F.col(c) for c in df.columns])

@@ -425,8 +425,7 @@ def self_tuning_gamma(spark, d):
 
 @query(f"WITH v AS ({VEC}), s AS (SELECT {SQ} AS q FROM v a, v b WHERE a.vec_id < b.vec_id) SELECT count(*) AS n_pairs, round(1 / (2 * median(sqrt(q)) ** 2), 6) AS gamma_half_median_squared, round(1 / (2 * median(q)), 6) AS gamma_half_median_of_squares, round(1 / median(q), 6) AS gamma_median_of_squares FROM s")
 def median_heuristic_gamma(spark, d):
-    rows = pairs.bounded_draw(table(spark, d, "embeddings"), "vec_id", pairs.MAX_REFERENCE)
-    return rounded(pairs.median_gammas(rows, "vec_id", "embedding"), "gamma_half_median_squared", "gamma_half_median_of_squares", "gamma_median_of_squares")
+    return rounded(pairs.median_gammas(table(spark, d, "embeddings"), "vec_id", "embedding"), "gamma_half_median_squared", "gamma_half_median_of_squares", "gamma_median_of_squares")
 
 
 @query(f"""WITH v AS ({VEC}), n AS (SELECT a.vec_id, b.label FROM v a, v b WHERE a.vec_id <> b.vec_id QUALIFY row_number() OVER (PARTITION BY a.vec_id ORDER BY round({SQ}, 12), b.vec_id) <= 5), c AS (SELECT vec_id, label AS vote, count(*) AS votes FROM n GROUP BY 1, 2)
@@ -440,9 +439,7 @@ def knn_vote(spark, d):
  d AS (SELECT kind, i, sum(w) AS s, sum(w * j) AS sj, count(*) AS n FROM w GROUP BY 1, 2), t AS (SELECT kind, sum(s) AS t FROM d GROUP BY 1) SELECT kind, i, n, round(s / t, 8) AS diagonal, round(-sj / t, 5) AS moment FROM d JOIN t USING (kind)""")
 def label_laplacian(spark, d):
     """Each row of both Laplacians of all rows, told by its diagonal and the first moment of the rest."""
-    found = pairs.label_laplacians(table(spark, d, "embeddings"), "vec_id", "embedding", "label", 0.5)
-    other = F.col("i") != F.col("j")
-    told = found.groupBy("kind", "i").agg(F.sum(other.cast("long")).alias("n"), F.sum(F.when(~other, F.col("value"))).alias("diagonal"), F.sum(F.when(other, F.col("value") * F.col("j"))).alias("moment"))
+    told = pairs.label_laplacian_sums(table(spark, d, "embeddings"), "vec_id", "embedding", "label", 0.5)
     return rounded(rounded(told, "diagonal", digits=8), "moment", digits=5)
 
 
