@@ -96,17 +96,31 @@ INSTITUTIONS_SQL = f"WITH k AS ({SHAPE_SQL}), r AS (SELECT unnest(range(m))::INT
 
 
 def _exact(method: str, reduction: str):
-    """Images of full width span the anchors' own space, so linear maps bring them together without a rest, test anchors included."""
+    """Images of full width span the anchors' own space: linear maps bring them together without a rest, test anchors included. A row an institution.
+
+    Its integrated anchors have full rank and orthogonal columns, equal to the first institution's, of a size that the method fixes: unit columns where
+    the target itself is met, columns of length 1 over the root of the number of institutions where all images together have length one; Procrustes maps keep each image's own size.
+    """
+    width = 64 if method == "ODC" else 10
+
     def run(spark: SparkSession, d: str) -> DataFrame:
         reduced = stable(rd.reduce_locally(dealt(spark, d), an.make_anchors(spark, 200, 64, 2), reduction, 64))
-        shared, _ = ig.integrate(reduced, 10 if method != "ODC" else 64, method)
-        images = shared.filter("part = 'anchor_test'").select("institution", F.col("row_id").alias("anchor_id"), "features")
-        return rounded(pairs.alignment_pairs(stable(images)), "sum", "mean", "max", digits=2)
+        shared, solution = ig.integrate(reduced, width, method)
+        if method == "GEP_weighted_maps":  # equal eigenvalues get weights by their rounding alone: take them out again
+            back = F.lit([float(1 / w) for w in la.np.resize(la.eigen_weights(solution.values), width)])
+            shared = shared.withColumn("features", F.zip_with("features", back, lambda x, w: x * w))
+        found = ig.agreement(shared)
+        if method == "ODC":
+            square = F.aggregate("features", F.lit(0.0), lambda s, x: s + x * x)
+            sizes = reduced.filter("part = 'anchor'").groupBy("institution").agg(F.sum(square).alias("before"))
+            found = found.join(sizes, "institution").withColumn("size", F.col("size") / F.col("before")).drop("before", "most_cross")
+        return rounded(found, "size", "least_cosine", "most_cross", "mean", "max", digits=3)
 
     name = f"integrate_{method}_exact"
     run.__name__ = name
     QUERIES[name] = run
-    ORACLES[name] = INSTITUTIONS_SQL + " SELECT a.i, b.i AS j, 200::BIGINT AS n_rows_used, 0.0::DOUBLE AS sum, 0.0::DOUBLE AS mean, 0.0::DOUBLE AS max FROM r a JOIN r b ON a.i < b.i"
+    size = {"Imakura": "10.0", "targetvec": "10.0", "ODC": "1.0"}.get(method, "10.0 / m")
+    ORACLES[name] = f"WITH k AS ({SHAPE_SQL}) SELECT unnest(range(m))::INT AS institution, {width}::INT AS rank, round({size}, 3)::DOUBLE AS size, 1.0::DOUBLE AS least_cosine, " + ("" if method == "ODC" else "0.0::DOUBLE AS most_cross, ") + "0.0::DOUBLE AS mean, 0.0::DOUBLE AS max FROM k"
 
 
 for _m in ("Imakura", "targetvec", "QR_SVD", "GEP", "GEP_weighted", "GEP_weighted_maps", "ODC"):

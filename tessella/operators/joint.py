@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from ..functions import linalg as la
 from ..session import stable
 from .federated import HIDDEN, forward, start, unpack
-from .integrate import Maps, images_of
+from .integrate import Method, Solution, images_of
 from .reduce import matrix
 
 #: Tasks of a round: each sends one gradient of the network to the driver.
@@ -84,7 +84,7 @@ class _Adam:
         return x - factor * self.rate * (self.m / (1 - 0.9**self.t)) / (np.sqrt(self.v / (1 - 0.999**self.t)) + 1e-8)
 
 
-def joint_maps(reduced: DataFrame, p: int, n_classes: int, weight_pred: float = 1.0, weight_reg: float = 1.0, weight_cross: float = 0.0, hidden: int = HIDDEN, rounds: int = 100, rate: float = 1e-3, rate_maps: float = 1e-3, halve_every: int = 500, tolerance: float = 1e-6, orthonormal: bool = False, seed: int = 0) -> tuple[Maps, list[float]]:
+def joint_maps(reduced: DataFrame, p: int, n_classes: int, weight_pred: float = 1.0, weight_reg: float = 1.0, weight_cross: float = 0.0, hidden: int = HIDDEN, rounds: int = 100, rate: float = 1e-3, rate_maps: float = 1e-3, halve_every: int = 500, tolerance: float = 1e-6, orthonormal: bool = False, seed: int = 0) -> tuple[Solution, list[float]]:
     """(maps, loss of each round). ``reduced`` is the long table of images; rows without a label take no part.
 
     It stops early once the loss changes by less than ``tolerance`` of itself. With ``weight_pred`` zero no row is read.
@@ -126,5 +126,5 @@ def joint_maps(reduced: DataFrame, p: int, n_classes: int, weight_pred: float =
         factor = 0.5 ** (turn // halve_every)
         u, flat = unit(adam_u.step(u, np.linalg.solve(low, dv), factor)), adam_net.step(flat, net, factor)
     v = np.linalg.solve(low.T, u)
-    maps = Maps("mlp_objective", linear={i: v[cut] for i, cut in cuts.items()}, values=values)
+    maps = Solution(Method("GEP"), linear={i: v[cut] for i, cut in cuts.items()}, values=values)
     return maps, losses

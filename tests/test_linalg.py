@@ -53,7 +53,7 @@ def test_rotated_images_align_exactly():
 def test_nonlinear_solutions_reproduce_their_target(images):
     for method in ("nonlinear", "nonlinear_linear"):
         maps = ig.solve(images, 3, method, penalty=1e-6)
-        z = [maps.transform(i)(s) for i, s in images.items()]
+        z = [maps.transform(i, s)(s) for i, s in images.items()]
         assert max(np.abs(x - maps.target).max() for x in z) < 0.05, method
     start_at = {i: 1 / 6 for i in images}
     tuned = ig.tuned_widths(images, 3, start_at)
