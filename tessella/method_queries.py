@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from .functions import linalg as la
 from .operators import anchors as an
+from .operators import heads
 from .operators import integrate as ig
 from .operators import models as mo
 from .operators import pairs
@@ -168,6 +169,8 @@ def _run(name: str, **settings):
 _run("collaboration_imakura")
 _run("collaboration_gep_weighted", G_type="GEP_weighted", dim_intermediate=20)
 _run("collaboration_joint", G_type="mlp_objective", dim_intermediate=20, joint_rounds=20)
+_run("collaboration_linear_objective", G_type="linear_objective", dim_intermediate=20, dim_integrate=10)
+_run("collaboration_logistic_objective", G_type="logistic_objective", dim_intermediate=20, dim_integrate=10)
 _run("collaboration_nonlinear", G_type="nonlinear", F_type="kernel_pca_svd_mixed", dim_intermediate=20)
 _run("baseline_centralize", G_type="centralize")
 _run("baseline_centralize_reduced", G_type="centralize_dim")
@@ -180,6 +183,18 @@ _run("model_svm_fourier", h_model="svm", G_type="centralize", metric="accuracy")
 _run("model_mlp", h_model="mlp", G_type="centralize")
 
 
+@query(f"WITH s AS ({ORACLES['institution_split']}) SELECT count(*) AS n, 10::INT AS columns, 0.0::DOUBLE AS normal_residual, 1.0::DOUBLE AS least_norm, 1.0::DOUBLE AS greatest_norm, true AS improved, true AS held_improved FROM s WHERE split = 'train'")
+def linear_head_identities(spark, d):
+    """What must hold of maps trained with a linear head: the head leaves no residual along the mapped rows but the ridge's, columns have B-norm one, and both losses fell."""
+    rows = ex.derived_target(dealt(spark, d))
+    reduced = stable(rd.reduce_locally(rows, an.make_anchors(spark, 100, 64, 2), "svd", 12))
+    _, told = heads.linear_maps(reduced, 10, 4)
+    zz, zy = told["own"].normal(told["maps"])
+    residual = float(abs(zy - zz @ told["head"] - heads.HEAD_RIDGE * told["head"]).max() / abs(zy).max())
+    row = (told["n"], len(told["norms"]), residual, float(told["norms"].min()), float(told["norms"].max()), told["end"] < told["start"], told["held_end"] < told["held_start"])
+    return rounded(spark.createDataFrame([row], "n long, columns int, normal_residual double, least_norm double, greatest_norm double, improved boolean, held_improved boolean"), "normal_residual", "least_norm", "greatest_norm")
+
+
 @query("""WITH t AS (SELECT l_extendedprice::DOUBLE AS y, l_quantity::DOUBLE AS a, l_discount::DOUBLE AS b, l_tax::DOUBLE AS c, l_orderkey % 5 AS fold FROM lineitem),
  s AS (SELECT avg(y) my, avg(a) ma, avg(b) mb, avg(c) mc, var_pop(a) aa, var_pop(b) bb, var_pop(c) cc, covar_pop(a, b) ab, covar_pop(a, c) ac, covar_pop(b, c) bc, covar_pop(a, y) ya, covar_pop(b, y) yb, covar_pop(c, y) yc FROM t WHERE fold <> 0),
  e AS (SELECT *, aa * (bb * cc - bc * bc) - ab * (ab * cc - bc * ac) + ac * (ab * bc - bb * ac) AS det FROM s),

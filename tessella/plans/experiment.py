@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.linalg import eigen_weights
 from ..operators import anchors as an
 from ..operators import federated as fed
+from ..operators import heads
 from ..operators import integrate as ig
 from ..operators import joint
 from ..operators import models as mo
@@ -90,6 +91,9 @@ def run_once(rows: DataFrame, config: Config) -> DataFrame:
         if config.G_type == "mlp_objective":
             maps, _ = joint.joint_maps(reduced, config.dim_integrate or k, classes, config.weight_pred, rounds=config.joint_rounds, seed=config.run_seed)
             shared = ig.project(reduced, maps)
+        elif config.G_type in heads.HEADS:
+            maps, _ = heads.head_maps(reduced, config.dim_integrate or k, classes, config.G_type, weight_pred=config.weight_pred, seed=config.run_seed)
+            shared = ig.project(reduced, maps)
         else:
             shared, maps = ig.integrate(reduced, config.dim_integrate or k, config.G_type, penalty=config.nl_lambda, width=config.gamma_type, width_ratio=config.gamma_ratio_krr)
         shared = stable(shared)
