@@ -179,7 +179,8 @@ _run("baseline_individual_reduced", G_type="individual_dim", F_type="kernel_pca_
 _run("baseline_federated", G_type="fl")
 _run("model_random_forest", h_model="random_forest", G_type="centralize")
 _run("model_svm_linear", h_model="svm_linear", G_type="centralize", metric="accuracy")
-_run("model_svm_fourier", h_model="svm", G_type="centralize", metric="accuracy")
+_run("model_svm_rbf", h_model="svm", G_type="centralize", metric="accuracy")
+_run("model_svm_fourier", h_model="svm_fourier", G_type="centralize", metric="accuracy")
 _run("model_mlp", h_model="mlp", G_type="centralize")
 
 

@@ -2,8 +2,8 @@
 
 The integrated model is fitted once on all institutions' training rows with Spark ML and evaluated by institution. Models that stay
 inside one institution are small numpy fits in a grouped map. ``mlp`` is a relu layer of 256 units that stops early, trained in parts whose
-parameters are averaged. Spark ML has no RBF machine: ``svm`` adds Fourier features of the kernel before a linear one. The margins of both
-machines become probabilities by a logistic fit for each class.
+parameters are averaged. ``svm`` and ``svm_linear`` are the exact machines of ``machines``, with probabilities from held-out folds. Where they would have too many
+support vectors, ``svm_fourier`` adds Fourier features of the RBF kernel before Spark ML's linear machine; its margins become probabilities by a logistic fit for each class.
 """
 
 from __future__ import annotations
@@ -18,10 +18,10 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import federated, metrics
+from . import federated, machines, metrics
 from .reduce import matrix
 
-MODELS = ("softmax", "random_forest", "svm_linear", "svm", "mlp", "linear_regression", "gbt_regression")
+MODELS = ("softmax", "random_forest", "svm_linear", "svm", "svm_fourier", "mlp", "linear_regression", "gbt_regression")
 FOURIER = 200
 
 
@@ -49,7 +49,9 @@ def fit_and_score(train: DataFrame, test: DataFrame, model: str, n_classes: int,
     """The test rows with ``scores`` (an array over classes; one element for regression) and ``predicted``."""
     train, test = train.filter(F.col("target").isNotNull()), test
     train_z, test_z = scaled(train, train, weights), scaled(train, test, weights)
-    if model == "svm":
+    if model in ("svm", "svm_linear"):
+        return machines.machine_scores(train_z, test_z, n_classes, "rbf" if model == "svm" else "linear", c)
+    if model == "svm_fourier":
         d = len(train.select("features").first()[0])
         train_z, test_z = fourier(train_z, d, 1 / d, seed), fourier(test_z, d, 1 / d, seed)
     ready = lambda rows: rows.withColumn("x", array_to_vector("features")).withColumn("y", F.col("target").cast("double"))
@@ -60,7 +62,7 @@ def fit_and_score(train: DataFrame, test: DataFrame, model: str, n_classes: int,
         est = LogisticRegression(family="multinomial", regParam=1 / (c * n), standardization=False, maxIter=200, **common)
     elif model == "random_forest":
         est = RandomForestClassifier(numTrees=100, maxDepth=12, seed=seed, **common)
-    elif model in ("svm", "svm_linear"):
+    elif model == "svm_fourier":
         est = OneVsRest(classifier=LinearSVC(regParam=1 / (c * max(train.count(), 1)), maxIter=100, standardization=False), rawPredictionCol="rawPrediction", **common)
     elif model == "mlp":
         return federated.relu_network(train_z, test_z, n_classes, seed)
@@ -72,7 +74,7 @@ def fit_and_score(train: DataFrame, test: DataFrame, model: str, n_classes: int,
         raise ValueError(f"unknown model {model!r}: one of {MODELS}")
     fitted = est.fit(train_x)
     out = fitted.transform(test_x)
-    if model in ("svm", "svm_linear"):
+    if model == "svm_fourier":
         p = margin_probabilities(fitted.transform(train_x), out, n_classes)
         return p.withColumn("predicted", F.col("prediction").cast("int")).select(*test.columns, "scores", "predicted")
     raw = "probability" if "probability" in out.columns else "rawPrediction"
