@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .functions import linalg as la
 from .operators import anchors as an
-from .operators import heads
+from .operators import collaborative, heads
 from .operators import integrate as ig
 from .operators import models as mo
 from .operators import pairs
@@ -226,6 +226,20 @@ def ratings_factorisation(spark, d):
     return rounded(metrics.rmse_r2(model.transform(r.filter("fold = 0")), "rating", "prediction"), "rmse", "r2", digits=3)
 
 
+@query("""WITH r AS (SELECT o_custkey AS u, l_partkey AS i, l_quantity AS q, l_orderkey, l_linenumber, l_orderkey % 5 AS fold FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+ t AS (SELECT u, i, avg(q) AS q FROM r WHERE fold <> 0 GROUP BY 1, 2), w AS (SELECT DISTINCT u, i FROM r WHERE fold = 0), n AS (SELECT w.u, w.i, t.u AS v, t.q FROM w JOIN t USING (i) WHERE w.u <> t.u),
+ p AS (SELECT DISTINCT u, v FROM n), s AS (SELECT p.u, p.v, 1 / (1 + avg((a.q - b.q) ** 2)) AS s FROM p JOIN t a ON a.u = p.u JOIN t b ON b.u = p.v AND b.i = a.i GROUP BY 1, 2),
+ b AS (SELECT u, i, n.q, s FROM n JOIN s USING (u, v) QUALIFY row_number() OVER (PARTITION BY u, i ORDER BY s DESC, v) <= 10),
+ e AS (SELECT u, i, sum(s * q) / sum(s) AS e, count(*) AS n FROM b GROUP BY 1, 2)
+ SELECT l_orderkey, l_linenumber, round(coalesce(e, (SELECT avg(q) FROM r WHERE fold <> 0)), 6) AS estimate, coalesce(n, 0)::BIGINT AS n_neighbours FROM r LEFT JOIN e USING (u, i) WHERE fold = 0""")
+def ratings_neighbours(spark, d):
+    """Quantities of held-out order lines, estimated from the ten most similar customers who bought the same part."""
+    r = table(spark, d, "lineitem").join(table(spark, d, "orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey")).select("l_orderkey", "l_linenumber", F.col("o_custkey").alias("user"), F.col("l_partkey").alias("item"), F.col("l_quantity").alias("rating"))
+    held = F.col("l_orderkey") % 5 == 0
+    found = collaborative.neighbour_estimates(r.filter(~held), r.filter(held), 10, scale=(1.0, 50.0))
+    return rounded(found.select("l_orderkey", "l_linenumber", "estimate", "n_neighbours"), "estimate")
+
+
 def _inverted(spark: SparkSession, d: str, k: int) -> DataFrame:
     """(institution, truth, guess): the cells of the test rows, and what a linear map learned from the anchors makes of their private images."""
     rows = dealt(spark, d)
