@@ -57,6 +57,9 @@ TEMPLATES = {
 def normalised_words(text: str) -> list[str]:
     return re.findall(r"[a-z0-9]+", text.lower())
 
+#: A window's place is its template times this plus its first word.
+START = 1 << 32
+
 
 def bigrams(text: str) -> set[str]:
     words = normalised_words(text)
@@ -138,14 +141,18 @@ def license_scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, thresho
         """Templates that a window of their own length, laid over a shared bigram, reaches: structs as of ``best``."""
         gram = lambda i: F.concat_ws(" ", F.slice(words, i + 1, 2))
         at = F.filter(F.transform(words, lambda w, i: F.when(w.isin(firsts), i)), lambda i: i.isNotNull())
-        laid = F.flatten(F.transform(at, lambda i: F.transform(F.coalesce(F.try_element_at(targets, gram(i)), none), lambda t: F.struct(t["at"].alias("at"), F.greatest(i - t["place"], F.lit(0)).alias("start")))))
+        # a place is one long, so that distinct ones are found by hashing; then every distinct window content is tried once
+        laid = F.flatten(F.transform(at, lambda i: F.transform(F.coalesce(F.try_element_at(targets, gram(i)), none), lambda t: t["at"].cast("long") * START + F.greatest(i - t["place"], F.lit(0)))))
+        content = lambda p: F.concat_ws(" ", F.floor(p / START).cast("string"), F.slice(words, F.pmod(p, F.lit(START)).cast("int") + 1, F.get(table, F.floor(p / START).cast("int"))["words"]))
+
+        def dice(window: Column) -> Column:
+            def told(ws: Column) -> Column:
+                t = F.get(table, ws[0].cast("int"))
+                return let(_bigrams(F.slice(ws, F.lit(2), F.size(ws) - 1)), lambda g: F.struct((2 * F.size(F.array_intersect(g, t["grams"])) / (F.size(g) + t["n"])).alias("dice"), t["rank"].alias("rank"), t["at"].alias("at")))
 
-        def dice(w: Column) -> Column:
-            t = F.get(table, w["at"])
-            grams = _bigrams(F.slice(words, w["start"] + 1, t["words"]))
-            return let(grams, lambda g: F.struct((2 * F.size(F.array_intersect(g, t["grams"])) / (F.size(g) + t["n"])).alias("dice"), t["rank"].alias("rank"), t["at"].alias("at")))
+            return let(F.split(window, " "), told)
 
-        return F.filter(F.transform(F.array_distinct(laid), dice), lambda b: b["dice"] >= threshold)
+        return F.filter(F.transform(F.array_distinct(F.transform(F.array_distinct(laid), content)), dice), lambda b: b["dice"] >= threshold)
 
     both = F.struct(hits.alias("units"), let(F.split(_normal(text), " "), near).alias("windows"))
     scanned = docs.select(F.col("doc_id").alias("doc_id"), F.when(marked(text), both).alias("found"))
