@@ -131,7 +131,8 @@ def drawn_documents(sized: DataFrame, rows: DataFrame, scratch: Scratch, n_shard
         joined = some.join(sources, F.col("source").eqNullSafe(F.col("known"))).drop("known")
         return joined.withColumn("block", F.pmod(F.xxhash64("place", F.lit(1)), F.col("n_blocks")))
 
-    blocks = _in_order(in_blocks(sized), scratch, seed)
+    there = scratch.save(in_blocks(sized), "in_blocks")
+    blocks = _in_order(there, scratch, seed)
     counts = blocks.groupBy("source_no").agg(F.count(F.lit(1)).alias("all"), F.sum((F.col("before") < F.col("rest")).cast("long")).alias("some"), F.first("whole").alias("whole")).orderBy("source_no").collect()
     kinds = [(r["source_no"], r["all"]) for r in counts for _ in range(r["whole"])] + [(r["source_no"], r["some"]) for r in counts]
     dealt = np.cumsum(splitting_tree(np.array([q for _, q in kinds], np.int64), n_shards, seed), axis=0) if kinds else np.zeros((n_shards, 0), np.int64)
@@ -147,12 +148,12 @@ def drawn_documents(sized: DataFrame, rows: DataFrame, scratch: Scratch, n_shard
     last = F.least(F.col("block_words"), F.greatest(F.lit(0), F.col("rest") - F.col("before")))
     blocks = blocks.join(ranges, "source_no").select("source_no", "block", leaves.alias("leaves"), last.alias("last"), (last < F.col("block_words")).alias("cut"))
     blocks = scratch.save(blocks, "blocks")
-    cuts = _cuts(in_blocks(sized), blocks.filter("cut AND last > 0"), len(plan))
+    cuts = _cuts(there, blocks.filter("cut AND last > 0"), len(plan))
     blocks = blocks.join(cuts, ["source_no", "block"], "left")
     if sum(r["all"] for r in counts) <= BROADCAST_ROWS:
         blocks = F.broadcast(blocks)
 
-    placed = in_blocks(rows)
+    placed = there if rows is sized else in_blocks(rows)
     if by_block:
         placed = placed.repartition("source_no", "block")
     full = placed.join(blocks, ["source_no", "block"])
