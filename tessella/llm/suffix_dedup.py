@@ -36,6 +36,8 @@ from .windows import suspicious_spots
 WINDOW, GRAM = 400, 100
 #: Occurrences of a gram above which its strings are counted by digest.
 HOT = 20_000
+#: Anchors of a part of the merge: parts follow the data, and a worker holds one part.
+PART_ANCHORS = 50_000
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
 RUN = pa.schema([("shared", pa.int32()), ("rest", pa.binary()), ("left", pa.binary()), ("key", pa.binary()), ("at", pa.int32()), ("first", pa.int32()), ("last", pa.int32())])
@@ -237,7 +239,8 @@ def repeats_removed(docs: DataFrame, hot: int = HOT) -> DataFrame:
     raw = F.col("text").cast("binary").alias("text")
     suspects = texts.join(spots.hint("shuffle_hash"), "key")
     calm = suspects.select("key", raw, F.filter("spots", lambda s: s["n"] <= hot).alias("spots")).filter("size(spots) > 0")
-    parts = 4 * shuffle_partitions(spark)
+    n_anchors = spots.agg(F.sum(F.size("spots"))).first()[0] or 0
+    parts = max(4 * shuffle_partitions(spark), -(-n_anchors // PART_ANCHORS))
     runs = scratch.save(arrow_map(calm, partial(_runs, parts=parts, grams=ByteGrams), "part int, run binary"), "runs")
     spans = scratch.save(runs.groupBy("part").applyInPandas(_repeats, SPANS), "spans")
     scratch.drop("runs")
