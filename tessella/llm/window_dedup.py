@@ -21,13 +21,14 @@ ignored.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from functools import partial
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, WordHashes, arrow_map, batch, distinct_texts, mix, text_key, texts_of
@@ -120,6 +121,74 @@ class FingerprintIndex:
         return log.join(grams, "gram", "left_semi").groupBy("key").agg(F.collect_list(F.struct("at", "first", "last")).alias("spots"))
 
 
+class IndexFolder:
+    """Where an index lives that outlasts its application: the same calls as ``Scratch``, under a folder of its own, and a manifest.
+
+    What a manifest does not name does not exist: an append that was cut short leaves files that the next one overwrites. Files
+    that are dropped go once a manifest without them is there.
+    """
+
+    def __init__(self, spark: SparkSession, root: str) -> None:
+        self.spark, self.root, self.tables, self.dropped = spark, root.rstrip("/"), {}, []
+        spark.conf.set("spark.sql.unionOutputPartitioning", "false")
+
+    def save(self, df: DataFrame, name: str) -> DataFrame:
+        df.write.mode("overwrite").option("compression", "zstd").parquet(f"{self.root}/{name}")
+        return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
+
+    def save_bucketed(self, df: DataFrame, name: str, key: str, *, sort: bool = False) -> DataFrame:
+        """Sorted files; a later session joins them by an ordinary shuffle."""
+        return self.save(df.sortWithinPartitions(key) if sort else df, name)
+
+    def drop(self, *names: str) -> None:
+        self.dropped += names
+
+    def _path(self, name: str):
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+        return path, path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    def manifest(self) -> dict | None:
+        """The newest whole one."""
+        path, fs = self._path("manifest-*/_SUCCESS")
+        found = sorted((p.getPath().getParent().getName() for p in fs.globStatus(path) or ()), key=lambda n: int(n.split("-")[1]))
+        return json.loads(self.spark.read.text(f"{self.root}/{found[-1]}").first()[0]) | {"version": int(found[-1].split("-")[1])} if found else None
+
+    def commit(self, content: dict) -> None:
+        """Write a manifest, then delete what it no longer names."""
+        version = (self.manifest() or {"version": -1})["version"] + 1
+        self.spark.createDataFrame([(json.dumps(content),)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.root}/manifest-{version}")
+        for name in self.dropped:
+            path, fs = self._path(name)
+            fs.delete(path, True)
+        self.dropped = []
+
+
+class DurableIndex(FingerprintIndex):
+    """A ``FingerprintIndex`` in a folder: opened, appended to and closed by one application after another.
+
+    ``append`` gives the grams that recur, as its base does, and ``commit`` makes the batch part of the index; without it the folder stays as it was.
+    Batches are told apart by the order of their commits. One application writes at a time.
+    """
+
+    COUNTS = "gram long, n long"
+
+    @classmethod
+    def open(cls, spark: SparkSession, root: str, max_runs: int = MAX_RUNS, window: int = WINDOW) -> DurableIndex:
+        folder = IndexFolder(spark, root)
+        index, found = cls(folder, max_runs, window), folder.manifest()
+        if found:
+            if found["window"] != window:
+                raise ValueError(f"this index has windows of {found['window']} words")
+            read = lambda name, schema: spark.read.schema(schema).parquet(f"{folder.root}/{name}")
+            index.logs = [read(name, ANCHORS) for name in found["logs"]]
+            index.runs = [(name, read(name, cls.COUNTS)) for name in found["runs"]]
+            index.made = found["made"]
+        return index
+
+    def commit(self) -> None:
+        self.scratch.commit({"window": self.window, "made": self.made, "logs": [f"log-{i}" for i in range(len(self.logs))], "runs": [name for name, _ in self.runs]})
+
+
 def _fingerprints(rows: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
     hashes = WordHashes()
     for part in rows:

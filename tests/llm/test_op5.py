@@ -5,7 +5,7 @@ import numpy as np
 
 from tessella.llm.common import Scratch
 from tessella.llm.common import text_key
-from tessella.llm.window_dedup import BASE, FingerprintIndex, deduplicated, rolled, substring_dedup
+from tessella.llm.window_dedup import BASE, DurableIndex, FingerprintIndex, deduplicated, rolled, substring_dedup
 
 
 def brute(rows, w=35):
@@ -67,6 +67,36 @@ def test_a_batch_finds_what_an_old_one_held_once(spark):
     assert keys == {row["key"] for row in frame([p, q, "a " + q, "b " + p, "c " + p]).collect()}
 
 
+def test_an_index_is_reopened_by_a_later_session(spark, tmp_path):
+    root = f"file://{tmp_path}/index"
+    p, q, r = (" ".join(f"{c}{i}" for i in range(50)) for c in "pqr")
+    frame = lambda s, texts: s.createDataFrame([(t,) for t in texts], "text string").select(text_key("text"), "text")
+    first = DurableIndex.open(spark, root)
+    assert first.append(frame(spark, [p, q])).count() == 0
+    first.commit()
+    lost = DurableIndex.open(spark.newSession(), root)  # a batch that is never committed
+    assert lost.append(frame(spark, ["z " + p])).count() > 0
+    later = spark.newSession()
+    second = DurableIndex.open(later, root)
+    assert len(second.logs) == 1
+    assert second.append(frame(later, [r])).count() == 0  # overwrites what the lost batch left
+    second.commit()
+    third = DurableIndex.open(spark.newSession(), root)
+    found = third.append(frame(third.scratch.spark, ["a " + q, "b c"]))
+    assert found.count() > 0 and len(third.runs) == 1  # compacted
+    third.commit()
+    names = {x.name for x in (tmp_path / "index").iterdir()}
+    assert {"run-0", "run-1", "run-2"} & names == set() and {"log-0", "log-1", "log-2", "run-3"} <= names
+    again = DurableIndex.open(spark.newSession(), root)
+    keys = {row["key"] for row in again.spots(again.scratch.spark.read.schema("gram long").parquet(f"{root}/again-2").distinct()).collect()}
+    assert keys == {row["key"] for row in frame(spark, [q, "a " + q]).collect()}
+    try:
+        DurableIndex.open(spark, root, window=20)
+        raise AssertionError
+    except ValueError as e:
+        assert "35 words" in str(e)
+
+
 def test_texts_and_spans(spark):
     p = " ".join(f"p{i}" for i in range(40))
     df = spark.createDataFrame([(1, f"a b {p} c"), (2, f"x {p}"), (3, "é  z"), (4, None)], "doc_id long, text string")
