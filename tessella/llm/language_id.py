@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, BooleanType, DoubleType, StringType, StructField, StructType
 
 from .common import arrow_map, batch, texts_of
 from .quality_classifier import fold_of
@@ -180,7 +181,7 @@ def fit(docs: DataFrame, per_lang: int = PER_LANG) -> Network:
     share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], per_lang / r["count"])])
     chance = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 30)) / float(1 << 30)
     # windows, not whole texts, reach the driver: the same few of each document that training would take
-    drawn = arrow_map(rows.filter(chance < share[F.col("lang")]), _samples, "doc_id long, lang string, text binary").toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])
+    drawn = arrow_map(rows.filter(chance < share[F.col("lang")]), _samples, StructType([StructField("doc_id", rows.schema["doc_id"].dataType), StructField("lang", StringType()), StructField("text", BinaryType())])).toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])
     return train(drawn.column("text").to_pylist(), drawn.column("lang").to_pylist())
 
 
@@ -193,7 +194,7 @@ def _samples(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 ids.append(d)
                 langs.append(lang)
                 cut.append(found[i])
-        yield batch(doc_id=pa.array(ids, pa.int64()), lang=pa.array(langs, pa.string()), text=pa.array(cut, pa.binary()))
+        yield batch(doc_id=pa.array(ids, part.column("doc_id").type), lang=pa.array(langs, pa.string()), text=pa.array(cut, pa.binary()))
 
 
 def _predicted(rows: Iterator[pa.RecordBatch], net) -> Iterator[pa.RecordBatch]:
@@ -213,5 +214,5 @@ def _predicted(rows: Iterator[pa.RecordBatch], net) -> Iterator[pa.RecordBatch]:
 def identify(docs: DataFrame, per_lang: int = PER_LANG) -> DataFrame:
     """doc_id, held_out, lang_pred, score: one row per document."""
     net = docs.sparkSession.sparkContext.broadcast(fit(docs, per_lang))  # some thousand numbers
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (fold_of("doc_id", FOLDS) == HELD_OUT).alias("held_out"), F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("letters"), F.col("text").cast("binary").alias("text"))
-    return arrow_map(rows, partial(_predicted, net=net), "doc_id long, held_out boolean, lang_pred string, score double")
+    rows = docs.select(F.col("doc_id").alias("doc_id"), (fold_of("doc_id", FOLDS) == HELD_OUT).alias("held_out"), F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("letters"), F.col("text").cast("binary").alias("text"))
+    return arrow_map(rows, partial(_predicted, net=net), StructType([rows.schema["doc_id"], StructField("held_out", BooleanType()), StructField("lang_pred", StringType()), StructField("score", DoubleType())]))

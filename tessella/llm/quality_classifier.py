@@ -24,6 +24,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, BooleanType, DoubleType, IntegerType, StructField, StructType
 
 from .common import WordHashes, arrow_map, batch, mix, texts_of
 from .window_dedup import rolled
@@ -121,7 +122,7 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "quality", max_rows: i
     chance = F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(1 << 30)) / float(1 << 30)
     drawn = known.filter(chance < max_rows / max(n, 1))  # at most max_rows in expectation: a bounded side
     rows = docs.select(F.col("doc_id").alias("doc_id"), F.col("text").cast("binary").alias("text")).join(F.broadcast(drawn), "doc_id").select("doc_id", "text", "label")
-    found = arrow_map(rows, _bags, "doc_id long, label int, ids binary, share binary").toArrow().sort_by("doc_id")
+    found = arrow_map(rows, _bags, StructType([rows.schema["doc_id"], StructField("label", IntegerType()), StructField("ids", BinaryType()), StructField("share", BinaryType())])).toArrow().sort_by("doc_id")
     y = found.column("label").to_numpy().astype(np.int64)
     bags = [(np.frombuffer(i, np.int32), np.frombuffer(s, np.float16)) for i, s in zip(found.column("ids").to_pylist(), found.column("share").to_pylist(), strict=True)]
     del found  # the features are held once, in the narrow types they came in
@@ -190,8 +191,8 @@ def _scored(rows: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
 def score_quality(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
     """doc_id, held_out, score, predicted: one row per document."""
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, max_rows=max_rows))  # BUCKETS floats, whatever the corpus
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (fold_of("doc_id", FOLDS) == 0).alias("held_out"), F.col("text").cast("binary").alias("text"))
-    return arrow_map(rows, partial(_scored, model=model), "doc_id long, held_out boolean, score double, predicted int")
+    rows = docs.select(F.col("doc_id").alias("doc_id"), (fold_of("doc_id", FOLDS) == 0).alias("held_out"), F.col("text").cast("binary").alias("text"))
+    return arrow_map(rows, partial(_scored, model=model), StructType([rows.schema["doc_id"], StructField("held_out", BooleanType()), StructField("score", DoubleType()), StructField("predicted", IntegerType())]))
 
 
 def _accepted(rows: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:

@@ -103,3 +103,11 @@ def test_scorer_and_bags_agree():
     for t, s in zip(texts, qc.Scorer(model)(texts)):
         ids, share = qc.bag(t, WordHashes())
         assert abs(s - 1 / (1 + np.exp(-(0.1 + float(model.logits[ids] @ share.astype(np.float64)))))) < 1e-4
+
+
+def test_text_ids_and_null_ids(spark):
+    rows = [(f"d{i}" if i else None, ("the quick brown fox jumps over it " if i % 2 else "der schnelle braune fuchs springt hoch ") * 3, "en" if i % 2 else "de") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string, lang string")
+    labels = spark.createDataFrame([(f"d{i}", i % 2) for i in range(1, 60)], "doc_id string, quality int")
+    for found in (li.identify(docs), qc.score_quality(docs, labels)):
+        assert dict(found.dtypes)["doc_id"] == "string" and sorted(str(r["doc_id"]) for r in found.collect()) == sorted(str(r[0]) for r in rows)
