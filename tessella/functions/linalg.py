@@ -128,9 +128,14 @@ def median_width(x: np.ndarray) -> float:
 def cca(x: np.ndarray, y: np.ndarray, k: int, ridge: float = 1e-6) -> tuple[np.ndarray, np.ndarray]:
     """(correlations, directions of x) that correlate most with y; no more than y's rank, zero columns beyond."""
     x, y = x - x.mean(axis=0), y - y.mean(axis=0)
-    cross = x.T @ y
-    w, v = generalised(cross @ np.linalg.solve(y.T @ y + ridge * np.eye(y.shape[1]), cross.T), x.T @ x + ridge * np.eye(x.shape[1]))
-    n = min(k, x.shape[1], int(np.linalg.matrix_rank(y)))
+    return cca_of_moments(x.T @ x, x.T @ y, y.T @ y, k, ridge)
+
+
+def cca_of_moments(xx: np.ndarray, cross: np.ndarray, yy: np.ndarray, k: int, ridge: float = 1e-6) -> tuple[np.ndarray, np.ndarray]:
+    """The same from the centred sums of products."""
+    w, v = generalised(cross @ np.linalg.solve(yy + ridge * np.eye(len(yy)), cross.T), xx + ridge * np.eye(len(xx)))
+    spread = np.linalg.eigvalsh(yy)
+    n = min(k, len(xx), int((spread > max(spread[-1], 0) * 1e-12).sum()))
     return np.sqrt(np.maximum(w[::-1][:n], 0)), padded(v[:, ::-1][:, :n], k)
 
 

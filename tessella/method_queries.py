@@ -260,16 +260,7 @@ def _inverted(spark: SparkSession, d: str, k: int) -> DataFrame:
     rows = dealt(spark, d)
     anchors = an.make_anchors(spark, 200, 64, 3)
     reduced = rd.reduce_locally(rows, anchors, "samespan", k)
-    images, _ = ig.images_of(stable(reduced))
-    plain = rd.anchor_matrices(anchors)["anchor"][1]
-    # row by row: the pseudo-inverse of the map that the anchors give away
-    back = {i: la.linear_inversion(s, plain, la.np.eye(s.shape[1])) for i, s in images.items()}
-    tables = F.create_map(*[x for i, b in back.items() for x in (F.lit(i), F.lit([[float(v) for v in column] for column in b.T]))])
-    from .functions.expressions import dot
-
-    private = reduced.filter("part = 'test'").select("row_id", "institution", F.col("features").alias("image"))
-    guess = private.withColumn("guess", F.transform(tables[F.col("institution")], lambda column: dot(column, F.col("image"))))
-    both = guess.join(rows.select("row_id", F.col("features").alias("truth")), "row_id")
+    both = rd.inverted(reduced, anchors).join(rows.select("row_id", F.col("features").alias("truth")), "row_id")
     return both.select("institution", F.explode(F.arrays_zip("truth", "guess")).alias("c")).select("institution", "c.truth", "c.guess")
 
 
@@ -291,10 +282,8 @@ def inversion_of_full_images(spark, d):
 @query()
 def top_singular_value(spark, d):
     """Leading singular value of all embeddings, from a Gram matrix that Spark adds up."""
-    e = table(spark, d, "embeddings").select(F.posexplode(F.col("embedding").cast("array<double>")).alias("i", "x"), "vec_id", F.col("embedding").cast("array<double>").alias("row"))
-    gram = e.select("i", F.posexplode("row").alias("j", "y"), "x").groupBy("i", "j").agg(F.sum(F.col("x") * F.col("y")).alias("g"))
-    g = gram.toPandas().pivot(index="i", columns="j", values="g").to_numpy()  # width times width
-    return gram.limit(1).select(F.round(F.lit(float(la.top_singular(g, 2000, 1e-12)[0] ** 0.5)), 4).alias("singular_value"))
+    rows = table(spark, d, "embeddings").select(F.col("embedding").cast("array<double>").alias("features"))
+    return rows.limit(1).select(F.round(F.lit(rd.top_singular_value(rows)), 4).alias("singular_value"))
 
 
 @query()
@@ -314,3 +303,11 @@ def best_reduction_parameter(spark, d):
 @query()
 def reduction_benchmark(spark, d):
     return rounded(ex.reduction_benchmark(ex.embeddings(spark, d), [120], [8], ["svd", "kernel_pca_self_tuning"], ex.Config()), "auc", "delta_vs_pca", digits=4)
+
+
+@query()
+def reduction_benchmark_by_classifier(spark, d):
+    """Half of all training rows, by method and classifier: a size that follows the table."""
+    rows = ex.embeddings(spark, d)
+    n = max(80, rows.count() // 4 // 4 * 4)
+    return rounded(ex.reduction_benchmark(rows, [n], [8], ["svd", "cca"], ex.Config(), classifiers=("softmax", "svm")), "auc", "delta_vs_pca", digits=4)

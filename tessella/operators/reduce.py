@@ -22,7 +22,7 @@ from .pairs import MAX_REFERENCE, bounded_draw
 Fit = Callable[[np.ndarray, np.ndarray, int, int, int, float], tuple[la.Transform, float]]
 SCHEMA = "institution int, part string, row_id long, target int, features array<double>, gamma double"
 #: Methods whose map over the pooled rows of all institutions comes from sums, and the landmarks that span their kernels.
-POOLED, LANDMARKS = ("svd", "kernel_pca", "kernel_pca_self_tuning"), 500
+POOLED, LANDMARKS = ("svd", "kernel_pca", "kernel_pca_self_tuning", "cca", "samespan", "samespan_orth"), 500
 #: Tasks that add up a Gram matrix each.
 MAX_TASKS = 256
 #: Institutions cycle through so many kernel widths under ``kernel_pca_unfixed_gamma``.
@@ -180,6 +180,74 @@ def _pooled(frames: Iterator[pd.DataFrame], shared) -> Iterator[pd.DataFrame]:
         yield f.assign(features=list((lift(matrix(f["features"])) - mean) @ v)) if len(f) else f
 
 
+def gram_sums(rows: DataFrame, lift: Callable[[np.ndarray], np.ndarray]) -> tuple[int, np.ndarray, np.ndarray]:
+    """(rows, sum, Gram matrix) of lifted ``features``: tasks add up their rows, Spark the tasks' sums."""
+    sums = rows.select("features").coalesce(MAX_TASKS).mapInPandas(partial(_moments, shared=rows.sparkSession.sparkContext.broadcast(lift)), "i int, n long, v array<double>")
+    found = sums.groupBy("i").applyInPandas(_added, "i int, n long, v array<double>").toPandas().sort_values("i")  # a row a dimension
+    if not len(found):
+        raise ValueError("no rows")
+    return int(found["n"].iloc[0]), np.array(found["v"].iloc[0]), matrix(found["v"].iloc[1:])
+
+
+def _plain(x: np.ndarray) -> np.ndarray:
+    return x
+
+
+def top_singular_value(rows: DataFrame) -> float:
+    """Leading singular value of all ``features``, from their Gram matrix."""
+    return float(la.top_singular(gram_sums(rows, _plain)[2], 2000, 1e-12)[0] ** 0.5)
+
+
+def _inverted(rows: pd.DataFrame, anchors) -> pd.DataFrame:
+    """What one institution's private images give away: the linear map learned from its anchors, applied backwards to its test rows."""
+    image = rows[rows["part"] == "anchor"].sort_values("row_id")
+    test = rows[rows["part"] == "test"]
+    guess = la.linear_inversion(matrix(image["features"]), anchors.value, matrix(test["features"])) if len(test) else []
+    return test[["institution", "row_id"]].assign(guess=list(guess))
+
+
+def inverted(reduced: DataFrame, anchors: DataFrame) -> DataFrame:
+    """(institution, row_id, guess): the test rows as an attacker who knows the anchors would rebuild them. Each institution's inverse is made beside its rows."""
+    shared = reduced.sparkSession.sparkContext.broadcast(anchor_matrices(anchors)["anchor"][1])
+    return reduced.groupBy("institution").applyInPandas(partial(_inverted, anchors=shared), "institution int, row_id long, guess array<double>")
+
+
+def _reduced_by(frames: Iterator[pd.DataFrame], shared) -> Iterator[pd.DataFrame]:
+    for f in frames:
+        yield f.assign(features=list(shared.value(matrix(f["features"])))) if len(f) else f
+
+
+@dataclass(frozen=True)
+class _Straight:
+    """Rows less a centre, through a matrix."""
+
+    centre: np.ndarray
+    through: np.ndarray
+
+    def __call__(self, x: np.ndarray) -> np.ndarray:
+        return (x - self.centre) @ self.through
+
+
+def _straight_pooled(rows: DataFrame, train: DataFrame, method: str, k: int, seed: int) -> DataFrame:
+    """The methods whose map is one matrix: random ones, and canonical directions from the moments of rows and labels side by side."""
+    width = train.select("features").first()
+    if width is None:
+        raise ValueError("no training rows")
+    d = len(width[0])
+    if method == "cca":
+        classes = [r[0] for r in train.select("target").distinct().orderBy("target").collect()]  # the labels
+        both = train.select(F.concat("features", F.array(*[(F.col("target") == c).cast("double") for c in classes])).alias("features"))
+        n, total, gram = gram_sums(both, _plain)
+        moments = gram - np.outer(total, total) / n
+        found = _Straight(total[:d] / n, la.cca_of_moments(moments[:d, :d], moments[:d, d:], moments[d:, d:], k)[1])
+    elif method == "samespan_orth":
+        shared = la.random_orthogonal(d, np.random.default_rng([seed, 0]))[:, :k]
+        found = _Straight(np.zeros(d), la.padded(shared @ la.random_orthogonal(shared.shape[1], np.random.default_rng([seed, 1, 0])), k))
+    else:
+        found = _Straight(np.zeros(d), np.random.default_rng([seed, 0]).normal(size=(d, k)) @ np.random.default_rng([seed, 1, 0]).uniform(-1, 1, (k, k)))
+    return rows.mapInPandas(partial(_reduced_by, shared=rows.sparkSession.sparkContext.broadcast(found)), rows.schema)
+
+
 def reduce_pooled(rows: DataFrame, method: str, k: int, ratio: float = 1.0, landmarks: int = LANDMARKS) -> DataFrame:
     """One map for the rows of all institutions, fitted on their training rows: (row_id, part, features, ...) with reduced features.
 
@@ -192,6 +260,8 @@ def reduce_pooled(rows: DataFrame, method: str, k: int, ratio: float = 1.0, land
     context = rows.sparkSession.sparkContext
     rows = rows.withColumn("features", F.col("features").cast("array<double>"))
     train = rows.filter(F.col("part") == "train").select("row_id", "features")
+    if method in ("cca", "samespan", "samespan_orth"):
+        return _straight_pooled(rows, rows.filter(F.col("part") == "train"), method, k, 0)
     stats = train.select(F.posexplode("features").alias("i", "x")).groupBy("i").agg(F.avg("x").alias("m"), F.stddev_pop("x").alias("s"), F.count(F.lit(1)).alias("n")).orderBy("i").collect()  # a row a dimension
     if not stats:
         raise ValueError("no training rows")
@@ -203,9 +273,7 @@ def reduce_pooled(rows: DataFrame, method: str, k: int, ratio: float = 1.0, land
         gamma = 1 / len(mean) if method == "kernel_pca" else la.self_tuning(some) * ratio
         points = (some - mean) / deviation
         lift = _Lift(mean, deviation, points, la.inverse_root(la.rbf(points, points, gamma)), gamma)
-    sums = train.coalesce(MAX_TASKS).mapInPandas(partial(_moments, shared=context.broadcast(lift)), "i int, n long, v array<double>")
-    found = sums.groupBy("i").applyInPandas(_added, "i int, n long, v array<double>").toPandas().sort_values("i")  # a row a dimension
-    n, total, gram = int(found["n"].iloc[0]), np.array(found["v"].iloc[0]), matrix(found["v"].iloc[1:])
+    n, total, gram = gram_sums(train, lift)
     centre = total / n
     _, v = np.linalg.eigh(gram - n * np.outer(centre, centre))
     shared = context.broadcast((lift, centre, la.padded(la.sign_fixed(v[:, ::-1]), k)))

@@ -18,6 +18,7 @@ from ..operators import models as mo
 from ..operators import reduce as rd
 from ..operators import split as sp
 from ..session import stable, table
+from ..sources import sinks
 
 BASELINES = ("centralize", "centralize_dim", "individual", "individual_dim", "fl")
 #: Ratios of the kernel width that a search tries.
@@ -124,17 +125,29 @@ def best_ratios(rows: DataFrame, config: Config, ratios: Sequence[float] = RATIO
     return found.groupBy("institution").agg(F.max_by(F.struct("best_param", "score"), order).alias("b")).select("institution", "b.best_param", "b.score")
 
 
-def run_grid(rows: DataFrame, combos: DataFrame, seeds: Sequence[int] = range(5), base: Config | None = None) -> DataFrame:
+def run_grid(rows: DataFrame, combos: DataFrame, seeds: Sequence[int] = range(5), base: Config | None = None, log: str | None = None) -> DataFrame:
     """One row per combination and seed: its parameters, status, error, and means over all, even and odd institutions.
 
-    Each run is a Spark job of its own; one that fails becomes a row with its error and stops nothing.
+    Each run is a Spark job of its own; one that fails becomes a row with its error and stops nothing. With ``log``, a folder, every row is appended there as soon
+    as it is known, and runs that ended well in an earlier call are taken from it: a grid that is cut short goes on where it stopped.
     """
     base = base or Config()
-    known = {f.name for f in fields(Config)}
-    names = [c for c in combos.columns if c in known]
+    settings = {f.name for f in fields(Config)}
+    names = [c for c in combos.columns if c in settings]
+    kinds = {f.name: f.dataType.simpleString() for f in combos.schema}
+    schema = ", ".join([*(f"{n} {kinds[n]}" for n in names), "run_seed int, status string, error string, score double, even_mean double, odd_mean double, ind_mean double, even_ind_mean double, odd_ind_mean double"])
+    told = [n.split()[0] for n in schema.split(", ")]
+    known = {}
+    if log is not None and sinks.exists(rows.sparkSession, log):
+        before = sinks.read_log(rows.sparkSession, log)
+        if set(names) <= set(before.columns):
+            known = {tuple(r[n] for n in (*names, "run_seed")): tuple(r) for r in before.filter("status = 'ok'").select(*told).collect()}  # runs, not rows
     out = []
     for combo in combos.select(*names).collect():  # the grid is the caller's list of runs
         for seed in seeds:
+            if (done := known.get((*combo, int(seed)))) is not None:
+                out.append(dict(zip(told, done, strict=True)))
+                continue
             config = replace(base, **{k: v for k, v in combo.asDict().items() if v is not None}, run_seed=int(seed))
             row = {**combo.asDict(), "run_seed": int(seed), "status": "ok", "error": None, "score": None, "even_mean": None, "odd_mean": None, "ind_mean": None, "even_ind_mean": None, "odd_ind_mean": None}
             try:
@@ -145,13 +158,13 @@ def run_grid(rows: DataFrame, combos: DataFrame, seeds: Sequence[int] = range(5)
             except Exception as e:  # noqa: BLE001  a failed run is a result
                 row |= {"status": "failed", "error": str(e)[:300]}
             out.append(row)
-    kinds = {f.name: f.dataType.simpleString() for f in combos.schema}
-    schema = ", ".join([*(f"{n} {kinds[n]}" for n in names), "run_seed int, status string, error string, score double, even_mean double, odd_mean double, ind_mean double, even_ind_mean double, odd_ind_mean double"])
+            if log is not None:
+                sinks.append_log(rows.sparkSession.createDataFrame([tuple(row.values())], schema), log)
     return rows.sparkSession.createDataFrame([tuple(r.values()) for r in out], schema)
 
 
-def reduction_benchmark(rows: DataFrame, sizes: Sequence[int], dims: Sequence[int], methods: Sequence[str], config: Config | None = None) -> DataFrame:
-    """(n_train, dim, method, auc, delta_vs_pca): pooled training rows reduced by each method, then a softmax model."""
+def reduction_benchmark(rows: DataFrame, sizes: Sequence[int], dims: Sequence[int], methods: Sequence[str], config: Config | None = None, classifiers: Sequence[str] = ("softmax",)) -> DataFrame:
+    """(n_train, dim, method, clf, auc, delta_vs_pca): pooled training rows reduced by each method, then each classifier."""
     config = config or Config()
     dealt, classes = split_rows(rows, config)
     width = len(dealt.select("features").first()[0])
@@ -166,8 +179,9 @@ def reduction_benchmark(rows: DataFrame, sizes: Sequence[int], dims: Sequence[in
                     reduced = stable(rd.reduce_pooled(some.withColumnRenamed("split", "part"), method, dim))
                 else:  # the rows of a stated size, as one institution's
                     reduced = rd.reduce_locally(some.withColumn("institution", F.lit(0)), anchors, method, dim).drop("gamma")
-                scored = mo.fit_and_score(reduced.filter("part = 'train'"), reduced.filter("part = 'test'"), "softmax", classes)
-                out.append((n, dim, method, mo.evaluate(scored, "auc", classes).first()["score"]))
-    found = rows.sparkSession.createDataFrame(out, "n_train int, dim int, method string, auc double")
-    base = found.filter("method = 'svd'").select("n_train", "dim", F.col("auc").alias("base"))
-    return found.join(base, ["n_train", "dim"], "left").select("n_train", "dim", "method", "auc", (F.col("auc") - F.col("base")).alias("delta_vs_pca"))
+                for clf in classifiers:
+                    scored = mo.fit_and_score(reduced.filter("part = 'train'"), reduced.filter("part = 'test'"), clf, classes)
+                    out.append((n, dim, method, clf, mo.evaluate(scored, "auc", classes).first()["score"]))
+    found = rows.sparkSession.createDataFrame(out, "n_train int, dim int, method string, clf string, auc double")
+    base = found.filter("method = 'svd'").select("n_train", "dim", "clf", F.col("auc").alias("base"))
+    return found.join(base, ["n_train", "dim", "clf"], "left").select("n_train", "dim", "method", "clf", "auc", (F.col("auc") - F.col("base")).alias("delta_vs_pca"))

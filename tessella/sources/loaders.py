@@ -7,10 +7,11 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.expressions import to_number
+from ..session import stable
 
 STANDARD_CHARSETS = {"UTF-8", "UTF-16", "UTF-16BE", "UTF-16LE", "UTF-32", "ISO-8859-1", "US-ASCII"}
 LOADERS: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -90,6 +91,19 @@ def first_path(spark: SparkSession, candidates: Sequence[str]) -> str:
     raise FileNotFoundError(f"none of {list(candidates)} exists")
 
 
+def numbered_lines(df: DataFrame, name: str = "__line") -> DataFrame:
+    """Rows that come straight from files, with their 0-based place: files by path, then by their order in the file.
+
+    A file is read in splits, whose starts order them. Within a split rows are read one after another, so ids that rise within a partition number them; what is
+    added up is one count a split.
+    """
+    placed = stable(df.select(*[F.col(f"`{c}`") for c in df.columns], F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__start"), F.monotonically_increasing_id().alias("__id")))
+    splits = placed.groupBy("__file", "__start").agg(F.min("__id").alias("__first"), F.count(F.lit(1)).alias("__n"))
+    before = Window.orderBy("__file", "__start").rowsBetween(Window.unboundedPreceding, -1)  # a row a split
+    starts = splits.select("__file", "__start", "__first", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    return placed.join(F.broadcast(starts), ["__file", "__start"]).select(*[F.col(f"`{c}`") for c in df.columns], (F.col("__before") + F.col("__id") - F.col("__first")).alias(name))
+
+
 def side_by_side(spark: SparkSession, *frames: DataFrame) -> DataFrame:
     """Row i of each beside row i of the others, by numbered lines: frames of different length keep nulls.
 
@@ -97,7 +111,7 @@ def side_by_side(spark: SparkSession, *frames: DataFrame) -> DataFrame:
     """
     out = None
     for f in frames:
-        numbered = f.rdd.zipWithIndex().map(lambda x: (x[1], *x[0])).toDF(", ".join(["__line long", *(f"`{c.name}` {c.dataType.simpleString()}" for c in f.schema)]))
+        numbered = numbered_lines(f)
         out = numbered if out is None else out.join(numbered, "__line", "full")
     return out.drop("__line")
 

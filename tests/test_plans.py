@@ -225,7 +225,7 @@ def test_pooled_reductions_are_those_of_one_institution(spark, sf_small):
     rows = experiment.embeddings(spark, sf_small).limit(150).withColumn("part", F.when(F.col("row_id") % 3 == 0, "test").otherwise("train"))
     rows = spark.createDataFrame(rows.collect(), rows.schema)
     none = spark.createDataFrame([("anchor", 0, [0.0] * 64), ("anchor_test", 0, [0.0] * 64)], "anchor_set string, anchor_id long, features array<double>")
-    for method in rd.POOLED:
+    for method in ("svd", "kernel_pca", "kernel_pca_self_tuning", "cca", "samespan", "samespan_orth"):
         one = {r["row_id"]: r["features"] for r in rd.reduce_locally(rows.withColumnRenamed("part", "split").withColumn("institution", F.lit(0)), none, method, 5).filter("part IN ('train', 'test')").collect()}
         for parts in (1, 6):
             pooled = rd.reduce_pooled(rows.repartition(parts), method, 5)
@@ -251,3 +251,57 @@ def test_pooled_reductions_are_those_of_one_institution(spark, sf_small):
         rd.reduce_pooled(rows, "lpp", 3)
     with pytest.raises(ValueError, match="no training rows"):
         rd.reduce_pooled(rows.filter("part = 'none'"), "svd", 3)
+
+
+def test_lines_are_numbered_over_splits_of_files(spark, tmp_path):
+    for name, first in (("b", 5000), ("a", 0)):
+        (tmp_path / f"{name}.txt").write_text("".join(f"{first + i} {'x' * (i % 40)}\n" + ("\n" if i % 7 == 0 else "") for i in range(900)))
+    kept = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        frame = loaders.read_blank_separated(spark, [str(tmp_path / "a.txt"), str(tmp_path / "b.txt")], ["n", "x"])
+        assert frame.rdd.getNumPartitions() > 8
+        placed = {r["__line"]: int(r["n"]) for r in loaders.numbered_lines(frame).collect()}
+        assert placed == {i: i if i < 900 else 5000 + i - 900 for i in range(1800)}
+        short = loaders.read_blank_separated(spark, str(tmp_path / "a.txt"), ["m"])
+        both = loaders.side_by_side(spark, loaders.numbers(frame, ["n"]), short).collect()
+        assert len(both) == 1800 and all(r["m"] is None or float(r["m"]) == r["n"] for r in both) and sum(r["m"] is not None for r in both) == 900
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", kept)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_inversion_and_leading_singular_value(spark, sf_small):
+    from tessella.functions import linalg as la
+    from tessella.operators import anchors as an
+
+    dealt, _ = experiment.split_rows(experiment.embeddings(spark, sf_small), experiment.Config())
+    anchors = an.make_anchors(spark, 80, 64, 3)
+    reduced = rd.reduce_locally(dealt, anchors, "samespan", 10)
+    plain = rd.anchor_matrices(anchors)["anchor"][1]
+    rows = reduced.filter("institution = 1").toPandas().sort_values("row_id")
+    image, test = (rd.matrix(rows[rows["part"] == part]["features"]) for part in ("anchor", "test"))
+    got = np.array([r["guess"] for r in rd.inverted(reduced, anchors).filter("institution = 1").orderBy("row_id").collect()])
+    assert np.allclose(got, la.linear_inversion(image, plain, test))
+    x = np.array([r["features"] for r in dealt.collect()])
+    assert abs(rd.top_singular_value(dealt) - np.linalg.norm(x, 2)) < 1e-6
+
+
+def test_a_grid_goes_on_where_its_log_stops(spark, sf_small, tmp_path, monkeypatch):
+    rows, log = experiment.embeddings(spark, sf_small), str(tmp_path / "grid")
+    combos = grid.product(spark, {"G_type": ["Imakura", "unknown"]})
+    base = experiment.Config(dim_intermediate=10, num_anchor_data=60)
+    first = sorted(map(tuple, experiment.run_grid(rows, combos, [0], base, log).select("G_type", "status", "score").collect()))
+    assert [r[1] for r in first] == ["ok", "failed"] and sinks.read_log(spark, log).count() == 2
+    ran, whole = [], experiment.run_once
+    monkeypatch.setattr(experiment, "run_once", lambda r, c: ran.append((c.G_type, c.run_seed)) or whole(r, c))
+    again = experiment.run_grid(rows, combos, [0, 1], base, log)
+    assert sorted(ran) == [("Imakura", 1), ("unknown", 0), ("unknown", 1)]  # what ended well is not run again
+    assert sorted(map(tuple, again.filter("run_seed = 0").select("G_type", "status", "score").collect())) == first and again.count() == 4
+
+
+def test_benchmark_over_classifiers(spark, sf_small):
+    got = experiment.reduction_benchmark(experiment.embeddings(spark, sf_small), [60], [4], ["svd", "cca"], classifiers=("softmax", "random_forest")).collect()
+    assert {(r["method"], r["clf"]) for r in got} == {(m, c) for m in ("svd", "cca") for c in ("softmax", "random_forest")}
+    assert all(0 <= r["auc"] <= 1 and (r["method"] != "svd" or r["delta_vs_pca"] == 0) for r in got)
