@@ -311,3 +311,27 @@ def reduction_benchmark_by_classifier(spark, d):
     rows = ex.embeddings(spark, d)
     n = max(80, rows.count() // 4 // 4 * 4)
     return rounded(ex.reduction_benchmark(rows, [n], [8], ["svd", "cca"], ex.Config(), classifiers=("softmax", "svm")), "auc", "delta_vs_pca", digits=4)
+
+
+def _numbered(spark: SparkSession, d: str) -> DataFrame:
+    return ex.embeddings(spark, d).select(F.col("row_id").alias("key"), F.when(F.col("row_id") % 4 == 0, "test").otherwise("train").alias("part"), "features", F.col("target").alias("label"))
+
+
+@query()
+def neighbour_layout(spark, d):
+    """All embeddings in two dimensions by their neighbours, edges between classes weakened."""
+    from .operators import manifold
+
+    places = manifold.layout(_numbered(spark, d), 2, label="label", rounds=12)
+    return places.select("key", F.round(F.col("place")[0], 2).alias("x"), F.round(F.col("place")[1], 2).alias("y"))
+
+
+@query("SELECT count(*) FILTER (vec_id % 4 <> 0) AS n_train, count(*) AS n_codes, 8::INT AS width, true AS not_above_components FROM embeddings")
+def autoencoder_codes(spark, d):
+    """Codes of eight numbers; the error on the training rows is not above that of eight principal components."""
+    from .operators import manifold
+
+    rows = _numbered(spark, d)
+    codes, errors = manifold.autoencoder(rows, 8, rounds=10)
+    told = codes.agg(F.count_if(F.col("part") == "train").alias("n_train"), F.count(F.lit(1)).alias("n_codes"), F.max(F.size("features")).alias("width"))
+    return told.withColumn("not_above_components", F.lit(min(errors) <= errors[0]))
