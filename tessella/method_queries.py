@@ -77,6 +77,30 @@ for _m in rd.METHODS:
     QUERIES[f"reduce_{_m}"] = _images(_m)
 
 
+#: (rank, centred, orthogonal, affine) of each reduction's images, as SQL; i is the institution. Very wide or narrow kernels are nearly affine: not told.
+IDENTITIES = {"svd": ("12", "true", "true", "true"), "diffspan": ("12", "true", "false", "true"), "samespan_orth": ("12", "false", "false", "true"), "samespan": ("12", "false", "false", "true"),
+              "lpp": ("12", "false", "false", "true"), "cca": ("9", "true", "true", "true"), "kernel_pca": ("12", "true", "true", "false"), "kernel_pca_self_tuning": ("12", "true", "true", "false"),
+              "kernel_pca_unfixed_gamma": ("12", "true", "true", None), "kernel_pca_random_gamma": ("12", "true", "true", "false"), "kernel_pca_svd_mixed": ("12", "true", "true", "i % 2 = 1"),
+              "kernel_pca_unfixed_mixed": ("12", "true", "true", None)}
+
+
+def _kept(method: str):
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        rows = stable(dealt(spark, d))
+        anchors = an.make_anchors(spark, 100, 64, 2, "uniform", an.ranges_of(rows.filter("split = 'train'")))  # near the rows, where kernels are not flat
+        found = rd.identities(rd.reduce_locally(rows, anchors, method, 12), anchors)
+        return found if affine else found.drop("affine")
+
+    rank, centred, orthogonal, affine = IDENTITIES[method]
+    run.__name__ = f"reduce_{method}_identities"
+    QUERIES[run.__name__] = run
+    ORACLES[run.__name__] = f"WITH k AS ({SHAPE_SQL}), r AS (SELECT unnest(range(m))::INT AS i FROM k) SELECT i AS institution, {USERS}::BIGINT AS n_train, {USERS}::BIGINT AS n_test, 100::BIGINT AS n_anchor, {rank}::INT AS rank, {centred} AS centred, {orthogonal} AS orthogonal" + (f", {affine} AS affine FROM r" if affine else " FROM r")
+
+
+for _m in IDENTITIES:
+    _kept(_m)
+
+
 def _aligned(method: str):
     def run(spark: SparkSession, d: str) -> DataFrame:
         reduced = stable(rd.reduce_locally(dealt(spark, d), an.make_anchors(spark, 100, 64, 2), "svd", 12))

@@ -144,6 +144,29 @@ def reduce_locally(rows: DataFrame, anchors: DataFrame, method: str, k: int, see
     return own.groupBy("institution").applyInPandas(partial(_local, anchors=shared, fit=METHODS[method], k=k, seed=seed, ratio=gamma_ratio), SCHEMA)
 
 
+IDENTITIES = "institution int, n_train long, n_test long, n_anchor long, rank int, centred boolean, orthogonal boolean, affine boolean"
+
+
+def _identities(rows: pd.DataFrame, anchors) -> pd.DataFrame:
+    part = {name: rows[rows["part"] == name].sort_values("row_id") for name in ("train", "test", "anchor")}
+    train, image = matrix(part["train"]["features"]), matrix(part["anchor"]["features"])
+    size = np.linalg.norm(train, axis=0)
+    unit = train / np.where(size > 1e-12 * max(size.max(initial=0), 1e-300), size, np.inf)
+    gram = unit.T @ unit
+    given = np.hstack([anchors.value, np.ones((len(anchors.value), 1))])
+    rest = image - given @ np.linalg.lstsq(given, image, rcond=None)[0]
+    told = {"institution": int(rows["institution"].iloc[0]), **{f"n_{n}": len(p) for n, p in part.items()}, "rank": int(np.linalg.matrix_rank(train, tol=1e-6 * max(np.linalg.norm(train, 2), 1e-300))),
+            "centred": bool(np.abs(unit.mean(axis=0)).max(initial=0) < 1e-6), "orthogonal": bool(np.abs(gram - np.diag(np.diag(gram))).max(initial=0) < 1e-4), "affine": bool(np.linalg.norm(rest) < 1e-6 * max(np.linalg.norm(image), 1e-300))}
+    return pd.DataFrame([told]).astype({"institution": "int32", "rank": "int32"})
+
+
+def identities(reduced: DataFrame, anchors: DataFrame) -> DataFrame:
+    """What a reduction keeps, a row an institution: rows by part, rank of the training images, whether their columns have mean zero and are orthogonal, and whether
+    the anchors' images are an affine function of the anchors (more anchors than features are needed to tell)."""
+    shared = reduced.sparkSession.sparkContext.broadcast(anchor_matrices(anchors)["anchor"][1])
+    return reduced.groupBy("institution").applyInPandas(partial(_identities, anchors=shared), IDENTITIES)
+
+
 @dataclass(frozen=True)
 class _Lift:
     """Rows to the space whose principal components are wanted: standardised, and by kernel values with landmarks if there are any."""
