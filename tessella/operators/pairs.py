@@ -139,12 +139,16 @@ def vote(neighbours: DataFrame, labels: DataFrame, key: str, label: str) -> Data
     return counts.groupBy(key).agg(F.min_by(F.struct("vote", "votes"), F.struct(-F.col("votes"), F.col("vote"))).alias("b")).select(key, "b.vote", "b.votes")
 
 
-def kernel_to_reference(df: DataFrame, reference: DataFrame, key: str, vector: str, gamma: float) -> DataFrame:
-    """key, other, kernel: RBF kernel of each row with each reference row, in the JVM."""
+def kernel_to_reference(df: DataFrame, reference: DataFrame, key: str, vector: str, gamma: float, kernel: str = "rbf") -> DataFrame:
+    """key, other, kernel: the ``rbf``, ``linear`` or ``polynomial`` kernel of each row with each reference row, in the JVM."""
     ref = checked_reference(reference).select(F.col(key).alias("other"), F.col(vector).alias("__r"))
-    from ..functions.expressions import rbf
+    from ..functions import expressions as fx
 
-    return df.crossJoin(F.broadcast(ref)).select(key, "other", rbf(F.col(vector), F.col("__r"), gamma).alias("kernel"))
+    x, r = F.col(vector), F.col("__r")
+    kinds = {"rbf": lambda: fx.rbf(x, r, gamma), "linear": lambda: fx.linear(x, r), "polynomial": lambda: fx.polynomial(x, r, gamma)}
+    if kernel not in kinds:
+        raise ValueError(f"unknown kernel {kernel!r}: one of {sorted(kinds)}")
+    return df.crossJoin(F.broadcast(ref)).select(key, "other", kinds[kernel]().alias("kernel"))
 
 
 def _weights(frames: Iterator[pd.DataFrame], gamma: float, told: Callable) -> Iterator[pd.DataFrame]:

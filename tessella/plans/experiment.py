@@ -125,11 +125,11 @@ def best_ratios(rows: DataFrame, config: Config, ratios: Sequence[float] = RATIO
     return found.groupBy("institution").agg(F.max_by(F.struct("best_param", "score"), order).alias("b")).select("institution", "b.best_param", "b.score")
 
 
-def run_grid(rows: DataFrame, combos: DataFrame, seeds: Sequence[int] = range(5), base: Config | None = None, log: str | None = None) -> DataFrame:
+def run_grid(rows: DataFrame, combos: DataFrame, seeds: Sequence[int] = range(5), base: Config | None = None, log: str | None = None, dump: str | None = None) -> DataFrame:
     """One row per combination and seed: its parameters, status, error, and means over all, even and odd institutions.
 
     Each run is a Spark job of its own; one that fails becomes a row with its error and stops nothing. With ``log``, a folder, every row is appended there as soon
-    as it is known, and runs that ended well in an earlier call are taken from it: a grid that is cut short goes on where it stopped.
+    as it is known, and runs that ended well in an earlier call are taken from it: a grid that is cut short goes on where it stopped. With ``dump``, the whole grid is written there as CSV at the end.
     """
     base = base or Config()
     settings = {f.name for f in fields(Config)}
@@ -160,7 +160,10 @@ def run_grid(rows: DataFrame, combos: DataFrame, seeds: Sequence[int] = range(5)
             out.append(row)
             if log is not None:
                 sinks.append_log(rows.sparkSession.createDataFrame([tuple(row.values())], schema), log)
-    return rows.sparkSession.createDataFrame([tuple(r.values()) for r in out], schema)
+    found = rows.sparkSession.createDataFrame([tuple(r.values()) for r in out], schema)
+    if dump is not None:
+        sinks.write_csv(found.coalesce(1), dump)  # the caller's list of runs
+    return found
 
 
 def reduction_benchmark(rows: DataFrame, sizes: Sequence[int], dims: Sequence[int], methods: Sequence[str], config: Config | None = None, classifiers: Sequence[str] = ("softmax",)) -> DataFrame:

@@ -74,6 +74,13 @@ def one_hot_drop_first(spark, d):
     return prep.one_hot(table(spark, d, "customer").select("c_custkey", "c_acctbal", "c_mktsegment"), "c_mktsegment", "seg")
 
 
+@query("SELECT c_custkey, c_acctbal, (c_mktsegment = 'BUILDING')::DOUBLE AS seg_BUILDING, (c_mktsegment = 'FURNITURE')::DOUBLE AS seg_FURNITURE FROM customer")
+def features_capped(spark, d):
+    """The first three features in column order: dummies stand on the right and go first."""
+    wide = prep.one_hot(table(spark, d, "customer").select("c_custkey", "c_acctbal", "c_mktsegment"), "c_mktsegment", "seg")
+    return wide.select("c_custkey", *prep.cap_features(wide, [c for c in wide.columns if c != "c_custkey"], 3))
+
+
 @query("""SELECT l_orderkey, l_linenumber, round((l_quantity - m1) / coalesce(nullif(s1, 0), 1), 6) AS l_quantity, round((l_extendedprice - m2) / coalesce(nullif(s2, 0), 1), 6) AS l_extendedprice
  FROM lineitem, (SELECT avg(l_quantity) m1, stddev_pop(l_quantity) s1, avg(l_extendedprice) m2, stddev_pop(l_extendedprice) s2 FROM lineitem)""")
 def zscore_pop(spark, d):
@@ -411,6 +418,16 @@ def rbf_kernel_pairs(spark, d):
     return rounded(pairs.kernel_to_reference(rows, rows.filter("vec_id % 100 = 0"), "vec_id", "embedding", 0.5), "kernel")
 
 
+DOT = "list_sum(list_transform(list_zip(a.e, b.e), lambda p: p[1] * p[2]))"
+
+
+@query(f"WITH v AS ({VEC}) SELECT a.vec_id, b.vec_id AS other, round({DOT}, 6) AS linear, round((0.5 * {DOT} + 1) ** 3, 6) AS polynomial FROM v a, v b WHERE b.vec_id % 100 = 0")
+def linear_and_polynomial_kernels(spark, d):
+    rows = table(spark, d, "embeddings")
+    both = [pairs.kernel_to_reference(rows, rows.filter("vec_id % 100 = 0"), "vec_id", "embedding", 0.5, k).withColumnRenamed("kernel", k) for k in ("linear", "polynomial")]
+    return rounded(both[0].join(both[1], ["vec_id", "other"]), "linear", "polynomial")
+
+
 @query(f"WITH v AS ({VEC}), s AS (SELECT a.vec_id, b.vec_id AS neighbour, sqrt({SQ}) AS distance FROM v a, v b WHERE a.vec_id <> b.vec_id) SELECT vec_id, row_number() OVER w::INT AS rank, neighbour, round(distance, 6) AS distance FROM s WINDOW w AS (PARTITION BY vec_id ORDER BY distance, neighbour) QUALIFY row_number() OVER w <= 5")
 def knn_join(spark, d):
     rows = table(spark, d, "embeddings")

@@ -296,7 +296,8 @@ def test_a_grid_goes_on_where_its_log_stops(spark, sf_small, tmp_path, monkeypat
     assert [r[1] for r in first] == ["ok", "failed"] and sinks.read_log(spark, log).count() == 2
     ran, whole = [], experiment.run_once
     monkeypatch.setattr(experiment, "run_once", lambda r, c: ran.append((c.G_type, c.run_seed)) or whole(r, c))
-    again = experiment.run_grid(rows, combos, [0, 1], base, log)
+    again = experiment.run_grid(rows, combos, [0, 1], base, log, str(tmp_path / "csv"))
+    assert spark.read.option("header", True).csv(str(tmp_path / "csv")).count() == 4
     assert sorted(ran) == [("Imakura", 1), ("unknown", 0), ("unknown", 1)]  # what ended well is not run again
     assert sorted(map(tuple, again.filter("run_seed = 0").select("G_type", "status", "score").collect())) == first and again.count() == 4
 
