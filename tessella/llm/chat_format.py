@@ -34,8 +34,9 @@ from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType, Str
 from .common import Scratch, arrow_map
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
-#: How byte-level BPE cuts a text into pieces before it merges (a fixed value of the vocabulary).
-PIECES = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: How byte-level BPE cuts a text into pieces before it merges (a fixed value of the vocabulary). White space is cut after every thousand characters,
+#: as the search goes back over all of it and has a bounded stack; shorter runs give the vocabulary's own tokens.
+PIECES = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s{1,1000}(?!\S)|\s{1,1000}"""
 ESCAPE = "\x1b"
 OPEN, TEXT, CLOSE, END = "[INST]", "<|text|>", "[/INST]", "</s>"
 #: Strings that are tokens of their own; the first is the vocabulary's.

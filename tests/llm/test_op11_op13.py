@@ -59,6 +59,19 @@ def test_mask_covers_the_spans_alone():
         cf.loss_mask([(4, 9)], ends)
 
 
+def test_very_long_runs_are_encoded():
+    with open(cf.VOCABULARY, "rb") as f:
+        encoder = cf.Encoder(f.read())
+    for text in (" " * 1_500_000 + "x", "\n" * 1_200_000, "a" * 300_000, "^" * 300_000, "漢" * 100_000):
+        ids, ends = encoder.encode(text)
+        assert encoder.decode(ids).decode() == text and ends[-1] == len(text.encode())
+    import tiktoken
+
+    plain = tiktoken.Encoding("plain", pat_str=cf.PIECES.replace("{1,1000}", "+"), mergeable_ranks=encoder.tokens._mergeable_ranks, special_tokens={})
+    for text in ("It's  a\n\n  test of  12 spaces \t\t and   'll", "  lead", "trail   ", "a \n b"):
+        assert encoder.encode(text)[0].tolist() == plain.encode_ordinary(text)
+
+
 def test_conversations_with_odd_rows(spark):
     turns = {1: [(0, "user", HARD[2]), (1, "assistant", HARD[2]), (1, "assistant", HARD[2])], 2: [(None, "system", None), (3, None, "x"), (4, "assistant", None), (5, "assistant", HARD[4])], None: [(0, "assistant", "alone")]}
     turns |= {10 + i: [(0, "[INST]\n</s>", t), (1, "assistant", t), (2, "assistant", t)] for i, t in enumerate(HARD)}
