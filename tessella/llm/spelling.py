@@ -31,6 +31,8 @@ N_LETTERS = 26 + 64
 MIN_LENGTH, MIN_COUNT, RATIO, KEY_LETTERS = 6, 5, 5, 3
 #: Words and letters of a block, and bytes of the sets of queries that are read at a time.
 BLOCK, BLOCK_LETTERS, SETS_BYTES = 2048, 1 << 15, 1 << 22
+#: Letters up to which a word's places have a table; longer ones are found by bisection.
+TABLE_LENGTH = 1000
 
 
 def vocabulary(docs: DataFrame, id: str = "doc_id", text: str = "text", drop_every: int | None = None, min_length: int = MIN_LENGTH, min_count: int = MIN_COUNT) -> DataFrame:
@@ -60,24 +62,34 @@ class Slices:
         self.n, self.width, self.longest = len(words), -(-len(words) // 64), int(lengths.max(initial=0))
         word = np.repeat(np.arange(len(words)), lengths)
         place = (np.arange(len(codes)) - starts[word]) * N_LETTERS + codes
-        used, row = np.unique(place, return_inverse=True)
-        # row 0 is the empty set, for what no word has; one position before the first and two after the last have it throughout
-        self.at = np.zeros(((self.longest + 3) * N_LETTERS,), np.int32)
-        self.at[used + N_LETTERS] = np.arange(1, len(used) + 1)
-        self.sets = np.zeros((len(used) + 1, self.width), np.uint64)
+        self.used, row = np.unique(place, return_inverse=True)
+        # row 0 is the empty set, for what no word has; positions before the first and after the last have it throughout
+        self.sets = np.zeros((len(self.used) + 1, self.width), np.uint64)
         np.bitwise_or.at(self.sets, (row + 1, word >> 6), np.uint64(1) << (word & 63).astype(np.uint64))
-        self.by_length = np.zeros((self.longest + 3, self.width), np.uint64)
-        np.bitwise_or.at(self.by_length, (lengths, np.arange(len(words)) >> 6), np.uint64(1) << (np.arange(len(words)) & 63).astype(np.uint64))
-        self.all = np.bitwise_or.reduce(self.by_length, axis=0)
+        self.table = None
+        if self.longest <= TABLE_LENGTH:
+            self.table = np.zeros((self.longest + 3) * N_LETTERS, np.int32)
+            self.table[self.used + N_LETTERS] = np.arange(1, len(self.used) + 1)
+        self.by_length = {int(n): self._members(np.flatnonzero(lengths == n)) for n in np.unique(lengths)}
+        self.all = self._members(np.arange(self.n))
+
+    def _members(self, words: np.ndarray) -> np.ndarray:
+        out = np.zeros(self.width, np.uint64)
+        np.bitwise_or.at(out, words >> 6, np.uint64(1) << (words & 63).astype(np.uint64))
+        return out
 
     def with_letter(self, position: int, codes: np.ndarray) -> np.ndarray:
         """Words that have each of these letters at a position from -1 on; beyond the longest word none has."""
-        if position > self.longest:
+        if not 0 <= position < self.longest:
             return np.zeros((len(codes), self.width), np.uint64)
-        return self.sets[self.at[(position + 1) * N_LETTERS + codes]]
+        if self.table is not None:
+            return self.sets[self.table[(position + 1) * N_LETTERS + codes]]
+        place = position * N_LETTERS + codes
+        at = np.minimum(np.searchsorted(self.used, place), len(self.used) - 1)
+        return self.sets[np.where(self.used[at] == place, at + 1, 0)]
 
     def of_length(self, n: int) -> np.ndarray:
-        return self.by_length[n] if 0 <= n < len(self.by_length) else np.zeros(self.width, np.uint64)
+        return self.by_length.get(n, np.zeros(self.width, np.uint64))
 
     def one_apart(self, codes: np.ndarray, own: np.ndarray) -> np.ndarray:
         """Sets (queries x words in bits) at distance one. codes: queries of one length, a row each; own: sets of words to leave out."""

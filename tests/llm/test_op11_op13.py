@@ -135,15 +135,23 @@ def some_words(n, seed=0, alphabet="abéz", lengths=(6, 9)):
 
 
 @pytest.mark.parametrize("alphabet", ["ab", "abcé", "abcdefghijklmnopqrstuvwxyzàÿÀ"])
-def test_bit_slices_against_all_pairs(alphabet):
+def test_bit_slices_against_all_pairs(alphabet, monkeypatch):
     words = some_words(400, 3, alphabet, (6, 8)) + ["a" * 70, "a" * 71, "a" * 72, "b" + "a" * 70]
-    got = {(words[i], words[j]) for i, j in zip(*sp.near_pairs(words, words, True), strict=True)}
-    assert got == {(a, b) for a in words for b in words if a != b and one_apart(a, b)}
+    want = {(a, b) for a in words for b in words if a != b and one_apart(a, b)}
+    for most in (1000, 5):  # with a table of places, and by bisection
+        monkeypatch.setattr(sp, "TABLE_LENGTH", most)
+        assert {(words[i], words[j]) for i, j in zip(*sp.near_pairs(words, words, True), strict=True)} == want
     half, rest = words[::2], words[1::2]
     got = {(half[i], rest[j]) for i, j in zip(*sp.near_pairs(half, rest, False), strict=True)}
     assert got == {(a, b) for a in half for b in rest if one_apart(a, b)}
 
 
+def test_overlong_words():
+    long = "q" * 40_000
+    words = [long, long + "r", "q" * 20_000 + "r" + "q" * 19_999]
+    assert sorted(zip(*sp.near_pairs(words, words, True), strict=True)) == [(0, 1), (0, 2), (1, 0), (2, 0)]
+
+
 @pytest.mark.parametrize("block", [16, 2048])
 def test_forms_and_roots(spark, monkeypatch, block):
     monkeypatch.setattr(sp, "BLOCK", block)  # small blocks: every bucket is several
