@@ -20,10 +20,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import linalg as la
-from ..session import stable
 from .integrate import Method, Solution, images_of
-from .joint import MAX_TASKS, anchor_loss, anchor_matrices
+from .joint import anchor_blocks, anchor_loss, anchors_start, spread
 from .reduce import matrix
 
 HEADS = ("linear_objective", "logistic_objective")
@@ -35,10 +33,10 @@ class Anchors:
     """The anchors' part, in coordinates u in which the norm of a column is the plain one."""
 
     def __init__(self, images: dict[int, np.ndarray], p: int) -> None:
-        self.a, self.b, self.cuts = anchor_matrices(images)
-        self.low, self.p = np.linalg.cholesky(self.b), p
-        self.values, first = la.block_eigen([images[i] for i in sorted(images)], p)
-        self.start = self.unit(self.low.T @ np.vstack(first))
+        self.a, self.b, self.cuts = anchor_blocks(images)
+        self.low, self.p = self.b.cholesky(), p
+        self.values, first = anchors_start(images, self.a, self.low, p)
+        self.start = self.unit(self.low.T @ first)
         self.scale = float(np.sqrt(sum(len(s) for s in images.values())))  # mapped anchors have mean square one at it
 
     @staticmethod
@@ -46,7 +44,7 @@ class Anchors:
         return u / np.sqrt(np.maximum((u * u).sum(axis=0), 1e-300))
 
     def stacked(self, u: np.ndarray) -> np.ndarray:
-        return np.linalg.solve(self.low.T, self.unit(u))
+        return self.low.T.solve(self.unit(u))
 
     def maps(self, v: np.ndarray) -> dict[int, np.ndarray]:
         """What the heads see: the maps at the scale of the mapped anchors."""
@@ -54,7 +52,7 @@ class Anchors:
 
     def slope(self, u: np.ndarray, dv: np.ndarray) -> np.ndarray:
         """Gradient in u of what has gradient ``dv`` in the stacked maps."""
-        size, du = np.sqrt((u * u).sum(axis=0)), np.linalg.solve(self.low, dv)
+        size, du = np.sqrt((u * u).sum(axis=0)), self.low.solve(dv)
         n = u / size
         return (du - n * (n * du).sum(axis=0)) / size
 
@@ -151,7 +149,7 @@ def _train(reduced: DataFrame, seed: int) -> DataFrame:
 
 def linear_maps(reduced: DataFrame, p: int, n_classes: int, weight_pred: float = 1.0, weight_reg: float = 1.0, weight_cross: float = 0.0, rounds: int = 200, patience: int = 10, seed: int = 0) -> tuple[Solution, dict]:
     """(solution, what came of it: losses of training and held-out rows at the start and at the end, head, rows)."""
-    anchors = Anchors(images_of(reduced)[0], p)
+    anchors = Anchors(images_of(reduced, columns=None)[0], p)
     found = _train(reduced, seed).groupBy("institution", "held").applyInPandas(partial(_statistics, n_classes=n_classes), STATISTICS).toPandas()  # two rows an institution
     q = max(n_classes, 1)
     of = lambda part: LinearHead({int(r.institution): (int(r.n), np.reshape(r.xx, (-1, len(r.xy) // q)), np.reshape(r.xy, (-1, q)), float(r.yy)) for r in part.itertuples()})
@@ -222,9 +220,9 @@ def _logistic_task(frames: Iterator[pd.DataFrame], shared) -> Iterator[pd.DataFr
 def logistic_maps(reduced: DataFrame, p: int, n_classes: int, weight_pred: float = 1.0, weight_reg: float = 1.0, weight_cross: float = 0.0, rounds: int = 60, rate: float = 2e-3, patience: int = 8, seed: int = 0, newton: int = 8) -> tuple[Solution, dict]:
     """(solution, what came of it). The first ``newton`` rounds move the head alone, until it is the best for the starting maps; then each round takes a
     Newton step of the head and a step of the maps along the gradient in which the head is the best one."""
-    anchors = Anchors(images_of(reduced)[0], p)
+    anchors = Anchors(images_of(reduced, columns=None)[0], p)
     context = reduced.sparkSession.sparkContext
-    rows = stable(_train(reduced, seed).repartition(min(MAX_TASKS, max(1, context.defaultParallelism)), "institution", F.pmod(F.xxhash64("features"), F.lit(16))))  # a large institution is spread
+    rows = spread(_train(reduced, seed))
     head, u, side = np.zeros((p + 1, n_classes)), anchors.start, p + 1
     m, s, stop, log, turn = np.zeros_like(u), np.zeros_like(u), Held(patience), [], 0
     for turn in range(newton + rounds):

@@ -22,11 +22,13 @@ from pyspark.sql import functions as F
 from ..functions import linalg as la
 from ..session import stable
 from .federated import HIDDEN, forward, start, unpack
-from .integrate import Method, Solution, images_of
+from .integrate import MAX_SIDE, Method, Solution, images_of
 from .reduce import matrix
 
 #: Tasks of a round: each sends one gradient of the network to the driver.
 MAX_TASKS = 64
+#: Rows of an institution beyond which it is spread over tasks.
+LARGE = 5000
 
 
 def anchor_matrices(images: dict[int, np.ndarray], ridge: float = 1e-6) -> tuple[np.ndarray, np.ndarray, dict[int, slice]]:
@@ -41,12 +43,92 @@ def anchor_matrices(images: dict[int, np.ndarray], ridge: float = 1e-6) -> tuple
     return 2 * len(order) * b - 2 * side.T @ side, b, cuts
 
 
-def anchor_loss(v: np.ndarray, a: np.ndarray, b: np.ndarray, weight_reg: float, weight_cross: float) -> tuple[float, np.ndarray]:
+class Blocks:
+    """A block-diagonal matrix by its blocks: memory and products in proportion to their number."""
+
+    def __init__(self, blocks: list[np.ndarray]) -> None:
+        self.blocks = blocks
+        self.stack = np.stack(blocks) if len({b.shape for b in blocks}) == 1 else None
+        self.ends = np.cumsum([len(b) for b in blocks])[:-1]
+
+    def _each(self, f, v: np.ndarray) -> np.ndarray:
+        if self.stack is not None:
+            return f(self.stack, v.reshape(*self.stack.shape[:2], -1)).reshape(v.shape)
+        return np.vstack([f(b, part) for b, part in zip(self.blocks, np.split(v, self.ends), strict=True)])
+
+    def __matmul__(self, v: np.ndarray) -> np.ndarray:
+        return self._each(np.matmul, v)
+
+    def solve(self, v: np.ndarray) -> np.ndarray:
+        return self._each(np.linalg.solve, v)
+
+    @property
+    def T(self) -> Blocks:  # noqa: N802
+        return Blocks([b.T for b in self.blocks])
+
+    def cholesky(self) -> Blocks:
+        return Blocks([np.linalg.cholesky(b) for b in self.blocks])
+
+
+class Disagreement:
+    """2 m B - 2 W'W by B and W: what ``anchor_matrices`` calls A, never formed."""
+
+    def __init__(self, side: np.ndarray, b: Blocks) -> None:
+        self.side, self.b = side, b
+
+    def __matmul__(self, v: np.ndarray) -> np.ndarray:
+        return 2 * len(self.b.blocks) * (self.b @ v) - 2 * self.side.T @ (self.side @ v)
+
+
+def anchor_blocks(images: dict[int, np.ndarray], ridge: float = 1e-6) -> tuple[Disagreement, Blocks, dict[int, slice]]:
+    """The same as ``anchor_matrices``, for any number of institutions: what is held grows with the images, not with their number squared."""
+    order = sorted(images)
+    ends = np.cumsum([0, *(images[i].shape[1] for i in order)])
+    b = Blocks([images[i].T @ images[i] + ridge * np.eye(images[i].shape[1]) for i in order])
+    return Disagreement(np.hstack([images[i] for i in order]), b), b, {i: slice(int(lo), int(hi)) for i, lo, hi in zip(order, ends, ends[1:], strict=False)}
+
+
+def leading(a: Disagreement, low: Blocks, p: int) -> tuple[np.ndarray, np.ndarray] | None:
+    """The p least eigenvalues of A against B = low low' and their stacked vectors, from a matrix as large as there are anchors; None where that has no rank p."""
+    c = low.solve(a.side.T)
+    w, v = np.linalg.eigh(c.T @ c)
+    w, v = w[::-1][:p], v[:, ::-1][:, :p]
+    if len(w) < p or w[-1] <= w[0] * 1e-12:
+        return None
+    return 2 * len(a.b.blocks) - 2 * w, la.sign_fixed(low.T.solve(c @ v / np.sqrt(w)))
+
+
+def anchor_loss(v: np.ndarray, a: np.ndarray | Disagreement, b: np.ndarray | Blocks, weight_reg: float, weight_cross: float) -> tuple[float, np.ndarray]:
     """Value and gradient of the anchors' part."""
-    cross = v.T @ b @ v
+    av, bv = a @ v, b @ v
+    cross = v.T @ bv
     np.fill_diagonal(cross, 0.0)
-    value = weight_reg * float((v * (a @ v)).sum()) + weight_cross * float((cross**2).sum())
-    return value, 2 * weight_reg * a @ v + 4 * weight_cross * b @ v @ cross
+    value = weight_reg * float((v * av).sum()) + weight_cross * float((cross**2).sum())
+    return value, 2 * weight_reg * av + 4 * weight_cross * bv @ cross
+
+
+def anchors_start(images: dict[int, np.ndarray], a: Disagreement, low: Blocks, p: int) -> tuple[np.ndarray, np.ndarray]:
+    """(values, stacked maps) to start from; what the anchors' rank does not tell is solved whole, within the bounds of ``images_of``."""
+    found = leading(a, low, p)
+    if found is None:
+        whole([images[i] for i in sorted(images)])
+        values, first = la.block_eigen([images[i] for i in sorted(images)], p)
+        found = values, np.vstack(first)
+    return found
+
+
+def whole(images: list[np.ndarray]) -> None:
+    """An error where a matrix of all columns would be too large."""
+    if sum(s.shape[1] for s in images) > 4 * MAX_SIDE:
+        raise ValueError(f"at most {4 * MAX_SIDE} columns in all")
+
+
+def spread(train: DataFrame) -> DataFrame:
+    """Training rows by institution; one of more than LARGE rows is spread over further tasks, and only such a one sends more than one sum a round."""
+    sizes = train.groupBy("institution").count().filter(F.col("count") > LARGE)
+    parts = train.join(F.broadcast(sizes), "institution", "left").withColumn("parts", F.least(F.lit(16), F.ceil(F.coalesce("count", F.lit(1)) / LARGE)))  # large ones are few
+    tasks = min(MAX_TASKS, max(1, train.sparkSession.sparkContext.defaultParallelism))
+    return stable(parts.repartition(tasks, "institution", F.pmod(F.xxhash64("features"), F.col("parts"))).drop("count", "parts"))
 
 
 def row_gradients(flat: np.ndarray, g: np.ndarray, x: np.ndarray, y: np.ndarray, shape: tuple[int, int, int]) -> tuple[float, np.ndarray, np.ndarray]:
@@ -89,13 +171,17 @@ def joint_maps(reduced: DataFrame, p: int, n_classes: int, weight_pred: float =
 
     It stops early once the loss changes by less than ``tolerance`` of itself. With ``weight_pred`` zero no row is read.
     """
-    images, _ = images_of(reduced)
-    a, b, cuts = anchor_matrices(images)
-    norm = np.eye(len(b)) if orthonormal else b
-    low = np.linalg.cholesky(norm)
+    images, _ = images_of(reduced, columns=None)
+    a, b, cuts = anchor_blocks(images)
+    low = (Blocks([np.eye(len(x)) for x in b.blocks]) if orthonormal else b).cholesky()
     unit = lambda u: u / np.sqrt(np.maximum((u * u).sum(axis=0), 1e-300))
-    values, first = la.block_eigen([images[i] for i in sorted(images)], p, orthonormal=orthonormal)
-    u = unit(low.T @ np.vstack(first))
+    if orthonormal:
+        whole([images[i] for i in sorted(images)])
+        values, first = la.block_eigen([images[i] for i in sorted(images)], p, orthonormal=True)
+        first = np.vstack(first)
+    else:
+        values, first = anchors_start(images, a, low, p)
+    u = unit(low.T @ first)
     scale = float(np.sqrt(sum(len(s) for s in images.values())))
     shape = (p, hidden, n_classes)
     flat = start(*shape, seed)
@@ -103,10 +189,10 @@ def joint_maps(reduced: DataFrame, p: int, n_classes: int, weight_pred: float =
     rows = None
     if weight_pred:
         train = reduced.filter((F.col("part") == "train") & F.col("target").isNotNull()).select("institution", "target", "features")
-        rows = stable(train.repartition(min(MAX_TASKS, max(1, context.defaultParallelism)), "institution", F.pmod(F.xxhash64("features"), F.lit(16))))  # a large institution is spread
+        rows = spread(train)
     adam_u, adam_net, losses = _Adam(u, rate_maps), _Adam(flat, rate), []
     for turn in range(rounds):
-        v = np.linalg.solve(low.T, u)
+        v = low.T.solve(u)
         loss, dv = anchor_loss(v, a, b, weight_reg, weight_cross)
         net = np.zeros_like(flat)
         if rows is not None:
@@ -124,7 +210,7 @@ def joint_maps(reduced: DataFrame, p: int, n_classes: int, weight_pred: float =
         if len(losses) > 1 and abs(losses[-2] - loss) <= tolerance * max(abs(losses[-2]), 1e-12):
             break
         factor = 0.5 ** (turn // halve_every)
-        u, flat = unit(adam_u.step(u, np.linalg.solve(low, dv), factor)), adam_net.step(flat, net, factor)
-    v = np.linalg.solve(low.T, u)
+        u, flat = unit(adam_u.step(u, low.solve(dv), factor)), adam_net.step(flat, net, factor)
+    v = low.T.solve(u)
     maps = Solution(Method("GEP"), linear={i: v[cut] for i, cut in cuts.items()}, values=values)
     return maps, losses

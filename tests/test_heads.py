@@ -3,6 +3,7 @@
 import numpy as np
 import pytest
 
+from tessella.functions import linalg as la
 from tessella.operators import anchors as an
 from tessella.operators import heads
 from tessella.operators import reduce as rd
@@ -74,3 +75,21 @@ def test_heads_learn_and_stop_by_training_rows(spark, sf_small, head):
     assert all(np.allclose(again.linear[i], g, atol=1e-6) for i, g in solution.linear.items())  # test rows change nothing
     with pytest.raises(ValueError, match="unknown head"):
         heads.head_maps(reduced, 8, classes, "cubic")
+
+
+def test_anchors_of_many_institutions_by_blocks():
+    """15,000 columns in all: their square would take 1.8 GB."""
+    from tessella.operators import joint
+
+    rng = np.random.default_rng(0)
+    some = {i: rng.normal(size=(30, 4 + i % 2)) for i in range(9)}
+    (a, b, cuts), (whole, sizes, own) = joint.anchor_blocks(some), joint.anchor_matrices(some)
+    v = rng.normal(size=(len(sizes), 3))
+    assert cuts == own and np.allclose(a @ v, whole @ v) and np.allclose(b @ v, sizes @ v)
+    (x, dx), (y, dy) = joint.anchor_loss(v, a, b, 0.7, 0.3), joint.anchor_loss(v, whole, sizes, 0.7, 0.3)
+    assert np.isclose(x, y) and np.allclose(dx, dy)
+    values, first = joint.leading(a, b.cholesky(), 3)
+    expected, maps = la.block_eigen([some[i] for i in sorted(some)], 3)
+    assert np.allclose(values, expected) and np.allclose(first, np.vstack(maps), atol=1e-6)
+    many = heads.Anchors({i: rng.normal(size=(20, 12)) for i in range(1250)}, 4)
+    assert np.allclose((many.stacked(many.start) * (many.b @ many.stacked(many.start))).sum(axis=0), 1)
