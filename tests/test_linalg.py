@@ -165,3 +165,24 @@ def test_softmax_and_local_steps_learn():
     flat = start(*shape, 0)
     loss = lambda f: -np.log(forward(f, x, shape)[1][np.arange(400), y]).mean()
     assert loss(local_steps(flat, x, y, shape, 20, 0.1)) < loss(flat)
+
+
+def test_locality_directions_lie_in_the_span_of_the_rows():
+    rng = np.random.default_rng(4)
+    x = np.zeros((40, 64))
+    x[:, 44:] = rng.normal(size=(40, 20))
+    x[1::4] = x[::4] + 0.01 * rng.normal(size=(10, 64)) * (x[:1] != 0)  # near pairs
+    v = la.locality_projection(x, 12, 8)
+    assert np.linalg.matrix_rank(x @ v, tol=1e-6 * np.linalg.norm(x @ v, 2)) == 12 and np.abs(v[:44]).max() < 1e-9 * np.abs(v).max()
+
+
+def test_an_affine_image_is_told_by_its_spread(spark):
+    from tessella.operators import reduce as rd
+
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(100, 3))
+    anchors = spark.createDataFrame([("anchor", i, r.tolist()) for i, r in enumerate(x)], "anchor_set string, anchor_id long, features array<double>")
+    images = {0: 1 + 1e-9 * x @ rng.normal(size=(3, 2)), 1: 1 + 1e-9 * x[:, :2] ** 2}
+    rows = [(i, part, at, 0, r.tolist(), None) for i, image in images.items() for part in ("train", "test", "anchor") for at, r in enumerate(image)]
+    found = rd.identities(spark.createDataFrame(rows, rd.SCHEMA), anchors).orderBy("institution").collect()
+    assert [r["affine"] for r in found] == [True, False]
