@@ -156,13 +156,14 @@ def _identities(rows: pd.DataFrame, anchors) -> pd.DataFrame:
     given = np.hstack([anchors.value, np.ones((len(anchors.value), 1))])
     rest = image - given @ np.linalg.lstsq(given, image, rcond=None)[0]
     told = {"institution": int(rows["institution"].iloc[0]), **{f"n_{n}": len(p) for n, p in part.items()}, "rank": int(np.linalg.matrix_rank(train, tol=1e-6 * max(np.linalg.norm(train, 2), 1e-300))),
-            "centred": bool(np.abs(unit.mean(axis=0)).max(initial=0) < 1e-6), "orthogonal": bool(np.abs(gram - np.diag(np.diag(gram))).max(initial=0) < 1e-4), "affine": bool(np.linalg.norm(rest) < 1e-6 * max(np.linalg.norm(image), 1e-300))}
+            "centred": bool(np.abs(unit.mean(axis=0)).max(initial=0) < 1e-6), "orthogonal": bool(np.abs(gram - np.diag(np.diag(gram))).max(initial=0) < 1e-4), "affine": bool(np.linalg.norm(rest) < 1e-6 * max(np.linalg.norm(image - image.mean(axis=0)), 1e-300))}
     return pd.DataFrame([told]).astype({"institution": "int32", "rank": "int32"})
 
 
 def identities(reduced: DataFrame, anchors: DataFrame) -> DataFrame:
     """What a reduction keeps, a row an institution: rows by part, rank of the training images, whether their columns have mean zero and are orthogonal, and whether
-    the anchors' images are an affine function of the anchors (more anchors than features are needed to tell)."""
+    the anchors' images are an affine function of the anchors (more anchors than features are needed to tell). What is left of an affine fit is held against
+    the images' spread: a constant part, which far from the rows is nearly all of a kernel's images, tells nothing."""
     shared = reduced.sparkSession.sparkContext.broadcast(anchor_matrices(anchors)["anchor"][1])
     return reduced.groupBy("institution").applyInPandas(partial(_identities, anchors=shared), IDENTITIES)
 
