@@ -1,9 +1,9 @@
 """Neighbour-based collaborative filtering: a rating is estimated from the raters of the same item who rated other things alike.
 
 Two users are compared over the items both rated: similarity is 1 / (1 + mean squared difference). An estimate for (user, item) is the mean of the k most similar raters'
-ratings of the item, weighted by similarity; without any it is the mean of all ratings. Only pairs of users that some estimate asks for are compared: the raters of the
-wanted items, found by a join on the item, then their common items, by a join on (user, item) whose sums are added up before they are shuffled. Everything is plain
-joins and aggregates, so a hot item or rater is split by Spark's skew handling.
+ratings of the item, weighted by similarity; without any it is the mean of all ratings. Users lie in blocks of neighbouring ids. An item's raters and askers meet once in each block
+that has some of them, as lists: what is moved is a list for each block and item, not a row for each pair of users. Within its block a pair gathers its common items and what it is asked
+for, without another shuffle, and only pairs that have both go on. Items with more than HOT raters and askers are no lists: their pairs are rows, and only asked pairs are compared over them.
 
 Several ratings of one item by one user count as their mean; rows with a null user, item or rating take no part.
 """
@@ -15,17 +15,53 @@ from pyspark.sql import functions as F
 
 from ..session import stable
 
+#: Ratings and asked pairs of a block of users; raters and askers of an item beyond which it is no list.
+BLOCK_ROWS, HOT = 100_000, 1000
 
-def user_similarities(ratings: DataFrame, pairs: DataFrame, min_support: int = 1) -> DataFrame:
-    """(u, v, support, similarity) of the asked pairs with at least ``min_support`` common items; ratings: (user, item, rating), one a user and item."""
-    mine = ratings.select(F.col("user").alias("u"), "item", F.col("rating").alias("ru"))
-    theirs = ratings.select(F.col("user").alias("v"), "item", F.col("rating").alias("rv"))
-    # each pair once, whichever way round it is asked for
-    once = pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-    gap = F.col("ru") - F.col("rv")
-    both = once.join(mine, "u").join(theirs, ["v", "item"]).groupBy("u", "v").agg(F.count(F.lit(1)).alias("support"), F.sum(gap * gap).alias("squares"))
-    alike = both.filter(F.col("support") >= min_support).select("u", "v", "support", (1 / (1 + F.col("squares") / F.col("support"))).alias("similarity"))
-    return alike.unionByName(alike.select(F.col("v").alias("u"), F.col("u").alias("v"), "support", "similarity"))
+
+def compared(ratings: DataFrame, asked: DataFrame, min_support: int = 1, block_rows: int = BLOCK_ROWS, hot: int = HOT) -> DataFrame:
+    """(u, item, v, rv, similarity) for every asked (user, item) and each other rater v of the item with at least ``min_support`` items in common with u.
+
+    ratings: (user, item, rating), one a user and item, without nulls; asked: (user, item), distinct.
+    """
+    both = ratings.select("user", "item", "rating").unionByName(asked.dropna().withColumn("rating", F.lit(None).cast("double")))  # who asks has no rating
+    n_blocks = max(ratings.sparkSession.sparkContext.defaultParallelism, both.count() // block_rows)
+    # equal users share a range, so a user has one block
+    entries = stable(both.repartitionByRange(n_blocks, "user").withColumn("block", F.spark_partition_id()))
+    many = stable(entries.groupBy("item").count().filter(F.col("count") > hot).select("item"))
+    cold = entries.join(many, "item", "left_anti")
+    held = cold.groupBy("item").agg(F.collect_list(F.struct("user", "rating", "block")).alias("all"))  # at most HOT
+    met = held.select("item", "all", F.explode(F.array_distinct(F.transform("all", lambda e: e["block"]))).alias("block"))
+    own = F.filter("all", lambda e: e["block"] == F.col("block"))
+    bare = lambda es: F.transform(es, lambda e: F.struct(e["user"].alias("user"), e["rating"].alias("rating")))
+    lists = met.withColumn("own", own).withColumn("least", F.array_min(F.transform("own", lambda e: e["user"])))
+    lists = lists.select("block", "item", bare("own").alias("own"), bare(F.filter("all", lambda e: e["user"] > F.col("least"))).alias("others"))
+    if not many.isEmpty():
+        lists = lists.unionByName(_hot_pairs(entries, many))
+    # more parts than blocks, so that few parts get several: a block's pairs are sorted in memory
+    pairs = lists.repartition(4 * n_blocks, "block").select("block", "item", F.explode("own").alias("a"), "others").select("block", "item", "a", F.explode("others").alias("b")).filter("b.user > a.user")
+    forth, back = F.col("a.rating").isNull() & F.col("b.rating").isNotNull(), F.col("a.rating").isNotNull() & F.col("b.rating").isNull()
+    gap = F.col("a.rating") - F.col("b.rating")  # null where one of both asks
+    ask = F.when(forth | back, F.struct("item", forth.alias("forth"), F.coalesce("a.rating", "b.rating").alias("r")))
+    found = pairs.select("block", F.col("a.user").alias("a"), F.col("b.user").alias("b"), (gap * gap).alias("square"), ask.alias("ask"))
+    found = found.groupBy("block", "a", "b").agg(F.count("square").alias("support"), F.sum("square").alias("squares"), F.collect_list("ask").alias("asks")).filter(F.col("support") >= max(min_support, 1))
+    similarity = 1 / (1 + F.col("squares") / F.col("support"))
+    told = found.select("a", "b", similarity.alias("similarity"), F.explode("asks").alias("ask"))
+    return told.select(F.when(F.col("ask.forth"), F.col("a")).otherwise(F.col("b")).alias("u"), "ask.item", F.when(F.col("ask.forth"), F.col("b")).otherwise(F.col("a")).alias("v"), F.col("ask.r").alias("rv"), "similarity")
+
+
+def _hot_pairs(entries: DataFrame, many: DataFrame) -> DataFrame:
+    """Lists of one entry each for the items in ``many``: what is asked of them, and common ratings of them for all pairs that anything asks for."""
+    side = lambda df, s: df.select("item", *[F.col(c).alias(f"{c}_{s}") for c in ("user", "rating", "block")])
+    raters, askers = entries.filter("rating IS NOT NULL"), entries.filter("rating IS NULL")
+    asks = side(askers, "u").join(side(raters, "v"), "item").filter("user_u <> user_v")
+    wanted = asks.select(F.least("user_u", "user_v").alias("user_u"), F.greatest("user_u", "user_v").alias("user_v")).distinct()
+    shared = raters.join(many, "item", "left_semi")
+    common = wanted.join(side(shared, "u"), "user_u").join(side(shared, "v"), ["user_v", "item"])
+    rows = asks.join(many, "item", "left_semi").unionByName(common)
+    entry = lambda s: F.struct(F.col(f"user_{s}").alias("user"), F.col(f"rating_{s}").alias("rating"))
+    first = F.col("user_u") < F.col("user_v")
+    return rows.select(F.when(first, F.col("block_u")).otherwise(F.col("block_v")).alias("block"), "item", F.array(F.when(first, entry("u")).otherwise(entry("v"))).alias("own"), F.array(F.when(first, entry("v")).otherwise(entry("u"))).alias("others"))
 
 
 def neighbour_estimates(train: DataFrame, wanted: DataFrame, k: int = 10, min_support: int = 1, scale: tuple[float, float] | None = None) -> DataFrame:
@@ -35,12 +71,9 @@ def neighbour_estimates(train: DataFrame, wanted: DataFrame, k: int = 10, min_su
     """
     rated = train.filter(F.col("user").isNotNull() & F.col("item").isNotNull() & F.col("rating").isNotNull())
     ratings = stable(rated.groupBy("user", "item").agg(F.avg(F.col("rating").cast("double")).alias("rating")))
-    asked = wanted.select(F.col("user").alias("u"), "item").distinct()
-    raters = ratings.select("item", F.col("user").alias("v"), F.col("rating").alias("rv"))
-    near = stable(asked.join(raters, "item").filter("u <> v"))
-    alike = user_similarities(ratings, near.select("u", "v"), min_support).drop("support")
+    asked = wanted.select("user", "item").distinct()
     order = Window.partitionBy("u", "item").orderBy(F.desc("similarity"), "v")
-    best = near.join(alike, ["u", "v"]).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    best = compared(ratings, asked, min_support).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     found = best.groupBy(F.col("u").alias("__user"), F.col("item").alias("__item")).agg((F.sum(F.col("similarity") * F.col("rv")) / F.sum("similarity")).alias("estimate"), F.count(F.lit(1)).alias("n_neighbours"))
     middle = rated.agg(F.avg(F.col("rating").cast("double")).alias("middle"))
     out = wanted.join(found, (F.col("user") == F.col("__user")) & (F.col("item") == F.col("__item")), "left").crossJoin(F.broadcast(middle))  # one row

@@ -47,3 +47,42 @@ def test_nothing_to_estimate(spark):
     assert cf.neighbour_estimates(train, train.drop("rating").limit(0)).count() == 0
     only = cf.neighbour_estimates(train.limit(0), spark.createDataFrame([(1, 1)], "user int, item int")).first()
     assert only["estimate"] is None and only["n_neighbours"] == 0
+
+
+@pytest.mark.parametrize("hot", [0, 8, 1000])
+def test_frequent_items_are_compared_as_rows_with_the_same_result(spark, hot):
+    rng = random.Random(7)
+    train = [(u, i, float(rng.randint(1, 5))) for u, i in {(rng.randint(1, 30), rng.choice([1, 1, 1, 2, 3, 4, 5, 6])) for _ in range(200)}]
+    asked = list({(rng.randint(1, 33), rng.randint(1, 7)) for _ in range(60)})
+    got = cf.compared(spark.createDataFrame(train, "user int, item int, rating double"), spark.createDataFrame(asked, "user int, item int"), 2, block_rows=20, hot=hot)
+    by_user = defaultdict(dict)
+    for u, i, r in train:
+        by_user[u][i] = r
+    want = []
+    for u, i in asked:
+        for v in by_user:
+            both = by_user[u].keys() & by_user[v].keys() if u in by_user else ()
+            if v != u and i in by_user[v] and len(both) >= 2:
+                want.append((u, i, v, by_user[v][i], round(1 / (1 + sum((by_user[u][j] - by_user[v][j]) ** 2 for j in both) / len(both)), 9)))
+    assert sorted((r["u"], r["item"], r["v"], r["rv"], round(r["similarity"], 9)) for r in got.collect()) == sorted(want)
+
+
+def test_pairs_of_users_are_not_moved_one_by_one(spark):
+    """600 users of 30 items each, 12,000 asked estimates over 300 items: 720,000 asked pairs and raters, 20 million common ratings. What is moved are lists."""
+    rng = random.Random(1)
+    rows = [(u, i) for u in range(600) for i in rng.sample(range(300), 50)]
+    train = spark.createDataFrame([(u, i, float(rng.randint(1, 5))) for u, i in rows[::5] + rows[1::5] + rows[2::5]], "user int, item int, rating double")
+    asked = spark.createDataFrame(rows[3::5] + rows[4::5], "user int, item int")
+    tracker = spark.sparkContext.statusTracker()
+    before = set(tracker.getJobIdsForGroup(None))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert cf.neighbour_estimates(train, asked, 3).filter("n_neighbours = 3").count() > 11_000
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    store = spark.sparkContext._jsc.sc().statusStore()
+    stages = {i for j in set(tracker.getJobIdsForGroup(None)) - before for i in tracker.getJobInfo(j).stageIds}
+    none = spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0)
+    listed = store.stageList(None, False, False, none, None)
+    moved = sum(listed.apply(i).shuffleWriteRecords() for i in range(listed.size()) if listed.apply(i).stageId() in stages)
+    assert moved < 1_500_000, moved
