@@ -1,7 +1,8 @@
 """Boosted regression trees over five folds, and a search of their settings.
 
 All models that are in training, every trial times every fold, grow level by level in the same jobs: a task bins its rows' residuals once for each model, the sums
-of a model's histograms are added up by Spark, and the driver picks the splits. Rows carry each model's prediction so far, so a round costs as much as its own tree.
+of a model's histograms are added up by Spark, and the driver picks the splits. Trees see bins alone, so training rows of one fold with equal bins are one group with their number, mean
+and squares about it, which loses nothing of the sums. Groups carry each model's prediction so far, so a round costs as much as its own tree.
 
 Settings come from a tree-structured Parzen sampler: finished trials are divided into the best tenth, two at least, and the rest, each parameter's values in both are
 smoothed into densities, and of some draws from the better one that is tried next for which the ratio of both is greatest. Trials run in generations; within one, those
@@ -138,15 +139,15 @@ def _histograms(frames: Iterator[pd.DataFrame], shared, d: int) -> Iterator[pd.D
     models, level = shared.value
     total: dict[int, np.ndarray] = {}
     for f in frames:
-        bins, y, fold = _bins(f, d), f["y"].to_numpy(float), f["fold"].to_numpy()
+        bins, y, n, fold = _bins(f, d), f["y"].to_numpy(float), f["n"].to_numpy(float), f["fold"].to_numpy()
         so_far = np.array(f["scores"].tolist(), float).reshape(len(f), -1)
         for m, (model, tree) in models.items():
             own = fold != model.fold
             node = nodes_of(bins[own], tree[0], tree[1], level) - (2**level - 1)
-            g = (y - so_far[:, m])[own]
+            g = (n * (y - so_far[:, m]))[own]
             open_ = node >= 0  # others ended in a leaf above
             flat = ((node[open_, None] * d + np.arange(d)) * BINS + bins[own][open_]).ravel()
-            sums = np.stack([np.bincount(flat, w, minlength=2**level * d * BINS) for w in (np.repeat(g[open_], d), None)])
+            sums = np.stack([np.bincount(flat, w, minlength=2**level * d * BINS) for w in (np.repeat(g[open_], d), np.repeat(n[own][open_], d))])
             total[m] = total.get(m, 0) + sums
     if total:
         yield pd.DataFrame({"m": list(total), "v": [t.ravel() for t in total.values()]})
@@ -169,10 +170,10 @@ def _held(frames: Iterator[pd.DataFrame], folds: list[int]) -> Iterator[pd.DataF
     """One task's squared errors of each model on the fold it does not know."""
     out = np.zeros((len(folds), 2))
     for f in frames:
-        s, y, fold = np.array(f["scores"].tolist(), float).reshape(len(f), -1), f["y"].to_numpy(float), f["fold"].to_numpy()
+        s, y, n, within, fold = np.array(f["scores"].tolist(), float).reshape(len(f), -1), *(f[c].to_numpy(float) for c in ("y", "n", "within")), f["fold"].to_numpy()
         for m, own in enumerate(folds):
             here = fold == own
-            out[m] += [((y[here] - s[here, m]) ** 2).sum(), here.sum()]
+            out[m] += [(within[here] + n[here] * (y[here] - s[here, m]) ** 2).sum(), n[here].sum()]
     yield pd.DataFrame({"m": np.arange(len(folds)), "square": out[:, 0], "n": out[:, 1].astype(np.int64)})
 
 
@@ -206,8 +207,10 @@ class Boosting:
         cuts = [F.percentile_approx(F.col("features")[c], [float(q) for q in np.arange(1, BINS) / BINS], 10_000).alias(f"c{c}") for c in range(self.d)]
         self.edges = [np.unique(v) for v in rows.agg(*cuts).first()]  # a few numbers a feature
         fold = F.pmod(F.xxhash64("row_id", F.lit(seed)), F.lit(folds)).cast("int")
-        self.rows = stable(self.binned(rows.select("row_id", F.col("y").cast("double").alias("y"), fold.alias("fold"), F.col("features").cast("array<double>").alias("features"))))
-        means = {r["fold"]: (r["s"], r["n"]) for r in self.rows.groupBy("fold").agg(F.sum("y").alias("s"), F.count(F.lit(1)).alias("n")).collect()}
+        self.rows = self.binned(rows.select("row_id", F.col("y").cast("double").alias("y"), fold.alias("fold"), F.col("features").cast("array<double>").alias("features")))
+        n = F.count(F.lit(1))
+        self.groups = stable(self.rows.groupBy("fold", "bins").agg(n.alias("n"), F.avg("y").alias("y"), (F.var_pop("y") * n).alias("within")))
+        means = {r["fold"]: (r["s"], r["n"]) for r in self.groups.groupBy("fold").agg(F.sum(F.col("y") * F.col("n")).alias("s"), F.sum("n").alias("n")).collect()}
         whole, n = sum(s for s, _ in means.values()), sum(n for _, n in means.values())
         self.base = {k: (whole - means.get(k, (0, 0))[0]) / max(n - means.get(k, (0, 0))[1], 1) for k in range(folds)}
         self.folds = folds
@@ -219,8 +222,8 @@ class Boosting:
     def train(self, settings: dict[int, dict], rounds: int, history: dict[int, list[float]]) -> tuple[list[Model], dict[int, dict]]:
         """(models, outcome of each trial: rounds, rmse, pruned). ``history``: at each rung, the errors of earlier trials; grows by these."""
         models = [Model(t, k, s["rate"], int(s["depth"]), s["ridge"], int(s["least_rows"]), self.base[k]) for t, s in settings.items() for k in range(self.folds)]
-        context, kinds = self.spark.sparkContext, "row_id long, y double, fold int, bins binary, scores array<double>"
-        state = self.rows.withColumn("scores", F.array(*[F.lit(float(m.base)) for m in models]))
+        context, kinds = self.spark.sparkContext, "fold int, bins binary, n long, y double, within double, scores array<double>"
+        state = self.groups.withColumn("scores", F.array(*[F.lit(float(m.base)) for m in models]))
         best = {t: (np.inf, 0) for t in settings}
         live, outcome = set(settings), {t: {"rounds": rounds, "pruned": False} for t in settings}
         for turn in range(1, rounds + 1):

@@ -62,6 +62,17 @@ def test_trees_against_a_plain_build(spark):
         assert np.isclose(outcome[trial]["rmse"], np.sqrt(square / len(y)), atol=1e-8) or outcome[trial]["pruned"]
 
 
+def test_equal_bins_are_trained_as_one_group(spark):
+    """Rounds go over groups of equal bins, each row counted: ten times the rows are the same groups, and the trees of ten times the rows."""
+    rows, _, _ = table(spark, 300, 2)
+    rows = rows.withColumn("features", F.transform("features", lambda v: F.floor(v * 3).cast("double")))
+    many = rows.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(9)))).drop("copy")
+    one, ten = bo.Boosting(rows, 3), bo.Boosting(many, 3)
+    assert one.groups.count() <= 27 * bo.FOLDS and ten.groups.count() == one.groups.count() and ten.groups.agg(F.sum("n")).first()[0] == 3000
+    trained = [b.train({0: {"rate": 0.3, "depth": 2, "ridge": 1e-9, "least_rows": 1}}, 2, {}) for b in (one, ten)]
+    assert np.isclose(trained[0][1][0]["rmse"], trained[1][1][0]["rmse"])
+
+
 def test_sampler_beats_random_search():
     goal = np.array([0.2, 0.7, 0.45, 0.9])
     f = lambda x: float(((x - goal) ** 2).sum())
