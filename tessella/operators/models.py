@@ -18,6 +18,7 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import stable
 from . import federated, machines, metrics
 from .reduce import matrix
 
@@ -53,7 +54,7 @@ def fit_and_score(train: DataFrame, test: DataFrame, model: str, n_classes: int,
         return machines.machine_scores(train_z, test_z, n_classes, "rbf" if model == "svm" else "linear", c)
     if model == "svm_fourier":
         d = len(train.select("features").first()[0])
-        train_z, test_z = fourier(train_z, d, 1 / d, seed), fourier(test_z, d, 1 / d, seed)
+        train_z, test_z = stable(fourier(train_z, d, 1 / d, seed)), stable(fourier(test_z, d, 1 / d, seed))  # read by every class
     ready = lambda rows: rows.withColumn("x", array_to_vector("features")).withColumn("y", F.col("target").cast("double"))
     train_x, test_x = ready(train_z), ready(test_z)
     common = {"featuresCol": "x", "labelCol": "y"}
@@ -63,7 +64,7 @@ def fit_and_score(train: DataFrame, test: DataFrame, model: str, n_classes: int,
     elif model == "random_forest":
         est = RandomForestClassifier(numTrees=100, maxDepth=12, seed=seed, **common)
     elif model == "svm_fourier":
-        est = OneVsRest(classifier=LinearSVC(regParam=1 / (c * max(train.count(), 1)), maxIter=100, standardization=False), rawPredictionCol="rawPrediction", **common)
+        est = OneVsRest(classifier=LinearSVC(regParam=1 / (c * max(train.count(), 1)), maxIter=100, standardization=False), rawPredictionCol="rawPrediction", parallelism=n_classes, **common)  # a round is a small job: classes share the cluster
     elif model == "mlp":
         return federated.relu_network(train_z, test_z, n_classes, seed)
     elif model in ("linear_regression", "gbt_regression"):
@@ -83,7 +84,7 @@ def fit_and_score(train: DataFrame, test: DataFrame, model: str, n_classes: int,
 
 def margin_probabilities(train: DataFrame, rows: DataFrame, n_classes: int) -> DataFrame:
     """``rows`` with ``scores``: each class's margin through a logistic fit on the training margins, scaled to sum to one."""
-    fits = []
+    fits, train = [], stable(train.select("rawPrediction", "y"))
     for c in range(n_classes):
         own = lambda df, c=c: df.withColumn("__m", array_to_vector(F.array(vector_to_array("rawPrediction")[c])))
         both = own(train).select("__m", (F.col("y") == c).cast("double").alias("__y"))
