@@ -273,6 +273,12 @@ def _slopes(frames: Iterator[pd.DataFrame], shared) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"institution": [i], "slope": [tuning.slope(image, logs[i])]})
 
 
+def open_images(anchors: DataFrame, ids: set[int]) -> DataFrame:
+    """(institution, n, image): the images of ``ids`` alone, in their order, n anchors' numbers one after another."""
+    held = anchors.filter(F.col("institution").isin(sorted(ids))).groupBy("institution").agg(F.array_sort(F.collect_list(F.struct("row_id", "features"))).alias("rows"))
+    return held.select("institution", F.size("rows").alias("n"), F.flatten("rows.features").alias("image")).orderBy("institution")
+
+
 def tuned_widths_of(anchors: DataFrame, method: Method, p: int, m: int, rounds: int = 300) -> dict[int, float]:
     """The same search for anchor images that lie with Spark: tasks take the slopes; the moves, which depend on each other, see one image at a time.
 
@@ -291,10 +297,8 @@ def tuned_widths_of(anchors: DataFrame, method: Method, p: int, m: int, rounds:
     def images(ids: set[int]) -> Iterator[tuple[int, np.ndarray]]:
         if not ids:
             return
-        whole = anchors.groupBy("institution").agg(F.array_sort(F.collect_list(F.struct("row_id", "features"))).alias("rows")).orderBy("institution")  # one image a row
-        for row in whole.toLocalIterator():
-            if row["institution"] in ids:
-                yield int(row["institution"]), np.array([r["features"] for r in row["rows"]], float)
+        for row in open_images(anchors, ids).toLocalIterator():
+            yield int(row["institution"]), np.array(row["image"], float).reshape(row["n"], -1)
 
     return _search(tuning, {i: float(np.log(g)) for i, g in start.items()}, slopes, images, rounds)
 

@@ -167,3 +167,9 @@ def test_wrong_maps_do_not_meet_the_sql(spark, monkeypatch, sf_small, name):
     assert damaged(lambda g: {i: g[(i + 1) % (order + 1)] for i in g}) != expected
     assert damaged(lambda g: {**g, order: rng.normal(size=(64, width))}) != expected
     assert damaged(lambda g: {i: np.repeat(v[:, :1], width, axis=1) for i, v in g.items()}) != expected
+
+
+def test_only_open_images_are_sent(spark):
+    rows = [(i, j, [float(i), float(j)]) for i in range(5) for j in (2, 0, 1)]
+    got = ig.open_images(spark.createDataFrame(rows, "institution int, row_id long, features array<double>"), {3, 1}).collect()
+    assert [(r["institution"], r["n"], r["image"]) for r in got] == [(i, 3, [i, 0.0, i, 1.0, i, 2.0]) for i in (1.0, 3.0)]
