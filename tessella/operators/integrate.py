@@ -194,6 +194,26 @@ def _term(i: int, image: np.ndarray, local: float, method: Method, gammas: dict[
     return method.term(image, (gammas.get(i) or method.gamma(image, local)) if method.name in NONLINEAR else np.nan)
 
 
+def _coordinates(frames: Iterator[pd.DataFrame], shared) -> Iterator[pd.DataFrame]:
+    for i, image, _ in _institutions(frames):
+        yield pd.DataFrame({"institution": [i], "image": [(shared.value.T @ image).ravel()]})
+
+
+def coordinates_of(reduced: DataFrame) -> tuple[dict[int, np.ndarray], int]:
+    """(anchor images by institution, anchors): each image in coordinates of the directions of the anchors' space that all images reach together.
+
+    Inner products of columns, of one image or of two, are those of the images themselves; there are as many rows as directions, for linear reductions
+    one more than features at most, however many anchors there are. The directions come from the sum of GEP's terms; one whose share of the sum
+    is below its rounding is left out.
+    """
+    anchors, _, r = anchor_rows(reduced)
+    w, v = np.linalg.eigh(summed(anchors, partial(_term, method=Method("GEP"), gammas={})))
+    v = v[:, (w > max(w[-1], 0) * r * np.finfo(float).eps) | (np.arange(r) == r - 1)]  # one at least, for images of nothing
+    shared = reduced.sparkSession.sparkContext.broadcast(v)
+    found = anchors.mapInPandas(partial(_coordinates, shared=shared), "institution int, image array<double>").toPandas()  # a row an institution
+    return {int(i): np.reshape(image, (v.shape[1], -1)) for i, image in sorted(zip(found["institution"], found["image"], strict=True), key=lambda x: x[0])}, r
+
+
 # ---- search of the kernel widths
 
 class Tuning:

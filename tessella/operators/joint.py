@@ -6,7 +6,7 @@ The columns keep B-norm one, or norm one if ``orthonormal``. Adam starts from th
 that norm is the plain one, so one rate suits images of any scale; its rates halve by steps. The network sees mapped rows at the scale at which
 the mapped anchors have mean square one.
 
-The anchors' part is small algebra on the driver. The rows' part is one Spark job a round: tasks get the parameters by broadcast, and send
+The anchors' part is small algebra on the driver, which sees images in coordinates of what they span together, never the anchors' rows. The rows' part is one Spark job a round: tasks get the parameters by broadcast, and send
 back one sum of gradients for the network each and one for each institution among their rows.
 """
 
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from ..functions import linalg as la
 from ..session import stable
 from .federated import HIDDEN, forward, start, unpack
-from .integrate import MAX_SIDE, Method, Solution, images_of
+from .integrate import MAX_SIDE, Method, Solution, coordinates_of, images_of
 from .reduce import matrix
 
 #: Tasks of a round: each sends one gradient of the network to the driver.
@@ -171,18 +171,21 @@ def joint_maps(reduced: DataFrame, p: int, n_classes: int, weight_pred: float =
 
     It stops early once the loss changes by less than ``tolerance`` of itself. With ``weight_pred`` zero no row is read.
     """
-    images, _ = images_of(reduced, columns=None)
+    if orthonormal:  # solved whole, within the bounds of ``images_of``
+        images, _ = images_of(reduced)
+        n_anchors = len(next(iter(images.values())))
+    else:
+        images, n_anchors = coordinates_of(reduced)
     a, b, cuts = anchor_blocks(images)
     low = (Blocks([np.eye(len(x)) for x in b.blocks]) if orthonormal else b).cholesky()
     unit = lambda u: u / np.sqrt(np.maximum((u * u).sum(axis=0), 1e-300))
     if orthonormal:
-        whole([images[i] for i in sorted(images)])
         values, first = la.block_eigen([images[i] for i in sorted(images)], p, orthonormal=True)
         first = np.vstack(first)
     else:
         values, first = anchors_start(images, a, low, p)
     u = unit(low.T @ first)
-    scale = float(np.sqrt(sum(len(s) for s in images.values())))
+    scale = float(np.sqrt(n_anchors * len(images)))
     shape = (p, hidden, n_classes)
     flat = start(*shape, seed)
     context = reduced.sparkSession.sparkContext

@@ -5,7 +5,8 @@ import pytest
 
 from tessella.functions import linalg as la
 from tessella.operators import anchors as an
-from tessella.operators import heads
+from tessella.operators import heads, joint
+from tessella.operators import integrate as ig
 from tessella.operators import reduce as rd
 from tessella.plans import experiment
 from tessella.session import stable
@@ -93,3 +94,32 @@ def test_anchors_of_many_institutions_by_blocks():
     assert np.allclose(values, expected) and np.allclose(first, np.vstack(maps), atol=1e-6)
     many = heads.Anchors({i: rng.normal(size=(20, 12)) for i in range(1250)}, 4)
     assert np.allclose((many.stacked(many.start) * (many.b @ many.stacked(many.start))).sum(axis=0), 1)
+
+
+def test_anchor_rows_do_not_come_to_the_driver(spark, monkeypatch):
+    """Images of 40 anchors within 4 directions arrive as 4 rows each, and solve to the same as whole ones."""
+    rng = np.random.default_rng(3)
+    base, m, k = rng.normal(size=(40, 4)), 60, 3
+    images = {i: base @ rng.normal(size=(4, k)) for i in range(m)}
+    rows = [(i, "anchor", r, None, x.tolist(), float("nan")) for i, s in images.items() for r, x in enumerate(s)]
+    rows += [(i, "train", r, int(x.sum() > 0), x.tolist(), float("nan")) for i in images for r, x in enumerate(rng.normal(size=(12, k)))]
+    reduced = stable(spark.createDataFrame(rows, ig.SCHEMA).repartition(5))
+    found, n = ig.coordinates_of(reduced)
+    assert n == 40 and list(found) == sorted(images) and all(c.shape == (4, k) for c in found.values())
+    assert all(np.allclose(found[i].T @ found[j], images[i].T @ images[j]) for i in (0, 7) for j in images)
+    empty, n = ig.coordinates_of(reduced.withColumn("features", ig.F.transform("features", lambda x: x * 0)))
+    assert n == 40 and all(c.shape == (1, k) and not c.any() for c in empty.values())
+    runs = {"joint": lambda: joint.joint_maps(reduced, 2, 2, hidden=8, rounds=3)[0]}
+    sizes, plain = [], type(reduced).toPandas
+
+    def told(self):
+        out = plain(self)
+        sizes.append(sum(np.size(x) for c in out.columns for x in out[c]))
+        return out
+
+    monkeypatch.setattr(type(reduced), "toPandas", told)
+    maps = {name: run().linear for name, run in runs.items()}
+    assert max(sizes) < 40 * k * m / 3, sizes
+    monkeypatch.setattr(joint, "coordinates_of", lambda _: (images, 40))
+    for name, run in runs.items():
+        assert all(np.allclose(maps[name][i], g, atol=1e-6) for i, g in run().linear.items()), name
