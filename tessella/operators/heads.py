@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .integrate import Method, Solution, images_of
+from .integrate import Method, Solution, coordinates_of, images_of
 from .joint import anchor_blocks, anchor_loss, anchors_start, spread
 from .reduce import matrix
 
@@ -30,14 +30,14 @@ HEAD_RIDGE = 1.0
 
 
 class Anchors:
-    """The anchors' part, in coordinates u in which the norm of a column is the plain one."""
+    """The anchors' part, in coordinates u in which the norm of a column is the plain one. ``n`` anchors, where the images have other rows than theirs."""
 
-    def __init__(self, images: dict[int, np.ndarray], p: int) -> None:
+    def __init__(self, images: dict[int, np.ndarray], p: int, n: int | None = None) -> None:
         self.a, self.b, self.cuts = anchor_blocks(images)
         self.low, self.p = self.b.cholesky(), p
         self.values, first = anchors_start(images, self.a, self.low, p)
         self.start = self.unit(self.low.T @ first)
-        self.scale = float(np.sqrt(sum(len(s) for s in images.values())))  # mapped anchors have mean square one at it
+        self.scale = float(np.sqrt(sum(n or len(s) for s in images.values())))  # mapped anchors have mean square one at it
 
     @staticmethod
     def unit(u: np.ndarray) -> np.ndarray:
@@ -149,7 +149,8 @@ def _train(reduced: DataFrame, seed: int) -> DataFrame:
 
 def linear_maps(reduced: DataFrame, p: int, n_classes: int, weight_pred: float = 1.0, weight_reg: float = 1.0, weight_cross: float = 0.0, rounds: int = 200, patience: int = 10, seed: int = 0) -> tuple[Solution, dict]:
     """(solution, what came of it: losses of training and held-out rows at the start and at the end, head, rows)."""
-    anchors = Anchors(images_of(reduced, columns=None)[0], p)
+    images, n_anchors = coordinates_of(reduced)
+    anchors = Anchors(images, p, n_anchors)
     found = _train(reduced, seed).groupBy("institution", "held").applyInPandas(partial(_statistics, n_classes=n_classes), STATISTICS).toPandas()  # two rows an institution
     q = max(n_classes, 1)
     of = lambda part: LinearHead({int(r.institution): (int(r.n), np.reshape(r.xx, (-1, len(r.xy) // q)), np.reshape(r.xy, (-1, q)), float(r.yy)) for r in part.itertuples()})
