@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .integrate import Method, Solution, coordinates_of, images_of
+from .integrate import Method, Solution, coordinates_of
 from .joint import anchor_blocks, anchor_loss, anchors_start, spread
 from .reduce import matrix
 
@@ -221,7 +221,8 @@ def _logistic_task(frames: Iterator[pd.DataFrame], shared) -> Iterator[pd.DataFr
 def logistic_maps(reduced: DataFrame, p: int, n_classes: int, weight_pred: float = 1.0, weight_reg: float = 1.0, weight_cross: float = 0.0, rounds: int = 60, rate: float = 2e-3, patience: int = 8, seed: int = 0, newton: int = 8) -> tuple[Solution, dict]:
     """(solution, what came of it). The first ``newton`` rounds move the head alone, until it is the best for the starting maps; then each round takes a
     Newton step of the head and a step of the maps along the gradient in which the head is the best one."""
-    anchors = Anchors(images_of(reduced, columns=None)[0], p)
+    images, n_anchors = coordinates_of(reduced)
+    anchors = Anchors(images, p, n_anchors)
     context = reduced.sparkSession.sparkContext
     rows = spread(_train(reduced, seed))
     head, u, side = np.zeros((p + 1, n_classes)), anchors.start, p + 1

@@ -109,7 +109,7 @@ def test_anchor_rows_do_not_come_to_the_driver(spark, monkeypatch):
     assert all(np.allclose(found[i].T @ found[j], images[i].T @ images[j]) for i in (0, 7) for j in images)
     empty, n = ig.coordinates_of(reduced.withColumn("features", ig.F.transform("features", lambda x: x * 0)))
     assert n == 40 and all(c.shape == (1, k) and not c.any() for c in empty.values())
-    runs = {"joint": lambda: joint.joint_maps(reduced, 2, 2, hidden=8, rounds=3)[0], "linear": lambda: heads.linear_maps(reduced, 2, 2, rounds=5)[0]}
+    runs = {"joint": lambda: joint.joint_maps(reduced, 2, 2, hidden=8, rounds=3)[0], "linear": lambda: heads.linear_maps(reduced, 2, 2, rounds=5)[0], "logistic": lambda: heads.logistic_maps(reduced, 2, 2, rounds=2, newton=2)[0]}
     sizes, plain = [], type(reduced).toPandas
 
     def told(self):
