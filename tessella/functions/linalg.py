@@ -95,6 +95,7 @@ def locality_projection(x: np.ndarray, k: int, neighbours: int, heat: float = 0.
     """Directions that keep near rows near: least generalised eigenvectors of (x' L x, x' D x) of a heat-weighted neighbour graph.
 
     They are sought in the span of the rows. Directions orthogonal to all rows also give zero, but map every row to nothing; there are such with fewer rows than columns.
+    What cannot be solved is an error, never other directions in their place.
     """
     d = np.maximum((x * x).sum(1)[:, None] + (x * x).sum(1)[None, :] - 2 * x @ x.T, 0)
     np.fill_diagonal(d, np.inf)
@@ -107,10 +108,13 @@ def locality_projection(x: np.ndarray, k: int, neighbours: int, heat: float = 0.
     _, s, vt = np.linalg.svd(x, full_matrices=False)
     span = sign_fixed(vt[s > s.max(initial=0) * 1e-10].T)
     z = x @ span
-    try:
-        _, v = generalised(z.T @ (degree - w) @ z, z.T @ degree @ z + ridge * np.eye(z.shape[1]))
-    except np.linalg.LinAlgError:  # no near rows at all: keep the axes
-        v = np.eye(z.shape[1])
+    # x' D x + ridge = r' r by the rows themselves: their squares can lose it where columns nearly depend on each other
+    r = np.linalg.qr(np.vstack([np.sqrt(degree.diagonal())[:, None] * z, np.sqrt(ridge) * np.eye(z.shape[1])]), mode="r")
+    unit = np.linalg.solve(r.T, z.T)
+    _, v = smallest(unit @ (degree - w) @ unit.T, z.shape[1])
+    v = np.linalg.solve(r, v)
+    if not np.isfinite(v).all():
+        raise np.linalg.LinAlgError("the rows' directions are not told apart")
     return padded(sign_fixed(span @ v), k)
 
 

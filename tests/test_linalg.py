@@ -176,6 +176,27 @@ def test_locality_directions_lie_in_the_span_of_the_rows():
     assert np.linalg.matrix_rank(x @ v, tol=1e-6 * np.linalg.norm(x @ v, 2)) == 12 and np.abs(v[:44]).max() < 1e-9 * np.abs(v).max()
 
 
+def test_locality_directions_are_solved_or_an_error(monkeypatch):
+    rng = np.random.default_rng(8)
+    x = 1e4 * rng.normal(size=(40, 6))
+    x[1:6:2] = x[:6:2] + 0.02 * np.sign(rng.normal(size=(3, 1))) * np.eye(6)[0]  # three near pairs along one axis, which leave directions to the ridge
+    v = la.locality_projection(x, 6, 1)
+    w = np.exp(-((x[:6:2] - x[1:6:2]) ** 2).sum(axis=1) / 0.01)
+    image = x[:6] @ v
+    sizes = np.sqrt(np.repeat(w, 2))[:, None] * image
+    apart = np.sqrt(w)[:, None] * (image[::2] - image[1::2])
+    assert np.abs(sizes.T @ sizes + 1e-9 * v.T @ v - np.eye(6)).max() < 1e-3
+    values = (apart * apart).sum(axis=0)
+    assert np.abs(apart.T @ apart - np.diag(values)).max() < 1e-3 and (np.diff(values) > -1e-3).all()
+
+    def failing(a):
+        raise np.linalg.LinAlgError("no eigenvalues")
+
+    monkeypatch.setattr(np.linalg, "eigh", failing)
+    with pytest.raises(np.linalg.LinAlgError):
+        la.locality_projection(x, 6, 1)
+
+
 def test_an_affine_image_is_told_by_its_spread(spark):
     from tessella.operators import reduce as rd
 
