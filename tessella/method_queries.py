@@ -192,7 +192,7 @@ def _run(name: str, **settings):
 
 _run("collaboration_imakura")
 _run("collaboration_gep_weighted", G_type="GEP_weighted", dim_intermediate=20)
-_run("collaboration_joint", G_type="mlp_objective", dim_intermediate=20, joint_rounds=20)
+_run("collaboration_joint", G_type="mlp_objective", dim_intermediate=20)
 _run("collaboration_linear_objective", G_type="linear_objective", dim_intermediate=20, dim_integrate=10)
 _run("collaboration_logistic_objective", G_type="logistic_objective", dim_intermediate=20, dim_integrate=10)
 _run("collaboration_nonlinear", G_type="nonlinear", F_type="kernel_pca_svd_mixed", dim_intermediate=20)

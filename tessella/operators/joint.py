@@ -12,10 +12,12 @@ back one sum of gradients for the network each and one for each institution amon
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import partial
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,8 +29,10 @@ from .reduce import matrix
 
 #: Tasks of a round: each sends one gradient of the network to the driver.
 MAX_TASKS = 64
-#: Rows of an institution beyond which it is spread over tasks.
-LARGE = 5000
+#: Rows of an institution beyond which it is spread over tasks; rows that go through the network at once.
+LARGE, AT_ONCE = 5000, 8192
+#: Rounds at most; rounds from one look at the loss to the next, after which it may stop.
+ROUNDS, LOOK = 1000, 100
 
 
 def anchor_matrices(images: dict[int, np.ndarray], ridge: float = 1e-6) -> tuple[np.ndarray, np.ndarray, dict[int, slice]]:
@@ -131,29 +135,63 @@ def spread(train: DataFrame) -> DataFrame:
     return stable(parts.repartition(tasks, "institution", F.pmod(F.xxhash64("features"), F.col("parts"))).drop("count", "parts"))
 
 
-def row_gradients(flat: np.ndarray, g: np.ndarray, x: np.ndarray, y: np.ndarray, shape: tuple[int, int, int]) -> tuple[float, np.ndarray, np.ndarray]:
-    """(cross entropy, its gradient for the network, for the map), summed over the rows."""
-    z = x @ g
+def network_gradients(flat: np.ndarray, z: np.ndarray, y: np.ndarray, shape: tuple[int, int, int]) -> tuple[float, np.ndarray, np.ndarray]:
+    """(cross entropy, its gradient for the network, for each mapped row), summed over the rows."""
     h, p = forward(flat, z, shape)
     w1, _, w2, _ = unpack(flat, *shape)
     loss = -np.log(np.maximum(p[np.arange(len(y)), y], 1e-300)).sum()
     d = p
     d[np.arange(len(y)), y] -= 1
     back = (d @ w2.T) * (h > 0)
-    return float(loss), np.concatenate([(z.T @ back).ravel(), back.sum(axis=0), (h.T @ d).ravel(), d.sum(axis=0)]), x.T @ (back @ w1.T)
+    return float(loss), np.concatenate([(z.T @ back).ravel(), back.sum(axis=0), (h.T @ d).ravel(), d.sum(axis=0)]), back @ w1.T
 
 
-def _task(frames, shared, shape):
-    flat, maps = shared.value
-    loss, n, net, own = 0.0, 0, np.zeros_like(flat), {}
+def row_gradients(flat: np.ndarray, g: np.ndarray, x: np.ndarray, y: np.ndarray, shape: tuple[int, int, int]) -> tuple[float, np.ndarray, np.ndarray]:
+    """(cross entropy, its gradient for the network, for the map), summed over the rows."""
+    loss, net, dz = network_gradients(flat, x @ g, y, shape)
+    return loss, net, x.T @ dz
+
+
+PACKS = "institution int, targets binary, features binary"
+
+
+def _packs(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for f in frames:
-        for i, rows in f.groupby("institution"):
-            more, dn, dg = row_gradients(flat, maps[i], matrix(rows["features"]), rows["target"].to_numpy(), shape)
-            loss, n, net = loss + more, n + len(rows), net + dn
-            own[i] = own.get(i, 0) + dg
+        out = [(i, rows["target"].to_numpy(np.int64)[lo : lo + LARGE].tobytes(), matrix(rows["features"])[lo : lo + LARGE].tobytes()) for i, rows in f.groupby("institution") for lo in range(0, len(rows), LARGE)]
+        yield pd.DataFrame(out, columns=["institution", "targets", "features"])
+
+
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[int, np.ndarray, np.ndarray]]]:
+    """Packs of about AT_ONCE rows."""
+    chunk, n = [], 0
+    for batch in batches:
+        for i, y, x in zip(*(batch.column(c).to_pylist() for c in ("institution", "targets", "features")), strict=True):
+            y = np.frombuffer(y, np.int64)
+            chunk.append((i, y, np.frombuffer(x).reshape(len(y), -1)))
+            n += len(y)
+            if n >= AT_ONCE:
+                yield chunk
+                chunk, n = [], 0
+    if chunk:
+        yield chunk
+
+
+def _task(batches: Iterator[pa.RecordBatch], shared, shape: tuple[int, int, int]) -> Iterator[pa.RecordBatch]:
+    flat, cuts, v = shared.value
+    loss, n, net, own = 0.0, 0, np.zeros_like(flat), {}
+    for chunk in _chunks(batches):
+        y = np.concatenate([rows for _, rows, _ in chunk])
+        more, dn, dz = network_gradients(flat, np.vstack([x @ v[cuts[i]] for i, _, x in chunk]), y, shape)
+        loss, n, net, at = loss + more, n + len(y), net + dn, 0
+        for i, rows, x in chunk:
+            dg = (x.T @ dz[at : at + len(rows)]).ravel()
+            own[i] = own[i] + dg if i in own else dg
+            at += len(rows)
     if n:
-        out = [(-1, n, loss, net), *((int(i), 0, 0.0, dg.ravel()) for i, dg in own.items())]
-        yield pd.DataFrame(out, columns=["institution", "n", "loss", "gradient"])
+        sums = [net, *own.values()]
+        lists = pa.ListArray.from_arrays(np.cumsum([0, *map(len, sums)], dtype=np.int32), np.concatenate(sums))
+        rest = [0] * len(own)
+        yield pa.RecordBatch.from_arrays([pa.array([-1, *own], pa.int32()), pa.array([n, *rest], pa.int64()), pa.array([loss, *rest], pa.float64()), lists], ["institution", "n", "loss", "gradient"])
 
 
 class _Adam:
@@ -166,10 +204,10 @@ class _Adam:
         return x - factor * self.rate * (self.m / (1 - 0.9**self.t)) / (np.sqrt(self.v / (1 - 0.999**self.t)) + 1e-8)
 
 
-def joint_maps(reduced: DataFrame, p: int, n_classes: int, weight_pred: float = 1.0, weight_reg: float = 1.0, weight_cross: float = 0.0, hidden: int = HIDDEN, rounds: int = 100, rate: float = 1e-3, rate_maps: float = 1e-3, halve_every: int = 500, tolerance: float = 1e-6, orthonormal: bool = False, seed: int = 0) -> tuple[Solution, list[float]]:
+def joint_maps(reduced: DataFrame, p: int, n_classes: int, weight_pred: float = 1.0, weight_reg: float = 1.0, weight_cross: float = 0.0, hidden: int = HIDDEN, rounds: int = ROUNDS, rate: float = 1e-3, rate_maps: float = 1e-3, halve_every: int = 500, tolerance: float = 1e-6, orthonormal: bool = False, seed: int = 0) -> tuple[Solution, list[float]]:
     """(maps, loss of each round). ``reduced`` is the long table of images; rows without a label take no part.
 
-    It stops early once the loss changes by less than ``tolerance`` of itself. With ``weight_pred`` zero no row is read.
+    It stops early once the loss has changed by less than ``tolerance`` of itself since the look LOOK rounds before. With ``weight_pred`` zero no row is read.
     """
     if orthonormal:  # solved whole, within the bounds of ``images_of``
         images, _ = images_of(reduced)
@@ -192,15 +230,16 @@ def joint_maps(reduced: DataFrame, p: int, n_classes: int, weight_pred: float =
     rows = None
     if weight_pred:
         train = reduced.filter((F.col("part") == "train") & F.col("target").isNotNull()).select("institution", "target", "features")
-        rows = spread(train)
+        rows = stable(spread(train).mapInPandas(_packs, PACKS))
+    backward = low.T
     adam_u, adam_net, losses = _Adam(u, rate_maps), _Adam(flat, rate), []
     for turn in range(rounds):
-        v = low.T.solve(u)
+        v = backward.solve(u)
         loss, dv = anchor_loss(v, a, b, weight_reg, weight_cross)
         net = np.zeros_like(flat)
         if rows is not None:
-            shared = context.broadcast((flat, {i: scale * v[cut] for i, cut in cuts.items()}))
-            found = rows.mapInPandas(partial(_task, shared=shared, shape=shape), "institution int, n long, loss double, gradient array<double>").toPandas()  # sums: a row a task, and one for each of its institutions
+            shared = context.broadcast((flat, cuts, scale * v))
+            found = rows.mapInArrow(partial(_task, shared=shared, shape=shape), "institution int, n long, loss double, gradient array<double>").toPandas()  # sums: a row a task, and one for each of its institutions
             shared.unpersist()
             n = max(int(found["n"].sum()), 1)
             loss += weight_pred * float(found["loss"].sum()) / n
@@ -210,10 +249,10 @@ def joint_maps(reduced: DataFrame, p: int, n_classes: int, weight_pred: float =
                 else:
                     dv[cuts[i]] += scale * weight_pred / n * np.asarray(gradient).reshape(-1, p)
         losses.append(loss)
-        if len(losses) > 1 and abs(losses[-2] - loss) <= tolerance * max(abs(losses[-2]), 1e-12):
+        if turn and turn % LOOK == 0 and abs(losses[-1 - LOOK] - loss) <= tolerance * max(abs(losses[-1 - LOOK]), 1e-12):
             break
         factor = 0.5 ** (turn // halve_every)
         u, flat = unit(adam_u.step(u, low.solve(dv), factor)), adam_net.step(flat, net, factor)
-    v = low.T.solve(u)
+    v = backward.solve(u)
     maps = Solution(Method("GEP"), linear={i: v[cut] for i, cut in cuts.items()}, values=values)
     return maps, losses

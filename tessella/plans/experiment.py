@@ -44,7 +44,7 @@ class Config:
     gamma_ratio_krr: float = 1.0
     nl_lambda: float = 0.1
     weight_pred: float = 1.0
-    joint_rounds: int = 100
+    joint_rounds: int = joint.ROUNDS
     split_seed: int = 42
     run_seed: int = 0
 

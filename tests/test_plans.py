@@ -195,6 +195,25 @@ def test_joint_training_of_maps_and_network(spark, sf_small):
     assert np.isclose(kept[0], only_anchors.values.sum(), rtol=1e-4)  # it starts from the generalised eigenvectors
 
 
+def test_joint_training_goes_through_all_rounds_unless_the_loss_stands_still(spark, monkeypatch):
+    from tessella import method_queries
+    from tessella.operators import joint
+    from tessella.session import stable
+
+    seen = []
+    monkeypatch.setattr(experiment, "run_once", lambda rows, config: seen.append(config) or rows)
+    method_queries.QUERIES["collaboration_joint"](spark, "/root/testdata/sf0.001")
+    assert seen[0].joint_rounds == experiment.Config().joint_rounds == joint.ROUNDS == 1000
+    monkeypatch.setattr(joint, "LOOK", 4)
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=(20, 3))
+    rows = [(i, "anchor", r, None, x.tolist(), float("nan")) for i in range(2) for r, x in enumerate(base @ rng.normal(size=(3, 3)))]
+    rows += [(i, "train", r, int(x[0] > 0), x.tolist(), float("nan")) for i in range(2) for r, x in enumerate(rng.normal(size=(12, 3)))]
+    reduced = stable(spark.createDataFrame(rows, rd.SCHEMA))
+    run = lambda **more: len(joint.joint_maps(reduced, 2, 2, hidden=8, rounds=11, **more)[1])
+    assert run(tolerance=1e-12) == 11 and run(tolerance=10.0) == 5 and run(tolerance=10.0, weight_pred=0.0) == 5
+
+
 def test_joint_gradients_against_differences():
     from tessella.operators import joint
     from tessella.operators.federated import start
