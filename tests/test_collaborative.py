@@ -86,3 +86,27 @@ def test_pairs_of_users_are_not_moved_one_by_one(spark):
     listed = store.stageList(None, False, False, none, None)
     moved = sum(listed.apply(i).shuffleWriteRecords() for i in range(listed.size()) if listed.apply(i).stageId() in stages)
     assert moved < 1_500_000, moved
+
+
+def test_pairs_are_made_in_bounded_steps_and_only_asked_ones_leave_a_task(spark, monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    rng = random.Random(11)
+    every = {item: [(u, float(rng.randint(1, 5)) if rng.random() < 0.8 else None) for u in sorted(rng.sample(range(40), 12))] for item in range(25)}
+    lists = lambda rows: [[{"user": u, "rating": r} for u, r in entries] for entries in rows]
+    kind = pa.list_(pa.struct([("user", pa.int32()), ("rating", pa.float64())]))
+    batch = pa.RecordBatch.from_arrays([pa.array(list(every), pa.int64()), pa.array(lists(every.values()), kind), pa.array(lists(every.values()), kind)], ["item", "own", "others"])
+    whole = pa.Table.from_batches(list(cf._paired(iter([batch]), 2)))
+    sizes, plain = [], np.repeat
+    monkeypatch.setattr(cf, "PAIRS", 300)
+    monkeypatch.setattr(np, "repeat", lambda a, n: sizes.append(int(np.sum(n))) or plain(a, n))
+    steps = pa.Table.from_batches(list(cf._paired(iter([batch.slice(0, 9), batch.slice(9)]), 2)))
+    monkeypatch.undo()
+    told = lambda t: sorted(map(tuple, t.to_pandas().itertuples(index=False)))
+    assert told(steps) == told(whole) and len(sizes) > 8 and max(sizes[1:]) <= 300
+    rated = {u: {i: r for i, entries in every.items() for v, r in entries if v == u and r is not None} for u in range(40)}
+    asks = [(u, i, v) for i, entries in every.items() for u, r in entries if r is None for v, s in entries if s is not None and len(rated[u].keys() & rated[v].keys()) >= 2]
+    assert sorted((u, i, v) for u, i, v, _, _ in told(whole)) == sorted(asks)
+    plan = cf.compared(spark.createDataFrame([(1, 1, 2.0), (2, 1, 3.0)], "user int, item int, rating double"), spark.createDataFrame([(1, 2)], "user int, item int"))._jdf.queryExecution().toString()
+    assert "MapInArrow partial" in plan and "collect_list(ask" not in plan
