@@ -43,33 +43,39 @@ def curve(min_distance: float, spread: float = 1.0, rounds: int = 200) -> tuple[
     return float(at[0]), float(at[1])
 
 
-def _memberships(frames: Iterator[pd.DataFrame], k: int) -> Iterator[pd.DataFrame]:
-    """Weights of each row's edges: exp(-(d - nearest) / s), s such that they add up to log2 k."""
+def _memberships(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Weights of each row's edges: exp(-(d - nearest) / s), s such that they add up to log2 k; each edge both ways round. All rows of a frame search their s side by side."""
     for f in frames:
-        out = []
-        for key, others, square in zip(f["key"], f["others"], f["squares"], strict=True):
-            d = np.sqrt(np.array(square, float))
-            nearest, goal = d[d > 0].min(initial=d.max()), np.log2(max(len(d), 2))
-            apart = np.maximum(d - nearest, 0)
-            lo, hi = 0.0, np.inf
-            s = 1.0
-            for _ in range(64):
-                total = np.exp(-apart / s).sum()
-                if abs(total - goal) < 1e-5:
-                    break
-                lo, hi = (lo, s) if total > goal else (s, hi)
-                s = (lo + hi) / 2 if np.isfinite(hi) else s * 2
-            s = max(s, 1e-3 * d.mean(), 1e-300)
-            out.append(pd.DataFrame({"i": key, "j": list(others), "w": np.exp(-apart / s)}))
-        yield pd.concat(out) if out else pd.DataFrame({"i": [], "j": [], "w": []})
+        if not len(f):
+            continue
+        size = f["others"].map(len).to_numpy()
+        there = np.arange(size.max())[None, :] < size[:, None]
+        d = np.zeros(there.shape)
+        d[there] = np.sqrt(np.concatenate(f["squares"].tolist()).astype(float))
+        nearest, goal = np.where(there & (d > 0), d, np.inf).min(axis=1), np.log2(np.maximum(size, 2))
+        apart = np.maximum(d - np.where(np.isfinite(nearest), nearest, d.max(axis=1))[:, None], 0)
+        weights = lambda s: np.where(there, np.exp(-apart / s[:, None]), 0)
+        lo, hi, s, open_ = np.zeros(len(f)), np.full(len(f), np.inf), np.ones(len(f)), np.ones(len(f), bool)
+        for _ in range(64):
+            total = weights(s).sum(axis=1)
+            open_ &= np.abs(total - goal) >= 1e-5
+            if not open_.any():
+                break
+            above = total > goal
+            lo, hi = np.where(open_ & ~above, s, lo), np.where(open_ & above, s, hi)
+            with np.errstate(invalid="ignore"):
+                s = np.where(open_, np.where(np.isfinite(hi), (lo + hi) / 2, s * 2), s)
+        w = weights(np.maximum(s, np.maximum(1e-3 * d.sum(axis=1) / size, 1e-300)))[there]
+        i, j = np.repeat(f["key"].to_numpy(), size), np.concatenate(f["others"].tolist())
+        yield pd.DataFrame({"i": np.concatenate([i, j]), "j": np.concatenate([j, i]), "w": np.concatenate([w, w])})
 
 
 def neighbour_graph(rows: DataFrame, k: int, label: str | None = None, label_weight: float = 0.5) -> DataFrame:
     """(i, j, w) both ways round; rows: (key, features). With ``label`` edges between different labels are weakened, the more the nearer ``label_weight`` is to 1."""
     kind = rows.schema["key"].dataType.simpleString()
     near = nearest_rows(rows, rows, k, "key", "features").groupBy("key").agg(F.sort_array(F.collect_list(F.struct("rank", "neighbour", "square"))).alias("n"))  # k a row
-    one = near.select("key", F.col("n.neighbour").alias("others"), F.col("n.square").alias("squares")).mapInPandas(partial(_memberships, k=k), f"i {kind}, j {kind}, w double")
-    both = one.unionByName(one.select(F.col("j").alias("i"), F.col("i").alias("j"), "w")).groupBy("i", "j").agg(F.sum("w").alias("s"), F.count(F.lit(1)).alias("n"), F.min("w").alias("least"), F.max("w").alias("most"))
+    edges = near.select("key", F.col("n.neighbour").alias("others"), F.col("n.square").alias("squares")).mapInPandas(_memberships, f"i {kind}, j {kind}, w double")
+    both = edges.groupBy("i", "j").agg(F.sum("w").alias("s"), F.count(F.lit(1)).alias("n"), F.min("w").alias("least"), F.max("w").alias("most"))
     united = both.select("i", "j", F.when(F.col("n") > 1, F.col("s") - F.col("least") * F.col("most")).otherwise(F.col("s")).alias("w"))
     if label is not None:
         far = 2.5 / (1 - label_weight) if label_weight < 1 else 1e12

@@ -1,6 +1,7 @@
 """Autoencoder gradients and error, the neighbour graph and its layout."""
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from tessella.operators import manifold as mf
@@ -82,3 +83,19 @@ def test_layout_is_more_trustworthy_than_components(spark):
     at = np.array([r["place"] for r in mf.placed(new, rows, places, 10).orderBy("key").collect()])
     nearest = ((at[:, None] - found[None]) ** 2).sum(axis=2).argmin(axis=1)
     assert (y[nearest] == np.arange(8)).mean() >= 0.75
+
+
+def test_memberships_of_all_rows_are_searched_side_by_side():
+    rng = np.random.default_rng(1)
+    squares = [np.sort(rng.random(n)) * (n != 6) for n in (15, 1, 7, 6, 15)]
+    frame = pd.DataFrame({"key": [10, 11, 12, 13, 14], "others": [np.arange(len(v)) for v in squares], "squares": squares})
+    calls, plain = [], np.exp
+    try:
+        np.exp = lambda a: calls.append(1) or plain(a)
+        (out,) = mf._memberships(iter([frame, frame[:0]]))
+    finally:
+        np.exp = plain
+    half = len(out) // 2
+    assert len(calls) <= 65 and half == 44 and (out["i"][half:].to_numpy() == out["j"][:half].to_numpy()).all() and (out["w"][half:].to_numpy() == out["w"][:half].to_numpy()).all()
+    sums = out[:half].groupby("i")["w"].sum()
+    assert np.allclose(sums[[10, 12, 14]], np.log2([15, 7, 15]), atol=1e-4) and sums[11] == 1 and sums[13] == 6
